@@ -5,8 +5,9 @@ are range-partitioned and sorted by a signature of ORDER minhashes; neighbours i
 share a prefix of at least DEPTH minhashes are candidates. The depth of a comparison thus adapts to
 the region: in a dense region neighbours share long prefixes, in a sparse one short ones. Candidates
 are confirmed on full shingle sets and joined to components. Then every region (one prefix of DEPTH
-minhashes in one tree) that still holds several components is compared across those components, in
-blocks, and confirmed likewise, so neighbours alone never decide: no region is capped.
+minhashes in one tree) that still holds several components is compared across those components, so
+neighbours alone never decide: members that may link form clusters, and each cluster is confirmed on
+full sets, in blocks. A block returns a forest, not its pairs. No region or cluster is capped.
 
 A pair of Jaccard similarity s shares a region in at least one tree with probability
 1 - (1 - s**DEPTH)**TREES: 0.999997 at s = 0.8. Before the full comparison, pairs are held against
@@ -26,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.scratch import cut, join_checked
+from graphloom.llm.blocks import local_roots
 from graphloom.llm.texts import WordHashes, byte_texts, mix, small_batches
 from graphloom.operators.components import components
 
@@ -36,6 +38,8 @@ SKETCH = 128
 MIN_ESTIMATE = 0.62
 #: Rows of one region compared in one task; larger regions are dealt out in blocks.
 BLOCK = 2048
+#: Shingles of a block, for very long texts.
+BLOCK_SHINGLES = 2_000_000
 
 
 def shingle_set(text: bytes | None, width: int, hashes: WordHashes) -> np.ndarray:
@@ -138,22 +142,54 @@ def _neighbours(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.
         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
 
+def _sides(key, group: pa.Table) -> tuple[pa.Table, pa.Table]:
+    left = group.filter(group["side"].to_numpy() == 0).combine_chunks()
+    return left, left if key[1] == key[2] else group.filter(group["side"].to_numpy() == 1).combine_chunks()
+
+
+def _unlike(left: pa.Table, right: pa.Table, percent: int) -> np.ndarray:
+    """Which pairs of two blocks lie in different components and pass sizes and sketches."""
+    (na, ca, sa), (nb, cb, sb) = [(t["n"].to_numpy(), t["comp"].to_numpy(), _sketches(t["signed"].combine_chunks())) for t in (left, right)]
+    linked = np.zeros((len(na), len(nb)), bool)
+    for i in range(len(na)):
+        near = np.flatnonzero((cb != ca[i]) & _near_sizes(nb, na[i], percent))
+        if len(near):
+            linked[i, near[_estimates(sb[near], sa[i]) >= MIN_ESTIMATE]] = True
+    return linked
+
+
+def _forest(linked: np.ndarray, left: pa.Table, right: pa.Table) -> pa.Table:
+    """One row for each linked member: the member and the smallest it reaches here."""
+    rows, cols = np.flatnonzero(linked.any(axis=1)), np.flatnonzero(linked.any(axis=0))
+    a, b = left["rep"].to_numpy()[rows], right["rep"].to_numpy()[cols]
+    low_a, low_b = local_roots(linked[np.ix_(rows, cols)], a, b)
+    return pa.table({"a": np.concatenate([a, b]), "b": np.concatenate([low_a, low_b])})
+
+
+def _likely(key, group: pa.Table, percent: int) -> pa.Table:
+    """One block pair of a region -> which members may link across components, as a forest."""
+    left, right = _sides(key, group)
+    return _forest(_unlike(left, right, percent), left, right)
+
+
 def _across(key, group: pa.Table, percent: int) -> pa.Table:
-    """One block pair of a region -> the pairs across components that the sketches let through."""
-    left = group.filter(group["side"].to_numpy() == 0)
-    right = group.filter(group["side"].to_numpy() == 1) if key[1] != key[2] else left
-    out_a, out_b = [], []
-    if left.num_rows and right.num_rows:
-        cols = [(t["rep"].to_numpy(), t["n"].to_numpy(), t["comp"].to_numpy(), _sketches(t["signed"].combine_chunks())) for t in (left, right)]
-        (ra, na, ca, sa), (rb, nb, cb, sb) = cols
-        for i in range(len(ra)):
-            near = np.flatnonzero((cb != ca[i]) & _near_sizes(nb, na[i], percent) & ((rb > ra[i]) | (key[1] != key[2])))
-            if len(near):
-                near = near[_estimates(sb[near], sa[i]) >= MIN_ESTIMATE]
-                out_a.append(np.minimum(rb[near], ra[i]))
-                out_b.append(np.maximum(rb[near], ra[i]))
-    empty = np.empty(0, np.int64)
-    return pa.table({"a": np.concatenate(out_a) if out_a else empty, "b": np.concatenate(out_b) if out_b else empty})
+    """One block pair of a cluster -> its links across components, confirmed on full sets, as a forest."""
+    left, right = _sides(key, group)
+    linked = _unlike(left, right, percent)
+    sets = [np.frombuffer(x, np.uint64) for t in (left, right) for x in t["shingles"].to_pylist()]
+    sizes = np.array([len(x) for x in sets])
+    # Shingles by their place in the block, so that one row is held against all others at once.
+    names, places = np.unique(np.concatenate(sets), return_inverse=True) if sets else (np.empty(0), np.empty(0, int))
+    starts = np.cumsum(sizes) - sizes
+    mark = np.zeros(len(names), np.int32)
+    at = left.num_rows
+    for i in np.flatnonzero(linked.any(axis=1)):
+        own = places[starts[i] : starts[i] + sizes[i]]
+        mark[own] = 1
+        shared = np.add.reduceat(mark[places[starts[at] :]], starts[at:] - starts[at])
+        mark[own] = 0
+        linked[i] &= 100 * shared >= percent * (sizes[at:] + sizes[i] - shared)
+    return _forest(linked, left, right)
 
 
 def _full_sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
@@ -174,12 +210,16 @@ def _confirm(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def _sets_of(docs: DataFrame, reps: DataFrame, width: int) -> DataFrame:
+    """rep, shingles of the given representatives, from their whole texts. A repeated doc_id has
+    several texts; any of its sets may confirm a link."""
+    texts = join_checked(docs, reps, docs["doc_id"] == reps["rep"]).select("rep", "text")
+    return cut(texts.mapInArrow(partial(_full_sets, width=width), "rep long, shingles binary").where("length(shingles) > 0").distinct(), "sets")
+
+
 def _links(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs of representatives that hold on full shingle sets."""
-    ends = cut(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "ends")
-    texts = join_checked(docs, ends, docs["doc_id"] == ends["rep"]).select("rep", "text")
-    # A repeated doc_id has several texts; any of its sets may confirm a link.
-    sets = cut(texts.mapInArrow(partial(_full_sets, width=width), "rep long, shingles binary").distinct(), "sets")
+    sets = _sets_of(docs, cut(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "ends"), width)
     sided = (
         pairs.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("x")), "a")
         .join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("y")), "b")
@@ -188,18 +228,20 @@ def _links(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataF
     return cut(sided.mapInArrow(partial(_confirm, percent=percent), "a long, b long").distinct(), "links")
 
 
-def _region_blocks(members: DataFrame) -> DataFrame:
-    """Deals the members (region, rep, n, signed, comp) of regions with several components to block
-    pairs. The region's largest component is never compared with itself, so only the others are
-    repeated against its blocks: work and copies follow (others x all), not all x all."""
-    per = members.groupBy("region", "comp").agg(F.count(F.lit(1)).alias("m"))
+def _block_pairs(members: DataFrame, *carried: str) -> DataFrame:
+    """Deals the members (region, rep, n, signed, comp and what is carried) of regions with several
+    components to block pairs. The region's largest component is never compared with itself, so only
+    the others are repeated against its blocks: work and copies follow (others x all), not all x all."""
+    per = members.groupBy("region", "comp").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("s"))
     regions = per.groupBy("region").agg(
-        F.count(F.lit(1)).alias("comps"), F.max(F.struct("m", "comp")).alias("top"), F.sum("m").alias("total")
-    ).where("comps > 1").select(
+        F.count(F.lit(1)).alias("comps"), F.max(F.struct("m", "s", "comp")).alias("top"), F.sum("m").alias("m"), F.sum("s").alias("s")
+    )
+    blocks = lambda m, s: F.ceil(F.greatest(m / BLOCK, s / BLOCK_SHINGLES)).cast("int")
+    regions = regions.where("comps > 1").select(
         "region",
         F.col("top.comp").alias("top"),
-        F.ceil(F.col("top.m") / BLOCK).cast("int").alias("top_blocks"),
-        F.ceil((F.col("total") - F.col("top.m")) / BLOCK).cast("int").alias("rest_blocks"),
+        blocks(F.col("top.m"), F.col("top.s")).alias("top_blocks"),
+        blocks(F.col("m") - F.col("top.m"), F.col("s") - F.col("top.s")).alias("rest_blocks"),
     )
     dealt = members.join(regions, "region").withColumn("in_top", F.col("comp") == F.col("top"))
     # Blocks 0..rest-1 hold the other components, rest.. the largest one.
@@ -212,15 +254,12 @@ def _region_blocks(members: DataFrame) -> DataFrame:
     rest = F.sequence(F.lit(0), F.col("rest_blocks") - 1)
     every = F.sequence(F.lit(0), F.col("rest_blocks") + F.col("top_blocks") - 1)
     mates = F.when(F.col("in_top"), rest).otherwise(every)
-    return (
-        dealt.select("region", "rep", "n", "signed", "comp", "block", F.explode(mates).alias("mate"))
-        .select(
-            "region",
-            F.least("block", "mate").alias("lo"),
-            F.greatest("block", "mate").alias("hi"),
-            F.when(F.col("block") <= F.col("mate"), 0).otherwise(1).alias("side"),
-            "rep", "n", "signed", "comp",
-        )
+    return dealt.withColumn("mate", F.explode(mates)).select(
+        "region",
+        F.least("block", "mate").alias("lo"),
+        F.greatest("block", "mate").alias("hi"),
+        F.when(F.col("block") <= F.col("mate"), 0).otherwise(1).alias("side"),
+        "rep", "n", "signed", "comp", *carried,
     )
 
 
@@ -266,14 +305,23 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     # What neighbours have not joined: all pairs across components of a region.
     placed = members.join(joined.withColumnRenamed("component", "comp").withColumnRenamed("node", "rep"), "rep", "left")
     placed = cut(placed.select("region", "rep", "n", "signed", F.coalesce("comp", "rep").alias("comp")), "placed")
-    across = (
-        _region_blocks(placed)
-        .groupBy("region", "lo", "hi")
-        .applyInArrow(lambda key, t: _across([k.as_py() for k in key], t, percent), "a long, b long")
-        .distinct()
-        .join(pairs, ["a", "b"], "left_anti")
+    likely = cut(
+        _block_pairs(placed).groupBy("region", "lo", "hi")
+        .applyInArrow(lambda key, t: _likely(key, t, percent), "a long, b long").distinct(),
+        "likely",
+    )
+    clusters = cut(components(likely, "a", "b").select(F.col("node").alias("rep"), F.col("component").alias("region")), "clusters")
+    sets = _sets_of(docs, clusters.select("rep"), width)
+    clustered = (
+        clusters.join(sets, "rep").join(leaders.select("rep", "n", "signed"), "rep")
+        .where(F.col("n") * 8 == F.length("shingles"))
+        .join(joined.withColumnRenamed("node", "rep"), "rep", "left")
+        .select("region", "rep", "n", "signed", F.coalesce("component", "rep").alias("comp"), "shingles")
+    )
+    second = (
+        _block_pairs(cut(clustered, "clustered"), "shingles").groupBy("region", "lo", "hi")
+        .applyInArrow(lambda key, t: _across(key, t, percent), "a long, b long")
     )
-    second = _links(docs, cut(across, "across"), width, percent)
     component = components(first.unionAll(second), "a", "b")
 
     classed = classes.join(component, F.col("rep") == F.col("node"), "left").select(
