@@ -2,14 +2,25 @@
 
 from __future__ import annotations
 
-from graphloom.llm import op2_hyperplanes, op3_mixing, op4_minhash, op7_toxicity, op8_topk, op10_shards
+from graphloom.llm import (
+    op1_quality,
+    op2_hyperplanes,
+    op3_mixing,
+    op4_minhash,
+    op7_toxicity,
+    op8_topk,
+    op9_surrogates,
+    op10_shards,
+)
 
 _OPERATORS = {
+    "op1_neighbour_quality": op1_quality,
     "op2_hyperplane_near_dedup": op2_hyperplanes,
     "op3_budget_mixing": op3_mixing,
     "op4_minhash_near_dedup": op4_minhash,
     "op7_toxicity_machine": op7_toxicity,
     "op8_branch_and_bound_topk": op8_topk,
+    "op9_pii_surrogates": op9_surrogates,
     "op10_training_order_shards": op10_shards,
 }
 
