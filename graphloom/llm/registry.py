@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from graphloom.llm import (
     op1_quality,
     op2_hyperplanes,
     op3_mixing,
     op4_minhash,
+    op5_sentencepiece,
+    op6_edit_counts,
     op7_toxicity,
     op8_topk,
     op9_surrogates,
@@ -18,6 +21,8 @@ _OPERATORS = {
     "op2_hyperplane_near_dedup": op2_hyperplanes,
     "op3_budget_mixing": op3_mixing,
     "op4_minhash_near_dedup": op4_minhash,
+    "op5_sentencepiece_lattice": op5_sentencepiece,
+    "op6_edit_aware_counts": op6_edit_counts,
     "op7_toxicity_machine": op7_toxicity,
     "op8_branch_and_bound_topk": op8_topk,
     "op9_pii_surrogates": op9_surrogates,
@@ -26,8 +31,9 @@ _OPERATORS = {
 
 
 def queries():
-    return {name: module.query for name, module in _OPERATORS.items()}
+    return {name: module.query for name, module in _OPERATORS.items()} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql():
-    return {name: module.ORACLE for name, module in _OPERATORS.items() if getattr(module, "ORACLE", None)}
+    found = {name: module.ORACLE for name, module in _OPERATORS.items() if hasattr(module, "ORACLE")}
+    return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
