@@ -53,7 +53,7 @@ def touches(spark: SparkSession, sf_dir: str) -> DataFrame:
         raw_touches(spark, sf_dir)
         .groupBy("hash", "path")
         .agg(
-            F.min_by("change_type", "line").alias("change_type"),
+            F.min(F.struct("line", "change_type"))["change_type"].alias("change_type"),
             F.max("ts").alias("ts"),
             F.sum("additions").alias("additions"),
         )
@@ -62,6 +62,23 @@ def touches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 TOUCHED_SQL = """touched AS (
   SELECT l_orderkey AS hash, l_partkey AS path,
-         arg_min(CASE l_returnflag WHEN 'A' THEN 'A' WHEN 'N' THEN 'M' WHEN 'R' THEN 'D' END, l_linenumber) AS change_type,
+         substr(min(l_linenumber || CASE l_returnflag WHEN 'A' THEN 'A' WHEN 'N' THEN 'M' WHEN 'R' THEN 'D' END), 2) AS change_type,
          max(l_shipdate) AS ts, sum(l_quantity) AS additions
   FROM lineitem GROUP BY 1, 2)"""
+
+
+def sprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calendar quarters that have commits: number, first and last day."""
+    day = F.date_trunc("quarter", "ts").cast("date")
+    return (
+        commits(spark, sf_dir).select(day.alias("start")).distinct()
+        .select(
+            F.concat_ws("-", F.year("start"), F.quarter("start")).alias("number"),
+            "start",
+            F.date_sub(F.add_months("start", 3), 1).alias("end"),
+        )
+    )
+
+
+SPRINTS_SQL = """sprints AS (SELECT year(q) || '-' || quarter(q) AS number, q AS "start", CAST(q + INTERVAL 3 MONTH - INTERVAL 1 DAY AS DATE) AS "end"
+  FROM (SELECT DISTINCT CAST(date_trunc('quarter', o_orderdate) AS DATE) AS q FROM orders))"""

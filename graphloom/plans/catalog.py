@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("temporal",)
+MODULES = ("temporal", "relational")
 
 
 def _modules():
