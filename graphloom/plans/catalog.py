@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("temporal", "relational")
+MODULES = ("temporal", "relational", "derive", "vector", "graph")
 
 
 def _modules():
