@@ -138,11 +138,12 @@ def train(docs: DataFrame, labels: DataFrame, learnable, per_class: int = PER_CL
     """Fits on at most per_class labelled rows of either class; these rows (at most DIMS numbers each)
     are all that reaches the driver. With no labels or one class the vote is the prior."""
     rows = sample(docs, labels, "quality", learnable, per_class).select("text", "y", "weight")
-    found = cut(rows.mapInArrow(_rows, "y int, weight double, at array<int>, value array<float>"), "described").orderBy("y", F.xxhash64("at", "value")).toPandas()
-    matrix = np.zeros((len(found), DIMS), np.float32)
-    for i, (at, value) in enumerate(zip(found["at"], found["value"])):
-        matrix[i, np.asarray(at, np.int64)] = value
-    return LatentSpace(matrix, found["y"].to_numpy(np.int64), found["weight"].to_numpy(np.float64))
+    described = cut(rows.mapInArrow(_rows, "y int, weight double, at array<int>, value array<float>"), "described")
+    found = described.orderBy("y", F.xxhash64("at", "value")).toArrow()
+    matrix = np.zeros((found.num_rows, DIMS), np.float32)
+    at, value = found["at"].combine_chunks(), found["value"].combine_chunks()
+    matrix[np.repeat(np.arange(found.num_rows), at.value_lengths().to_numpy()), at.flatten().to_numpy()] = value.flatten().to_numpy()
+    return LatentSpace(matrix, found["y"].to_numpy().astype(np.int64), found["weight"].to_numpy())
 
 
 def score(docs: DataFrame, space: LatentSpace) -> DataFrame:

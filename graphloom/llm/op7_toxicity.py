@@ -113,8 +113,12 @@ class FactorizationMachine:
     def parting(self, lists: list[np.ndarray], y: np.ndarray, weight: np.ndarray) -> float:
         """The raw score that parts the sample's classes with least weighted error: the middle of the
         best gap. One toxic term among hundreds must suffice, which a shrunken fit alone places low."""
-        sizes = np.array([len(x) for x in lists])
-        raw = self.raw(np.concatenate(lists).astype(np.int64), np.cumsum(sizes) - sizes, len(lists))[0]
+        raws = []
+        for at in range(0, len(lists), 512):
+            part = lists[at : at + 512]
+            sizes = np.array([len(x) for x in part])
+            raws.append(self.raw(np.concatenate(part), np.cumsum(sizes) - sizes, len(part))[0])
+        raw = np.concatenate(raws)
         order = np.argsort(raw, kind="stable")
         raw, missed = raw[order], weight[order]
         # Errors with the cut below row i: negatives from i on and positives before i.
@@ -141,14 +145,15 @@ def train(docs: DataFrame, labels: DataFrame, learnable, per_class: int = PER_CL
     ).where(F.col("a") + F.col("b") >= LEAST_DOCS)
     p = (F.col("a") + F.col("b")) / (ones + zeros)
     gap = F.abs(F.col("a") / ones - F.col("b") / zeros) / F.sqrt(p * (1 - p) + 1e-12)
-    kept = counts.orderBy(F.desc(gap), "term").limit(TERMS).select("term").toPandas()["term"].to_numpy()
-    terms = np.sort(kept.astype(np.int64))
+    kept = counts.orderBy(F.desc(gap), "term").limit(TERMS).select("term").toArrow()
+    terms = np.sort(kept["term"].to_numpy().astype(np.int64))
     known = F.broadcast(rows.sparkSession.createDataFrame([(terms.tolist(),)], "known array<int>"))
-    found = rows.join(known).select("y", "weight", F.array_intersect("terms", "known").alias("terms")).toPandas()
-    lists = [np.searchsorted(terms, np.asarray(t, np.int64)) for t in found["terms"]]
+    found = rows.join(known).select("y", "weight", F.array_intersect("terms", "known").alias("terms")).toArrow().combine_chunks()
+    column = found["terms"].combine_chunks()
+    lists = np.split(np.searchsorted(terms, column.flatten().to_numpy()), np.cumsum(column.value_lengths().to_numpy())[:-1])
     mass = {y: n * w for y, (n, w) in totals.items()}
     machine = FactorizationMachine(terms, mass[1] / (mass[0] + mass[1]))
-    return machine.fit(lists, found["y"].to_numpy(np.float64), found["weight"].to_numpy(np.float64))
+    return machine.fit(lists, found["y"].to_numpy().astype(np.float64), found["weight"].to_numpy().astype(np.float64))
 
 
 def score(docs: DataFrame, machine: FactorizationMachine) -> DataFrame:
