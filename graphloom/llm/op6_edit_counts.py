@@ -46,7 +46,7 @@ class CountTree:
     def __init__(self, text: str, encode: tiktoken.Encoding, counts: list[int] | None = None, leaves: list[str] | None = None):
         self.encode = encode
         self.leaves = leaves if leaves is not None else cut_leaves(text)
-        counts = counts if counts is not None else [len(x) for x in encode.encode_ordinary_batch(self.leaves, num_threads=1)]
+        counts = counts if counts is not None else [len(encode.encode_ordinary(x)) for x in self.leaves]
         self.width = 1 << max(0, (len(self.leaves) - 1).bit_length())
         self.chars = [0] * (2 * self.width)
         self.tokens = [0] * (2 * self.width)
@@ -97,7 +97,7 @@ class CountTree:
         pieces = cut_leaves(region)
         if len(pieces) > slots:  # the slots of the region stay; the last takes the rest
             pieces = [*pieces[: slots - 1], "".join(pieces[slots - 1 :])]
-        counts = [len(x) for x in self.encode.encode_ordinary_batch(pieces, num_threads=1)]
+        counts = [len(self.encode.encode_ordinary(x)) for x in pieces]
         pieces += [""] * (slots - len(pieces))
         counts += [0] * (slots - len(counts))
         nodes = set()
@@ -145,10 +145,9 @@ def count_with_edits(docs: DataFrame, edits: Column, vocabulary: Broadcast) -> D
         for batch in small_batches(batches, 256):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             leaves = [cut_leaves(t) for t in texts]
-            counts = iter(encode.encode_ordinary_batch([x for ls in leaves for x in ls], num_threads=1))
             out: list[list[int]] = [[], [], [], []]
             for ls, steps in zip(leaves, batch.column(2).to_pylist()):
-                tree = CountTree("", encode, [len(next(counts)) for _ in ls], ls)
+                tree = CountTree("", encode, leaves=ls)
                 before, again = tree.total, 0
                 for step in steps or []:
                     if step:
