@@ -127,7 +127,7 @@ def write_shards(ordered: DataFrame, directory: str, length: int = LENGTH, shard
     rows and bytes."""
     stride = 2 * length
 
-    def write(key, table: pa.Table) -> pa.Table:
+    def write(key, table):
         table = table.sort_by("row")
         path = f"{directory}/shard-{key[0].as_py():08d}.bin"
         whole = table.num_rows * stride

@@ -37,16 +37,23 @@ def fit_budget(lengths: dict[int, int], budget: int) -> dict[int, int]:
     if budget >= total:
         return {n: c for n, c in lengths.items() if n > 0}
     taken = {n: c * budget // total for n, c in lengths.items() if n > 0}
-    left = {n: lengths[n] - taken[n] for n in taken}
     rest = budget - sum(n * c for n, c in taken.items())
-    for n in sorted(left, reverse=True):
-        if rest <= EXACT_BUDGET:
+    # A few short documents of each length are left to the programme, for fine steps.
+    room = EXACT_BUDGET // 2
+    for n in sorted(taken):
+        k = min(taken[n], 4, room // n)
+        taken[n], rest, room = taken[n] - k, rest + n * k, room - n * k
+    left = {n: lengths[n] - taken[n] for n in taken}
+    # The even spread rounded down; round up from the longest on, one document a length and pass.
+    while rest > EXACT_BUDGET:
+        before = rest
+        for n in sorted(left, reverse=True):
+            if left[n] and rest - n >= EXACT_BUDGET // 2:
+                taken[n], left[n], rest = taken[n] + 1, left[n] - 1, rest - n
+        if rest == before:
             break
-        k = min(left[n], (rest - EXACT_BUDGET // 2) // n)
-        if k > 0:
-            taken[n], left[n], rest = taken[n] + k, left[n] - k, rest - n * k
     # Bounded knapsack: bit s of `reach` says that s words can be made; counts split in powers of two.
-    top = min((n for n, c in left.items() if c), default=0) + rest
+    top = rest + min(max((n for n, c in left.items() if c), default=0), EXACT_BUDGET)
     mask = (1 << (top + 1)) - 1
     reach, steps = 1, []
     for n in sorted((n for n, c in left.items() if c and n <= top), reverse=True):
