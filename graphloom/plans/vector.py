@@ -191,7 +191,7 @@ def cluster_density(spark, d):
 def bounds(spark, d):
     """The box of all points with a tenth of its size as margin, and how many points are outliers (label 9)."""
     flat = _flat(spark, d)
-    pad = lambda c, sign: F.round((F.min(c) if sign < 0 else F.max(c)) + sign * 0.1 * (F.max(c) - F.min(c)), 6)
+    pad = lambda c, sign: F.round((F.min(c) if sign < 0 else F.max(c)) + sign * 0.1 * (F.max(c) - F.min(c)) + 1e-9, 6)
     return flat.agg(pad("x", -1).alias("x0"), pad("x", 1).alias("x1"), pad("y", -1).alias("y0"), pad("y", 1).alias("y1"), F.count_if(F.col("cluster") == 9).alias("outliers"))
 
 
@@ -264,7 +264,7 @@ SELECT rp.id, coalesce(n.cluster, m.cluster, -1) AS cluster FROM rp LEFT JOIN n
     "cluster_centroids": (cluster_centroids, "WITH x AS (SELECT label, unnest(CAST(embedding AS DOUBLE[])) AS x, generate_subscripts(embedding, 1) - 1 AS dim FROM embeddings) SELECT label, CAST(dim AS BIGINT) AS dim, round(avg(x), 6) AS x FROM x GROUP BY 1, 2"),
     "cluster_spread": (cluster_spread, f"WITH {_SPREAD} SELECT cluster, size, round(cx, 6) AS cx, round(cy, 6) AS cy, round(spread, 6) AS spread FROM sp"),
     "cluster_density": (cluster_density, f"WITH {_SPREAD} SELECT cluster, round(size / (md * md * 3.141592653589793::DOUBLE), 4) AS density FROM sp"),
-    "bounds": (bounds, f"WITH {_RP} SELECT round(min(x) - 0.1 * (max(x) - min(x)), 6) AS x0, round(max(x) + 0.1 * (max(x) - min(x)), 6) AS x1, round(min(y) - 0.1 * (max(y) - min(y)), 6) AS y0, round(max(y) + 0.1 * (max(y) - min(y)), 6) AS y1, count(*) FILTER (label = 9) AS outliers FROM rp"),
+    "bounds": (bounds, f"WITH {_RP} SELECT round(min(x) - 0.1 * (max(x) - min(x)) + 1e-9::DOUBLE, 6) AS x0, round(max(x) + 0.1 * (max(x) - min(x)) + 1e-9::DOUBLE, 6) AS x1, round(min(y) - 0.1 * (max(y) - min(y)) + 1e-9::DOUBLE, 6) AS y0, round(max(y) + 0.1 * (max(y) - min(y)) + 1e-9::DOUBLE, 6) AS y1, count(*) FILTER (label = 9) AS outliers FROM rp"),
     "cluster_hulls": (cluster_hulls, None),
     "lasso_select": (lasso_select, f"WITH {_RP} SELECT id FROM rp WHERE ({_EDGES}) % 2 = 1"),
     "nearest_centroid": (nearest_centroid, f"WITH {_RP}, c AS (SELECT label AS c, avg(x) AS cx, avg(y) AS cy FROM rp GROUP BY 1) SELECT rp.id, arg_min(c, (x - cx) * (x - cx) + (y - cy) * (y - cy)) AS cell FROM rp, c GROUP BY 1"),
