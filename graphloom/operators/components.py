@@ -1,52 +1,70 @@
-"""Connected components by alternating large-star and small-star rounds."""
+"""Connected components by alternating large-star and small-star rounds over contracted edges."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.scratch import cut
 
 
+def spanning_stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges -> (smallest node reached, node) for every other node: the same components with fewer edges."""
+    nodes, places = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = places[: len(a)], places[len(a) :]
+    low = np.arange(len(nodes))
+    while True:
+        best = np.minimum(low[a], low[b])
+        fresh = low.copy()
+        for end in (low[a], low[b]):
+            np.minimum.at(fresh, end, best)
+        fresh = fresh[fresh]
+        if (fresh == low).all():
+            break
+        low = fresh
+    moved = np.flatnonzero(low != np.arange(len(nodes)))
+    return nodes[low[moved]], nodes[moved]
+
+
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The edges of one partition (two longs each) as stars."""
+    parts = [(x.column(0).to_numpy(), x.column(1).to_numpy()) for x in batches if x.num_rows]
+    if parts:
+        lo, hi = spanning_stars(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
+        yield pa.RecordBatch.from_arrays([pa.array(lo), pa.array(hi)], names=["lo", "hi"])
+
+
 def components(edges: DataFrame, src: str, dst: str, max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node that has an edge to another node; the component is the
-    smallest node of the connected component.
+    smallest node of the connected component. Nodes are long.
 
-    Each round is two aggregations and two joins on the edges, never a collection of a neighbourhood:
-    a node with very many neighbours only appears as the key of a partial minimum and of a join that
-    adaptive execution can split. Edges with a null end and loops are ignored. Stops when the edge
-    set no longer changes, which takes a number of rounds logarithmic in the path length.
+    Every partition first contracts its own edges to stars, which changes no component and leaves one
+    edge a node at most; where all edges fit one partition, that settles it. Else a round is two
+    aggregations and two joins on the edges, never a collection of a neighbourhood, and a contraction;
+    rounds end when the edges form disjoint stars. Edges with a null end and loops are ignored.
     """
-    a, b = F.col(src), F.col(dst)
-    edge = cut(
-        edges.where(a.isNotNull() & b.isNotNull() & (a != b))
-        .select(F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi"))
-        .distinct(),
-        "edges",
+    a, b = F.col(src).cast("long"), F.col(dst).cast("long")
+    contracted = lambda df: cut(df.distinct().mapInArrow(_contract, "lo long, hi long"), "edges")
+    edge = contracted(
+        edges.where(a.isNotNull() & b.isNotNull() & (a != b)).select(F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi"))
     )
-    seen = None
     for _ in range(max_rounds):
-        ends = edge.select(F.col("lo").alias("u"), F.col("hi").alias("v")).unionAll(edge.select("hi", "lo"))
-        nearest = ends.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = (
-            edge.join(nearest, F.col("lo") == F.col("u"))
-            .select(F.col("m").alias("lo"), "hi")
-            .distinct()
-        )
+        # Disjoint stars: every outer node has one edge and is no centre.
+        ends = edge.select(F.col("hi").alias("u"), F.lit(1).alias("outer"), F.lit(0).alias("centre")).unionAll(edge.select("lo", F.lit(0), F.lit(1)))
+        per = ends.groupBy("u").agg(F.sum("outer").alias("outer"), F.max("centre").alias("centre"))
+        if per.where("outer > 1 OR (outer > 0 AND centre > 0)").isEmpty():
+            return edge.select(F.col("hi").alias("node"), F.col("lo").alias("component")).unionAll(edge.select("lo", "lo").distinct())
+        both = edge.select(F.col("lo").alias("u"), F.col("hi").alias("v")).unionAll(edge.select("hi", "lo"))
+        nearest = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = cut(edge.join(nearest, F.col("lo") == F.col("u")).select(F.col("m").alias("lo"), "hi").distinct(), "edges")
         lowest = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        small = (
-            large.join(lowest, "hi")
-            .where(F.col("lo") != F.col("m"))
+        edge = contracted(
+            large.join(lowest, "hi").where(F.col("lo") != F.col("m"))
             .select(F.col("m").alias("lo"), F.col("lo").alias("hi"))
             .unionAll(lowest.select(F.col("m").alias("lo"), "hi"))
-            .distinct()
         )
-        edge = cut(small, "edges")
-        mark = edge.agg(F.count(F.lit(1)), F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)"))).first()
-        if mark == seen:
-            return (
-                edge.select(F.col("hi").alias("node"), F.col("lo").alias("component"))
-                .unionAll(edge.select("lo", "lo").distinct())
-            )
-        seen = mark
     raise RuntimeError(f"components: no fixed point after {max_rounds} rounds")

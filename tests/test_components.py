@@ -27,5 +27,20 @@ def test_components_match_union_find(spark):
     assert got == brute(edges)
 
 
+def test_many_partitions_take_rounds(spark):
+    """Without coalescing, each partition sees a few edges of long paths."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    try:
+        rng = random.Random(9)
+        names = rng.sample(range(10**6), 300)
+        edges = list(zip(names, names[1:]))[:150] + list(zip(names[160:], names[161:]))
+        df = spark.createDataFrame(edges, "a long, b long")
+        assert {r.node: r.component for r in components(df, "a", "b").collect()} == brute(edges)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
 def test_components_empty(spark):
     assert components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
