@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from graphloom.operators.components import components
-from graphloom.operators.similarity import dot, doubles, squared_distance
+from graphloom.operators.similarity import BLOCK, dot, doubles, squared_distance
 
 
 def projection_weights(dims: int, axis: int) -> list[float]:
@@ -65,16 +67,66 @@ def dbscan(ids: DataFrame, pairs: DataFrame, least: int) -> DataFrame:
     return ids.join(named.unionByName(border), "id", "left").select("id", F.coalesce("cluster", F.lit(-1).cast("long")).alias("cluster"))
 
 
+def _block_pairs(points: DataFrame, *columns: str) -> DataFrame:
+    """Points (id, vec, ...) dealt so that each block of them meets each block once: as queries (is_query)
+    and as the points they are held against. The number of blocks follows from one count."""
+    n = max(1, -(-points.count() // BLOCK))
+    block = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    rows = points.select("id", doubles(F.col("vec")).alias("vec"), *columns, block.alias("block"))
+    left = rows.select("id", "vec", *columns, F.col("block").alias("q"), every.alias("p"), F.lit(True).alias("is_query"))
+    right = rows.select("id", "vec", *columns, every.alias("q"), F.col("block").alias("p"), F.lit(False).alias("is_query"))
+    return left.unionByName(right).groupBy("q", "p")
+
+
+def _distances(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row numbers of the queries and of the points of a block pair, and their Euclidean distances."""
+    vectors = np.array(table["vec"].to_pylist(), dtype=np.float64)
+    queries = table["is_query"].to_numpy(zero_copy_only=False).astype(bool)
+    left, right = np.flatnonzero(queries), np.flatnonzero(~queries)
+    if not len(left) or not len(right):
+        return left, right, np.zeros((len(left), len(right)))
+    squares = sum((vectors[left, k][:, None] - vectors[right, k][None, :]) ** 2 for k in range(vectors.shape[1]))
+    return left, right, np.sqrt(squares)
+
+
+def nearest_distances(points: DataFrame, k: int) -> DataFrame:
+    """(id, distance) to the k-th nearest other point. A block pair returns the k best of each query."""
+
+    def best(key, table):
+        left, right, d = _distances(table)
+        ids = table["id"].to_numpy()
+        d[ids[left][:, None] == ids[right][None, :]] = np.inf
+        d = np.sort(d, axis=1)[:, :k]
+        keep = np.isfinite(d)
+        return pa.table({"id": np.repeat(ids[left], keep.sum(axis=1)), "distance": d[keep]})
+
+    near = _block_pairs(points).applyInArrow(best, "id long, distance double")
+    rank = F.row_number().over(Window.partitionBy("id").orderBy("distance"))
+    return near.withColumn("_k", rank).where(F.col("_k") == k).select("id", "distance")
+
+
 def silhouette(points: DataFrame) -> DataFrame:
     """The mean silhouette (Euclidean) of points (id, cluster, vec), noise (-1) left out; null with fewer
-    than two clusters. Each point against all, aggregated by cluster inside the join's tasks."""
-    kept = points.where("cluster <> -1")
-    other = kept.select(F.col("id").alias("o"), F.col("cluster").alias("oc"), F.col("vec").alias("ov"))
-    d = F.sqrt(squared_distance(F.col("vec"), F.col("ov")))
-    sums = kept.join(other, F.col("id") != F.col("o")).groupBy("id", "cluster", "oc").agg(F.avg(d).alias("mean"))
-    per = sums.groupBy("id").agg(F.min(F.when(F.col("cluster") == F.col("oc"), F.col("mean"))).alias("a"), F.min(F.when(F.col("cluster") != F.col("oc"), F.col("mean"))).alias("b"))
+    than two clusters. A block pair returns sums of distances by query and cluster, never pairs."""
+
+    def sums(key, table):
+        left, right, d = _distances(table)
+        ids, clusters = table["id"].to_numpy(), table["cluster"].to_numpy()
+        other = ids[left][:, None] != ids[right][None, :]
+        names, places = np.unique(clusters[right], return_inverse=True)
+        member = (places[:, None] == np.arange(len(names))[None, :]).astype(np.float64)
+        total, count = (d * other) @ member, other.astype(np.float64) @ member
+        return pa.table({
+            "id": np.repeat(ids[left], len(names)), "cluster": np.repeat(clusters[left], len(names)),
+            "oc": np.tile(names, len(left)), "total": total.ravel(), "n": count.ravel(),
+        })
+
+    parts = _block_pairs(points.where("cluster <> -1"), "cluster").applyInArrow(sums, "id long, cluster long, oc long, total double, n double")
+    means = parts.groupBy("id", "cluster", "oc").agg((F.sum("total") / F.nullif(F.sum("n"), F.lit(0.0))).alias("mean"))
+    per = means.groupBy("id").agg(F.min(F.when(F.col("cluster") == F.col("oc"), F.col("mean"))).alias("a"), F.min(F.when(F.col("cluster") != F.col("oc"), F.col("mean"))).alias("b"))
     score = F.when(F.col("a").isNull(), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
-    return per.agg(F.avg(score).alias("silhouette"))
+    return per.agg(F.avg(F.when(F.col("b").isNotNull(), score)).alias("silhouette"))
 
 
 def spread(points: DataFrame, by: str = "cluster") -> DataFrame:

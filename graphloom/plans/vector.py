@@ -160,12 +160,8 @@ def dbscan(spark, d):
 
 def knn_eps(spark, d):
     """The median distance to the fifth neighbour (the point itself not counted): eps by default."""
-    flat = random_projection_2d(spark, d).select("id", "x", "y")
-    other = flat.select(F.col("id").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"))
-    dist = F.sqrt((F.col("x") - F.col("bx")) ** 2 + (F.col("y") - F.col("by")) ** 2)
-    ranked = flat.join(F.broadcast(other.where("b % 5 = 0")), F.col("id") != F.col("b")).withColumn("dist", dist)
-    fifth = ranked.withColumn("k", F.row_number().over(Window.partitionBy("id").orderBy("dist", "b"))).where("k = 5")
-    return fifth.agg(F.round(F.median("dist"), 6).alias("eps"))
+    flat = random_projection_2d(spark, d).select("id", F.array("x", "y").alias("vec"))
+    return cl.nearest_distances(flat, 5).agg(F.round(F.median("distance"), 6).alias("eps"))
 
 
 def silhouette(spark, d):
@@ -259,7 +255,7 @@ SELECT x.id AS a, y.id AS b, hamming(x.code, y.code) AS distance FROM g x JOIN g
 l AS (SELECT a, b FROM e WHERE a IN (SELECT id FROM core) AND b IN (SELECT id FROM core)), r AS (SELECT id AS a, id AS c FROM core UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.a),
 n AS (SELECT a AS id, min(c) AS cluster FROM r GROUP BY 1), bd AS (SELECT a AS id, min(b) AS core FROM e WHERE b IN (SELECT id FROM core) AND a NOT IN (SELECT id FROM core) GROUP BY 1)
 SELECT rp.id, coalesce(n.cluster, m.cluster, -1) AS cluster FROM rp LEFT JOIN n ON n.id = rp.id LEFT JOIN bd ON bd.id = rp.id LEFT JOIN n m ON m.id = bd.core"""),
-    "knn_eps": (knn_eps, f"WITH {_RP}, d AS (SELECT a.id, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d, b.id AS b FROM rp a JOIN rp b ON a.id <> b.id AND b.id % 5 = 0), k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, b) AS k FROM d) SELECT round(median(d), 6) AS eps FROM k WHERE k = 5"),
+    "knn_eps": (knn_eps, f"WITH {_RP}, d AS (SELECT a.id, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d, b.id AS b FROM rp a JOIN rp b ON a.id <> b.id), k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, b) AS k FROM d) SELECT round(median(d), 6) AS eps FROM k WHERE k = 5"),
     "silhouette": (silhouette, f"WITH {_RP}, s AS (SELECT a.id, a.label AS c, b.label AS o, avg(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))) AS m FROM rp a JOIN rp b ON a.id <> b.id GROUP BY 1, 2, 3), p AS (SELECT id, min(CASE WHEN c = o THEN m END) AS a, min(CASE WHEN c <> o THEN m END) AS b FROM s GROUP BY 1) SELECT round(avg(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette FROM p"),
     "cluster_centroids": (cluster_centroids, "WITH x AS (SELECT label, unnest(CAST(embedding AS DOUBLE[])) AS x, generate_subscripts(embedding, 1) - 1 AS dim FROM embeddings) SELECT label, CAST(dim AS BIGINT) AS dim, round(avg(x), 6) AS x FROM x GROUP BY 1, 2"),
     "cluster_spread": (cluster_spread, f"WITH {_SPREAD} SELECT cluster, size, round(cx, 6) AS cx, round(cy, 6) AS cy, round(spread, 6) AS spread FROM sp"),

@@ -128,3 +128,24 @@ def test_commit_log_files(spark, tmp_path):
     (tmp_path / "log.txt").write_text("abcdef1\tAnn\ta@x\t2024-01-01T00:00:00\tmsg\nA\tf.py\nnoise\nR90\tf.py\tg.py\n")
     rows = files.read_commit_log(spark, str(tmp_path / "log.txt")).collect()
     assert sorted((r.change_type, r.path, r.old_path) for r in rows) == [("A", "f.py", None), ("R", "g.py", "f.py")]
+
+
+def test_read_only_queries(spark):
+    from graphloom.plans import ad_hoc
+
+    ad_hoc.register_views(spark, "/root/testdata/sf0.001")
+    assert ad_hoc.read_only(spark, "SELECT count(*) AS n FROM touches; -- all").first().n > 0
+    assert ad_hoc.read_only(spark, "WITH c AS (SELECT * FROM commits) SELECT hash FROM c", 5).count() == 5
+    for text in ("DROP TABLE x", "CREATE TABLE y AS SELECT 1", "SELECT 1; DROP TABLE x", "WITH a AS (SELECT 1) INSERT INTO t SELECT * FROM a"):
+        with pytest.raises(ValueError):
+            ad_hoc.read_only(spark, text)
+
+
+def test_blocks_of_distances(spark, monkeypatch):
+    rng = random.Random(7)
+    rows = [(i, i % 3 - (i == 0) * 3 + (i == 0) * 2, [rng.random(), rng.random()]) for i in range(50)]
+    df = spark.createDataFrame(rows, "id long, cluster long, vec array<double>")
+    want = clustering.silhouette(df).first().silhouette, sorted(tuple(r) for r in clustering.nearest_distances(df, 5).collect())
+    monkeypatch.setattr(clustering, "BLOCK", 9)
+    got = clustering.silhouette(df).first().silhouette, sorted(tuple(r) for r in clustering.nearest_distances(df, 5).collect())
+    assert abs(want[0] - got[0]) < 1e-12 and want[1] == got[1] and len(got[1]) == 50
