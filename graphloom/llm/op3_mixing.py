@@ -118,7 +118,7 @@ def mix(docs: DataFrame, seed: int = 7) -> DataFrame:
     sized = cut(docs.select(F.col("doc_id"), F.col("source"), words.alias("size")), "sized")
     lengths = cut(sized.groupBy("source", "size").agg(F.count(F.lit(1)).alias("docs")), "lengths")
     aimed = targets(lengths.groupBy("source").agg(F.sum(F.col("size") * F.col("docs")).alias("source_size")))
-    plan = lengths.join(F.broadcast(aimed.withColumnRenamed("source", "of")), F.col("source").eqNullSafe(F.col("of"))).drop("of")
+    plan = lengths.join(aimed.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of")
     plan = cut(
         plan.groupBy("source").applyInPandas(
             _plan, "source string, size long, docs long, source_size long, target double, base int, extra long"
