@@ -59,7 +59,8 @@ def components(edges: DataFrame, src: str, dst: str, max_rounds: int = 60) -> Da
         if per.where("outer > 1 OR (outer > 0 AND centre > 0)").isEmpty():
             return edge.select(F.col("hi").alias("node"), F.col("lo").alias("component")).unionAll(edge.select("lo", "lo").distinct())
         both = edge.select(F.col("lo").alias("u"), F.col("hi").alias("v")).unionAll(edge.select("hi", "lo"))
-        nearest = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # Read back as a table, so that both sides of the join are exchanged and a hub's edges can be split.
+        nearest = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "nearest")
         large = cut(edge.join(nearest, F.col("lo") == F.col("u")).select(F.col("m").alias("lo"), "hi").distinct(), "edges")
         lowest = large.groupBy("hi").agg(F.min("lo").alias("m"))
         edge = contracted(
