@@ -20,9 +20,11 @@ from graphloom.functions.scratch import cut
 from graphloom.llm.vectors import finite
 
 CANDIDATES = 8192
-QUERIES = 1024
+QUERIES = 8192
 SLICE = 16
 HEAD = 256
+#: Queries of a block that are worked on at once.
+AT_ONCE = 256
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -44,25 +46,27 @@ def search_block(queries: np.ndarray, query_ids: np.ndarray, block: np.ndarray,
     cuts = list(range(0, dim, SLICE)) + [dim]
     mass = lambda m, axis: np.sqrt((m.astype(np.float64) ** 2).sum(axis=axis)) * (1 + 1e-9)
     rest_c = [mass(columns[at:], 0) for at in cuts]
-    rest_q = [mass(queries[:, at:], 1) for at in cuts]
-    head = _products(queries, columns[:, :HEAD])
-    first = _products(queries[:, : cuts[1]], columns[: cuts[1], HEAD:])
     out = []
-    for q in range(len(queries)):
-        own = ids[:HEAD] != query_ids[q]
-        known_ids, known = ids[:HEAD][own], head[q][own]
-        bar = np.partition(known, len(known) - k)[len(known) - k] if len(known) >= k else None
-        alive, partial = np.arange(HEAD, len(ids)), first[q]
-        for step in range(1, len(cuts)):
-            if step > 1 and len(alive):
-                partial = partial + _products(queries[q : q + 1, cuts[step - 1] : cuts[step]], columns[cuts[step - 1] : cuts[step], alive])[0]
-            if bar is not None:
-                stay = partial + np.floor(rest_q[step][q] * rest_c[step][alive] + 1e-6) >= bar
-                alive, partial = alive[stay], partial[stay]
-        other = ids[alive] != query_ids[q]
-        all_ids, scores = np.append(known_ids, ids[alive][other]), np.append(known, partial[other])
-        best = np.lexsort((all_ids, -scores))[:k]
-        out.append((np.full(len(best), q), all_ids[best], scores[best]))
+    for start in range(0, len(queries), AT_ONCE):
+        part = queries[start : start + AT_ONCE]
+        rest_q = [mass(part[:, at:], 1) for at in cuts]
+        head = _products(part, columns[:, :HEAD])
+        first = _products(part[:, : cuts[1]], columns[: cuts[1], HEAD:])
+        for q in range(len(part)):
+            own = ids[:HEAD] != query_ids[start + q]
+            known_ids, known = ids[:HEAD][own], head[q][own]
+            bar = np.partition(known, len(known) - k)[len(known) - k] if len(known) >= k else None
+            alive, partial = np.arange(HEAD, len(ids)), first[q]
+            for step in range(1, len(cuts)):
+                if step > 1 and len(alive):
+                    partial = partial + _products(part[q : q + 1, cuts[step - 1] : cuts[step]], columns[cuts[step - 1] : cuts[step], alive])[0]
+                if bar is not None:
+                    stay = partial + np.floor(rest_q[step][q] * rest_c[step][alive] + 1e-6) >= bar
+                    alive, partial = alive[stay], partial[stay]
+            other = ids[alive] != query_ids[start + q]
+            all_ids, scores = np.append(known_ids, ids[alive][other]), np.append(known, partial[other])
+            best = np.lexsort((all_ids, -scores))[:k]
+            out.append((np.full(len(best), start + q), all_ids[best], scores[best]))
     return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.empty(0, int),) * 3
 
 
