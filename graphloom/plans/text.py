@@ -133,6 +133,47 @@ def page_titles(spark, d):
     return table(spark, d, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.regexp_extract("url", "^https?://([^/]+)", 1).alias("host"))
 
 
+STATUS = "# Sprints\n\n## Sprint 1: Start\n\nDates: 2024-01-01 to 2024-01-14\n- Goal: ship it\n* other\n## Sprint 2: Next one\nDates: 2024-01-15 to 2024-01-28\n  - second goal\n"
+
+
+def parse_sprints(spark, d):
+    return _frame(spark, [(STATUS,)], "t string").select(F.explode(src.sprint_status(F.col("t"))).alias("s")).select("s.*")
+
+
+def parse_bullets(spark, d):
+    return _frame(spark, [(STATUS,)], "t string").select(F.explode(src.bullets(F.col("t"))).alias("bullet"))
+
+
+EXIF = [(1, {"FNumber": "2.8", "FocalLength": "50.0", "Orientation": "6", "Keywords": "a , b", "Other": "x"}), (2, {"Make": " Canon ", "Model": None}), (3, None)]
+
+
+def image_metadata(spark, d):
+    rows = _frame(spark, EXIF, "id int, raw map<string,string>")
+    return rows.select("id", F.explode(src.image_metadata(F.col("raw"))).alias("key", "value"))
+
+
+IMPORTS = [("app/main.py", "app.core.util"), ("app/main.py", "app.core.util.run"), ("app/main.py", "os"), ("app/core/util.py", "app.core"), ("app/core/util.py", "app.core.util")]
+MODULES = ["app/main.py", "app/core/__init__.py", "app/core/util.py"]
+
+
+def import_graph(spark, d):
+    files = _frame(spark, [(m,) for m in MODULES], "path string")
+    return src.import_edges(_frame(spark, IMPORTS, "path string, module string"), files)
+
+
+def get_by_id(spark, d):
+    return table(spark, d, "documents").where(F.col("doc_id").isin(3, 17, 10**12)).select("doc_id", "lang", "source", F.md5("text").alias("digest"))
+
+
+def curation_status(spark, d):
+    """Each document's status: archived if it is an exact copy of an earlier one, rejected by label, else kept."""
+    docs = table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("sha"))
+    first = docs.groupBy("sha").agg(F.min("doc_id").alias("keep"))
+    labels = table(spark, d, "labels").select("doc_id", "quality")
+    status = F.when(F.col("doc_id") != F.col("keep"), "archived").when(F.col("quality") == 0, "rejected").otherwise("kept")
+    return docs.join(first, "sha").join(labels, "doc_id", "left").select("doc_id", status.alias("status"))
+
+
 def decode_files(spark, d):
     rows = _frame(spark, [(1, b"\xef\xbb\xbfabc"), (2, "grün".encode()), (3, "grün".encode("latin-1")), (4, b"")], "id int, content binary")
     return rows.select("id", tx.decode_bytes(F.col("content")).alias("t")).select("id", "t.text", "t.encoding", F.col("t.replaced").alias("replaced"))
@@ -165,5 +206,11 @@ QUERIES = {
     "top_keywords": (top_keywords, "WITH w AS (SELECT source, unnest(string_split_regex(lower(text), '[^\\p{L}]+')) AS w FROM documents), c AS (SELECT source, w, count(*) AS n FROM w WHERE length(w) >= 4 GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, w) AS k FROM c) SELECT source, w, n FROM r WHERE k <= 5"),
     "fulltext_search": (fulltext_search, "WITH w AS (SELECT doc_id, unnest(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+')) AS t FROM documents) SELECT doc_id, count(DISTINCT t) AS matched, count(*) AS score FROM w WHERE t IN ('the', 'thes', 'inea', 'anha') GROUP BY 1 ORDER BY matched DESC, score DESC, doc_id LIMIT 20"),
     "page_titles": (page_titles, "SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_extract(url, '^https?://([^/]+)', 1) AS host FROM pages"),
+    "parse_sprints": (parse_sprints, "SELECT * FROM (VALUES ('1', 'Start', '2024-01-01', '2024-01-14'), ('2', 'Next one', '2024-01-15', '2024-01-28')) v(number, name, start, \"end\")"),
+    "parse_bullets": (parse_bullets, "SELECT * FROM (VALUES ('Goal: ship it'), ('second goal')) v(bullet)"),
+    "image_metadata": (image_metadata, "SELECT * FROM (VALUES (1, 'aperture', 'f/2.8'), (1, 'focal_length', '50mm'), (1, 'orientation', 'rotated 90 cw'), (1, 'keywords', 'a; b'), (2, 'camera_make', 'Canon')) v(id, key, value)"),
+    "import_graph": (import_graph, "SELECT * FROM (VALUES ('app/main.py', 'app/core/util.py', 2), ('app/core/util.py', 'app/core/__init__.py', 2)) v(src, dst, weight)"),
+    "get_by_id": (get_by_id, "SELECT doc_id, lang, source, md5(text) AS digest FROM documents WHERE doc_id IN (3, 17, 1000000000000)"),
+    "curation_status": (curation_status, "SELECT d.doc_id, CASE WHEN d.doc_id <> min(d.doc_id) OVER (PARTITION BY sha256(text)) THEN 'archived' WHEN quality = 0 THEN 'rejected' ELSE 'kept' END AS status FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id"),
     "decode_files": (decode_files, f"SELECT * FROM {_values([(1, 'abc', 'utf-8-sig', 0), (2, 'grün', 'utf-8', 0), (3, 'grün', 'latin-1', 0), (4, '', 'utf-8', 0)])} v(id, text, encoding, replaced)"),
 }

@@ -81,3 +81,54 @@ def title(text: Column, stem: Column) -> Column:
     """The first level-one heading, else the first level-two heading, else the file's stem in title case."""
     found = lambda p: F.nullif(F.regexp_extract(text, p, 1), F.lit(""))
     return F.coalesce(found(r"(?m)^# (.+)$"), found(r"(?m)^## (.+)$"), F.initcap(F.regexp_replace(stem, "[-_]+", " ")))
+
+
+def sprint_status(text: Column) -> Column:
+    """Structs of number, name, start and end from sections `## Sprint N: name` with a line
+    `Dates: start to end`."""
+    rule = r"(?m)^## Sprint (\d+): ([^\n]+)\n+Dates: (\d{4}-\d{2}-\d{2}) to (\d{4}-\d{2}-\d{2})"
+    return F.arrays_zip(*[F.regexp_extract_all(text, F.lit(rule), k).alias(n) for k, n in enumerate(("number", "name", "start", "end"), 1)])
+
+
+def bullets(text: Column, word: str = "goal") -> Column:
+    """The bullet lines of a text that mention a word, without their marks."""
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"^\s*[-*] ") & F.lower(x).contains(word))
+    return F.transform(lines, lambda x: F.trim(F.regexp_replace(x, r"^\s*[-*] ", "")))
+
+
+# Image metadata keys by their short names, and orientation codes.
+EXIF_NAMES = {"FNumber": "aperture", "FocalLength": "focal_length", "ISOSpeedRatings": "iso", "Make": "camera_make", "Model": "camera_model", "Orientation": "orientation", "Keywords": "keywords"}
+ORIENTATIONS = {"1": "normal", "3": "rotated 180", "6": "rotated 90 cw", "8": "rotated 90 ccw"}
+
+
+def image_metadata(raw: Column) -> Column:
+    """Raw metadata (map of strings) renamed and formatted: `f/2.8`, `50mm`, orientation labels, lists joined
+    by `; `. Unknown keys are left out."""
+    names = F.create_map(*[F.lit(x) for pair in EXIF_NAMES.items() for x in pair])
+    labels = F.create_map(*[F.lit(x) for pair in ORIENTATIONS.items() for x in pair])
+
+    def shown(k: Column, v: Column) -> Column:
+        return (
+            F.when(k == "FNumber", F.concat(F.lit("f/"), F.format_string("%.1f", v.cast("double"))))
+            .when(k == "FocalLength", F.concat(v.cast("double").cast("int").cast("string"), F.lit("mm")))
+            .when(k == "Orientation", F.coalesce(F.try_element_at(labels, v), v))
+            .when(k == "Keywords", F.array_join(F.split(v, r"\s*,\s*"), "; "))
+            .otherwise(F.trim(v))
+        )
+
+    kept = F.map_filter(raw, lambda k, v: F.map_contains_key(names, k) & v.isNotNull())
+    return F.transform_keys(F.transform_values(kept, shown), lambda k, v: F.element_at(names, k))
+
+
+def import_edges(modules: DataFrame, files: DataFrame) -> DataFrame:
+    """File-to-file imports: (path, module) against the module names of files (path): a package's file or
+    its __init__; the module itself first, else its parent (an imported name). One equi-join on a module
+    index, ranked by how much of the name matched."""
+    stem = F.regexp_replace(F.regexp_replace("path", r"\.py$", ""), r"/__init__$", "")
+    index = files.select(F.col("path").alias("dst"), F.replace(stem, F.lit("/"), F.lit(".")).alias("name"))
+    parts = F.split("module", r"\.")
+    asked = modules.select("path", "module", F.explode(F.array(F.lit(0), F.lit(1))).alias("up")).where((F.col("up") == 0) | (F.size(parts) > 1))
+    asked = asked.withColumn("name", F.array_join(F.slice(parts, F.lit(1), F.size(parts) - F.col("up")), "."))
+    hits = asked.join(index, "name").where(F.col("dst") != F.col("path"))
+    best = hits.groupBy("path", "module").agg(F.min(F.struct("up", "dst"))["dst"].alias("dst"))
+    return best.groupBy(F.col("path").alias("src"), "dst").agg(F.count(F.lit(1)).alias("weight"))
