@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from graphloom.functions.scratch import cut, join_checked
 from graphloom.llm.blocks import local_roots
@@ -49,7 +50,7 @@ def _codes(batches: Iterator[pa.RecordBatch], bits: int, tables: int) -> Iterato
     planes: dict[int, np.ndarray] = {}
     weight = np.uint64(1) << np.arange(bits, dtype=np.uint64)
     for batch in batches:
-        vectors = batch.column(1)
+        vectors = batch.column(batch.schema.get_field_index("embedding"))
         sizes = np.diff(vectors.offsets.to_numpy())
         codes = np.zeros((batch.num_rows, tables), np.uint32)
         for dim in np.unique(sizes):
@@ -60,7 +61,7 @@ def _codes(batches: Iterator[pa.RecordBatch], bits: int, tables: int) -> Iterato
             codes[at] = (signs * weight).sum(axis=2).astype(np.uint32)
         rows = [c.tobytes() for c in codes]
         buckets = pa.ListArray.from_arrays(np.arange(0, codes.size + 1, tables, dtype=np.int32), pa.array(codes.astype(np.int64).ravel()))
-        yield pa.RecordBatch.from_arrays([batch.column(0), buckets, pa.array(rows, pa.binary())], names=["class", "buckets", "codes"])
+        yield pa.RecordBatch.from_arrays([*batch.columns, buckets, pa.array(rows, pa.binary())], names=[*batch.schema.names, "buckets", "codes"])
 
 
 def _compare(key, group: pa.Table, threshold: float, tables: int) -> pa.Table:
@@ -103,7 +104,8 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
     (smallest vec_id reachable), kept (vec_id = component_id). Vectors of different length never
     link. Rows whose label or vector is null, or whose vector is empty, all zero or not finite, link
     with nothing. Rows with a null vec_id take no part: 0 links, null component, kept. Rows that
-    repeat a vec_id count one by one as links and share its component. Other columns are ignored.
+    repeat a vec_id count one by one as links and share its component; if their vectors differ, they
+    share the sum of their links too. Other columns are ignored.
     """
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", "label")
     usable = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & finite(F.col("embedding")) & nonzero(F.col("embedding"))
@@ -115,10 +117,8 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
     )
     largest = classes.groupBy("label", "dim").count().agg(F.max("count")).first()[0] or 0
     bits, tables = plan_tables(largest, threshold)
-    coded = classes.select("class", "embedding").mapInArrow(
-        partial(_codes, bits=bits, tables=tables), "class long, buckets array<long>, codes binary"
-    )
-    hashed = cut(classes.join(coded, "class"), "hashed")
+    schema = StructType([*classes.schema.fields, *StructType.fromDDL("buckets array<long>, codes binary").fields])
+    hashed = cut(classes.mapInArrow(partial(_codes, bits=bits, tables=tables), schema), "hashed")
     entries = hashed.select("label", "dim", F.posexplode("buckets").alias("tab", "bucket"), "class", "copies", "embedding", "codes")
     spot = ["label", "dim", "tab", "bucket"]
     hot = cut(

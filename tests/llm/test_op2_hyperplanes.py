@@ -60,6 +60,12 @@ def test_edges(spark):
     assert op.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
+def test_an_id_with_two_vectors(spark):
+    rows = [(1, [1.0, 0.0], 1), (1, [0.0, 1.0], 1), (2, [1.0, 0.1], 1), (3, [0.1, 1.0], 1), (4, [-1.0, 0.0], 1)]
+    got = op.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [(1, 2, 1), (1, 2, 1), (2, 1, 1), (3, 1, 1), (4, 0, 4)]
+
+
 def test_tables_follow_size():
     assert op.plan_tables(100, 0.93)[0] == 1
     bits, tables = op.plan_tables(10**7, 0.93)
