@@ -200,11 +200,11 @@ def pseudonymise(docs: DataFrame, key: str = "graphloom", count: str | None = "n
     )
     known = surrogates(parts, key)
     shown = parts.join(known, ["kind", "normal"]).withColumn("shown", F.expr(_RENDER))
-    replaced = shown.groupBy("sha").agg(
+    replaced = cut(shown.groupBy("sha").agg(
         F.sort_array(F.collect_list(F.struct("mi", "pi", F.concat("before", "shown").alias("out")))).alias("outs"),
         F.collect_set(F.when(F.col("kind").startswith("surname"), F.struct("value", "shown"))).alias("surnames"),
         F.countDistinct("mi").alias("n"),
-    )
+    ), "replaced")
     alone = r"(?<![\\p{L}\\p{N}_])"
     # Between mentions, surnames of the document that stand alone follow their surrogate.
     rebuilt = F.expr(f"""array_join(transform(split(body, {_sql(ANY)}, -1), (gap, i) -> concat(
