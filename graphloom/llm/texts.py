@@ -9,7 +9,7 @@ import pyarrow as pa
 import xxhash
 
 #: Distinct words whose hashes one Python worker remembers at once; the memory is emptied when full.
-WORD_MEMORY = 1_000_000
+WORD_MEMORY = 400_000
 
 
 class WordHashes(dict):
