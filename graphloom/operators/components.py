@@ -38,34 +38,43 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(lo), pa.array(hi)], names=["lo", "hi"])
 
 
+#: Edges that one task contracts (16 bytes each).
+TASK_EDGES = 500_000
+
+
 def components(edges: DataFrame, src: str, dst: str, max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node that has an edge to another node; the component is the
     smallest node of the connected component. Nodes are long.
 
-    Every partition first contracts its own edges to stars, which changes no component and leaves one
-    edge a node at most; where all edges fit one partition, that settles it. Else a round is two
-    aggregations and two joins on the edges, never a collection of a neighbourhood, and a contraction;
-    rounds end when the edges form disjoint stars. Edges with a null end and loops are ignored.
+    Tasks of at most TASK_EDGES edges first contract their edges to stars, which changes no component
+    and leaves one edge a node at most; where all edges fit one task, that settles it. Else a round is
+    two aggregations and two joins on the edges, never a collection of a neighbourhood, and a
+    contraction; rounds end when the edges form disjoint stars. Edges with a null end and loops are
+    ignored.
     """
     a, b = F.col(src).cast("long"), F.col(dst).cast("long")
-    contracted = lambda df: cut(df.distinct().mapInArrow(_contract, "lo long, hi long"), "edges")
-    edge = contracted(
-        edges.where(a.isNotNull() & b.isNotNull() & (a != b)).select(F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi"))
-    )
+    edge = edges.where(a.isNotNull() & b.isNotNull() & (a != b)).select(F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi"))
     for _ in range(max_rounds):
-        # Disjoint stars: every outer node has one edge and is no centre.
-        ends = edge.select(F.col("hi").alias("u"), F.lit(1).alias("outer"), F.lit(0).alias("centre")).unionAll(edge.select("lo", F.lit(0), F.lit(1)))
-        per = ends.groupBy("u").agg(F.sum("outer").alias("outer"), F.max("centre").alias("centre"))
-        if per.where("outer > 1 OR (outer > 0 AND centre > 0)").isEmpty():
+        edge = cut(edge.distinct(), "edges")
+        tasks = max(1, -(-edge.count() // TASK_EDGES))
+        edge = cut(edge.coalesce(tasks).mapInArrow(_contract, "lo long, hi long"), "stars")
+        if tasks == 1 or _disjoint_stars(edge):
             return edge.select(F.col("hi").alias("node"), F.col("lo").alias("component")).unionAll(edge.select("lo", "lo").distinct())
         both = edge.select(F.col("lo").alias("u"), F.col("hi").alias("v")).unionAll(edge.select("hi", "lo"))
         # Read back as a table, so that both sides of the join are exchanged and a hub's edges can be split.
         nearest = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "nearest")
         large = cut(edge.join(nearest, F.col("lo") == F.col("u")).select(F.col("m").alias("lo"), "hi").distinct(), "edges")
         lowest = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        edge = contracted(
+        edge = (
             large.join(lowest, "hi").where(F.col("lo") != F.col("m"))
             .select(F.col("m").alias("lo"), F.col("lo").alias("hi"))
             .unionAll(lowest.select(F.col("m").alias("lo"), "hi"))
         )
     raise RuntimeError(f"components: no fixed point after {max_rounds} rounds")
+
+
+def _disjoint_stars(edge: DataFrame) -> bool:
+    """Whether every outer node has one edge and is no centre."""
+    ends = edge.select(F.col("hi").alias("u"), F.lit(1).alias("outer"), F.lit(0).alias("centre")).unionAll(edge.select("lo", F.lit(0), F.lit(1)))
+    per = ends.groupBy("u").agg(F.sum("outer").alias("outer"), F.max("centre").alias("centre"))
+    return per.where("outer > 1 OR (outer > 0 AND centre > 0)").isEmpty()

@@ -1,5 +1,6 @@
 import random
 
+from graphloom.operators import components as operator
 from graphloom.operators.components import components
 
 
@@ -27,10 +28,11 @@ def test_components_match_union_find(spark):
     assert got == brute(edges)
 
 
-def test_many_partitions_take_rounds(spark):
-    """Without coalescing, each partition sees a few edges of long paths."""
+def test_many_tasks_take_rounds(spark, monkeypatch):
+    """Each task sees a few edges of long paths."""
+    monkeypatch.setattr(operator, "TASK_EDGES", 12)
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
     try:
         rng = random.Random(9)
         names = rng.sample(range(10**6), 300)
