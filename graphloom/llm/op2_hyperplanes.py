@@ -135,7 +135,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
         F.greatest("block", "mate").alias("hi"),
         F.when(F.col("block") <= F.col("mate"), 0).otherwise(1).alias("side"),
         "class", "copies", "embedding", "codes",
-    )
+    ).repartition(*spot, "lo", "hi")  # a shuffled join above would else keep a bucket's blocks together
     partial_links = cut(
         dealt.groupBy(*spot, "lo", "hi").applyInArrow(
             lambda key, t: _compare(key, t, threshold, tables), "class long, links long, mate long"

@@ -260,7 +260,7 @@ def _block_pairs(members: DataFrame, *carried: str) -> DataFrame:
         F.greatest("block", "mate").alias("hi"),
         F.when(F.col("block") <= F.col("mate"), 0).otherwise(1).alias("side"),
         "rep", "n", "signed", "comp", *carried,
-    )
+    ).repartition("region", "lo", "hi")  # else the join's dealing by region would keep its blocks together
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
