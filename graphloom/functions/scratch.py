@@ -19,15 +19,27 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    """This application's own folder in the shared one."""
+    return f"{shared_dir(spark)}/graphloom/{spark.sparkContext.applicationId}"
+
+
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back: the plan starts anew from files
-    that survive the loss of any executor."""
+    that survive the loss of any executor. Results may read these files until sweep()."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/graphloom/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sweep(spark: SparkSession) -> bool:
+    """Deletes this application's intermediate tables, through Spark's own file system. Call it when
+    results are written; DataFrames that still read the tables fail afterwards."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def join_checked(big: DataFrame, small: DataFrame, on, how: str = "inner", max_rows: int = 1_000_000) -> DataFrame:
     """Joins a wide table to a narrow, already materialised one. Counts the narrow side first and
     broadcasts it up to max_rows (keys of some tens of bytes); beyond that both sides are shuffled."""

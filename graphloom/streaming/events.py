@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from graphloom.functions.scratch import shared_dir
+from graphloom.functions.scratch import scratch_dir
 
 
 def stream_of(spark: SparkSession, sf_dir: str, name: str = "events", files_per_trigger: int = 100) -> DataFrame:
@@ -27,7 +27,7 @@ def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Runs a stream over all that is there now into Parquet files of the shared folder, with its own
     checkpoint, and reads them back. Exactly once through the file sink's log."""
     spark = stream.sparkSession
-    base = f"{shared_dir(spark)}/graphloom/stream-{name}-{uuid.uuid4().hex}"
+    base = f"{scratch_dir(spark)}/stream-{name}-{uuid.uuid4().hex}"
     query = (
         stream.writeStream.outputMode(mode).format("parquet").option("path", f"{base}/out")
         .option("checkpointLocation", f"{base}/log").trigger(availableNow=True).start()
