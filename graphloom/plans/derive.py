@@ -378,6 +378,7 @@ def _facts(spark, d):
 def quality_sections(spark, d):
     """Five sections of the data-quality category with their maxima (20, 25, 25, 20, 10)."""
     f, c, clamp = _facts(spark, d), F.col, scalars.clamp
+    # Points, weights and maxima of the sections.
     has = lambda name, points: F.when(c(name) > 0, float(points)).otherwise(0.0)
     bonus = F.when((c("commits") >= 500) & (c("files") >= 1000), 2.0).otherwise(0.0) + F.when(c("docs") > 0, 1.0).otherwise(0.0)
     availability = clamp(has("commits", 5) + has("files", 4) + has("reqs", 3) + has("docs", 3) + has("vectors", 3) + has("sprints", 2) + bonus, 0, 20)
@@ -399,6 +400,7 @@ def quality_indicators(spark, d):
     """Indicators with their status by threshold."""
     f, c = _facts(spark, d), F.col
     st = scalars.threshold_status
+    # The labels, with the bounds of ok and warn.
     rows = [
         ("Git commits", c("commits").cast("double"), st(c("commits"), 500, 1)), ("Files", c("files").cast("double"), st(c("files"), 1200, 1)),
         ("Requirements", c("reqs").cast("double"), st(c("reqs"), 100, 1)), ("Sprints", c("sprints").cast("double"), st(c("sprints"), 6, 1)),
