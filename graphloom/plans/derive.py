@@ -85,8 +85,8 @@ def unsupported_edges(spark, d):
 
 def replace_mentions(spark, d):
     li = table(spark, d, "lineitem")
-    old = li.where("l_orderkey < 2000").select(F.col("l_orderkey").alias("key"), F.col("l_partkey").alias("target"))
-    new = li.where("l_orderkey BETWEEN 1000 AND 3000 AND l_linenumber < 3").select(F.col("l_orderkey").alias("key"), F.col("l_partkey").alias("target"))
+    old = li.where("l_returnflag <> 'N'").select(F.col("l_orderkey").alias("key"), F.col("l_partkey").alias("target"))
+    new = li.where("l_returnflag = 'N' AND l_linenumber < 3").select(F.col("l_orderkey").alias("key"), F.col("l_partkey").alias("target"))
     return merge.replace_for_keys(old, new, "key")
 
 
@@ -258,8 +258,8 @@ def mention_files(spark, d):
 def mention_commits(spark, d):
     """Hex runs of ten to forty characters in documents against SHA-1 hashes of commits: here each commit
     is named by a document through a prefix whose length varies."""
-    c = bind.commits(spark, d).select(F.sha1(F.col("hash").cast("string")).alias("hash"), F.col("hash").alias("n"))
-    mentions = c.where("n % 50 = 0").select(F.col("n").alias("chunk"), F.expr("substring(hash, 1, CAST(8 + n % 7 AS INT))").alias("prefix"))
+    c = bind.commits(spark, d).select(F.sha1(F.col("hash").cast("string")).alias("hash"), F.col("hash").alias("n"), "message")
+    mentions = c.where(F.col("message").startswith("1-URGENT")).select(F.col("n").alias("chunk"), F.expr("substring(hash, 1, CAST(8 + n % 7 AS INT))").alias("prefix"))
     return ev.mentioned_commits(mentions, c.select("hash"))
 
 
@@ -361,7 +361,7 @@ def _facts(spark, d):
     """The counts that the dashboard scores, in one row."""
     t = bind.touches(spark, d).withColumn("ts", F.when(F.col("path") % 50 != 3, F.col("ts")))
     one = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
-    impl = table(spark, d, "lineitem").where("l_partkey % 7 = 0").select(F.col("l_suppkey").alias("req"), F.col("l_partkey").alias("path")).distinct()
+    impl = table(spark, d, "lineitem").where("l_quantity >= 49").select(F.col("l_suppkey").alias("req"), F.col("l_partkey").alias("path")).distinct()
     docs = table(spark, d, "documents").select("doc_id")
     lab = table(spark, d, "labels").select("doc_id")
     facts = t.agg(F.count(F.lit(1)).alias("touched"), F.count_if(F.col("ts").isNull()).alias("missing"), F.countDistinct("hash").alias("commits_with_files"))
@@ -467,7 +467,7 @@ _SC = f'{S}, sc AS (SELECT number, o_orderkey AS hash FROM orders JOIN sprints O
 _DEP = f"{T}, fi AS (SELECT hash, min(path) AS src FROM touched GROUP BY 1), dep AS (SELECT src, path AS dst, count(*) AS weight FROM touched JOIN fi ON fi.hash = touched.hash WHERE path <> src GROUP BY 1, 2 HAVING count(*) > 1)"
 _ORPH = f"orph AS (SELECT (SELECT count(*) FROM part WHERE p_partkey NOT IN (SELECT path FROM touched)) + (SELECT count(*) FROM orders WHERE o_orderkey NOT IN (SELECT hash FROM touched)) AS orphans, (SELECT count(*) FROM part) + (SELECT count(*) FROM orders) AS nodes)"
 _Q = f"{T}, {_ORPH}, q AS (SELECT count(*) AS touched, count(*) FILTER (path % 50 = 3) AS missing FROM touched)"
-_FACTS = f"""{T}, {_ORPH}, {S}, impl AS (SELECT DISTINCT l_suppkey AS req, l_partkey AS path FROM lineitem WHERE l_partkey % 7 = 0),
+_FACTS = f"""{T}, {_ORPH}, {S}, impl AS (SELECT DISTINCT l_suppkey AS req, l_partkey AS path FROM lineitem WHERE l_quantity >= 49),
 f AS (SELECT (SELECT count(*) FROM touched) AS touched, (SELECT count(*) FROM touched WHERE path % 50 = 3) AS missing, (SELECT count(DISTINCT hash) FROM touched) AS commits_with_files,
  (SELECT count(*) FROM orders) AS commits, (SELECT count(*) FROM part) AS files, (SELECT count(*) FROM supplier) AS reqs, (SELECT count(*) FROM documents) AS docs,
  (SELECT count(*) FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)) AS docs_linked, (SELECT count(DISTINCT req) FROM impl) AS reqs_impl, (SELECT count(*) FROM impl) AS impl,
@@ -484,7 +484,7 @@ QUERIES = {
     "merge_confidence": (merge_confidence, f"WITH k AS (SELECT l_suppkey AS req, l_partkey % 100 AS path, l_returnflag AS f, {_C} AS c, min(l_shipdate) AS a, max(l_shipdate) AS b FROM lineitem GROUP BY 1, 2, 3, 4) SELECT req, path, round(1 - product(1 - c), 6) AS confidence, min(a) AS first_seen, max(b) AS last_seen, string_agg(f, ',' ORDER BY f) AS sources FROM k GROUP BY 1, 2"),
     "stale_edges": (stale_edges, "SELECT l_orderkey AS src, l_partkey AS dst, l_linenumber % 2 AS run_id FROM lineitem WHERE l_orderkey % 3 = 0 AND l_linenumber % 2 <> 1"),
     "unsupported_edges": (unsupported_edges, "SELECT l_suppkey AS req, l_partkey AS path FROM lineitem GROUP BY 1, 2 HAVING count(*) FILTER (l_returnflag <> 'R') = 0"),
-    "replace_mentions": (replace_mentions, "WITH n AS (SELECT l_orderkey AS key, l_partkey AS target FROM lineitem WHERE l_orderkey BETWEEN 1000 AND 3000 AND l_linenumber < 3) SELECT l_orderkey AS key, l_partkey AS target FROM lineitem WHERE l_orderkey < 2000 AND l_orderkey NOT IN (SELECT key FROM n) UNION ALL SELECT * FROM n"),
+    "replace_mentions": (replace_mentions, "WITH n AS (SELECT l_orderkey AS key, l_partkey AS target FROM lineitem WHERE l_returnflag = 'N' AND l_linenumber < 3) SELECT l_orderkey AS key, l_partkey AS target FROM lineitem WHERE l_returnflag <> 'N' AND l_orderkey NOT IN (SELECT key FROM n) UNION ALL SELECT * FROM n"),
     "cascade_delete": (cascade_delete, "SELECT 'document' AS kind, count(*) AS n FROM documents WHERE source <> 'src3' UNION ALL SELECT 'chunk', CAST(sum(len(string_split(text, chr(10)))) AS BIGINT) FROM documents WHERE source <> 'src3' UNION ALL SELECT 'file', count(*) FROM part WHERE p_partkey NOT IN (SELECT doc_id FROM documents WHERE source = 'src3')"),
     "orphan_delete": (orphan_delete, f"WITH {T}, g AS (SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT path FROM touched WHERE path % 2 = 0) ORDER BY 1 LIMIT 1000) SELECT p_partkey AS path FROM part WHERE p_partkey NOT IN (SELECT * FROM g)"),
     "dedupe_latest": (dedupe_latest, "WITH r AS (SELECT l_orderkey AS hash, l_partkey AS path, l_shipdate AS ts, l_linenumber AS line, row_number() OVER (PARTITION BY l_orderkey, l_partkey ORDER BY l_shipdate DESC, l_linenumber DESC) AS k FROM lineitem) SELECT hash, path, ts, line FROM r WHERE k = 1"),
@@ -508,7 +508,7 @@ QUERIES = {
     "mention_files": (mention_files, f"""WITH f AS (SELECT path, regexp_replace(path, '^[^/]+/', '') AS below, regexp_extract(path, '([^/]+)$', 1) AS base FROM {_values([(f,) for f in FILES])} v(path)),
 m AS (SELECT * FROM {_values(CHUNK_TERMS)} v(chunk, term)), h AS (SELECT chunk, path, 1.0 AS c FROM m JOIN f ON term = path UNION ALL SELECT chunk, path, 0.95 FROM m JOIN f ON term = below AND below <> path
 UNION ALL SELECT chunk, path, 0.7 FROM m JOIN f ON regexp_extract(term, '([^/]+)$', 1) = base AND (SELECT count(*) FROM f g WHERE g.base = f.base) = 1) SELECT chunk, path, CAST(max(c) AS DOUBLE) AS confidence FROM h GROUP BY 1, 2"""),
-    "mention_commits": (mention_commits, "WITH c AS (SELECT sha1(CAST(o_orderkey AS VARCHAR)) AS hash, o_orderkey AS n FROM orders), m AS (SELECT n AS chunk, substr(hash, 1, CAST(8 + n % 7 AS INT)) AS prefix FROM c WHERE n % 50 = 0) SELECT DISTINCT chunk, c.hash FROM m JOIN c ON starts_with(c.hash, prefix) WHERE length(prefix) >= 10"),
+    "mention_commits": (mention_commits, "WITH c AS (SELECT sha1(CAST(o_orderkey AS VARCHAR)) AS hash, o_orderkey AS n, o_orderpriority AS p FROM orders), m AS (SELECT n AS chunk, substr(hash, 1, CAST(8 + n % 7 AS INT)) AS prefix FROM c WHERE p = '1-URGENT') SELECT DISTINCT chunk, c.hash FROM m JOIN c ON starts_with(c.hash, prefix) WHERE length(prefix) >= 10"),
     "doc_file_rollup": (doc_file_rollup, f"WITH {T} SELECT hash % 500 AS doc, path, count(DISTINCT hash) AS chunk_occurrences FROM touched GROUP BY 1, 2"),
     "sprint_involves_file": (sprint_involves_file, f"WITH {T}, {_SC} SELECT number, path, count(DISTINCT sc.hash) AS commit_count FROM sc JOIN touched t ON t.hash = sc.hash GROUP BY 1, 2"),
     "mention_symbols": (mention_symbols, f"WITH b AS ({_TOK.format(id='item_id', t='benchmark')}), k AS ({_TOK.format(id='doc_id', t='documents')}), h AS (SELECT term, doc_id, count(*) AS n FROM k WHERE length(term) >= 3 GROUP BY 1, 2) SELECT term, max(n) AS score, count(*) AS docs FROM h WHERE term IN (SELECT term FROM b) GROUP BY 1"),

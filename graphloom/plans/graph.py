@@ -18,12 +18,12 @@ def _edges(spark, d):
     """An undirected graph of suppliers and parts modulo 300."""
     li = table(spark, d, "lineitem").where("l_linenumber = 1")
     return graphs.undirected(li.select((F.col("l_suppkey") % 300).alias("src"), (300 + F.col("l_partkey") % 400).alias("dst")).unionAll(
-        li.where("l_orderkey % 9 = 0").select((F.col("l_suppkey") % 300), ((F.col("l_suppkey") * 7 + F.col("l_partkey")) % 300))
+        li.where("l_tax = 0").select((F.col("l_suppkey") % 300), ((F.col("l_suppkey") * 7 + F.col("l_partkey")) % 300))
     ))
 
 
 _EDGES = """ed AS (SELECT DISTINCT least(s, t) AS lo, greatest(s, t) AS hi FROM (SELECT l_suppkey % 300 AS s, 300 + l_partkey % 400 AS t FROM lineitem WHERE l_linenumber = 1
-  UNION ALL SELECT l_suppkey % 300, (l_suppkey * 7 + l_partkey) % 300 FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 9 = 0) WHERE s <> t),
+  UNION ALL SELECT l_suppkey % 300, (l_suppkey * 7 + l_partkey) % 300 FROM lineitem WHERE l_linenumber = 1 AND l_tax = 0) WHERE s <> t),
 dg AS (SELECT id, count(*) AS degree FROM (SELECT lo AS id FROM ed UNION ALL SELECT hi FROM ed) GROUP BY 1)"""
 
 
@@ -122,7 +122,7 @@ def co_occurs_directed(spark, d):
 def heading_relates(spark, d):
     """Headings of one kind that hold a heading of the other, either way round."""
     docs = table(spark, d, "nation").select(F.regexp_replace(F.lower("n_name"), "nation_", "").alias("heading"), F.col("n_nationkey").alias("doc"))
-    code = bind.files(spark, d).where("path < 1000").select(F.concat(F.lit("n"), "path").alias("title"), F.col("path").alias("code"))
+    code = bind.files(spark, d).select(F.concat(F.lit("n"), "path").alias("title"), F.col("path").alias("code"))
     down = ev.contained(docs, "heading", code, "title").select("doc", "code")
     up = ev.contained(code, "title", docs, "heading").select("doc", "code")
     return down.unionAll(up).distinct()
@@ -139,7 +139,7 @@ def preset_recent_touches(spark, d):
 
 
 def preset_unimplemented(spark, d):
-    impl = table(spark, d, "lineitem").where("l_returnflag = 'A' AND l_partkey % 40 = 0").select(F.col("l_suppkey").alias("s_suppkey"))
+    impl = table(spark, d, "lineitem").where("l_returnflag = 'A' AND l_quantity = 50 AND l_discount = 0.1").select(F.col("l_suppkey").alias("s_suppkey"))
     return table(spark, d, "supplier").join(impl, "s_suppkey", "left_anti").select("s_suppkey", "s_name")
 
 
@@ -178,10 +178,10 @@ QUERIES = {
     "file_history": (file_history, f"WITH RECURSIVE {T}, r AS (SELECT p_partkey AS root, p_partkey AS id, 0 AS depth FROM part WHERE p_partkey IN (70, 140) UNION SELECT root, id - 7, depth + 1 FROM r WHERE depth < 4 AND id % 7 = 0 AND id > 0) SELECT root, path, CAST(depth AS BIGINT) AS depth, hash, ts, change_type FROM r JOIN touched ON path = id"),
     "co_occurs": (co_occurs, f"WITH {T} SELECT x.path AS a, y.path AS b, count(*) AS n FROM touched x JOIN touched y ON x.hash = y.hash AND x.path < y.path GROUP BY 1, 2 HAVING count(*) > 1"),
     "co_occurs_directed": (co_occurs_directed, f"WITH {T} SELECT x.path AS a, y.path AS b, count(*) AS n FROM touched x JOIN touched y ON x.hash = y.hash AND x.path <> y.path GROUP BY 1, 2 HAVING count(*) > 1"),
-    "heading_relates": (heading_relates, "WITH d AS (SELECT replace(lower(n_name), 'nation_', '') AS h, n_nationkey AS doc FROM nation), c AS (SELECT 'n' || p_partkey AS t, p_partkey AS code FROM part WHERE p_partkey < 1000) SELECT doc, code FROM d JOIN c ON contains(t, h) OR contains(h, t)"),
+    "heading_relates": (heading_relates, "WITH d AS (SELECT replace(lower(n_name), 'nation_', '') AS h, n_nationkey AS doc FROM nation), c AS (SELECT 'n' || p_partkey AS t, p_partkey AS code FROM part) SELECT doc, code FROM d JOIN c ON contains(t, h) OR contains(h, t)"),
     "requirement_in_path": (requirement_in_path, f"WITH {_PATHS_SQL} SELECT s_suppkey AS req, path FROM supplier JOIN paths ON contains(file, '_' || s_suppkey || '.')"),
     "preset_recent_touches": (preset_recent_touches, f"WITH {T} SELECT hash, path, ts FROM touched ORDER BY ts DESC, hash DESC, path DESC LIMIT 200"),
-    "preset_unimplemented": (preset_unimplemented, "SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_returnflag = 'A' AND l_partkey % 40 = 0)"),
+    "preset_unimplemented": (preset_unimplemented, "SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_returnflag = 'A' AND l_quantity = 50 AND l_discount = 0.1::DOUBLE)"),
     "preset_docs_chunks": (preset_docs_chunks, "WITH x AS (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents) SELECT doc_id, unnest(generate_series(0, len(s) - 1)) AS ordinal, length(unnest(s)) AS length FROM x"),
     "next_turns": (next_turns, "SELECT conv_id, turn, lag(role) OVER w AS before, lead(role) OVER w AS after FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role)"),
     "link_graph": (link_graph, "WITH h AS (SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS target FROM pages) SELECT page_id, target, count(*) AS n FROM h GROUP BY 1, 2"),

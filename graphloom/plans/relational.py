@@ -86,7 +86,7 @@ def node_identity(spark, d):
 
 def commit_files(spark, d):
     return (
-        bind.commits(spark, d).where(F.col("author") < 50).join(bind.touches(spark, d).drop("ts"), "hash")
+        bind.commits(spark, d).join(bind.touches(spark, d).drop("ts"), "hash")
         .join(bind.files(spark, d), "path").select("hash", "author", "path", "dir", "change_type")
     )
 
@@ -102,7 +102,8 @@ def commit_details(spark, d):
 
 def _implements(spark, d):
     return table(spark, d, "lineitem").select(
-        F.col("l_suppkey").alias("req"), F.col("l_partkey").alias("path"), F.col("l_shipdate").alias("ts"), F.col("l_returnflag").alias("kind")
+        F.col("l_suppkey").alias("req"), F.col("l_partkey").alias("path"), F.col("l_shipdate").alias("ts"), F.col("l_returnflag").alias("kind"),
+        ((F.col("l_quantity") == 50) & (F.col("l_discount") == 0.1)).alias("strong"),
     )
 
 
@@ -114,7 +115,7 @@ def traceability(spark, d):
     without files in it stay with 0."""
     per = (
         table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"))
-        .join(_implements(spark, d), (F.col("id") == F.col("req")) & rel.between(F.col("ts"), *WINDOW) & (F.col("path") % 7 == 0), "left")
+        .join(_implements(spark, d), (F.col("id") == F.col("req")) & rel.between(F.col("ts"), *WINDOW) & F.col("strong"), "left")
         .groupBy("id").agg(F.count("path").alias("files"))
     )
     return per.agg(
@@ -127,7 +128,7 @@ def traceability_optional_match(spark, d):
     """The variant that counts the empty match as one."""
     per = (
         table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"))
-        .join(_implements(spark, d), (F.col("id") == F.col("req")) & rel.between(F.col("ts"), *WINDOW) & (F.col("path") % 7 == 0), "left")
+        .join(_implements(spark, d), (F.col("id") == F.col("req")) & rel.between(F.col("ts"), *WINDOW) & F.col("strong"), "left")
         .groupBy("id").agg(F.count(F.lit(1)).alias("files"))
     )
     return per.agg(F.round(F.avg("files"), 6).alias("avg_files"))
@@ -394,8 +395,8 @@ def peer_segments(spark, d):
     return c.withColumn("mean", mean).where("c_acctbal > mean").groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n"))
 
 
-_IMPL = "impl AS (SELECT l_suppkey AS req, l_partkey AS path, l_shipdate AS ts, l_returnflag AS kind FROM lineitem)"
-_TRACE = "ON s.s_suppkey = i.req AND i.ts >= TIMESTAMP '1996-01-01' AND i.ts <= TIMESTAMP '1996-06-30' AND i.path % 7 = 0"
+_IMPL = "impl AS (SELECT l_suppkey AS req, l_partkey AS path, l_shipdate AS ts, l_returnflag AS kind, l_quantity = 50 AND l_discount = 0.1::DOUBLE AS strong FROM lineitem)"
+_TRACE = "ON s.s_suppkey = i.req AND i.ts >= TIMESTAMP '1996-01-01' AND i.ts <= TIMESTAMP '1996-06-30' AND i.strong"
 _S = bind.SPRINTS_SQL
 
 QUERIES = {
@@ -411,7 +412,7 @@ QUERIES = {
   row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, CASE l_returnflag WHEN 'A' THEN 'A' WHEN 'N' THEN 'M' ELSE 'D' END) AS k FROM lineitem)
 SELECT hash, string_agg(CASE WHEN k <= 2 THEN CAST(path AS VARCHAR) END, ',' ORDER BY k) AS first_two, count(*) FILTER (t = 'D') AS deleted, max(CASE WHEN k = 1 THEN t END) AS head_type FROM r GROUP BY hash"""),
     "node_identity": (node_identity, "WITH r AS (SELECT nullif(o_orderstatus, 'P') AS uid, CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_orderkey AS VARCHAR) END AS hash, o_orderkey AS key FROM orders) SELECT key, coalesce(uid, hash, md5(CAST(key AS VARCHAR))) AS identity, CAST((uid IS NOT NULL)::INT + (hash IS NOT NULL)::INT AS BIGINT) AS n_props FROM r"),
-    "commit_files": (commit_files, f"WITH {T} SELECT t.hash, o_custkey AS author, path, p_brand AS dir, change_type FROM touched t JOIN orders ON o_orderkey = t.hash JOIN part ON p_partkey = path WHERE o_custkey < 50"),
+    "commit_files": (commit_files, f"WITH {T} SELECT t.hash, o_custkey AS author, path, p_brand AS dir, change_type FROM touched t JOIN orders ON o_orderkey = t.hash JOIN part ON p_partkey = path"),
     "commit_details": (commit_details, f"WITH {T}, s AS (SELECT hash, sum(CASE WHEN change_type <> 'D' THEN additions ELSE 0 END) AS lines_added, sum(CASE WHEN change_type = 'D' THEN additions ELSE 0 END) AS lines_deleted, count(*) AS files FROM touched GROUP BY 1) SELECT s.hash, o_custkey AS author, o_orderdate AS ts, o_orderpriority || ' ' || o_orderstatus AS message, lines_added, lines_deleted, files FROM s JOIN orders ON o_orderkey = s.hash"),
     "traceability": (traceability, f"WITH {_IMPL}, per AS (SELECT s_suppkey AS id, count(i.path) AS files FROM supplier s LEFT JOIN impl i {_TRACE} GROUP BY 1) SELECT count(*) FILTER (files > 0) AS implemented, count(*) FILTER (files = 0) AS unimplemented, round(avg(files), 6) AS avg_files, round(100.0::DOUBLE * count(*) FILTER (files > 0) / count(*), 6) AS coverage FROM per"),
     "traceability_optional_match": (traceability_optional_match, f"WITH {_IMPL}, per AS (SELECT s_suppkey AS id, count(*) AS files FROM supplier s LEFT JOIN impl i {_TRACE} GROUP BY 1) SELECT round(avg(files), 6) AS avg_files FROM per"),
