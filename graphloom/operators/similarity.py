@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from graphloom.functions.scratch import cut, join_checked
+
 #: Rows of a block in an exact all-against-all comparison.
 BLOCK = 4096
 
@@ -92,8 +94,9 @@ def hash_bits(tokens: Column, bits: int = 64) -> Column:
 def hamming_pairs(codes: DataFrame, most: int = 5, bits: int = 64) -> DataFrame:
     """Pairs (a < b, distance) of codes (id, code as a bit string) at Hamming distance <= most. Two such
     codes agree in full on at least one of most + 1 bands, so bands are an exact equi-join key. Equal
-    codes are compared once, as one code with many ids."""
-    groups = codes.groupBy("code").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"))
+    codes are compared once: a pair of smallest ids stands for a pair of classes, and code_classes()
+    tells whose ids a class holds, which are the links at distance 0."""
+    groups = codes.groupBy("code").agg(F.min("id").alias("id"))
     edges = [round(bits * k / (most + 1)) for k in range(most + 2)]
     bands = F.array(*[F.concat(F.lit(f"{k}:"), F.substring("code", edges[k] + 1, edges[k + 1] - edges[k])) for k in range(most + 1)])
     banded = groups.select("id", "code", F.explode(bands).alias("band"))
@@ -101,3 +104,11 @@ def hamming_pairs(codes: DataFrame, most: int = 5, bits: int = 64) -> DataFrame:
     differ = F.aggregate(F.zip_with(F.split("code", ""), F.split("code_b", ""), lambda x, y: (x != y).cast("int")), F.lit(0), lambda s, x: s + x)
     pairs = banded.join(other, "band").where("id < b").select(F.col("id").alias("a"), "b", "code", "code_b").distinct()
     return pairs.select("a", "b", differ.alias("distance")).where(F.col("distance") <= most)
+
+
+def code_classes(codes: DataFrame) -> DataFrame:
+    """(id, class) of every row of codes (id, code): class is the smallest id with the same code, the
+    id by which hamming_pairs() names the code. A row without a code is a class by itself."""
+    codes = cut(codes.select("id", "code"), "codes")
+    classes = cut(codes.where("code IS NOT NULL").groupBy("code").agg(F.min("id").alias("class")), "classes")
+    return join_checked(codes, classes, "code", "left").select("id", F.coalesce("class", "id").alias("class"))

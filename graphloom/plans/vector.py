@@ -84,14 +84,25 @@ def near_groups(spark, d):
     return state.join(member, "id", "left").select("id", F.when(F.col("seed"), F.col("id")).otherwise(F.col("owner")).alias("seed_id"))
 
 
-def hamming_pairs(spark, d):
-    """Simhash of the words of each document; pairs of different codes within five bits."""
+def _simhashes(spark, d):
+    """Simhash of the words of each passage and document."""
     words = F.array_distinct(F.filter(F.split(F.lower("text"), "[ \n]+"), lambda w: w != ""))
     codes = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text").unionAll(
         table(spark, d, "documents").select((F.col("doc_id") + 100000).alias("id"), "text")
     )
-    codes = codes.select("id", sim.hash_bits(words).alias("code"))
-    return sim.hamming_pairs(codes).select("a", "b", F.col("distance").cast("long").alias("distance"))
+    return codes.select("id", sim.hash_bits(words).alias("code"))
+
+
+def hamming_pairs(spark, d):
+    """Pairs of different codes within five bits, each named by its smallest id; the ids of a code are
+    in hamming_classes."""
+    return sim.hamming_pairs(_simhashes(spark, d)).select("a", "b", F.col("distance").cast("long").alias("distance"))
+
+
+def hamming_classes(spark, d):
+    """One row a passage or document with the class of its code: equal classes are at distance 0, and
+    hamming_pairs links classes."""
+    return sim.code_classes(_simhashes(spark, d))
 
 
 def random_projection_2d(spark, d):
@@ -246,6 +257,11 @@ w AS (SELECT DISTINCT id, unnest(string_split_regex(lower(text), '[ \\n]+')) AS
 c AS (SELECT id, k[1] AS pos, sum(CASE WHEN (CAST('0x' || substr(h, CAST(k[1] // 4 + 1 AS INT), 1) AS INT) & k[2]) <> 0 THEN 1 ELSE -1 END) > 0 AS bit FROM (SELECT id, [k[1], k[2]] AS k, h FROM (SELECT id, h, k FROM b)) GROUP BY 1, 2),
 s AS (SELECT id, string_agg(CASE WHEN bit THEN '1' ELSE '0' END, '' ORDER BY pos) AS code FROM c GROUP BY 1), g AS (SELECT code, min(id) AS id FROM s GROUP BY 1)
 SELECT x.id AS a, y.id AS b, hamming(x.code, y.code) AS distance FROM g x JOIN g y ON x.id < y.id WHERE hamming(x.code, y.code) <= 5"""),
+    "hamming_classes": (hamming_classes, f"""WITH t AS (SELECT item_id AS id, text FROM benchmark UNION ALL SELECT doc_id + 100000, text FROM documents),
+w AS (SELECT DISTINCT id, unnest(string_split_regex(lower(text), '[ \\n]+')) AS w FROM t), b AS (SELECT id, unnest({_BITS}) AS k, md5(w) AS h FROM w WHERE w <> ''),
+c AS (SELECT id, k[1] AS pos, sum(CASE WHEN (CAST('0x' || substr(h, CAST(k[1] // 4 + 1 AS INT), 1) AS INT) & k[2]) <> 0 THEN 1 ELSE -1 END) > 0 AS bit FROM b GROUP BY 1, 2),
+s AS (SELECT id, string_agg(CASE WHEN bit THEN '1' ELSE '0' END, '' ORDER BY pos) AS code FROM c GROUP BY 1)
+SELECT x.id, (SELECT min(y.id) FROM s y WHERE y.code = x.code) AS class FROM s x"""),
     "random_projection_2d": (random_projection_2d, f"WITH {_RP} SELECT * FROM rp"),
     "bbox_filter": (bbox_filter, f"WITH {_RP} SELECT * FROM rp WHERE x BETWEEN -0.5 AND 0.5 AND y BETWEEN -0.5 AND 0.5"),
     "pca_2d": (pca_2d, None),

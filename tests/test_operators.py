@@ -72,6 +72,21 @@ def test_hamming_bands_lose_no_pair(spark):
     assert got == {(i, j, distance(codes[i], codes[j])) for i in range(len(codes)) for j in range(i + 1, len(codes)) if distance(codes[i], codes[j]) <= 5}
 
 
+def test_hamming_classes_and_pairs_give_every_link(spark):
+    """Copies of codes included: links at distance 0, and those of ids that are not the smallest of a code."""
+    rng = random.Random(9)
+    codes = ["".join(rng.choice("01") for _ in range(64)) for _ in range(6)]
+    codes += ["".join("10"[int(b)] if k < 3 else b for k, b in enumerate(c)) for c in codes[:3]]
+    rows = list(enumerate(codes * 3)) + [(27, None), (28, None)]
+    df = spark.createDataFrame(rows, "id long, code string")
+    of = {r.id: r["class"] for r in similarity.code_classes(df).collect()}
+    near = {(r.a, r.b): r.distance for r in similarity.hamming_pairs(df).collect()}
+    got = {(i, j): 0 if of[i] == of[j] else near.get((min(of[i], of[j]), max(of[i], of[j]))) for i in of for j in of if i < j}
+    distance = lambda x, y: sum(a != b for a, b in zip(x, y))
+    every = {(i, j): distance(x, y) for i, x in rows for j, y in rows if i < j and x and y and distance(x, y) <= 5}
+    assert {k: v for k, v in got.items() if v is not None} == every and len(of) == len(rows)
+
+
 def test_similar_pairs_over_many_blocks(spark, monkeypatch):
     monkeypatch.setattr(similarity, "BLOCK", 7)
     rng = random.Random(2)
