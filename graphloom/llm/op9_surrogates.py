@@ -6,8 +6,9 @@ surrogate everywhere, across spellings. A surrogate is derived from a keyed SHA-
 an attempt number and keeps type and format: digits stay digits and separators stay where they are,
 card numbers stay valid where they were, names keep gender (from the title) and script, secrets keep
 their alphabet. Collision checks: a surrogate that equals a real entity of its type, or the surrogate
-of another entity, is made again with the next attempt, until all are distinct. Surnames that a title
-introduced are also replaced where they stand alone later in the same document.
+of another entity, is made again with the next attempt, until all are distinct. Names that a title
+introduced are also replaced where they stand without it in the same document: the full name, the given
+names and the surname, each by its own surrogate.
 """
 
 from __future__ import annotations
@@ -163,6 +164,21 @@ _RENDER = """CASE WHEN kind IN ('phone', 'card', 'ssn', 'iban') THEN aggregate(
                  named_struct('done', concat(s.done, c), 'at', s.at)), s -> s.done) ELSE surrogate END"""
 
 
+#: From people (mi, pi, value, shown), the name parts of a text in order: name -> surrogate, for every part
+#: and every full name; the first mention decides.
+_ALIASES = """transform(array(people), ps -> map_from_entries(aggregate(
+    concat(transform(array_distinct(transform(ps, p -> p.mi)), m -> named_struct(
+             'value', array_join(transform(filter(ps, p -> p.mi = m), p -> p.value), ' '),
+             'shown', array_join(transform(filter(ps, p -> p.mi = m), p -> p.shown), ' '))),
+           transform(ps, p -> named_struct('value', p.value, 'shown', p.shown))),
+    CAST(array() AS array<struct<value: string, shown: string>>),
+    (done, x) -> IF(exists(done, y -> y.value = x.value), done, array_append(done, x)))))[0]"""
+#: Longer names come first; null if there is none.
+_PATTERN = f"""IF(size(names) > 0, concat({_sql(r'(?<![\p{L}\p{N}_])(?:')}, array_join(transform(
+    array_sort(map_keys(names), (a, b) -> length(b) - length(a)), v -> concat({_sql(chr(92) + 'Q')}, v, {_sql(chr(92) + 'E')})), '|'),
+    {_sql(r')(?![\p{L}\p{N}_])')}), NULL)"""
+
+
 def surrogates(entities: DataFrame, key: str, max_attempts: int = 40) -> DataFrame:
     """(kind, normal) -> with surrogate, distinct within a kind and unlike any real entity of it."""
     entities = cut(entities.select("kind", "normal").distinct(), "entities")
@@ -202,13 +218,13 @@ def pseudonymise(docs: DataFrame, key: str = "graphloom", count: str | None = "n
     shown = parts.join(known, ["kind", "normal"]).withColumn("shown", F.expr(_RENDER))
     replaced = cut(shown.groupBy("sha").agg(
         F.sort_array(F.collect_list(F.struct("mi", "pi", F.concat("before", "shown").alias("out")))).alias("outs"),
-        F.collect_set(F.when(F.col("kind").startswith("surname"), F.struct("value", "shown"))).alias("surnames"),
+        F.sort_array(F.collect_list(F.when(F.col("kind").rlike("^(?:given|surname)_"), F.struct("mi", "pi", "value", "shown")))).alias("people"),
         F.countDistinct("mi").alias("n"),
-    ), "replaced")
-    alone = r"(?<![\\p{L}\\p{N}_])"
-    # Between mentions, surnames of the document that stand alone follow their surrogate.
-    rebuilt = F.expr(f"""array_join(transform(split(body, {_sql(ANY)}, -1), (gap, i) -> concat(
-        aggregate(surnames, gap, (g, s) -> regexp_replace(g, concat('{alone}\\\\Q', s.value, '\\\\E(?![\\\\p{{L}}\\\\p{{N}}_])'), s.shown)),
+    ), "replaced").selectExpr("sha", "outs", "n", f"{_ALIASES} AS names").selectExpr("sha", "outs", "n", "names", f"{_PATTERN} AS pattern")
+    # Between mentions, names of the document that stand alone follow their surrogate, all in one pass.
+    follow = """IF(pattern IS NULL OR NOT gap RLIKE pattern, gap, array_join(zip_with(
+        split(gap, pattern, -1), regexp_extract_all(gap, pattern, 0), (g, v) -> concat(g, coalesce(names[v], ''))), ''))"""
+    rebuilt = F.expr(f"""array_join(transform(split(body, {_sql(ANY)}, -1), (gap, i) -> concat({follow},
         array_join(transform(filter(outs, o -> o.mi = i), o -> o.out), ''))), '')""")
     changed = hits.join(replaced, "sha").select("row", rebuilt.alias("fresh"), F.col("n").cast("int").alias("n"))
     clean = marked.where(~F.col("hit")).select("row", F.col("body").alias("fresh"), F.lit(0).alias("n"))

@@ -81,3 +81,17 @@ def test_edges(spark, edge_docs, empty_docs):
     assert op.pseudonymise(empty_docs, count=None).columns == empty_docs.columns and op.pseudonymise(empty_docs).count() == 0
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_names_without_title_follow(spark):
+    texts = [
+        "Mr. John Smith came. John Smith left. John called Smith; Johnson did not.",
+        "Mr. Adam Paul met Mrs. Eva Paul, Mr. Carl Adam and Mr. Berg. Eva Paul, Adam, Carl Adam and Berg stayed.",
+        "Johnson, John and Smith are no people that a title introduced in this text. Mr. Li was.",
+    ]
+    got = [run(spark, texts)[k].text for k in range(3)]
+    m = re.fullmatch(r"Mr\. (\w+) (\w+) came\. (\w+) (\w+) left\. (\w+) called (\w+); Johnson did not\.", got[0])
+    assert m and m[1] == m[3] == m[5] != "John" and m[2] == m[4] == m[6] != "Smith"
+    m = re.fullmatch(r"Mr\. (\w+) (\w+) met Mrs\. (\w+) (\w+), Mr\. (\w+) (\w+) and Mr\. (\w+)\. (\w+) (\w+), (\w+), (\w+) (\w+) and (\w+) stayed\.", got[1])
+    assert m and m[2] == m[4] == m[9] and m[3] == m[8] and m[10] == m[1] and (m[11], m[12]) == (m[5], m[6]) and m[7] == m[13]
+    assert got[2].startswith("Johnson, John and Smith are no people that a title introduced in this text. Mr. ")
