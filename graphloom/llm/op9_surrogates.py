@@ -4,7 +4,7 @@ Detection is one regular expression over texts that hold a digit, an at sign, a
 at all. Each mention is normalised to an entity (type and normal form); the same entity gets the same
 surrogate everywhere, across spellings. A surrogate is derived from a keyed SHA-256 of the entity and
 an attempt number and keeps type and format: digits stay digits and separators stay where they are,
-card numbers stay valid where they were, names keep gender (from the title) and script, secrets keep
+card numbers stay valid where they were, names keep gender (from a title; with Dr and the like, the gender the same name has elsewhere in the text) and script, secrets keep
 their alphabet. Collision checks: a surrogate that equals a real entity of its type, or the surrogate
 of another entity, is made again with the next attempt, until all are distinct. Names that a title
 introduced are also replaced where they stand without it in the same document: the full name, the given
@@ -17,12 +17,14 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from graphloom.functions.scratch import cut
 
 # Titles by gender, given names by gender and script, syllables of surnames.
-TITLES_M = ["Mr", "Sir", "Herr", "Señor", "Monsieur", "господин"]
-TITLES_F = ["Mrs", "Ms", "Miss", "Madam", "Frau", "Señora", "Madame", "Mme", "госпожа"]
+TITLES_M = ["Mr", "Sir", "Herr", "Señor", "Monsieur", "Lord", "господин"]
+TITLES_F = ["Mrs", "Ms", "Miss", "Madam", "Frau", "Señora", "Madame", "Mme", "Lady", "госпожа"]
+TITLES_N = ["Dr", "Prof", "Professor", "Doctor", "Doktor", "Mx"]
 GIVEN = {
     "m_latin": ["Adam", "Bruno", "Carl", "David", "Emil", "Felix", "Gregor", "Hugo", "Ivan", "Jonas", "Karl", "Leon", "Martin", "Noel", "Oscar", "Paul"],
     "f_latin": ["Alma", "Berta", "Clara", "Dora", "Elena", "Flora", "Greta", "Helena", "Irma", "Julia", "Karin", "Laura", "Marta", "Nora", "Olga", "Paula"],
@@ -35,24 +37,36 @@ SYLLABLES = {
 }
 KEY_WORDS = "password|passwd|pwd|token|secret|api[_-]?key"
 
+#: Letters of scripts with case: those that names are written in.
+_CASED = r"\p{Lu}\p{Ll}\p{Lt}"
+_ANY_TITLE = "|".join(sorted(TITLES_M + TITLES_F + TITLES_N, key=len, reverse=True))
+#: An apostrophe before a last s is not part of a name.
+_NAME = rf"\p{{Lu}}(?:[{_CASED}]|['’-](?=[{_CASED}])(?!s(?![{_CASED}])))+"
+_BARE = r"""[!-~&&[^"'`,;<>&]]"""
+_HEX = "[0-9A-Fa-f]{1,4}"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 #: Entity types in order of preference, with their patterns.
 PATTERNS = {
-    "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]*+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}",
-    "secret": rf"""(?i:{KEY_WORDS})["']?[ \t]{{0,3}}[=:][ \t]{{0,3}}["']?[A-Za-z0-9+/_-]{{8,}}""",
-    "access_key": r"AKIA[A-Z0-9]{16}(?![\p{L}\p{N}_])",
-    "ipv6": r"(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\p{L}\p{N}_:])",
-    "ipv4": rf"(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?[0-9]|[\p{{L}}_])",
-    "phone": r"(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![\p{L}\p{N}_])"
-    r"|\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?![\p{L}\p{N}_])|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![\p{L}\p{N}_])",
-    "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{L}\p{N}_-])",
-    "card": r"[0-9](?:[ -]?[0-9]){12,18}(?![\p{L}\p{N}_])",
-    "iban": r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}_])",
-    "person": rf"(?:{'|'.join(sorted(TITLES_M + TITLES_F, key=len, reverse=True))})\.?[ ]\p{{Lu}}[\p{{L}}'’-]+(?:[ ]\p{{Lu}}[\p{{L}}'’-]+){{0,2}}",
+    "email": r"[A-Za-z0-9_][A-Za-z0-9._%+-]*+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}",
+    # In quotes anything; without, printable ASCII with a digit or symbol, or eight characters.
+    "secret": rf"""(?i:{KEY_WORDS})["']?[ \t]{{0,3}}[=:][ \t]{{0,3}}(?:"[^"\r\n]{{1,128}}(?="|$)|'[^'\s]{{1,128}}(?='|$)"""
+    rf"""|(?={_BARE}*[0-9!#$%^*@+=~]){_BARE}{{3,}}[!-~&&[^"'`,;<>&.:!?)\]}}]]|["']?[A-Za-z0-9+/_-]{{8,}})""",
+    "access_key": r"AKIA[A-Z0-9]{16}(?![A-Za-z0-9_])",
+    "ipv6": rf"(?:(?:{_HEX}:){{7}}{_HEX}|(?=[A-Fa-f:]*[0-9])[0-9A-Fa-f]{{2,4}}(?::{_HEX}){{0,6}}::(?:(?:{_HEX}:){{0,5}}(?:(?:{_OCTET}\.){{3}}{_OCTET}|{_HEX}))?)(?![A-Za-z0-9_:])",
+    "ipv4": rf"(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?[0-9]|[A-Za-z_])",
+    "phone": r"(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![A-Za-z0-9_])"
+    r"|\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?![A-Za-z0-9_])|[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}(?![A-Za-z0-9_])"
+    r"|0[1-9](?:[ .-][0-9]{2}){4}(?![A-Za-z0-9_])",
+    "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9_-])",
+    "card": r"[0-9](?:[ -]?[0-9]){12,18}(?![A-Za-z0-9_])",
+    "iban": r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9_])",
+    "person": rf"(?:(?:{_ANY_TITLE})\.?[ ]){{1,3}}{_NAME}(?:[ ](?!(?:Mr|Mrs|Ms|Mme|Dr|Prof|Mx)\.){_NAME}){{0,2}}",
 }
-ANY = r"(?<![\p{L}\p{N}_])(?:" + "|".join(f"(?:{p})" for p in PATTERNS.values()) + ")"
+#: What must not stand before a mention: for most types their own characters, for key words nothing.
+_BEFORE = {"secret": "", "person": rf"(?<![{_CASED}\p{{N}}_])"}
+ANY = "(?:" + "|".join(f"{_BEFORE.get(t, '(?<![A-Za-z0-9_])')}(?:{p})" for t, p in PATTERNS.items()) + ")"
 #: A cheap first look: what no mention can do without.
-HINT = rf"[0-9@]|(?i:{KEY_WORDS})|(?:{'|'.join(TITLES_M + TITLES_F)})"
+HINT = rf"[0-9@]|(?i:{KEY_WORDS})|(?:{_ANY_TITLE})"
 
 
 def _sql(text: str) -> str:
@@ -64,20 +78,26 @@ def _type_of(m: str) -> str:
     return f"CASE {whens} END"
 
 
-_TITLE = r"^([\p{L}]+\.?[ ])"
+_TITLE = rf"^((?:(?:{_ANY_TITLE})\.?[ ])+)"
+_SECRET_KEY = rf"""^(?i:{KEY_WORDS})["']?[ \t]{{0,3}}[=:][ \t]{{0,3}}["']?"""
 
 
 def _parts_of(m: str) -> str:
     """A mention -> its parts as structs of type, value, normal form and what stands before it."""
-    females = "|".join(TITLES_F)
-    gender = f"IF({m} RLIKE {_sql(f'^(?:{females})')}, 'f', 'm')"
+    titled = lambda titles: f"{m} RLIKE {_sql('^(?:[' + _CASED + ']+[.]?[ ])*(?:' + '|'.join(titles) + ')[.]?[ ]')}"
+    gender = f"CASE WHEN {titled(TITLES_F)} THEN 'f' WHEN {titled(TITLES_M)} THEN 'm' ELSE 'n' END"
     script = lambda v: f"IF({v} RLIKE {_sql('[А-Яа-яЁё]')}, 'cyrillic', 'latin')"
     names = f"split(regexp_replace({m}, {_sql(_TITLE)}, ''), ' ')"
     person = f"""transform({names}, (v, i) -> named_struct(
         'kind', IF(i = size({names}) - 1, concat('surname_', {script('v')}), concat('given_', {gender}, '_', {script('v')})),
         'value', v, 'normal', v,
         'before', IF(i = 0, regexp_extract({m}, {_sql(_TITLE)}, 1), ' ')))"""
-    secret = f"regexp_extract({m}, {_sql('([A-Za-z0-9+/_-]{8,})$')}, 1)"
+    secret = f"regexp_replace({m}, {_sql(_SECRET_KEY)}, '')"
+    address = f"lower({m})"
+    groups = lambda side: f"filter(split(substring_index({address}, '::', {side}), ':'), g -> g <> '')"
+    # The full form without leading zeros: one entity in all its spellings.
+    ipv6 = f"""array_join(transform(IF(instr({m}, '::') = 0, {groups(1)}, concat({groups(1)},
+        array_repeat('0', greatest(8 - size({groups(1)}) - size({groups(-1)}), 0)), {groups(-1)})), g -> regexp_replace(g, '^0+(?=.)', '')), ':')"""
     one = lambda kind, value, normal, before="''": f"array(named_struct('kind', {kind}, 'value', {value}, 'normal', {normal}, 'before', {before}))"
     kind = _type_of(m)
     digits = f"regexp_replace({m}, '[^0-9]', '')"
@@ -88,6 +108,7 @@ def _parts_of(m: str) -> str:
       WHEN 'card' THEN {one("'card'", m, digits)}
       WHEN 'ssn' THEN {one("'ssn'", m, digits)}
       WHEN 'iban' THEN {one("'iban'", m, f"regexp_replace({m}, ' ', '')")}
+      WHEN 'ipv6' THEN {one("'ipv6'", m, ipv6)}
       WHEN 'email' THEN {one("'email'", m, f"lower({m})")}
       ELSE {one(kind, m, m)} END"""
 
@@ -134,8 +155,8 @@ def _surrogate() -> Column:
         # One more syllable every two attempts: there is always room.
         surname = f"initcap(concat({syllable(1)}, {syllable(2)}, {syllable(3)}, array_join(transform(sequence(0, attempt DIV 2), i -> {_pick(SYLLABLES[script], 'i')}), '')))"
         whens.append(f"WHEN kind = 'surname_{script}' THEN {surname}")
-        for gender in "mf":
-            names = GIVEN[f"{gender}_{script}"]
+        for gender in "mfn":
+            names = GIVEN[f"m_{script}"] + GIVEN[f"f_{script}"] if gender == "n" else GIVEN[f"{gender}_{script}"]
             # Plain names first; then hyphenated ones, longer with every two attempts.
             more = f"array_join(transform(sequence(0, attempt DIV 2), i -> {_pick(names, 'i')}), '-')"
             whens.append(f"WHEN kind = 'given_{gender}_{script}' THEN IF(attempt < 2, {_pick(names, chr(39) + 'g' + chr(39))}, {more})")
@@ -149,10 +170,16 @@ def _surrogate() -> Column:
     octets = f"array_join(transform(sequence(1, 4), i -> CAST({_number('i')} % 254 + 1 AS STRING)), '.')"
     groups = f"array_join(transform(sequence(1, 8), i -> lower(hex({_number('i')} % 65536))), ':')"
     phone = _like("normal", "IF(length(normal) > 10, length(normal) - 10, 0)")
+    # Letters of other scripts become ASCII letters, symbols others; short ones grow after a few attempts.
+    more = f"array_join(transform(sequence(1, attempt - 3), i -> {_pick(list('abcdefghijklmnopqrstuvwxyz'), '-i')}), '')"
+    masked = f"""array_join(transform(filter(split({_like('normal')}, ''), c -> c <> ''), (c, i) -> CASE
+        WHEN c RLIKE '[A-Za-z0-9+/_=-]|[ ]' THEN c WHEN c RLIKE '[!-~]' THEN {_pick(list('!#%*?@'), 'i')}
+        ELSE {_pick(list('abcdefghijklmnopqrstuvwxyz'), 'i')} END), '')"""
+    secret = f"concat({masked}, IF(attempt > 3, {more}, ''))"
     whens += [
         f"WHEN kind = 'email' THEN {email}", f"WHEN kind = 'card' THEN {checked}", f"WHEN kind = 'iban' THEN {iban}",
         f"WHEN kind = 'ipv4' THEN {octets}", f"WHEN kind = 'ipv6' THEN {groups}", f"WHEN kind = 'phone' THEN {phone}",
-        f"WHEN kind = 'access_key' THEN {_like('normal', '4')}", f"ELSE {_like('normal')}",
+        f"WHEN kind = 'access_key' THEN {_like('normal', '4')}", f"WHEN kind = 'secret' THEN {secret}", f"ELSE {_like('normal')}",
     ]
     return F.expr("CASE " + " ".join(whens) + " END")
 
@@ -174,9 +201,9 @@ _ALIASES = """transform(array(people), ps -> map_from_entries(aggregate(
     CAST(array() AS array<struct<value: string, shown: string>>),
     (done, x) -> IF(exists(done, y -> y.value = x.value), done, array_append(done, x)))))[0]"""
 #: Longer names come first; null if there is none.
-_PATTERN = f"""IF(size(names) > 0, concat({_sql(r'(?<![\p{L}\p{N}_])(?:')}, array_join(transform(
+_PATTERN = f"""IF(size(names) > 0, concat({_sql(rf'(?<![{_CASED}\p{{N}}_])(?:')}, array_join(transform(
     array_sort(map_keys(names), (a, b) -> length(b) - length(a)), v -> concat({_sql(chr(92) + 'Q')}, v, {_sql(chr(92) + 'E')})), '|'),
-    {_sql(r')(?![\p{L}\p{N}_])')}), NULL)"""
+    {_sql(rf')(?![{_CASED}\p{{N}}_])')}), NULL)"""
 
 
 def surrogates(entities: DataFrame, key: str, max_attempts: int = 40) -> DataFrame:
@@ -211,8 +238,11 @@ def pseudonymise(docs: DataFrame, key: str = "graphloom", count: str | None = "n
     hits = cut(marked.where("hit").select("row", "body", F.sha2("body", 256).alias("sha")), "hits")
     texts = hits.groupBy("sha").agg(F.first("body").alias("body"))
     mentions = texts.select("sha", F.posexplode(F.expr(f"regexp_extract_all(body, {_sql(ANY)}, 0)")).alias("mi", "m"))
+    gendered = F.min(F.when(F.col("kind").rlike("^given_[mf]"), F.col("kind"))).over(Window.partitionBy("sha", "value"))
     parts = cut(
-        mentions.select("sha", "mi", F.posexplode(F.expr(_parts_of("m"))).alias("pi", "part")).select("sha", "mi", "pi", "part.*"), "parts"
+        mentions.select("sha", "mi", F.posexplode(F.expr(_parts_of("m"))).alias("pi", "part")).select("sha", "mi", "pi", "part.*")
+        .withColumn("kind", F.when(F.col("kind").startswith("given_n"), F.coalesce(gendered, "kind")).otherwise(F.col("kind"))),
+        "parts",
     )
     known = surrogates(parts, key)
     shown = parts.join(known, ["kind", "normal"]).withColumn("shown", F.expr(_RENDER))

@@ -95,3 +95,35 @@ def test_names_without_title_follow(spark):
     m = re.fullmatch(r"Mr\. (\w+) (\w+) met Mrs\. (\w+) (\w+), Mr\. (\w+) (\w+) and Mr\. (\w+)\. (\w+) (\w+), (\w+), (\w+) (\w+) and (\w+) stayed\.", got[1])
     assert m and m[2] == m[4] == m[9] and m[3] == m[8] and m[10] == m[1] and (m[11], m[12]) == (m[5], m[6]) and m[7] == m[13]
     assert got[2].startswith("Johnson, John and Smith are no people that a title introduced in this text. Mr. ")
+
+
+def test_further_forms_are_found(spark):
+    """Each of these is replaced and nothing around it."""
+    forms = [
+        ("at <", "2001:db8::1", ">, 12:30"), ("at ", "fe80::1:2:3", "."), ("at ", "2001:db8::192.0.2.33", " up"), ("call ", "555 123 4567", " now"), ("appelez ", "06 12 34 56 78", "."),
+        ("电话", "555-123-4567", "请打"), ("邮箱", "li.wei@mail.example.com", "谢谢"), ("カード", "4111 1111 1111 1111", "です"), ("โทร", "+66 81 234 5678", "ครับ"), ("to ", "_bob@mail.example.com", " x"),
+        ("pwd=", "hunt3r", "\n"), ('password = "', "p@ss word!", '" end'), ("DB_TOKEN='", "ключ!1", "' end"), ("my_secret: ", "ab.cd=12$", ", next"), ('{"token": "', "****", '"}'),
+    ]
+    got = run(spark, [a + m + b for a, m, b in forms])
+    for k, (a, m, b) in enumerate(forms):
+        t = got[k].text
+        assert t.startswith(a) and t.endswith(b) and got[k].n_entities == 1, (m, t)
+        assert m not in t and not ("ключ" in t or "hunt" in t or "p@ss" in t or "192.0.2.33" in t), (m, t)
+    kept = ["std::vector a[1::2] dead::beef", "password: must be given", "the token is 12 long", "10 000 000 in 2024"]
+    assert [run(spark, kept)[k].text for k in range(len(kept))] == kept
+
+
+def test_ipv6_spellings_and_neutral_titles(spark):
+    texts = [
+        "2001:db8::1 2001:0DB8:0:0:0:0:0:0001",
+        "Dr. John Smith and Prof. Ada King. Mr. John Smith's car; Smith left. Frau Prof. Dr. Lena Kurz Dr. Quill. Lady Anne, Lord Byron",
+        "在Dr. Wang说Wang先生",
+    ]
+    got = [run(spark, texts)[k].text for k in range(3)]
+    a, b = got[0].split()
+    assert a == b and len(a.split(":")) == 8
+    m = re.fullmatch(r"Dr\. (\w+) (\w+) and Prof\. (\w+) (\w+)\. Mr\. (\w+) (\w+)'s car; (\w+) left\. Frau Prof\. Dr\. (\w+) (\w+) Dr\. (\w+)\. Lady (\w+), Lord (\w+)", got[1])
+    assert m and m[1] == m[5] in op.GIVEN["m_latin"] and m[2] == m[6] == m[7] and m[8] in op.GIVEN["f_latin"]
+    assert not set(m.groups()) & {"John", "Smith", "Ada", "King", "Lena", "Kurz", "Quill", "Anne", "Byron"}
+    m = re.fullmatch(r"在Dr\. ([A-Za-z]+)说([A-Za-z]+)先生", got[2])
+    assert m and m[1] == m[2] != "Wang"
