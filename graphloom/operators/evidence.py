@@ -59,12 +59,19 @@ def mentioned_files(mentions: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def mentioned_commits(mentions: DataFrame, commits: DataFrame, shortest: int = 10) -> DataFrame:
-    """(chunk, prefix) against full hashes. The prefix's length tells which cut of the hash to compare,
-    so the join is an equi-join on (length, prefix)."""
-    lengths = mentions.select(F.length("prefix").alias("n")).where(F.col("n") >= shortest).distinct()
+    """(chunk, hash, confidence) of mentions (chunk, prefix) against full hashes. The prefix's length
+    tells which cut of the hash to compare, so the join is an equi-join on (length, prefix). A mention
+    that matches no hash whole is looked up by its first twelve characters. Confidence is 0.9 from
+    twelve characters on, else 0.75; the best of each pair stays."""
+    asked = mentions.select("chunk", F.lower("prefix").alias("prefix")).distinct().withColumn("n", F.length("prefix")).where(F.col("n") >= shortest)
+    lengths = asked.select("n").distinct()
     cuts = commits.join(F.broadcast(lengths.where("n <= 40"))).select("hash", "n", F.expr("substring(hash, 1, n)").alias("prefix"))
-    asked = mentions.withColumn("n", F.length("prefix"))
-    return asked.join(cuts, ["n", "prefix"]).select("chunk", "hash").distinct()
+    whole = asked.join(cuts, ["n", "prefix"])
+    # Twelve characters that match whole are their own first twelve: only longer ones are looked up again.
+    rest = asked.where("n > 12").join(whole.select("prefix").distinct(), "prefix", "left_anti").withColumn("first", F.substring("prefix", 1, 12))
+    cut = rest.join(commits.select("hash", F.substring("hash", 1, 12).alias("first")), "first")
+    found = whole.select("chunk", "hash", "n").unionAll(cut.select("chunk", "hash", "n"))
+    return found.groupBy("chunk", "hash").agg(F.max(F.when(F.col("n") >= 12, 0.9).otherwise(0.75)).alias("confidence"))
 
 
 def since(df: DataFrame, ts: str, watermark: DataFrame, key: str) -> DataFrame:
@@ -73,12 +80,12 @@ def since(df: DataFrame, ts: str, watermark: DataFrame, key: str) -> DataFrame:
     return df.join(F.broadcast(mark)).where(F.col("_since").isNull() | (F.col(ts) >= F.col("_since"))).drop("_since")
 
 
-def contained(needles: DataFrame, needle: str, hay: DataFrame, text: str, longest: int = 40) -> DataFrame:
-    """Pairs where the needle is a substring of the text. Substrings of the text up to the longest
-    needle are exploded and equi-joined, so work follows the texts' lengths, not the product of both
-    tables. For short texts such as names and headings; empty needles match nothing."""
-    at = F.explode(F.sequence(F.lit(1), F.length(text)))
-    size = F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length(text) - F.col("_at") + 1)))
-    parts = hay.where(F.length(text) > 0).withColumn("_at", at).withColumn("_n", size)
+def contained(needles: DataFrame, needle: str, hay: DataFrame, text: str) -> DataFrame:
+    """Pairs where the needle is a substring of the text. Substrings of the text, of the lengths that
+    needles have, are exploded and equi-joined, so work follows the texts' lengths, not the product of
+    both tables. For short texts such as names and headings; empty needles match nothing."""
+    sizes = needles.select(F.length(needle).alias("_n")).where("_n > 0").distinct()
+    at = F.explode(F.sequence(F.lit(1), F.length(text) - F.col("_n") + 1))
+    parts = hay.join(F.broadcast(sizes), F.length(text) >= F.col("_n")).withColumn("_at", at)
     parts = parts.withColumn("_part", F.substring(text, F.col("_at"), F.col("_n"))).drop("_at", "_n").distinct()
     return parts.join(needles, F.col("_part") == F.col(needle)).drop("_part")

@@ -260,7 +260,7 @@ def mention_commits(spark, d):
     is named by a document through a prefix whose length varies."""
     c = bind.commits(spark, d).select(F.sha1(F.col("hash").cast("string")).alias("hash"), F.col("hash").alias("n"), "message")
     mentions = c.where(F.col("message").startswith("1-URGENT")).select(F.col("n").alias("chunk"), F.expr("substring(hash, 1, CAST(8 + n % 7 AS INT))").alias("prefix"))
-    return ev.mentioned_commits(mentions, c.select("hash"))
+    return ev.mentioned_commits(mentions, c.select("hash")).select("chunk", "hash")
 
 
 def doc_file_rollup(spark, d):

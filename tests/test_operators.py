@@ -164,3 +164,19 @@ def test_blocks_of_distances(spark, monkeypatch):
     monkeypatch.setattr(clustering, "BLOCK", 9)
     got = clustering.silhouette(df).first().silhouette, sorted(tuple(r) for r in clustering.nearest_distances(df, 5).collect())
     assert abs(want[0] - got[0]) < 1e-12 and want[1] == got[1] and len(got[1]) == 50
+
+
+def test_commit_mentions_fall_back_to_twelve_characters(spark):
+    a, b = "0123456789ab" + "c" * 28, "fedcba987654" + "0" * 28
+    mentions = [(1, a[:10]), (2, a[:12]), (3, a[:20]), (4, a[:12] + "dddd"), (5, a + "ffff"), (6, b[:12].upper() + "9"), (7, b[:11] + "9"), (8, b[:9]), (9, a[:10]), (9, a)]
+    got = evidence.mentioned_commits(spark.createDataFrame(mentions, "chunk int, prefix string"), spark.createDataFrame([(a,), (b,)], "hash string"))
+    assert {(r.chunk, r.hash, r.confidence) for r in got.collect()} == {
+        (1, a, 0.75), (2, a, 0.9), (3, a, 0.9), (4, a, 0.9), (5, a, 0.9), (6, b, 0.9), (9, a, 0.9)
+    }
+
+
+def test_contained_takes_needles_of_any_length(spark):
+    needles = ["ab", "x" * 41, "y" * 90, "", "zz", None]
+    texts = ["ab", "cabab", "-" + "x" * 45, "y" * 90 + "ab", "", None, "z"]
+    got = evidence.contained(spark.createDataFrame([(n,) for n in needles], "needle string"), "needle", spark.createDataFrame([(t,) for t in texts], "text string"), "text")
+    assert sorted((r.needle, r.text) for r in got.collect()) == sorted((n, t) for n in needles if n for t in texts if t and n in t)
