@@ -180,3 +180,32 @@ def test_contained_takes_needles_of_any_length(spark):
     texts = ["ab", "cabab", "-" + "x" * 45, "y" * 90 + "ab", "", None, "z"]
     got = evidence.contained(spark.createDataFrame([(n,) for n in needles], "needle string"), "needle", spark.createDataFrame([(t,) for t in texts], "text string"), "text")
     assert sorted((r.needle, r.text) for r in got.collect()) == sorted((n, t) for n in needles if n for t in texts if t and n in t)
+
+
+def test_whole_graph_queries_drop_and_merge_nothing(spark):
+    from collections import Counter, defaultdict
+
+    from graphloom.plans import graph
+
+    sf = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey", "l_partkey", "l_suppkey").collect()
+    edges = {(4 * o + 1, 4 * p) for o, p, _ in rows} | {(4 * s + 2, 4 * p) for _, p, s in rows}
+    near = defaultdict(list)
+    for a, b in edges:
+        near[a].append(b)
+        near[b].append(a)
+    labels = {u: u for u in near}
+    for _ in range(5):
+        votes = {u: Counter(labels[v] for v in vs) for u, vs in near.items()}
+        labels = {u: min(c, key=lambda x: (-c[x], x)) for u, c in votes.items()}
+    assert {r.id: r.part for r in graph.QUERIES["communities"][0](spark, sf).collect()} == labels
+    assert {r.id: r.degree for r in graph.QUERIES["whole_degree_centrality"][0](spark, sf).collect()} == {u: len(vs) for u, vs in near.items()}
+    density = graph.QUERIES["whole_graph_density"][0](spark, sf).first()
+    assert (density.n, density.m) == (len(near), len(edges))
+    part = Counter()
+    for u, vs in near.items():
+        part[u % 10] += len(vs)
+    m = len(edges)
+    q = sum(a % 10 == b % 10 for a, b in edges) / m - sum((k / (2 * m)) ** 2 for k in part.values())
+    assert graph.QUERIES["whole_modularity"][0](spark, sf).first()[0] == pytest.approx(q, abs=1e-6)
+    assert {r.triangles for r in graph.QUERIES["whole_triangle_counts"][0](spark, sf).collect()} == {0}
