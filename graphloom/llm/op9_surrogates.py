@@ -6,20 +6,22 @@ surrogate everywhere, across spellings. A surrogate is derived from a keyed SHA-
 an attempt number and keeps type and format: digits stay digits and separators stay where they are,
 card numbers stay valid where they were, names keep gender (from a title; with Dr and the like, the gender the same name has elsewhere in the text) and script, secrets keep
 their alphabet. Collision checks: a surrogate that equals a real entity of its type, or the surrogate
-of another entity, is made again with the next attempt, until all are distinct. Names that a title
-introduced are also replaced where they stand without it in the same document: the full name, the given
-names and the surname, each by its own surrogate.
+of another entity, is made again with the next attempt, until all are distinct; late attempts are longer
+than the mention, so that even a key space that is used up leaves room. Names are found after a title or
+a well-known given name, and then followed where they stand alone in the same document: the full name,
+the given names and the surname, each by its own surrogate.
+
+Every repetition in the patterns is bounded or runs over a single class of characters, so the matcher
+neither recurses with the length of a text nor goes back over it.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from graphloom.functions.scratch import cut
+from graphloom.functions.scratch import cut, join_checked
 
 # Titles by gender, given names by gender and script, syllables of surnames.
 TITLES_M = ["Mr", "Sir", "Herr", "Señor", "Monsieur", "Lord", "господин"]
@@ -35,38 +37,52 @@ SYLLABLES = {
     "latin": ["ba", "del", "fen", "gor", "hal", "jan", "kel", "lor", "man", "nev", "pol", "ran", "sel", "tor", "var", "wen"],
     "cyrillic": ["бар", "вел", "гор", "дан", "зор", "кал", "лев", "мал", "нев", "пол", "рад", "сев", "тар", "фед", "хар", "чер"],
 }
+#: Given names that introduce a person without a title, and capitalised words that never end a name.
+KNOWN_M = """James John Robert Michael William David Richard Joseph Thomas Charles Daniel Matthew Anthony Andrew Paul George Kenneth Edward
+Brian Kevin Peter Henry Adam Martin Simon Hans Klaus Jürgen Wolfgang Stefan Andreas Markus Matthias Karl Pierre Jacques François Philippe
+Michel Laurent Juan José Carlos Luis Miguel Pedro Javier Fernando Antonio Manuel Diego Pablo""".split()
+KNOWN_F = """Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Sarah Karen Nancy Lisa Margaret Sandra Anna Maria Emily Emma Alice
+Helen Julia Laura Ursula Monika Sabine Petra Claudia Katrin Marie Sophie Claire Isabelle Camille Nathalie Chantal Carmen Ana Isabel Lucía
+Marta Pilar Elena Eva Ada Olivia Charlotte Hannah Rachel""".split()
+NO_NAMES = """Monday Tuesday Wednesday Thursday Friday Saturday Sunday January February March April May June July August September October November
+December Montag Dienstag Mittwoch Donnerstag Freitag Samstag Sonntag Januar Februar März Mai Juni Juli Oktober Dezember Enero Febrero""".split()
 KEY_WORDS = "password|passwd|pwd|token|secret|api[_-]?key"
 
 #: Letters of scripts with case: those that names are written in.
 _CASED = r"\p{Lu}\p{Ll}\p{Lt}"
 _ANY_TITLE = "|".join(sorted(TITLES_M + TITLES_F + TITLES_N, key=len, reverse=True))
 #: An apostrophe before a last s is not part of a name.
-_NAME = rf"\p{{Lu}}(?:[{_CASED}]|['’-](?=[{_CASED}])(?!s(?![{_CASED}])))+"
+_JOINED = rf"(?:['’-](?=[{_CASED}])(?!s(?![{_CASED}]))[{_CASED}]++)"
+_NAME = rf"\p{{Lu}}(?:[{_CASED}]++{_JOINED}{{0,8}}|{_JOINED}{{1,8}})"
+_NEXT_NAME = rf"[ ](?!(?:Mr|Mrs|Ms|Mme|Dr|Prof|Mx)\.)(?!(?:{'|'.join(NO_NAMES)})(?![{_CASED}])){_NAME}"
+_KNOWN = "|".join(sorted(KNOWN_M + KNOWN_F, key=len, reverse=True))
 _BARE = r"""[!-~&&[^"'`,;<>&]]"""
 _HEX = "[0-9A-Fa-f]{1,4}"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 #: Entity types in order of preference, with their patterns.
 PATTERNS = {
-    "email": r"[A-Za-z0-9_][A-Za-z0-9._%+-]*+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}",
-    # In quotes anything; without, printable ASCII with a digit or symbol, or eight characters.
+    # A local part has at most 64 characters, a host at most 127 labels of 63.
+    "email": r"[A-Za-z0-9_][A-Za-z0-9._%+-]{0,63}+@(?:[A-Za-z0-9-]{1,63}+\.){1,127}[A-Za-z]{2,63}",
+    # In quotes anything; without, printable ASCII with a letter or digit, and a digit or symbol or eight characters.
     "secret": rf"""(?i:{KEY_WORDS})["']?[ \t]{{0,3}}[=:][ \t]{{0,3}}(?:"[^"\r\n]{{1,128}}(?="|$)|'[^'\s]{{1,128}}(?='|$)"""
-    rf"""|(?={_BARE}*[0-9!#$%^*@+=~]){_BARE}{{3,}}[!-~&&[^"'`,;<>&.:!?)\]}}]]|["']?[A-Za-z0-9+/_-]{{8,}})""",
+    rf"""|(?=[+/_-]{{0,64}}[A-Za-z0-9]|{_BARE}{{0,64}}[A-Za-z0-9])(?:(?={_BARE}{{0,4096}}[0-9!#$%^*@+=~]){_BARE}{{3,4096}}[!-~&&[^"'`,;<>&.:!?)\]}}]]"""
+    rf"""|["']?[A-Za-z0-9+/_-]{{8,4096}}))""",
     "access_key": r"AKIA[A-Z0-9]{16}(?![A-Za-z0-9_])",
-    "ipv6": rf"(?:(?:{_HEX}:){{7}}{_HEX}|(?=[A-Fa-f:]*[0-9])[0-9A-Fa-f]{{2,4}}(?::{_HEX}){{0,6}}::(?:(?:{_HEX}:){{0,5}}(?:(?:{_OCTET}\.){{3}}{_OCTET}|{_HEX}))?)(?![A-Za-z0-9_:])",
+    "ipv6": rf"(?:(?:{_HEX}:){{7}}{_HEX}|(?=[A-Fa-f:]{{0,38}}+[0-9])(?:[0-9A-Fa-f]{{2,4}}(?::{_HEX}){{0,6}}|(?<!:))::(?:(?:{_HEX}:){{0,5}}(?:(?:{_OCTET}\.){{3}}{_OCTET}|{_HEX}))?)(?![A-Za-z0-9_:])",
     "ipv4": rf"(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?[0-9]|[A-Za-z_])",
     "phone": r"(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![A-Za-z0-9_])"
     r"|\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?![A-Za-z0-9_])|[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}(?![A-Za-z0-9_])"
-    r"|0[1-9](?:[ .-][0-9]{2}){4}(?![A-Za-z0-9_])",
+    r"|0[1-9](?:[ .-][0-9]{2}){4}(?![A-Za-z0-9_])|0[0-9]{2,4}[ .-][0-9]{3,4}[ .-][0-9]{3,4}(?![A-Za-z0-9_])|0[0-9]{4}[ -][0-9]{6}(?![A-Za-z0-9_])",
     "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9_-])",
     "card": r"[0-9](?:[ -]?[0-9]){12,18}(?![A-Za-z0-9_])",
     "iban": r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9_])",
-    "person": rf"(?:(?:{_ANY_TITLE})\.?[ ]){{1,3}}{_NAME}(?:[ ](?!(?:Mr|Mrs|Ms|Mme|Dr|Prof|Mx)\.){_NAME}){{0,2}}",
+    "person": rf"(?:(?:(?:{_ANY_TITLE})\.?[ ]){{1,3}}{_NAME}(?:{_NEXT_NAME}){{0,2}}|(?=\p{{Lu}})(?:{_KNOWN})(?:{_NEXT_NAME}){{1,2}})",
 }
 #: What must not stand before a mention: for most types their own characters, for key words nothing.
 _BEFORE = {"secret": "", "person": rf"(?<![{_CASED}\p{{N}}_])"}
 ANY = "(?:" + "|".join(f"{_BEFORE.get(t, '(?<![A-Za-z0-9_])')}(?:{p})" for t, p in PATTERNS.items()) + ")"
 #: A cheap first look: what no mention can do without.
-HINT = rf"[0-9@]|(?i:{KEY_WORDS})|(?:{_ANY_TITLE})"
+HINT = rf"[0-9@]|(?i:{KEY_WORDS})|(?:{_ANY_TITLE})|(?=\p{{Lu}})(?:{_KNOWN}) \p{{Lu}}"
 
 
 def _sql(text: str) -> str:
@@ -147,6 +163,10 @@ def _mod97(iban: str) -> str:
         (s * 10 + CAST(c AS INT)) % 97, (s * 100 + ascii(c) - 55) % 97))"""
 
 
+#: Attempts whose surrogates have the mention's own length.
+PLAIN_ATTEMPTS = 3
+
+
 def _surrogate() -> Column:
     """From columns kind, normal, attempt, secret_key."""
     whens = []
@@ -160,26 +180,28 @@ def _surrogate() -> Column:
             # Plain names first; then hyphenated ones, longer with every two attempts.
             more = f"array_join(transform(sequence(0, attempt DIV 2), i -> {_pick(names, 'i')}), '-')"
             whens.append(f"WHEN kind = 'given_{gender}_{script}' THEN IF(attempt < 2, {_pick(names, chr(39) + 'g' + chr(39))}, {more})")
+    # Late attempts are longer: digits for numbers, letters for the rest.
+    late = f"greatest(attempt - {PLAIN_ATTEMPTS}, 0)"
+    longer = f"concat(normal, repeat('0', {late}))"
+    letters = f"array_join(transform(filter(sequence(0, {late}), i -> i > 0), i -> {_pick(list('abcdefghijklmnopqrstuvwxyz'), '-i')}), '')"
     domain = "regexp_extract(normal, '@(.*)[.]', 1)"
     local = "regexp_extract(normal, '^(.*)@', 1)"
     ending = "regexp_extract(normal, '([.][a-z]+)$', 1)"
-    email = f"concat({_like(local)}, '@', {_like(domain, salt='-i')}, {ending})"
-    card = _like("normal", "1")
+    email = f"concat({_like(local)}, {letters}, '@', {_like(domain, salt='-i')}, {ending})"
+    card = _like(longer, "1")
     checked = f"transform(array({card}), d -> IF({_luhn('normal')} = 0, concat(substr(d, 1, length(d) - 1), CAST((10 - {_luhn('concat(substr(d, 1, length(d) - 1), ' + chr(39) + '0' + chr(39) + ')')}) % 10 AS STRING)), d))[0]"
-    iban = f"transform(array({_like('normal', '2')}), d -> IF({_mod97('normal')} = 1, concat(substr(d, 1, 2), lpad(CAST(98 - {_mod97('concat(substr(d, 1, 2), ' + chr(39) + '00' + chr(39) + ', substr(d, 5))')} AS STRING), 2, '0'), substr(d, 5)), d))[0]"
-    octets = f"array_join(transform(sequence(1, 4), i -> CAST({_number('i')} % 254 + 1 AS STRING)), '.')"
+    iban = f"transform(array({_like(longer, '2')}), d -> IF({_mod97('normal')} = 1, concat(substr(d, 1, 2), lpad(CAST(98 - {_mod97('concat(substr(d, 1, 2), ' + chr(39) + '00' + chr(39) + ', substr(d, 5))')} AS STRING), 2, '0'), substr(d, 5)), d))[0]"
+    octets = f"concat(array_join(transform(sequence(1, 4), i -> CAST({_number('i')} % 254 + 1 AS STRING)), '.'), IF({late} > 0, concat(':', {_number('5')} % 65536), ''))"
     groups = f"array_join(transform(sequence(1, 8), i -> lower(hex({_number('i')} % 65536))), ':')"
-    phone = _like("normal", "IF(length(normal) > 10, length(normal) - 10, 0)")
-    # Letters of other scripts become ASCII letters, symbols others; short ones grow after a few attempts.
-    more = f"array_join(transform(sequence(1, attempt - 3), i -> {_pick(list('abcdefghijklmnopqrstuvwxyz'), '-i')}), '')"
-    masked = f"""array_join(transform(filter(split({_like('normal')}, ''), c -> c <> ''), (c, i) -> CASE
+    phone = _like(longer, "IF(length(normal) > 10, length(normal) - 10, 0)")
+    # Letters of other scripts become ASCII letters, symbols others.
+    secret = f"""concat(array_join(transform(filter(split({_like('normal')}, ''), c -> c <> ''), (c, i) -> CASE
         WHEN c RLIKE '[A-Za-z0-9+/_=-]|[ ]' THEN c WHEN c RLIKE '[!-~]' THEN {_pick(list('!#%*?@'), 'i')}
-        ELSE {_pick(list('abcdefghijklmnopqrstuvwxyz'), 'i')} END), '')"""
-    secret = f"concat({masked}, IF(attempt > 3, {more}, ''))"
+        ELSE {_pick(list('abcdefghijklmnopqrstuvwxyz'), 'i')} END), ''), {letters})"""
     whens += [
         f"WHEN kind = 'email' THEN {email}", f"WHEN kind = 'card' THEN {checked}", f"WHEN kind = 'iban' THEN {iban}",
         f"WHEN kind = 'ipv4' THEN {octets}", f"WHEN kind = 'ipv6' THEN {groups}", f"WHEN kind = 'phone' THEN {phone}",
-        f"WHEN kind = 'access_key' THEN {_like('normal', '4')}", f"WHEN kind = 'secret' THEN {secret}", f"ELSE {_like('normal')}",
+        f"WHEN kind = 'access_key' THEN {_like(longer, '4')}", f"WHEN kind = 'secret' THEN {secret}", f"ELSE {_like(longer)}",
     ]
     return F.expr("CASE " + " ".join(whens) + " END")
 
@@ -188,39 +210,49 @@ def _surrogate() -> Column:
 _RENDER = """CASE WHEN kind IN ('phone', 'card', 'ssn', 'iban') THEN aggregate(
     filter(split(value, ''), c -> c <> ''), named_struct('done', '', 'at', 1),
     (s, c) -> IF(c RLIKE '[0-9A-Z]', named_struct('done', concat(s.done, substr(surrogate, s.at, 1)), 'at', s.at + 1),
-                 named_struct('done', concat(s.done, c), 'at', s.at)), s -> s.done) ELSE surrogate END"""
-
-
-#: From people (mi, pi, value, shown), the name parts of a text in order: name -> surrogate, for every part
-#: and every full name; the first mention decides.
-_ALIASES = """transform(array(people), ps -> map_from_entries(aggregate(
-    concat(transform(array_distinct(transform(ps, p -> p.mi)), m -> named_struct(
-             'value', array_join(transform(filter(ps, p -> p.mi = m), p -> p.value), ' '),
-             'shown', array_join(transform(filter(ps, p -> p.mi = m), p -> p.shown), ' '))),
-           transform(ps, p -> named_struct('value', p.value, 'shown', p.shown))),
-    CAST(array() AS array<struct<value: string, shown: string>>),
-    (done, x) -> IF(exists(done, y -> y.value = x.value), done, array_append(done, x)))))[0]"""
-#: Longer names come first; null if there is none.
-_PATTERN = f"""IF(size(names) > 0, concat({_sql(rf'(?<![{_CASED}\p{{N}}_])(?:')}, array_join(transform(
-    array_sort(map_keys(names), (a, b) -> length(b) - length(a)), v -> concat({_sql(chr(92) + 'Q')}, v, {_sql(chr(92) + 'E')})), '|'),
-    {_sql(rf')(?![{_CASED}\p{{N}}_])')}), NULL)"""
-
-
-def surrogates(entities: DataFrame, key: str, max_attempts: int = 40) -> DataFrame:
-    """(kind, normal) -> with surrogate, distinct within a kind and unlike any real entity of it."""
-    entities = cut(entities.select("kind", "normal").distinct(), "entities")
-    pending, done = entities.withColumn("attempt", F.lit(0)), []
-    for attempt in range(max_attempts):
-        tried = cut(pending.withColumn("secret_key", F.lit(key)).withColumn("surrogate", _surrogate()).drop("secret_key"), "tried")
+                 named_struct('done', concat(s.done, c), 'at', s.at)), s -> concat(s.done, substr(surrogate, s.at))) ELSE surrogate END"""
+
+
+#: Words of names that stand together, as they are followed between mentions.
+_FOLLOWED = rf"(?<![{_CASED}\p{{N}}_]){_NAME}(?: {_NAME}){{0,2}}(?![{_CASED}\p{{N}}_])"
+
+
+def surrogates(entities: DataFrame, key: str) -> DataFrame:
+    """(kind, normal) -> with surrogate, distinct within a kind and unlike any real entity of it.
+
+    The first attempt settles nearly all; a later one scans what is taken against the few that are
+    left. Surrogates grow with the attempts, so the rounds end however full the key space is.
+    """
+    entities = cut(entities.where("kind is not null").select("kind", "normal").distinct(), "entities")
+    taken = entities.withColumnRenamed("normal", "surrogate")
+    pending, done, attempt = entities, None, 0
+    while True:
+        tried = cut(pending.withColumn("attempt", F.lit(attempt)).withColumn("secret_key", F.lit(key)).withColumn("surrogate", _surrogate()).select("kind", "normal", "surrogate"), "tried")
         best = tried.groupBy("kind", "surrogate").agg(F.min("normal").alias("normal"))
-        for taken in [entities.withColumnRenamed("normal", "surrogate"), *[d.select("kind", "surrogate") for d in done]]:
+        if attempt == 0:
             best = best.join(taken, ["kind", "surrogate"], "left_anti")
+        else:
+            met = cut(join_checked(taken, tried.select("kind", "surrogate").distinct(), ["kind", "surrogate"], "left_semi").distinct(), "met")
+            best = join_checked(best, met, ["kind", "surrogate"], "left_anti")
         best = cut(best.select("kind", "normal", "surrogate"), "assigned")
-        done.append(best)
-        pending = tried.join(best, ["kind", "normal"], "left_anti").select("kind", "normal", F.lit(attempt + 1).alias("attempt"))
+        done = best if done is None else done.unionAll(best)
+        taken = taken.unionAll(best.select("kind", "surrogate"))
+        pending = cut(tried.join(best, ["kind", "normal"], "left_anti").select("kind", "normal"), "pending")
         if pending.isEmpty():
-            return reduce(DataFrame.unionAll, done)
-    raise RuntimeError("surrogates: no distinct surrogates found")
+            return done
+        attempt += 1
+
+
+def _followed(shown: DataFrame) -> DataFrame:
+    """sha -> names: every name part and every full name of a text with its surrogate; a full name goes
+    before a part of the same spelling, then the first mention decides."""
+    people = shown.where(F.col("kind").rlike("^(?:given|surname)_"))
+    parts = F.sort_array(F.collect_list(F.struct("pi", "value", "shown")))
+    joined = lambda field: F.array_join(F.transform("ps", lambda p: p[field]), " ").alias(field)
+    full = people.groupBy("sha", "mi").agg(parts.alias("ps")).select("sha", joined("value"), joined("shown"), F.lit(0).alias("rank"), "mi", F.lit(0).alias("pi"))
+    every = full.unionByName(people.select("sha", "value", "shown", F.lit(1).alias("rank"), "mi", "pi"))
+    best = every.groupBy("sha", "value").agg(F.min_by("shown", F.struct("rank", "mi", "pi")).alias("shown"))
+    return best.groupBy("sha").agg(F.map_from_entries(F.collect_list(F.struct("value", "shown"))).alias("names"))
 
 
 def pseudonymise(docs: DataFrame, key: str = "graphloom", count: str | None = "n_entities") -> DataFrame:
@@ -239,23 +271,24 @@ def pseudonymise(docs: DataFrame, key: str = "graphloom", count: str | None = "n
     texts = hits.groupBy("sha").agg(F.first("body").alias("body"))
     mentions = texts.select("sha", F.posexplode(F.expr(f"regexp_extract_all(body, {_sql(ANY)}, 0)")).alias("mi", "m"))
     gendered = F.min(F.when(F.col("kind").rlike("^given_[mf]"), F.col("kind"))).over(Window.partitionBy("sha", "value"))
+    of = lambda gender, names: F.when(F.col("value").isin(names), F.regexp_replace("kind", "^given_n", f"given_{gender}"))
+    known_gender = F.coalesce(of("m", KNOWN_M), of("f", KNOWN_F), F.col("kind"))
     parts = cut(
         mentions.select("sha", "mi", F.posexplode(F.expr(_parts_of("m"))).alias("pi", "part")).select("sha", "mi", "pi", "part.*")
-        .withColumn("kind", F.when(F.col("kind").startswith("given_n"), F.coalesce(gendered, "kind")).otherwise(F.col("kind"))),
+        .withColumn("kind", F.when(F.col("kind").startswith("given_n"), F.coalesce(gendered, known_gender)).otherwise(F.col("kind"))),
         "parts",
     )
     known = surrogates(parts, key)
-    shown = parts.join(known, ["kind", "normal"]).withColumn("shown", F.expr(_RENDER))
-    replaced = cut(shown.groupBy("sha").agg(
-        F.sort_array(F.collect_list(F.struct("mi", "pi", F.concat("before", "shown").alias("out")))).alias("outs"),
-        F.sort_array(F.collect_list(F.when(F.col("kind").rlike("^(?:given|surname)_"), F.struct("mi", "pi", "value", "shown")))).alias("people"),
-        F.countDistinct("mi").alias("n"),
-    ), "replaced").selectExpr("sha", "outs", "n", f"{_ALIASES} AS names").selectExpr("sha", "outs", "n", "names", f"{_PATTERN} AS pattern")
+    shown = cut(parts.join(known, ["kind", "normal"], "left").withColumn("shown", F.coalesce(F.expr(_RENDER), "value")), "shown")
+    one = shown.groupBy("sha", "mi").agg(F.sort_array(F.collect_list(F.struct("pi", F.concat("before", "shown").alias("out")))).alias("parts"))
+    outs = one.select("sha", "mi", F.array_join(F.transform("parts", lambda p: p["out"]), "").alias("out"))
+    outs = outs.groupBy("sha").agg(F.sort_array(F.collect_list(F.struct("mi", "out"))).alias("outs"))  # mi runs from 0 without gaps
+    replaced = outs.join(_followed(shown), "sha", "left").withColumn("n", F.size("outs"))
     # Between mentions, names of the document that stand alone follow their surrogate, all in one pass.
-    follow = """IF(pattern IS NULL OR NOT gap RLIKE pattern, gap, array_join(zip_with(
-        split(gap, pattern, -1), regexp_extract_all(gap, pattern, 0), (g, v) -> concat(g, coalesce(names[v], ''))), ''))"""
-    rebuilt = F.expr(f"""array_join(transform(split(body, {_sql(ANY)}, -1), (gap, i) -> concat({follow},
-        array_join(transform(filter(outs, o -> o.mi = i), o -> o.out), ''))), '')""")
+    whole = "coalesce(names[v], array_join(transform(split(v, ' '), w -> coalesce(names[w], w)), ' '))"
+    follow = f"""IF(names IS NULL OR NOT gap RLIKE {_sql(_FOLLOWED)}, gap, array_join(zip_with(
+        split(gap, {_sql(_FOLLOWED)}, -1), regexp_extract_all(gap, {_sql(_FOLLOWED)}, 0), (g, v) -> concat(g, coalesce({whole}, ''))), ''))"""
+    rebuilt = F.expr(f"""array_join(transform(split(body, {_sql(ANY)}, -1), (gap, i) -> concat({follow}, coalesce(get(outs, i).out, ''))), '')""")
     changed = hits.join(replaced, "sha").select("row", rebuilt.alias("fresh"), F.col("n").cast("int").alias("n"))
     clean = marked.where(~F.col("hit")).select("row", F.col("body").alias("fresh"), F.lit(0).alias("n"))
 
