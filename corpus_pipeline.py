@@ -17,7 +17,8 @@ from graphloom.llm.labelled import held_out
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the factorization machine scores below 0.5."""
+    """Documents that the factorization machine scores below 0.5. Every row is judged by its own text,
+    repeated ids too; null and empty texts have a score like any other. An empty table stays empty."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     machine = op7_toxicity.train(docs, labels, ~held_out(5, 0))
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
@@ -25,10 +26,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: the one with the smallest doc_id (five-word
-    shingles, similarity 0.8)."""
-    gone = cut(op4_minhash.near_duplicates(docs).where("not kept").select("doc_id").distinct(), "gone")
-    return join_checked(docs, gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each near-duplicate group: the one with the smallest doc_id (five-word shingles,
+    similarity 0.8). Rows decide, not ids: an id that is repeated with another text keeps that text, and
+    of rows repeated in full one stays. Rows with a null id or without words all stay; an empty table
+    stays empty."""
+    return op4_minhash.one_of_each(docs).select(*docs.columns)
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +55,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_pieces and ids of every document of the mix."""
+    """doc_id, n_pieces and ids of every row of the mix, repeats included; null and empty texts have no
+    pieces. An empty table gives an empty result."""
     return op5_sentencepiece.encode(docs)
 
 

@@ -1,5 +1,7 @@
+import random
 import re
 
+import numpy as np
 import pytest
 
 from graphloom.llm import op4_minhash as op
@@ -33,6 +35,8 @@ def brute(rows, width, percent=80):
 @pytest.mark.parametrize("width", [2, 5])
 def test_components_match_brute_force(spark, near_docs, width, monkeypatch):
     monkeypatch.setattr(op, "BLOCK", 4)  # many block pairs
+    monkeypatch.setattr(op, "REGION", 3)  # open regions
+    monkeypatch.setattr(op, "CHUNK", 16)
     rows = [(r.doc_id, r.text) for r in near_docs.collect()]
     want = brute(rows, width)
     got = op.near_duplicates(near_docs, width=width).collect()
@@ -56,3 +60,61 @@ def test_case_and_white_space(spark):
     docs = spark.createDataFrame([(1, "One TWO\x0bthree"), (2, "one\ttwo   three\n"), (3, "Éa b c"), (4, "éa b c"), (5, "solo"), (6, "SOLO")], "doc_id long, text string")
     got = {r.doc_id: r.component_id for r in op.near_duplicates(docs, width=2).collect()}
     assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5, 6: 5}
+
+
+def test_depth_follows_the_region():
+    """From the deepest prefix on, a region widens while it has at most so many rows."""
+    same = np.array([8, 8, 5, 1, 3, 3, 0, 2])
+    depth, region = op.region_depths(same, 3)
+    assert depth.tolist() == [6, 6, 6, 6, 2, 2, 2, 1, 1]
+    for d, start in zip(depth, region):
+        members = np.flatnonzero(region == start)
+        assert len(members) <= 3 and (d == 0 or (same[members[:-1]] >= d).all())
+    deep, _ = op.region_depths(np.full(9, 8), 3)
+    assert (deep == 0).all()
+
+
+def test_estimates_are_right_on_average():
+    odd, flip = op._coefficients()
+    rng = np.random.default_rng(5)
+    got = []
+    for _ in range(60):
+        base = rng.integers(0, 2**63, 1000, dtype=np.uint64)
+        sets = [np.unique(np.concatenate([base, rng.integers(0, 2**63, 125, dtype=np.uint64)])) for _ in range(2)]
+        bits = [((op.signature(x, odd, flip) >> np.uint32(16)) & 15).astype(np.uint8) for x in sets]
+        words = [(b[0::2] << 4 | b[1::2]).view("<u8") for b in bits]
+        got.append(op._estimates(words[0], words[1]))
+    assert abs(np.mean(got) - 0.8) < 0.02 and min(got) > op.least_estimate(80)
+
+
+def test_recall_just_above_the_threshold(spark):
+    """Pairs of similarity 0.80 to 0.85 among unrelated texts: every one is found, with and without estimates."""
+    rng = random.Random(3)
+    texts, want = [], 0
+    vocabulary = [f"v{i}" for i in range(5000)]
+    for _ in range(700):
+        words = [rng.choice(vocabulary) for _ in range(rng.choice([60, 150, 400]))]
+        copy = list(words)
+        while True:  # one word changed costs two shingles on either side
+            before = list(copy)
+            copy[rng.randrange(len(copy))] = rng.choice(vocabulary)
+            a, b = shingles(" ".join(words), 2), shingles(" ".join(copy), 2)
+            if 100 * len(a & b) < 80 * len(a | b):
+                break
+        texts += [" ".join(words), " ".join(before)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for estimates in (True, False):
+        got = {r.doc_id: r.component_id for r in op.near_duplicates(docs, width=2, estimates=estimates).collect()}
+        found = sum(got[2 * k + 1] == got[2 * k] == 2 * k for k in range(700))
+        assert found == 700, found
+
+
+def test_rows_decide_not_ids(spark):
+    """A repeated id with another text keeps it; of rows repeated in full one stays."""
+    a, b, c = "the first text stands here alone today", "quite another text of the same number", "and a third text that is repeated whole"
+    rows = [(1, a, 1), (7, a, 2), (7, b, 3), (2, c, 4), (2, c, 5), (8, None, 6), (8, "", 7), (None, a, 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key int")
+    kept = op.one_of_each(docs)
+    assert kept.columns == docs.columns
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    assert sorted(got, key=str) == sorted([(1, a), (7, b), (2, c), (8, None), (8, ""), (None, a)], key=str)
