@@ -61,9 +61,11 @@ def test_edges(spark):
 
 
 def test_an_id_with_two_vectors(spark):
+    """Each row is a vector of its own: labels and components do not mix through the id."""
     rows = [(1, [1.0, 0.0], 1), (1, [0.0, 1.0], 1), (2, [1.0, 0.1], 1), (3, [0.1, 1.0], 1), (4, [-1.0, 0.0], 1)]
+    rows += [(9, [1.0, 0.0], 5), (9, [1.0, 0.0], 6), (8, [1.0, 0.1], 5), (10, [1.0, 0.1], 6), (10, [1.0, 0.1], 6)]
     got = op.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
-    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [(1, 2, 1), (1, 2, 1), (2, 1, 1), (3, 1, 1), (4, 0, 4)]
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1), (4, 0, 4), (8, 1, 8), (9, 1, 8), (9, 2, 9), (10, 2, 9), (10, 2, 9)]
 
 
 def test_tables_follow_size():
