@@ -2,7 +2,7 @@
 
 Documents are counted by exact length (words) within each source. A source's target gives every
 document the same number of whole copies; what remains of the budget is first spread evenly over the
-lengths and then fitted by a bounded-knapsack dynamic programme over the leftover length counts. The
+lengths and then fitted, to the optimum, by a bounded-knapsack dynamic programme over length counts. The
 counts tell how many documents of each length get one more copy; which ones is decided by a seeded
 hash. Only length counts meet in one task, never documents.
 """
@@ -22,54 +22,95 @@ from graphloom.functions.scratch import cut, join_checked
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2
-#: The dynamic programme runs over a budget of at most so many words.
-EXACT_BUDGET = 16_384
+#: Words that the dynamic programme first decides about; it widens until the budget is met or nothing is left to free.
+ROOM = 16_384
 #: Documents of one length are ranked in hash buckets of about this size.
 RANKED = 8192
 
 
+def nearest_sum(items: list[tuple[int, int]], target: float) -> dict[int, int]:
+    """Bounded knapsack: how many of each (length, count) give the sum nearest to target, the lower one
+    of two equally near. Bit s of a whole number says that s can be made; counts split in powers of two.
+    Only every so many steps are kept, the ones between are made again on the way back."""
+    aim = math.floor(target)
+    top = aim + max((n for n, _ in items), default=0)
+    mask = (1 << (top + 1)) - 1
+    steps = []
+    for n, c in sorted(items, reverse=True):
+        c, k = min(c, top // n), 1
+        while c > 0:
+            k = min(k, c)
+            steps.append((n, k))
+            c, k = c - k, 2 * k
+    stride = max(1, math.isqrt(len(steps)))
+    reach, kept, done = 1, [], 0
+    for n, k in steps:
+        if target == aim and reach >> aim & 1:
+            break
+        if done % stride == 0:
+            kept.append(reach)
+        reach |= (reach << n * k) & mask
+        done += 1
+    low = (reach & ((1 << (aim + 1)) - 1)).bit_length() - 1
+    above = reach >> (aim + 1)
+    high = (above & -above).bit_length() + aim if above else None
+    at = low if high is None or target - low <= high - target else high
+    taken: dict[int, int] = {}
+    for first in range((done - 1) // stride * stride, -1, -stride) if done else ():
+        before = [kept[first // stride]]
+        for n, k in steps[first : min(first + stride, done) - 1]:
+            before.append(before[-1] | (before[-1] << n * k) & mask)
+        for (n, k), known in zip(reversed(steps[first : min(first + stride, done)]), reversed(before)):
+            if not known >> at & 1:
+                taken[n] = taken.get(n, 0) + k
+                at -= n * k
+    return taken
+
+
 def fit_budget(lengths: dict[int, int], budget: int) -> dict[int, int]:
-    """How many of each length to take (at most the count) so that the words come as near to budget
-    as the search can; exact over the last EXACT_BUDGET words, ties go below."""
-    total = sum(n * c for n, c in lengths.items())
-    if budget <= 0 or total <= 0:
+    """How many of each length to take (at most the count) so that the words come as near to budget as
+    any choice does; ties go below.
+
+    Lengths are divided by their greatest common divisor. An even spread comes first, rounded up from
+    the longest on while there is room; the programme then decides anew about a number of copies of
+    each length, of the short ones first. It widens until the budget is met to the word (or to the
+    nearest multiple of the divisor), or until it has every copy that can matter: with whole numbers, a
+    choice that meets a sum can be turned into one that differs from the spread in at most 3 * longest
+    copies (order the differences so that partial sums stay within the longest length; where one
+    repeats, the copies between cancel), so no more of a length need be free.
+    """
+    unit = math.gcd(*(n for n, c in lengths.items() if n > 0 and c > 0))
+    if budget <= 0 or not unit:
         return {}
-    if budget >= total:
-        return {n: c for n, c in lengths.items() if n > 0}
-    taken = {n: c * budget // total for n, c in lengths.items() if n > 0}
-    rest = budget - sum(n * c for n, c in taken.items())
-    # A few short documents of each length are left to the programme, for fine steps.
-    room = EXACT_BUDGET // 2
-    for n in sorted(taken):
-        k = min(taken[n], 4, room // n)
-        taken[n], rest, room = taken[n] - k, rest + n * k, room - n * k
-    left = {n: lengths[n] - taken[n] for n in taken}
-    # The even spread rounded down; round up from the longest on, one document a length and pass.
-    while rest > EXACT_BUDGET:
-        before = rest
-        for n in sorted(left, reverse=True):
-            if left[n] and rest - n >= EXACT_BUDGET // 2:
-                taken[n], left[n], rest = taken[n] + 1, left[n] - 1, rest - n
-        if rest == before:
-            break
-    # Bounded knapsack: bit s of `reach` says that s words can be made; counts split in powers of two.
-    top = rest + min(max((n for n, c in left.items() if c), default=0), EXACT_BUDGET)
-    mask = (1 << (top + 1)) - 1
-    reach, steps = 1, []
-    for n in sorted((n for n, c in left.items() if c and n <= top), reverse=True):
-        count, k = min(left[n], top // n), 1
-        while count > 0 and not reach >> rest & 1:
-            k = min(k, count)
-            steps.append((n, k, reach))
-            reach |= (reach << n * k) & mask
-            count -= k
+    counts = {n // unit: c for n, c in lengths.items() if n > 0 and c > 0}
+    total, aim = sum(n * c for n, c in counts.items()), budget / unit if budget % unit else budget // unit
+    if aim >= total:
+        return {n * unit: c for n, c in counts.items()}
+    taken = {n: c * budget // (total * unit) for n, c in counts.items()}
+    rest = aim - sum(n * c for n, c in taken.items())
+    order = sorted(counts)
+    for n in reversed(order):
+        if taken[n] < counts[n] and rest >= n:
+            taken[n], rest = taken[n] + 1, rest - n
+    best_gap, room, enough = abs(aim - round(aim)) if budget % unit else 0, ROOM, 3 * order[-1] + 2
+    while True:
+        free, used, k = dict.fromkeys(order, 0), 0, 1
+        cost = lambda n, k: n * (min(taken[n], k) + min(counts[n] - taken[n], k))  # noqa: B023, E731
+        most = {n: min(enough, max(taken[n], counts[n] - taken[n])) for n in order}
+        while k < 2 * max(most.values()):
+            for n in order:
+                more = cost(n, min(k, most[n])) - cost(n, free[n])
+                if used + more <= room:
+                    free[n], used = max(free[n], min(k, most[n])), used + more
             k *= 2
-    at = min((s for d in range(top + 1) for s in (rest - d, rest + d) if 0 <= s <= top and reach >> s & 1), key=lambda s: (abs(s - rest), s)) if not reach >> rest & 1 else rest
-    for n, k, before in reversed(steps):
-        if not before >> at & 1:
-            taken[n] += k
-            at -= n * k
-    return taken
+        base = {n: taken[n] - min(taken[n], free[n]) for n in order}
+        target = aim - sum(n * c for n, c in base.items())
+        chosen = nearest_sum([(n, cost(n, free[n]) // n) for n in order if free[n]], target)
+        result = {n: base[n] + chosen.get(n, 0) for n in order}
+        gap = abs(aim - sum(n * c for n, c in result.items()))
+        if gap <= best_gap or free == most:
+            return {n * unit: c for n, c in result.items()}
+        room *= 8
 
 
 def _plan(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -3,6 +3,8 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
+
 from graphloom.llm import op3_mixing as op
 
 
@@ -73,3 +75,29 @@ def test_large_budget():
 
 def test_empty(spark, empty_docs):
     assert op.mix(empty_docs).count() == 0
+
+
+def test_fit_budget_is_exact_on_long_lengths():
+    """1,000 random tables with lengths to 20,000 words, held against every sum that can be made."""
+    rng = random.Random(5)
+    for _ in range(1000):
+        lengths = {rng.randint(1, rng.choice([5, 100, 2000, 20_000])): rng.randint(1, rng.choice([1, 3, 8])) for _ in range(rng.randint(1, 12))}
+        total = sum(n * c for n, c in lengths.items())
+        budget = rng.randint(1, total)
+        made = np.zeros(total + 1, bool)
+        made[0] = True
+        for n, c in lengths.items():
+            for _ in range(c):
+                more = made.copy()
+                more[n:] |= made[:-n]
+                made = more
+        sums = np.flatnonzero(made)
+        want = min(sums.tolist(), key=lambda s: (abs(s - budget), s))
+        got = op.fit_budget(lengths, budget)
+        assert sum(n * c for n, c in got.items()) == want and all(0 <= c <= lengths[n] for n, c in got.items())
+
+
+def test_fit_budget_on_many_documents():
+    assert sum(n * c for n, c in op.fit_budget({n: 1000 for n in range(1, 20_001)}, 10**11 + 7).items()) == 10**11 + 7
+    got = op.fit_budget({7 * n: 3 for n in range(1, 3000)}, 10**6 + 3)
+    assert sum(n * c for n, c in got.items()) == 10**6 + 6  # the nearest multiple of seven
