@@ -17,7 +17,8 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, learnable: Column, pe
 
     Ids that are null or not learnable are left out, as are labels other than 0 and 1; an id that
     is labelled both ways counts as the label it has more often, 1 if equal. The chosen ids are at
-    most 2 * per_class, which bounds what is broadcast. An id with several rows counts by row.
+    most 2 * per_class, which bounds what is broadcast. An id with several rows counts once, with its
+    smallest text, so the rows returned are at most 2 * per_class as well.
     """
     known = (
         labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & learnable)
@@ -33,4 +34,4 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, learnable: Column, pe
     if chosen is None:
         chosen = known.withColumn("weight", F.lit(1.0)).limit(0)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.join(F.broadcast(chosen), "doc_id")
+    return rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y"), F.first("weight").alias("weight"))

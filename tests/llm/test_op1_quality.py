@@ -1,8 +1,10 @@
 from zlib import crc32
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from graphloom.llm import op1_quality as op
+from graphloom.llm.labelled import sample
 
 
 def labelled(spark, n=160):
@@ -36,3 +38,11 @@ def test_edges(spark, edge_docs, empty_docs):
     assert op.classify(empty_docs, labels).count() == 0
     no_labels = spark.createDataFrame([(1, None, None)], "doc_id long, quality int, toxic int")
     assert {r.score for r in op.classify(edge_docs, no_labels).collect()} == {0.5}
+
+
+def test_sample_is_bounded(spark):
+    """A labelled id that is repeated over many rows counts with one text."""
+    docs = spark.range(5000).selectExpr("1L AS doc_id", "concat('text ', id) AS text").unionByName(spark.createDataFrame([(2, None), (3, "b"), (3, "a")], "doc_id long, text string"))
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id long, quality int")
+    got = sorted((r.doc_id, r.text, r.y) for r in sample(docs, labels, "quality", F.lit(True), 10).collect())
+    assert got == [(1, "text 0", 1), (2, None, 0), (3, "a", 0)]
