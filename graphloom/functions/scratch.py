@@ -9,11 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Spark's setting to remove an execution's shuffle files at its end.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir; only where that is unset (local tests), a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not held.isDefined() and spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
         found = held.get() if held.isDefined() else tempfile.mkdtemp(prefix="graphloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -26,10 +32,16 @@ def scratch_dir(spark: SparkSession) -> str:
 
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back: the plan starts anew from files
-    that survive the loss of any executor. Results may read these files until sweep()."""
+    that survive the loss of any executor. Results may read these files until sweep(). The shuffle
+    files of the write itself are of no more use once the table is there, and are removed."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
