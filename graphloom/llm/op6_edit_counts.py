@@ -5,31 +5,44 @@ gives the same tokens as encoding both together. A segment tree over the leaves
 characters and tokens. An edit finds its leaves by descending the character sums, takes in a
 neighbouring leaf wherever the edit has spoilt the cut to it, re-encodes that region alone and
 updates the sums on the paths above it.
+
+The trees are kept: build_trees gives a table with the characters and tokens of every leaf, and
+apply_edits reads it, so that later batches of edits encode what they touch and nothing else.
+Documents without edits pass through without a Python worker.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
+from itertools import accumulate, pairwise
 
 import pyarrow as pa
+import regex
 import tiktoken
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from graphloom.functions.scratch import cut
 from graphloom.llm import tokens
 from graphloom.llm.texts import small_batches
 
 #: Leaves hold at least so many characters (but for the last).
 LEAF = 256
 
-#: Between a mark that is no space and a single space before another such mark, no pre-token spans.
-_CUT = re.compile(r"(?<=\S) (?=\S)")
+#: No pre-token spans these places, whatever stands further left or right: before white space; between
+#: letters, digits and marks, but for an apostrophe before a letter, which may be a contraction.
+_CUT = regex.compile(
+    r"(?<=\P{White_Space})(?=\p{White_Space})|(?<=\p{L})(?=[\p{N}\p{P}\p{S}])|(?<=\p{N})(?=[\p{L}\p{P}\p{S}])"
+    r"|(?<=[\p{P}\p{S}])(?=\p{N})|(?<=[\p{P}\p{S}--'])(?=\p{L})",
+    regex.V1,
+)
 
 
 def cut_leaves(text: str, size: int = LEAF) -> list[str]:
-    """Leaves of at least size characters that can be encoded one by one."""
+    """Leaves of at least size characters that can be encoded one by one. A run of letters alone, however
+    long, is one pre-token and stays in one leaf."""
     leaves, start = [], 0
     while len(text) - start > size:
         found = _CUT.search(text, start + size)
@@ -95,9 +108,12 @@ class CountTree:
             region += self.leaves[last]
         slots = last - first + 1
         pieces = cut_leaves(region)
-        if len(pieces) > slots:  # the slots of the region stay; the last takes the rest
-            pieces = [*pieces[: slots - 1], "".join(pieces[slots - 1 :])]
         counts = [len(self.encode.encode_ordinary(x)) for x in pieces]
+        if len(pieces) > slots:  # the region grew: new sums over the known leaves, nothing else is encoded
+            known = self.tokens[self.width : self.width + len(self.leaves)]
+            leaves = [*self.leaves[:first], *pieces, *self.leaves[last + 1 :]]
+            self.__init__("", self.encode, [*known[:first], *counts, *known[last + 1 :]], leaves)
+            return len(region)
         pieces += [""] * (slots - len(pieces))
         counts += [0] * (slots - len(counts))
         nodes = set()
@@ -110,14 +126,12 @@ class CountTree:
             for node in nodes:
                 self._sum(node)
             nodes = {node // 2 for node in nodes if node > 1}
-        if len(self.leaves) > 1 and max(map(len, pieces)) > 16 * LEAF:
-            self.__init__("".join(self.leaves), self.encode)
         return len(region)
 
     @staticmethod
     def _parts(left: str, right: str) -> bool:
         """Whether the place between two leaves is a cut; next to an empty leaf it is not one."""
-        return bool(left and len(right) > 1 and right[0] == " " and not left[-1].isspace() and not right[1].isspace())
+        return bool(left and right and _CUT.match(left[-1] + right[0], 1))
 
 
 def attach_edits(docs: DataFrame, edits: DataFrame) -> DataFrame:
@@ -129,36 +143,81 @@ def attach_edits(docs: DataFrame, edits: DataFrame) -> DataFrame:
     return docs.drop("edits").join(per, "doc_id", "left")
 
 
-def count_with_edits(docs: DataFrame, edits: Column, vocabulary: Broadcast) -> DataFrame:
-    """doc_id, n_tokens (before), n_tokens_after (the edits in order), n_leaves, n_encoded (characters
-    encoded again) for every row of docs.
+_LEAVES = "chars array<int>, tokens array<int>"
 
-    edits is an array of structs with at, removed and inserted, by position in characters of the text
-    as the earlier edits left it; null edits or parts of them count as none. A null text counts as
-    empty and can be edited. Repeated rows are counted alike; further columns are ignored.
-    """
-    rows = docs.select("doc_id", "text", edits.alias("edits"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
+
+def build_trees(docs: DataFrame, vocabulary: Broadcast) -> DataFrame:
+    """docs with columns chars and tokens: arrays with the characters and tokens of every leaf of `text`,
+    in order. Every text is encoded once, whole; a null text has one empty leaf. All other columns pass
+    through (but for earlier ones of these names), repeated rows too; an empty table stays empty."""
+    rows = docs.drop("chars", "tokens")
+    at = rows.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokens.encoder(vocabulary.value)
         for batch in small_batches(batches, 256):
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            leaves = [cut_leaves(t) for t in texts]
-            out: list[list[int]] = [[], [], [], []]
-            for ls, steps in zip(leaves, batch.column(2).to_pylist()):
-                tree = CountTree("", encode, leaves=ls)
+            leaves = [cut_leaves(t or "") for t in batch.column(at).to_pylist()]
+            chars = [[len(x) for x in ls] for ls in leaves]
+            counts = [[len(encode.encode_ordinary(x)) for x in ls] for ls in leaves]
+            made = [pa.array(c, pa.list_(pa.int32())) for c in (chars, counts)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, "chars", "tokens"])
+
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, *StructType.fromDDL(_LEAVES).fields]))
+
+
+def apply_edits(trees: DataFrame, vocabulary: Broadcast, edits: str = "edits") -> DataFrame:
+    """A table of trees with the edits of each row applied: text, chars and tokens are brought up to
+    date, the column of edits is gone, and n_tokens_before, n_tokens and n_encoded (characters encoded
+    for the edits) are added.
+
+    Edits are arrays of structs with at, removed and inserted, by position in characters of the text as
+    the earlier edits left it; null edits or parts of them count as none. Rows without edits keep their
+    counts and are neither encoded nor sent to a Python worker. Existing columns of the three names are
+    replaced."""
+    fresh = ["n_tokens_before", "n_tokens", "n_encoded"]
+    rows = trees.drop(*fresh)
+    kept = [c for c in rows.columns if c != edits]
+    known = F.aggregate("tokens", F.lit(0).cast("long"), lambda s, x: s + x)
+    has = F.coalesce(F.size(edits) > 0, F.lit(False))
+    untouched = rows.where(~has).select(*kept, known.alias("n_tokens_before"), known.alias("n_tokens"), F.lit(0).cast("long").alias("n_encoded"))
+    touched = rows.where(has).select(*kept, edits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = tokens.encoder(vocabulary.value)
+        for batch in small_batches(batches, 256):
+            column = dict(zip(batch.schema.names, batch.columns))
+            texts, out = [], [[], [], [], [], []]
+            for text, chars, counts, steps in zip(*(column[c].to_pylist() for c in ("text", "chars", "tokens", edits))):
+                ends = [0, *accumulate(chars)]
+                tree = CountTree("", encode, counts, [(text or "")[a:b] for a, b in pairwise(ends)])
                 before, again = tree.total, 0
-                for step in steps or []:
+                for step in steps:
                     if step:
                         again += tree.edit(step["at"] or 0, step["removed"] or 0, step["inserted"] or "")
-                for column, value in zip(out, (before, tree.total, len(tree.leaves), again)):
-                    column.append(value)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(c, pa.int64()) for c in out)], names=["doc_id", "n_tokens", "n_tokens_after", "n_leaves", "n_encoded"]
-            )
+                filled = [(len(x), n) for x, n in zip(tree.leaves, tree.tokens[tree.width :]) if x] or [(0, 0)]
+                texts.append("".join(tree.leaves) if again else text)
+                for values, value in zip(out, ([c for c, _ in filled], [n for _, n in filled], before, tree.total, again)):
+                    values.append(value)
+            column |= {"text": pa.array(texts, pa.string())}
+            column |= {n: pa.array(v, pa.list_(pa.int32())) for n, v in zip(("chars", "tokens"), out)}
+            made = [pa.array(v, pa.int64()) for v in out[2:]]
+            yield pa.RecordBatch.from_arrays([*(column[c] for c in kept), *made], names=[*kept, *fresh])
+
+    return untouched.unionByName(touched.mapInArrow(run, untouched.schema))
 
-    return rows.mapInArrow(run, f"doc_id {kind}, n_tokens long, n_tokens_after long, n_leaves long, n_encoded long")
+
+def count_with_edits(docs: DataFrame, edits: Column, vocabulary: Broadcast) -> DataFrame:
+    """doc_id, n_tokens (before), n_tokens_after (the edits in order), n_leaves, n_encoded (characters
+    encoded again) for every row of docs: the trees are built and kept as a table, then the edits are
+    applied to that table.
+
+    A null text counts as empty and can be edited. Repeated rows are counted alike; further columns are
+    ignored. An empty table gives an empty result.
+    """
+    trees = cut(build_trees(docs.select("doc_id", "text", edits.alias("edits")), vocabulary), "trees")
+    return apply_edits(trees, vocabulary).select(
+        "doc_id", F.col("n_tokens_before").alias("n_tokens"), F.col("n_tokens").alias("n_tokens_after"), F.size("tokens").cast("long").alias("n_leaves"), "n_encoded"
+    )
 
 
 def revision(text: Column) -> Column:
