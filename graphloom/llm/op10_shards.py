@@ -4,14 +4,18 @@ Documents are encoded once; every document gives sequences of a fixed number of
 padded). Sequences are numbered densely, independent of the table's file layout: documents are dealt
 to hash buckets, ordered by hash and id within a bucket, and buckets get offsets from their counts. A
 keyed Feistel permutation of [0, 2**bits) with cycle-walking turns the number into a slot of [0, N),
-so the order is a pseudo-random permutation that needs no sort of all sequences. Slots are
-range-partitioned into shards of a fixed number of rows; every row has the same stride, so slot s
-lies at byte (s mod rows) * stride of shard s div rows, and a reader resumes at any slot.
+so the order is a pseudo-random permutation that needs no sort of all sequences. Slots are dealt to
+range partitions that begin at shard edges, and each partition writes its shards: a file of records of
+one stride (the ids, then a line feed). Slot s lies at byte (s mod rows) * stride of shard s div rows,
+and a reader goes on from any slot. An index table next to the shards says which document a slot
+holds. Everything is written by Spark's own writers, so the folder may be on any file system of the
+cluster, and a task that is run again leaves nothing twice.
 """
 
 from __future__ import annotations
 
-import os
+import hashlib
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,14 +25,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from graphloom.functions.scratch import cut
+from graphloom.functions.scratch import cut, shared_dir
 from graphloom.llm import tokens
 from graphloom.llm.texts import mix, small_batches
 
 LENGTH = 512
 SHARD_ROWS = 4096
-#: Hash buckets for numbering; each is numbered in one task.
-BUCKETS = 4096
+#: Documents of a hash bucket, in which sequences are numbered in one task; and the fewest buckets.
+BUCKET_ROWS, FEWEST = 20_000, 64
+#: Bytes of shards that one task writes, about.
+TASK_BYTES = 64 << 20
 ROUNDS = 6
 
 
@@ -71,20 +77,12 @@ def _encode(batches: Iterator[pa.RecordBatch], vocabulary: Broadcast, length: in
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["bucket", "at", "doc_id", "part", "n_tokens", "ids"])
 
 
-def training_order(
-    docs: DataFrame, vocabulary: Broadcast, key: int = 20240501, length: int = LENGTH, shard_rows: int = SHARD_ROWS
-) -> DataFrame:
-    """slot, shard, row, doc_id, part (number of the sequence in its document), n_tokens (without
-    padding) and payload (length little-endian 16-bit ids, padded with the end-of-text id), range-
-    partitioned and sorted by slot.
-
-    A null or empty text gives one sequence that holds the end-of-text id alone. Null doc_ids and
-    repeated rows are encoded like any other; equal rows may swap places. Slots are exactly
-    0..N-1. An empty table gives an empty result. Further columns are ignored.
-    """
+def _placed(docs: DataFrame, vocabulary: Broadcast, key: int, length: int) -> tuple[DataFrame, int]:
+    """(slot, doc_id, part, n_tokens, ids) of every sequence, in no order, and their number."""
     spread = F.xxhash64("doc_id", "text")
+    buckets = max(FEWEST, -(-docs.count() // BUCKET_ROWS))
     rows = docs.select(
-        F.pmod(spread, F.lit(BUCKETS)).cast("int").alias("bucket"), F.col("doc_id").cast("long").alias("doc_id"), "text", spread.alias("spread")
+        F.pmod(spread, F.lit(buckets)).cast("int").alias("bucket"), F.col("doc_id").cast("long").alias("doc_id"), "text", spread.alias("spread")
     )
     rows = rows.repartition("bucket").sortWithinPartitions("bucket", "spread", "doc_id").select("bucket", "doc_id", "text")
     encoded = cut(
@@ -94,7 +92,7 @@ def training_order(
         ),
         "encoded",
     )
-    # One row a bucket: bounded by BUCKETS.
+    # One row a bucket.
     counts = encoded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
     before = F.sum("n").over(Window.orderBy("bucket")) - F.col("n")
     offsets = cut(counts.select("bucket", before.alias("offset"), "n"), "offsets")
@@ -106,41 +104,92 @@ def training_order(
 
         return pd.Series(feistel(index.to_numpy(), total, key))
 
-    pad = F.lit(np.array([tokens.END_OF_TEXT], "<u2").tobytes())
     placed = encoded.join(F.broadcast(offsets), "bucket").select(
         slot(F.col("offset") + F.col("at")).alias("slot"), "doc_id", "part", "n_tokens", "ids"
     )
-    shards = placed.repartitionByRange("slot").sortWithinPartitions("slot")
-    return shards.select(
-        "slot",
-        F.floor(F.col("slot") / shard_rows).cast("long").alias("shard"),
-        F.pmod("slot", F.lit(shard_rows)).cast("int").alias("row"),
-        "doc_id", "part", "n_tokens",
-        F.rpad(F.col("ids"), F.lit(2 * length), pad).alias("payload"),
-    )
+    return placed, total
+
+
+def _payload(length: int):
+    return F.rpad(F.col("ids"), F.lit(2 * length), F.lit(np.array([tokens.END_OF_TEXT], "<u2").tobytes()))
 
 
-def write_shards(ordered: DataFrame, directory: str, length: int = LENGTH, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """Writes shard-NNNNNNNN.bin files of fixed stride below a shared directory, one task a shard.
-    A shard is written under another name and renamed, so a reader never sees half a file; a shard
-    that is there in full length already is left as it is, so a broken run resumes. Returns shard,
-    rows and bytes."""
-    stride = 2 * length
+def _dealt(placed: DataFrame, total: int, length: int, shard_rows: int) -> DataFrame:
+    """With shard and row, in range partitions that begin at shard edges, sorted."""
+    shards = max(1, -(-total // shard_rows))
+    tasks = min(shards, max(placed.sparkSession.sparkContext.defaultParallelism, -(-total * 2 * length // TASK_BYTES)))
+    rows = placed.withColumn("shard", F.floor(F.col("slot") / shard_rows).cast("long")).withColumn("row", F.pmod("slot", F.lit(shard_rows)).cast("int"))
+    task = F.floor(F.col("shard") * tasks / shards).cast("int")
+    return rows.withColumn("task", task).repartitionById(tasks, "task").sortWithinPartitions("shard", "slot").drop("task")
 
-    def write(key, table):
-        table = table.sort_by("row")
-        path = f"{directory}/shard-{key[0].as_py():08d}.bin"
-        whole = table.num_rows * stride
-        if not (os.path.exists(path) and os.path.getsize(path) == whole):
-            with open(f"{path}.{os.getpid()}", "wb") as f:
-                for row, payload in zip(table["row"].to_pylist(), table["payload"].to_pylist()):
-                    f.seek(row * stride)
-                    f.write(payload)
-            os.replace(f"{path}.{os.getpid()}", path)
-        return pa.table({"shard": [key[0].as_py()], "rows": [table.num_rows], "bytes": [whole]})
 
-    return ordered.select("shard", "row", "payload").groupBy("shard").applyInArrow(write, "shard long, rows long, bytes long")
+def training_order(
+    docs: DataFrame, vocabulary: Broadcast, key: int = 20240501, length: int = LENGTH, shard_rows: int = SHARD_ROWS
+) -> DataFrame:
+    """slot, shard, row, doc_id, part (number of the sequence in its document), n_tokens (without
+    padding) and payload (length little-endian 16-bit ids, padded with the end-of-text id), range-
+    partitioned at shard edges and sorted by slot.
+
+    A null or empty text gives one sequence that holds the end-of-text id alone. Null doc_ids and
+    repeated rows are encoded like any other; equal rows may swap places, and are numbered in one task.
+    Slots are exactly 0..N-1. An empty table gives an empty result. Further columns are ignored.
+    """
+    placed, total = _placed(docs, vocabulary, key, length)
+    return _dealt(placed, total, length, shard_rows).select("slot", "shard", "row", "doc_id", "part", "n_tokens", _payload(length).alias("payload"))
+
+
+def _manifest(docs: DataFrame, vocabulary: Broadcast, key: int, length: int, shard_rows: int) -> dict:
+    """What the bytes of the shards follow from; the input by its number of rows and sums of two hashes."""
+    h = [F.xxhash64(F.lit(k), "doc_id", "text") for k in (1, 2)]
+    n, a, b = docs.agg(F.count(F.lit(1)), F.sum(h[0].bitwiseAND(F.lit(2**40 - 1))), F.sum(h[1].bitwiseAND(F.lit(2**40 - 1)))).first()
+    raw = vocabulary.value
+    return {"key": key, "length": length, "shard_rows": shard_rows, "rows": n, "input": [a or 0, b or 0], "vocabulary": hashlib.sha256(raw).hexdigest()}
+
+
+def _exists(spark, path: str) -> bool:
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(found)
+
+
+def write_shards(
+    docs: DataFrame, vocabulary: Broadcast, directory: str, key: int = 20240501, length: int = LENGTH, shard_rows: int = SHARD_ROWS
+) -> str:
+    """Writes the training order below a folder of the cluster and returns the order's own folder.
+
+    Its name is the digest of a manifest: key, length, rows a shard, vocabulary and a digest of the input
+    rows, so orders of another key or other texts never mix. shards/shard=N holds one file, index the
+    rows (slot, shard, row, doc_id, part, n_tokens, crc of the ids), manifest the manifest. The manifest
+    is written last: an order that has one is whole and left as it is; one without is written anew.
+    """
+    spark = docs.sparkSession
+    said = json.dumps(_manifest(docs, vocabulary, key, length, shard_rows), sort_keys=True)
+    folder = f"{directory.rstrip('/')}/order-{hashlib.sha256(said.encode()).hexdigest()[:24]}"
+    if _exists(spark, f"{folder}/manifest/_SUCCESS"):
+        return folder
+    placed, total = _placed(docs, vocabulary, key, length)
+    dealt = _dealt(placed.select("slot", "ids"), total, length, shard_rows)
+    dealt.select("shard", _payload(length).cast("string").alias("record")).write.mode("overwrite").partitionBy("shard").text(f"{folder}/shards")
+    places = [F.floor(F.col("slot") / shard_rows).cast("long").alias("shard"), F.pmod("slot", F.lit(shard_rows)).cast("int").alias("row")]
+    placed.select("slot", *places, "doc_id", "part", "n_tokens", F.crc32(_payload(length)).alias("crc")).write.mode("overwrite").parquet(f"{folder}/index")
+    spark.createDataFrame([(said, total)], "settings string, sequences long").coalesce(1).write.mode("overwrite").json(f"{folder}/manifest")
+    return folder
+
+
+def read_shards(spark, folder: str, first_slot: int = 0) -> DataFrame:
+    """slot and payload of an order from first_slot on; shards before it are not opened."""
+    held = spark.read.json(f"{folder}/manifest").first()
+    settings = json.loads(held["settings"])
+    stride, rows = 2 * settings["length"] + 1, settings["shard_rows"]
+    if not held["sequences"]:
+        return spark.createDataFrame([], "slot long, payload binary")
+    files = spark.read.format("binaryFile").load(f"{folder}/shards").where(F.col("shard") >= first_slot // rows)
+    records = files.select("shard", "content", F.explode(F.sequence(F.lit(0), (F.col("length") / stride - 1).cast("int"))).alias("row"))
+    slot = (F.col("shard").cast("long") * rows + F.col("row")).alias("slot")
+    return records.select(slot, F.substring("content", F.col("row") * stride + 1, F.lit(stride - 1)).alias("payload")).where(F.col("slot") >= first_slot)
 
 
 def query(spark, sf_dir):
-    return training_order(spark.read.parquet(f"{sf_dir}/documents.parquet"), tokens.vocabulary(spark))
+    """Writes the shards of all documents below the shared folder and returns their index."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    folder = write_shards(docs, tokens.vocabulary(spark), f"{shared_dir(spark)}/graphloom/training-order")
+    return spark.read.parquet(f"{folder}/index")

@@ -1,3 +1,5 @@
+from zlib import crc32
+
 import numpy as np
 
 from graphloom.llm import op10_shards as op
@@ -24,15 +26,34 @@ def test_slots_are_dense_and_payloads_round_trip(spark, edge_docs, tmp_path):
     for d in edge_docs.where("doc_id <> 5").collect():
         ids = per[str(d.doc_id)]
         assert ids[-1] == tokens.END_OF_TEXT and encode.decode(ids[:-1]) == (d.text or "")
-    written = op.write_shards(ordered, str(tmp_path), length=64, shard_rows=16).collect()
-    assert sum(w.rows for w in written) == len(rows)
-    for r in rows:
-        with open(tmp_path / f"shard-{r.shard:08d}.bin", "rb") as f:
-            f.seek(r.row * 128)
-            assert f.read(128) == bytes(r.payload)
-    before = {p.name: p.stat().st_mtime_ns for p in tmp_path.iterdir()}
-    op.write_shards(ordered, str(tmp_path), length=64, shard_rows=16).collect()
-    assert before == {p.name: p.stat().st_mtime_ns for p in tmp_path.iterdir()}
+    folder = op.write_shards(edge_docs, vocabulary, str(tmp_path), length=64, shard_rows=16)
+    index = {r.slot: r for r in spark.read.parquet(f"{folder}/index").collect()}
+    want = {r.slot: bytes(r.payload) for r in rows}
+    assert {s: (r.doc_id, r.part, r.n_tokens) for s, r in index.items()} == {r.slot: (r.doc_id, r.part, r.n_tokens) for r in rows}
+    for slot, r in index.items():
+        (file,) = (tmp_path / folder / "shards" / f"shard={r.shard}").glob("*.txt")
+        with open(file, "rb") as f:
+            f.seek(r.row * 129)
+            record = f.read(129)
+        assert record == want[slot] + b"\n" and r.crc == crc32(want[slot])
+    assert {r.slot: bytes(r.payload) for r in op.read_shards(spark, folder).collect()} == want
+    half = len(rows) // 2
+    assert sorted(r.slot for r in op.read_shards(spark, folder, half).collect()) == list(range(half, len(rows)))
+
+
+def test_an_order_is_written_once_and_never_mixed(spark, near_docs, tmp_path):
+    vocabulary = tokens.vocabulary(spark)
+    write = lambda docs, **kw: op.write_shards(docs, vocabulary, str(tmp_path), length=32, shard_rows=16, **kw)
+    stamps = lambda folder: {p.name: p.stat().st_mtime_ns for p in (tmp_path / folder).rglob("*") if p.is_file()}
+    folder = write(near_docs)
+    before = stamps(folder)
+    assert write(near_docs.repartition(5)) == folder and stamps(folder) == before
+    other, fewer = write(near_docs, key=2), write(near_docs.where("doc_id > 10"))
+    assert len({folder, other, fewer}) == 3 and stamps(folder) == before
+    (tmp_path / folder / "manifest" / "_SUCCESS").unlink()  # as if it broke before the end
+    assert write(near_docs) == folder and stamps(folder) != before
+    a, b = ([bytes(r.payload) for r in op.read_shards(spark, f).orderBy("slot").collect()] for f in (folder, other))
+    assert sorted(a) == sorted(b) and a != b
 
 
 def test_order_does_not_follow_the_layout(spark, near_docs):
@@ -42,5 +63,7 @@ def test_order_does_not_follow_the_layout(spark, near_docs):
     assert a == b
 
 
-def test_empty(spark, empty_docs):
+def test_empty(spark, empty_docs, tmp_path):
     assert op.training_order(empty_docs, tokens.vocabulary(spark)).count() == 0
+    folder = op.write_shards(empty_docs, tokens.vocabulary(spark), str(tmp_path))
+    assert spark.read.parquet(f"{folder}/index").count() == 0 and op.read_shards(spark, folder).count() == 0
