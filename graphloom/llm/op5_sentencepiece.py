@@ -399,5 +399,16 @@ def decode(encoded: DataFrame, path: str = MODEL) -> DataFrame:
     return plain.mapInArrow(run, StructType([*plain.schema.fields, StructField("text", StringType())]))
 
 
+def round_trip(docs: DataFrame, path: str = MODEL, head: int = HEAD) -> DataFrame:
+    """doc_id, n_pieces, ids, and restored: whether the decoded ids give the text back (null for a null
+    text). The mark that stands for a space counts as a space, as it does for the library."""
+    digest = lambda text: F.xxhash64(F.regexp_replace(text, SPACE, " "))
+    hashed = docs.select(F.struct("doc_id", digest("text").alias("h"), F.col("text").isNull().alias("gone")).alias("doc_id"), "text")
+    back = decode(encode(hashed, path, head), path)
+    restored = F.when(~F.col("doc_id.gone"), digest("text") == F.col("doc_id.h")).alias("restored")
+    return back.select(F.col("doc_id.doc_id").alias("doc_id"), "n_pieces", "ids", restored)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """Encodes all documents, decodes what came out, and says whether the texts came back."""
+    return round_trip(spark.read.parquet(f"{sf_dir}/documents.parquet"))

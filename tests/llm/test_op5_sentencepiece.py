@@ -58,3 +58,11 @@ def test_unigram_viterbi_equals_the_library(spark, tmp_path):
 
 def test_empty(spark, empty_docs):
     assert op.encode(empty_docs).count() == 0
+
+
+def test_round_trip_says_what_came_back(spark, edge_docs, empty_docs):
+    rows = op.round_trip(edge_docs).collect()
+    assert len(rows) == edge_docs.count() and all(r.restored is (None if r.ids is None else True) for r in rows)
+    marks = spark.createDataFrame([(1, "a▁b  c\n"), (2, " lead"), (3, "▁"), (4, "\x01\u2028🙂")], "doc_id long, text string")
+    assert all(r.restored for r in op.round_trip(marks).collect())
+    assert op.round_trip(empty_docs).count() == 0
