@@ -8,7 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
+from graphloom.functions.scratch import exists, fingerprint, scratch_dir
 from graphloom.session import table
 
 
@@ -47,8 +49,32 @@ def raw_touches(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def touches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One edge per (commit, file): first change type by line number, latest time, summed additions."""
+def touches(spark: SparkSession, sf_dir: str, since: str | None = None, until: str | None = None) -> DataFrame:
+    """One edge per (commit, file): first change type by line number, latest time, summed additions; with
+    since or until, those of a window of time.
+
+    The merge shuffles all line items, so it is done once for a state of the table (its length and time of
+    change) and an application, as an ingestion would: the edges are written to the shared folder by month, and
+    every later query reads them there. A window prunes months before it filters.
+    """
+    source = f"{sf_dir}/lineitem.parquet"
+    kept = f"{scratch_dir(spark)}/touched-{fingerprint(spark, source)}"
+    if not exists(spark, f"{kept}/_SUCCESS"):
+        merged = _merged(spark, sf_dir).withColumn("month", F.date_format("ts", "yyyy-MM"))
+        merged.hint("rebalance", "month").sortWithinPartitions("month", "ts").write.mode("overwrite").partitionBy("month").parquet(kept)
+    rows = spark.read.schema(_schema(spark, sf_dir)).parquet(kept)
+    if since:
+        rows = rows.where((F.col("month") >= since[:7]) & (F.col("ts") >= F.lit(since).cast("timestamp")))
+    if until:
+        rows = rows.where((F.col("month") <= until[:7]) & (F.col("ts") <= F.lit(until).cast("timestamp")))
+    return rows.drop("month")
+
+
+def _schema(spark: SparkSession, sf_dir: str) -> StructType:
+    return StructType([*_merged(spark, sf_dir).schema.fields, StructField("month", StringType())])
+
+
+def _merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         raw_touches(spark, sf_dir)
         .groupBy("hash", "path")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 
@@ -45,11 +46,29 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _file_system(spark: SparkSession, path: str):
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), found
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, on whatever file system the path names."""
+    system, found = _file_system(spark, path)
+    return system.exists(found)
+
+
+def fingerprint(spark: SparkSession, path: str) -> str:
+    """A digest of a table's path, length and last change: another one when the table is another."""
+    system, found = _file_system(spark, path)
+    state = f"{path}|{system.getContentSummary(found).getLength()}|{system.getFileStatus(found).getModificationTime()}"
+    return hashlib.sha256(state.encode()).hexdigest()[:24]
+
+
 def sweep(spark: SparkSession) -> bool:
     """Deletes this application's intermediate tables, through Spark's own file system. Call it when
     results are written; DataFrames that still read the tables fail afterwards."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
-    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    system, found = _file_system(spark, scratch_dir(spark))
+    return system.delete(found, True)
 
 
 def join_checked(big: DataFrame, small: DataFrame, on, how: str = "inner", max_rows: int = 1_000_000) -> DataFrame:

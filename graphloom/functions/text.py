@@ -30,23 +30,27 @@ def markdown_chunks(docs: DataFrame, levels: str = "{2,3}", least: int = 50) ->
 def slug_chunks(docs: DataFrame, most: int = 4000) -> DataFrame:
     """Sections by headings of level 1 to 3 with ids path#slug-NN, NN counting within the level."""
     rows = docs.select("path", F.posexplode(F.split("text", "\n")).alias("k", "line"))
-    head = rows.where(F.col("line").rlike("^#{1,3} ")).withColumn("level", F.length(F.regexp_extract("line", "^(#+)", 1)))
-    w = Window.partitionBy("path").orderBy("k")
-    head = head.withColumn("until", F.lead("k").over(w)).withColumn("nn", F.row_number().over(Window.partitionBy("path", "level").orderBy("k")))
-    body = rows.select("path", F.col("k").alias("at"), F.col("line").alias("body"))
-    inside = head.join(body, "path").where("at >= k AND (until IS NULL OR at < until)")
-    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "body"))), lambda x: x["body"]), "\n")
-    return inside.groupBy("path", "k", "line", "level", "nn").agg(F.substring(text, 1, most).alias("text")).select(
+    is_head = F.col("line").rlike("^#{1,3} ")
+    rows = rows.withColumn("section", F.sum(is_head.cast("int")).over(Window.partitionBy("path").orderBy("k"))).where("section > 0")
+    body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "line"))), lambda x: x["line"]), "\n")
+    parts = rows.groupBy("path", "section").agg(F.min_by("line", "k").alias("line"), F.substring(body, 1, most).alias("text"))
+    parts = parts.withColumn("level", F.length(F.regexp_extract("line", "^(#+)", 1)))
+    return parts.withColumn("nn", F.row_number().over(Window.partitionBy("path", "level").orderBy("section"))).select(
         F.concat(F.col("path"), F.lit("#"), slugify(F.regexp_replace("line", "^#+ ", "")), F.lit("-"), F.lpad(F.col("nn").cast("string"), 2, "0")).alias("id"), "level", "text"
     )
 
 
-def paragraph_chunks(docs: DataFrame, key: str, text: str, whole: int = 10_000) -> DataFrame:
-    """Paragraphs by blank lines; a text with a single paragraph of at most `whole` characters stays whole."""
+def paragraph_chunks(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """Paragraphs by blank lines, trimmed; blank ones are dropped."""
     rows = docs.select(key, F.posexplode(F.split(text, "\n\n+")).alias("n", "chunk"))
     return rows.where(F.length(F.trim("chunk")) > 0).select(key, "n", F.trim("chunk").alias("chunk"))
 
 
+def whole_chunks(docs: DataFrame, key: str, text: str, most: int = 10_000) -> DataFrame:
+    """One chunk a text, for files that are not split: its first `most` characters and its full length."""
+    return docs.where(F.length(text) > 0).select(key, F.substring(text, 1, most).alias("chunk"), F.length(text).alias("length"))
+
+
 def sliding_chunks(docs: DataFrame, key: str, text: str, size: int = 40, overlap: int = 20) -> DataFrame:
     """Windows of `size` lines that overlap; the last may be shorter, a shorter text gives one window."""
     lines = F.split(text, "\n")
@@ -140,3 +144,17 @@ def token_hits(docs: DataFrame, key: str, text: str, terms: list[str]) -> DataFr
     pre-aggregated pass."""
     tokens = docs.select(key, F.explode(F.split(F.lower(text), r"[^\p{L}\p{N}]+")).alias("t")).where(F.col("t").isin([t.lower() for t in terms]))
     return tokens.groupBy(key).agg(F.countDistinct("t").alias("matched"), F.count(F.lit(1)).alias("score"))
+
+
+def labelled_hits(indexes: dict[str, tuple[DataFrame, str, list[str]]], terms: list[str], label: str | None = None, limit: int = 50) -> DataFrame:
+    """id, label, matched, score: full-text search over several indexes (label -> table, key, text
+    columns), or over one of them. A node found twice under one id counts once, under the label with the
+    better hit; most matched terms first, then most hits, then by id."""
+    asked = {label: indexes[label]} if label in indexes else indexes
+    every = None
+    for name, (rows, key, columns) in asked.items():
+        hits = token_hits(rows.select(F.col(key).cast("string").alias("id"), F.concat_ws(" ", *columns).alias("text")), "id", "text", terms)
+        one = hits.select("id", F.lit(name).alias("label"), "matched", "score")
+        every = one if every is None else every.unionAll(one)
+    best = every.groupBy("id").agg(F.max_by(F.struct("label", "matched", "score"), F.struct("matched", "score", "label")).alias("best"))
+    return best.select("id", "best.*").orderBy(F.desc("matched"), F.desc("score"), "id").limit(limit)

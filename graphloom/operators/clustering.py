@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from graphloom.functions.scratch import cut, join_checked
 from graphloom.operators.components import components
 from graphloom.operators.similarity import BLOCK, dot, doubles, squared_distance
 
@@ -32,19 +33,19 @@ def in_box(points: DataFrame, x0: float, y0: float, x1: float, y1: float) -> Dat
 
 def lloyd(points: DataFrame, seeds: DataFrame, steps: int) -> DataFrame:
     """K-means from given seeds (cluster, centre) in a fixed number of steps over points (id, vec): each
-    step broadcasts the k centres, assigns in one pass and averages by dimension. Ties go to the smaller
-    cluster; a cluster that loses all points disappears. Returns id, cluster."""
-    centres = seeds
-
+    step broadcasts one row with the k centres, assigns each point where it lies and averages by dimension;
+    only the means are shuffled. Ties go to the smaller cluster; a cluster that loses all points
+    disappears. Returns id, cluster."""
     def assign(centres):
-        near = points.join(F.broadcast(centres)).withColumn("d", squared_distance(F.col("vec"), F.col("centre")))
-        return near.groupBy("id").agg(F.min(F.struct("d", "cluster"))["cluster"].alias("cluster"))
+        every = centres.agg(F.collect_list(F.struct("cluster", "centre")).alias("centres"))
+        at = lambda s: F.struct(squared_distance(F.col("vec"), s["centre"]).alias("d"), s["cluster"].alias("cluster"))
+        return points.join(F.broadcast(every)).select("id", "vec", F.array_min(F.transform("centres", at))["cluster"].alias("cluster"))
 
+    centres = seeds
     for _ in range(steps):
-        placed = points.join(assign(centres), "id")
-        means = placed.select("cluster", F.posexplode(doubles(F.col("vec"))).alias("dim", "x")).groupBy("cluster", "dim").agg(F.avg("x").alias("x"))
-        centres = means.groupBy("cluster").agg(F.transform(F.sort_array(F.collect_list(F.struct("dim", "x"))), lambda s: s["x"]).alias("centre"))
-    return assign(centres)
+        means = assign(centres).select("cluster", F.posexplode(doubles(F.col("vec"))).alias("dim", "x")).groupBy("cluster", "dim").agg(F.avg("x").alias("x"))
+        centres = cut(means.groupBy("cluster").agg(F.transform(F.sort_array(F.collect_list(F.struct("dim", "x"))), lambda s: s["x"]).alias("centre")), "centres")
+    return assign(centres).select("id", "cluster")
 
 
 def neighbour_counts(pairs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -131,8 +132,8 @@ def silhouette(points: DataFrame) -> DataFrame:
 
 def spread(points: DataFrame, by: str = "cluster") -> DataFrame:
     """Size, centre and root-mean-square distance to it for each cluster of (x, y)."""
-    w = Window.partitionBy(by)
-    rows = points.withColumn("cx", F.avg("x").over(w)).withColumn("cy", F.avg("y").over(w))
+    means = cut(points.groupBy(by).agg(F.avg("x").alias("cx"), F.avg("y").alias("cy")), "means")
+    rows = join_checked(points, means, by)
     d2 = (F.col("x") - F.col("cx")) ** 2 + (F.col("y") - F.col("cy")) ** 2
     return rows.groupBy(by).agg(F.count(F.lit(1)).alias("size"), F.avg("x").alias("cx"), F.avg("y").alias("cy"), F.sqrt(F.avg(d2)).alias("spread"), F.avg(F.sqrt(d2)).alias("mean_distance"))
 

@@ -11,14 +11,26 @@ GRAMMARS = {
     "dotted": r"\b(?:FR|NFR)-\d{2}-\d{2}\b",
     "loose": r"(?i)(?:FR|NFR)-\d{2}-\d{2}",
 }
-# The verbs of commit messages that name what they implement.
-IMPLEMENT_VERBS = ["implements?", "adds?", "fix(?:es)?", "completes?", "closes?"]
+# Five families of words in commit messages that name what the next word implements.
+IMPLEMENT_WORDS = [
+    "implements?|adds?|creates?|builds?|develops?",
+    "fixes?|resolves?",
+    "enhances?|improves?",
+    "refactors?|updates?",
+    "feature|functionality|component",
+]
+# Messages by which one requirement follows another, and one gives way to another.
+EVOLVES = {
+    "dotted": r"(?i)\b((?:FR|NFR)-\d{2}-\d{2})\b[^\n]*?\b(?:replaces|supersedes|evolves from)\b[^\n]*?\b((?:FR|NFR)-\d{2}-\d{2})\b",
+    "short": r"(?i)\b((?:nfr|fr)-\d+)\b\s*(?:replaces|supersedes|evolves from|in favor of)\s*\b((?:nfr|fr)-\d+)\b",
+}
+DEPRECATES = r"deprecat(?:e|ed)\s+((?:nfr|fr)-\d+)\b.*?(?:in favor of|->|to)\s+((?:nfr|fr)-\d+)"
 
 
 def noisy_or(evidence: DataFrame, keys: list[str], confidence: str) -> DataFrame:
     """1 - product(1 - c) over the distinct rows of evidence of each key, computed from the evidence
-    anew, so reruns do not raise it."""
-    return evidence.groupBy(*keys).agg((1 - F.product(1 - F.col(confidence))).alias("confidence"), F.count(F.lit(1)).alias("evidence"))
+    anew: neither reruns nor a repeated row raise it. All columns of evidence tell rows apart."""
+    return evidence.distinct().groupBy(*keys).agg((1 - F.product(1 - F.col(confidence))).alias("confidence"), F.count(F.lit(1)).alias("evidence"))
 
 
 def requirement_ids(text: Column, grammar: str = "dotted") -> Column:
@@ -27,23 +39,27 @@ def requirement_ids(text: Column, grammar: str = "dotted") -> Column:
 
 
 def implemented_topics(message: Column) -> Column:
-    """Topics that a commit message says it implements, as REQ-<TOPIC>."""
-    pattern = rf"(?i)\b(?:{'|'.join(IMPLEMENT_VERBS)})\s+([a-z][a-z0-9_-]+)"
-    return F.array_distinct(F.transform(F.regexp_extract_all(message, F.lit(pattern), 1), lambda t: F.concat(F.lit("REQ-"), F.upper(t))))
+    """Topics that a commit message says it implements, as REQ-<TOPIC>: the word after one of the words
+    of a family, family by family; null for a null message."""
+    found = [F.regexp_extract_all(message, F.lit(rf"(?i)\b(?:{words})\s+([a-zA-Z0-9_-]+)"), 1) for words in IMPLEMENT_WORDS]
+    return F.array_distinct(F.transform(F.concat(*found), lambda t: F.concat(F.lit("REQ-"), F.upper(t))))
+
+
+def _pairs(message: Column, rule: str, first: str, second: str) -> Column:
+    side = lambda k: F.transform(F.regexp_extract_all(message, F.lit(rule), k), F.upper)
+    return F.zip_with(side(1), side(2), lambda a, b: F.struct(a.alias(first), b.alias(second)))
 
 
-def evolution_pair(message: Column) -> Column:
-    """(new, old) from `NEW replaces|supersedes|evolves from OLD`; null if there is none or both are equal."""
-    rule = r"(?i)((?:FR|NFR)-\d{2}-\d{2})\s+(?:replaces|supersedes|evolves from)\s+((?:FR|NFR)-\d{2}-\d{2})"
-    new, old = F.upper(F.regexp_extract(message, rule, 1)), F.upper(F.regexp_extract(message, rule, 2))
-    return F.when((new != "") & (new != old), F.struct(new.alias("new"), old.alias("old")))
+def evolution_pairs(message: Column, grammar: str = "dotted") -> Column:
+    """Distinct (new, old) from `NEW ... replaces|supersedes|evolves from ... OLD` in one line, every match of
+    the message; ids of short grammar stand next to the words. Pairs of equal ids are left out."""
+    return F.array_distinct(F.filter(_pairs(message, EVOLVES[grammar], "new", "old"), lambda p: p["new"] != p["old"]))
 
 
-def deprecation_pair(message: Column) -> Column:
-    """(old, by) from `deprecate OLD in favor of|->|to NEW`."""
-    rule = r"(?i)deprecates?\s+([\w./-]+)\s+(?:in favor of|->|to)\s+([\w./-]+)"
-    old, by = F.regexp_extract(message, rule, 1), F.regexp_extract(message, rule, 2)
-    return F.when(old != "", F.struct(old.alias("old"), by.alias("by")))
+def deprecation_pairs(message: Column) -> Column:
+    """Distinct (old, by) from `deprecate|deprecated OLD ... in favor of|->|to NEW` in one line. Ids count to their
+    first number."""
+    return F.array_distinct(_pairs(F.lower(message), DEPRECATES, "old", "by"))
 
 
 def mentioned_files(mentions: DataFrame, files: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -91,19 +93,29 @@ def hash_bits(tokens: Column, bits: int = 64) -> Column:
     return F.transform(F.array(hashes), code)[0]
 
 
-def hamming_pairs(codes: DataFrame, most: int = 5, bits: int = 64) -> DataFrame:
-    """Pairs (a < b, distance) of codes (id, code as a bit string) at Hamming distance <= most. Two such
-    codes agree in full on at least one of most + 1 bands, so bands are an exact equi-join key. Equal
-    codes are compared once: a pair of smallest ids stands for a pair of classes, and code_classes()
-    tells whose ids a class holds, which are the links at distance 0."""
-    groups = codes.groupBy("code").agg(F.min("id").alias("id"))
-    edges = [round(bits * k / (most + 1)) for k in range(most + 2)]
-    bands = F.array(*[F.concat(F.lit(f"{k}:"), F.substring("code", edges[k] + 1, edges[k + 1] - edges[k])) for k in range(most + 1)])
-    banded = groups.select("id", "code", F.explode(bands).alias("band"))
-    other = banded.select(F.col("id").alias("b"), F.col("code").alias("code_b"), "band")
-    differ = F.aggregate(F.zip_with(F.split("code", ""), F.split("code_b", ""), lambda x, y: (x != y).cast("int")), F.lit(0), lambda s, x: s + x)
-    pairs = banded.join(other, "band").where("id < b").select(F.col("id").alias("a"), "b", "code", "code_b").distinct()
-    return pairs.select("a", "b", differ.alias("distance")).where(F.col("distance") <= most)
+def hamming_pairs(codes: DataFrame, most: int = 5, bits: int = 64, spare: int = 3) -> DataFrame:
+    """Pairs (a < b, distance) of codes (id, code as a bit string) at Hamming distance <= most. A code is
+    split into most + spare blocks, of which two such codes share `spare` at least; every choice of spare
+    blocks is an exact equi-join key (at 64 bits and most = 5: 56 keys of 24 bits), so few unrelated codes
+    meet. A pair counts under the first key it shares, and distances are bit counts of longs. Equal codes
+    are compared once: a pair of smallest ids stands for a pair of classes, and code_classes() tells whose
+    ids a class holds, which are the links at distance 0."""
+    n = most + spare
+    edges = [round(bits * k / n) for k in range(n + 1)]
+    block = lambda c, k: F.substring(c, edges[k] + 1, edges[k + 1] - edges[k])
+    words = lambda c: F.array(*[F.conv(F.substring(c, at + 1, 32), 2, 10).cast("long") for at in range(0, bits, 32)])
+    keys = list(combinations(range(n), spare))
+    groups = cut(codes.groupBy("code").agg(F.min("id").alias("id")).select("id", F.array(*[block("code", k) for k in range(n)]).alias("blocks"), words("code").alias("words")), "codes")
+    key = F.posexplode(F.array(*[F.concat(*[F.col("blocks")[k] for k in chosen]) for chosen in keys])).alias("k", "key")
+    keyed = groups.select("id", "blocks", "words", key)
+    other = keyed.select(F.col("id").alias("b"), F.col("blocks").alias("blocks_b"), F.col("words").alias("words_b"), "k", "key")
+    apart = F.aggregate(F.zip_with("words", "words_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    shared = F.zip_with("blocks", "blocks_b", lambda x, y: x == y)
+    # The first `spare` blocks that both share name the first key.
+    same = F.filter(F.transform(shared, lambda x, i: F.when(x, i)), lambda i: i.isNotNull())
+    mine = F.element_at(F.array(*[F.array(*map(F.lit, chosen)) for chosen in keys]), F.col("k") + 1)
+    pairs = keyed.join(other, ["k", "key"]).where("id < b").withColumn("distance", apart).where((F.col("distance") <= most) & (F.slice(same, 1, spare) == mine))
+    return pairs.select(F.col("id").alias("a"), "b", "distance")
 
 
 def code_classes(codes: DataFrame) -> DataFrame:

@@ -56,13 +56,13 @@ def merge_list_union(spark, d):
 
 
 def merge_counter(spark, d):
-    return table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("src"), (F.col("l_partkey") % 20).alias("dst")).agg(F.count(F.lit(1)).alias("weight"))
+    return table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst")).agg(F.count(F.lit(1)).alias("weight"))
 
 
 def merge_confidence(spark, d):
     """Noisy-or with the earliest and latest sighting of each edge."""
     c = F.when(F.col("l_returnflag") == "A", 0.8).when(F.col("l_returnflag") == "N", 0.6).otherwise(0.7)
-    rows = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("req"), (F.col("l_partkey") % 100).alias("path"), c.alias("c"), "l_shipdate", "l_returnflag")
+    rows = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("req"), F.col("l_partkey").alias("path"), c.alias("c"), "l_shipdate", "l_returnflag")
     kinds = rows.groupBy("req", "path", "l_returnflag", "c").agg(F.min("l_shipdate").alias("a"), F.max("l_shipdate").alias("b"))
     return kinds.groupBy("req", "path").agg(
         F.round(1 - F.product(1 - F.col("c")), 6).alias("confidence"), F.min("a").alias("first_seen"), F.max("b").alias("last_seen"),
@@ -169,43 +169,58 @@ def merge_collections(spark, d):
 # --- derived edges -------------------------------------------------------------------------------
 def noisy_or(spark, d):
     c = F.when(F.col("l_returnflag") == "A", 0.8).when(F.col("l_returnflag") == "N", 0.6).otherwise(0.7)
-    rows = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("req"), F.col("l_partkey").alias("path"), c.alias("c"))
+    rows = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("req"), F.col("l_partkey").alias("path"), F.col("l_orderkey").alias("hash"), F.col("l_returnflag").alias("source"), c.alias("c"))
     return ev.noisy_or(rows, ["req", "path"], "c").select("req", "path", F.round("confidence", 6).alias("confidence"), "evidence")
 
 
 MESSAGES = [
-    (1, "Implements login and adds search-index for FR-10-01"), (2, "fix typo; closes export, NFR-02-11 and nfr-02-12"),
-    (3, "refactor only"), (4, "FR-03-02 supersedes FR-03-01"), (5, "NFR-01-01 evolves from NFR-01-01"), (6, None),
-    (7, "deprecate old/api.py in favor of new/api.py"), (8, "Deprecates util.js -> core.js"), (9, ""), (10, "FR-7 done, completes upload"),
+    (1, "Implements login and adds search-index for FR-10-01"), (2, "fix typo; resolves export, NFR-02-11 and nfr-02-12"),
+    (3, "formatting only"), (4, "FR-03-02 now supersedes FR-03-01\nNFR-01-03 replaces NFR-01-02, FR-04-02 evolves from FR-04-01"), (5, "NFR-01-01 evolves from NFR-01-01"), (6, None),
+    (7, "deprecated FR-7 with its pages in favor of FR-8"), (8, "Deprecate nfr-12 -> NFR-13, deprecate FR-1 to fr-2"), (9, ""), (10, "FR-7 done, creates upload"),
+    (11, "deprecated FR-03-01 in favor of FR-03-02"), (12, "enhances search; FR-9 supersedes FR-8 in favor of NFR-2"), (13, "FR-05-02\nreplaces FR-05-01"),
 ]
 
 
-def _messages(spark):
-    return _frame(spark, MESSAGES, "hash long, message string")
+def _messages(spark, d):
+    """Messages of every form, and one for each commit of the table."""
+    verb = F.element_at(F.array(*map(F.lit, _VERBS)), (F.col("o_orderkey") % len(_VERBS) + 1).cast("int"))
+    link = F.element_at(F.array(*map(F.lit, _LINKS)), (F.col("o_orderkey") % len(_LINKS) + 1).cast("int"))
+    two = lambda n: F.lpad((n % 100).cast("string"), 2, "0")
+    text = F.concat(
+        verb, F.lit(" "), F.lower("o_orderpriority"), F.lit(" for FR-"), two(F.col("o_custkey")), F.lit("-"), two(F.col("o_orderkey")), link,
+        F.lit("FR-"), two(F.col("o_custkey")), F.lit("-"), two(F.col("o_orderkey") + 1), F.lit("; deprecate nfr-"), F.col("o_custkey"), F.lit(" -> NFR-"), F.col("o_orderkey"),
+    )
+    orders = table(spark, d, "orders").select((F.col("o_orderkey") + 100).cast("long").alias("hash"), text.alias("message"))
+    return _frame(spark, MESSAGES, "hash long, message string").unionAll(orders)
 
 
-_MSG = f"m(hash, message) AS (SELECT * FROM {_values(MESSAGES)} v(hash, message))"
+_VERBS = ["implements", "creates", "resolves", "enhances", "updates the", "touches", "a component"]
+_LINKS = [" now supersedes ", " replaces the old ", " follows ", " evolves from "]
+_MSG = f"""m(hash, message) AS (SELECT * FROM {_values(MESSAGES)} v(hash, message) UNION ALL SELECT o_orderkey + 100, ({_VERBS})[CAST(o_orderkey % {len(_VERBS)} + 1 AS INT)] || ' ' || lower(o_orderpriority)
+ || ' for FR-' || lpad(CAST(o_custkey % 100 AS VARCHAR), 2, '0') || '-' || lpad(CAST(o_orderkey % 100 AS VARCHAR), 2, '0') || ({_LINKS})[CAST(o_orderkey % {len(_LINKS)} + 1 AS INT)]
+ || 'FR-' || lpad(CAST(o_custkey % 100 AS VARCHAR), 2, '0') || '-' || lpad(CAST((o_orderkey + 1) % 100 AS VARCHAR), 2, '0') || '; deprecate nfr-' || o_custkey || ' -> NFR-' || o_orderkey FROM orders)"""
 
 
 def implements_from_messages(spark, d):
-    return _messages(spark).select(F.col("hash").cast("int").alias("hash"), F.explode(ev.implemented_topics(F.col("message"))).alias("req"), F.lit(0.8).alias("confidence"))
+    return _messages(spark, d).select("hash", F.explode(ev.implemented_topics(F.col("message"))).alias("req"), F.lit(0.8).alias("confidence"))
 
 
 def implements_from_ids(spark, d):
-    rows = _messages(spark).select(F.col("hash").cast("int").alias("hash"), F.explode(ev.requirement_ids(F.col("message"), "loose")).alias("req"))
-    return rows
+    return _messages(spark, d).select("hash", F.explode(ev.requirement_ids(F.col("message"), "loose")).alias("req"))
 
 
 def requirement_ids_short(spark, d):
-    return _messages(spark).select(F.col("hash").cast("int").alias("hash"), F.explode(ev.requirement_ids(F.col("message"), "short")).alias("req"))
+    return _messages(spark, d).select("hash", F.explode(ev.requirement_ids(F.col("message"), "short")).alias("req"))
 
 
 def evolves_from(spark, d):
-    return _messages(spark).select(F.col("hash").cast("int").alias("hash"), ev.evolution_pair(F.col("message")).alias("p")).where("p IS NOT NULL").select("hash", "p.new", "p.old")
+    """Both grammars, with the confidence of the evidence."""
+    by = lambda g: _messages(spark, d).select("hash", F.lit(g).alias("grammar"), F.explode(ev.evolution_pairs(F.col("message"), g)).alias("p"))
+    return by("dotted").unionAll(by("short")).select("hash", "grammar", "p.new", "p.old", F.lit(0.9).alias("confidence"))
 
 
 def deprecated_by(spark, d):
-    return _messages(spark).select(F.col("hash").cast("int").alias("hash"), ev.deprecation_pair(F.col("message")).alias("p")).where("p IS NOT NULL").select("hash", "p.old", "p.by")
+    return _messages(spark, d).select("hash", F.explode(ev.deprecation_pairs(F.col("message"))).alias("p")).select("hash", "p.old", "p.by")
 
 
 def implements_from_docs(spark, d):
@@ -302,7 +317,7 @@ def uses_library(spark, d):
 
 def part_of_sprint(spark, d):
     """Sprint number from the second and third character after the dash of an id."""
-    ids = _messages(spark).select(F.explode(ev.requirement_ids(F.col("message"), "loose")).alias("id"))
+    ids = _messages(spark, d).select(F.explode(ev.requirement_ids(F.col("message"), "loose")).alias("id"))
     return ids.select("id", F.regexp_extract("id", r"-(\d{2})-", 1).cast("int").alias("sprint"))
 
 
@@ -361,7 +376,7 @@ def _facts(spark, d):
     """The counts that the dashboard scores, in one row."""
     t = bind.touches(spark, d).withColumn("ts", F.when(F.col("path") % 50 != 3, F.col("ts")))
     one = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
-    impl = table(spark, d, "lineitem").where("l_quantity >= 49").select(F.col("l_suppkey").alias("req"), F.col("l_partkey").alias("path")).distinct()
+    impl = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("req"), F.col("l_partkey").alias("path")).distinct()
     docs = table(spark, d, "documents").select("doc_id")
     lab = table(spark, d, "labels").select("doc_id")
     facts = t.agg(F.count(F.lit(1)).alias("touched"), F.count_if(F.col("ts").isNull()).alias("missing"), F.countDistinct("hash").alias("commits_with_files"))
@@ -467,12 +482,16 @@ _SC = f'{S}, sc AS (SELECT number, o_orderkey AS hash FROM orders JOIN sprints O
 _DEP = f"{T}, fi AS (SELECT hash, min(path) AS src FROM touched GROUP BY 1), dep AS (SELECT src, path AS dst, count(*) AS weight FROM touched JOIN fi ON fi.hash = touched.hash WHERE path <> src GROUP BY 1, 2 HAVING count(*) > 1)"
 _ORPH = f"orph AS (SELECT (SELECT count(*) FROM part WHERE p_partkey NOT IN (SELECT path FROM touched)) + (SELECT count(*) FROM orders WHERE o_orderkey NOT IN (SELECT hash FROM touched)) AS orphans, (SELECT count(*) FROM part) + (SELECT count(*) FROM orders) AS nodes)"
 _Q = f"{T}, {_ORPH}, q AS (SELECT count(*) AS touched, count(*) FILTER (path % 50 = 3) AS missing FROM touched)"
-_FACTS = f"""{T}, {_ORPH}, {S}, impl AS (SELECT DISTINCT l_suppkey AS req, l_partkey AS path FROM lineitem WHERE l_quantity >= 49),
+_FACTS = f"""{T}, {_ORPH}, {S}, impl AS (SELECT DISTINCT l_suppkey AS req, l_partkey AS path FROM lineitem),
 f AS (SELECT (SELECT count(*) FROM touched) AS touched, (SELECT count(*) FROM touched WHERE path % 50 = 3) AS missing, (SELECT count(DISTINCT hash) FROM touched) AS commits_with_files,
  (SELECT count(*) FROM orders) AS commits, (SELECT count(*) FROM part) AS files, (SELECT count(*) FROM supplier) AS reqs, (SELECT count(*) FROM documents) AS docs,
  (SELECT count(*) FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)) AS docs_linked, (SELECT count(DISTINCT req) FROM impl) AS reqs_impl, (SELECT count(*) FROM impl) AS impl,
  (SELECT count(*) FROM sprints) AS sprints, (SELECT count(*) FROM embeddings) AS vectors,
  (SELECT count(*) FROM (SELECT 1 FROM lineitem GROUP BY l_orderkey, l_partkey HAVING count(*) > 1)) AS dups, orphans, nodes FROM orph)"""
+_FAMILIES = ["(implements?|adds?|creates?|builds?|develops?)", "(fixes?|resolves?)", "(enhances?|improves?)", "(refactors?|updates?)", "(feature|functionality|component)"]
+_EVO = r"(?i)\b((?:FR|NFR)-\d{2}-\d{2})\b[^\n]*?\b(?:replaces|supersedes|evolves from)\b[^\n]*?\b((?:FR|NFR)-\d{2}-\d{2})\b"
+_EVO2 = r"(?i)\b((?:nfr|fr)-\d+)\b\s*(?:replaces|supersedes|evolves from|in favor of)\s*\b((?:nfr|fr)-\d+)\b"
+_DEPR = r"deprecat(?:e|ed)\s+((?:nfr|fr)-\d+)\b.*?(?:in favor of|->|to)\s+((?:nfr|fr)-\d+)"
 _TOK = "SELECT {id}, unnest(string_split_regex(lower(text), '[^a-zà-ÿ]+')) AS term FROM {t}"
 
 QUERIES = {
@@ -480,8 +499,8 @@ QUERIES = {
     "merge_keep_last": (merge_keep_last, f"WITH {_OLD_NEW} SELECT coalesce(o.path, n.path) AS path, coalesce(n.dir, o.dir) AS dir, coalesce(n.loc, o.loc) AS loc FROM o FULL JOIN n ON o.path = n.path"),
     "merge_overwrite": (merge_overwrite, f"WITH {_OLD_NEW} SELECT * FROM n UNION ALL SELECT * FROM o WHERE path NOT IN (SELECT path FROM n)"),
     "merge_list_union": (merge_list_union, "SELECT id, string_agg(DISTINCT t, ',' ORDER BY t) AS tags FROM (SELECT l_suppkey AS id, l_linestatus AS t FROM lineitem WHERE l_returnflag = 'A' UNION SELECT l_suppkey, l_returnflag FROM lineitem WHERE l_linenumber = 1) GROUP BY 1"),
-    "merge_counter": (merge_counter, "SELECT l_suppkey AS src, l_partkey % 20 AS dst, count(*) AS weight FROM lineitem GROUP BY 1, 2"),
-    "merge_confidence": (merge_confidence, f"WITH k AS (SELECT l_suppkey AS req, l_partkey % 100 AS path, l_returnflag AS f, {_C} AS c, min(l_shipdate) AS a, max(l_shipdate) AS b FROM lineitem GROUP BY 1, 2, 3, 4) SELECT req, path, round(1 - product(1 - c), 6) AS confidence, min(a) AS first_seen, max(b) AS last_seen, string_agg(f, ',' ORDER BY f) AS sources FROM k GROUP BY 1, 2"),
+    "merge_counter": (merge_counter, "SELECT l_suppkey AS src, l_partkey AS dst, count(*) AS weight FROM lineitem GROUP BY 1, 2"),
+    "merge_confidence": (merge_confidence, f"WITH k AS (SELECT l_suppkey AS req, l_partkey AS path, l_returnflag AS f, {_C} AS c, min(l_shipdate) AS a, max(l_shipdate) AS b FROM lineitem GROUP BY 1, 2, 3, 4) SELECT req, path, round(1 - product(1 - c), 6) AS confidence, min(a) AS first_seen, max(b) AS last_seen, string_agg(f, ',' ORDER BY f) AS sources FROM k GROUP BY 1, 2"),
     "stale_edges": (stale_edges, "SELECT l_orderkey AS src, l_partkey AS dst, l_linenumber % 2 AS run_id FROM lineitem WHERE l_orderkey % 3 = 0 AND l_linenumber % 2 <> 1"),
     "unsupported_edges": (unsupported_edges, "SELECT l_suppkey AS req, l_partkey AS path FROM lineitem GROUP BY 1, 2 HAVING count(*) FILTER (l_returnflag <> 'R') = 0"),
     "replace_mentions": (replace_mentions, "WITH n AS (SELECT l_orderkey AS key, l_partkey AS target FROM lineitem WHERE l_returnflag = 'N' AND l_linenumber < 3) SELECT l_orderkey AS key, l_partkey AS target FROM lineitem WHERE l_returnflag <> 'N' AND l_orderkey NOT IN (SELECT key FROM n) UNION ALL SELECT * FROM n"),
@@ -495,12 +514,14 @@ QUERIES = {
     "archive_selection": (archive_selection, "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)"),
     "collection_from_selection": (collection_from_selection, "SELECT vec_id, label FROM embeddings WHERE vec_id IN (SELECT doc_id FROM labels WHERE quality = 1)"),
     "merge_collections": (merge_collections, "SELECT vec_id, CASE WHEN vec_id % 5 = 0 THEN label + 200 WHEN vec_id % 3 = 0 THEN label + 100 ELSE label END AS label FROM embeddings WHERE vec_id % 2 = 0 OR vec_id % 3 = 0 OR vec_id % 5 = 0"),
-    "noisy_or": (noisy_or, f"SELECT l_suppkey AS req, l_partkey AS path, round(1 - product(1 - {_C}), 6) AS confidence, count(*) AS evidence FROM lineitem GROUP BY 1, 2"),
-    "implements_from_messages": (implements_from_messages, f"WITH {_MSG} SELECT DISTINCT hash, 'REQ-' || upper(unnest(regexp_extract_all(message, '(?i)\\b(?:implements?|adds?|fix(?:es)?|completes?|closes?)\\s+([a-z][a-z0-9_-]+)', 1))) AS req, CAST(0.8 AS DOUBLE) AS confidence FROM m"),
+    "noisy_or": (noisy_or, f"SELECT req, path, round(1 - product(1 - c), 6) AS confidence, count(*) AS evidence FROM (SELECT DISTINCT l_suppkey AS req, l_partkey AS path, l_orderkey, l_returnflag, {_C} AS c FROM lineitem) GROUP BY 1, 2"),
+    "implements_from_messages": (implements_from_messages, f"WITH {_MSG}, t AS (" + " UNION ".join(f"SELECT hash, unnest(regexp_extract_all(message, '(?i)\\b{f}\\s+([a-zA-Z0-9_-]+)', 2)) AS topic FROM m" for f in _FAMILIES) + ") SELECT DISTINCT hash, 'REQ-' || upper(topic) AS req, CAST(0.8 AS DOUBLE) AS confidence FROM t"),
     "implements_from_ids": (implements_from_ids, f"WITH {_MSG} SELECT DISTINCT hash, upper(unnest(regexp_extract_all(message, '(?i)(?:FR|NFR)-\\d{{2}}-\\d{{2}}'))) AS req FROM m"),
     "requirement_ids_short": (requirement_ids_short, f"WITH {_MSG} SELECT DISTINCT hash, upper(unnest(regexp_extract_all(message, '\\b(?:FR|NFR)-\\d+\\b'))) AS req FROM m"),
-    "evolves_from": (evolves_from, f"WITH {_MSG}, p AS (SELECT hash, upper(regexp_extract(message, '(?i)((?:FR|NFR)-\\d{{2}}-\\d{{2}})\\s+(?:replaces|supersedes|evolves from)\\s+((?:FR|NFR)-\\d{{2}}-\\d{{2}})', 1)) AS new, upper(regexp_extract(message, '(?i)((?:FR|NFR)-\\d{{2}}-\\d{{2}})\\s+(?:replaces|supersedes|evolves from)\\s+((?:FR|NFR)-\\d{{2}}-\\d{{2}})', 2)) AS old FROM m) SELECT * FROM p WHERE new <> '' AND new <> old"),
-    "deprecated_by": (deprecated_by, f"WITH {_MSG}, p AS (SELECT hash, regexp_extract(message, '(?i)deprecates?\\s+([\\w./-]+)\\s+(?:in favor of|->|to)\\s+([\\w./-]+)', 1) AS old, regexp_extract(message, '(?i)deprecates?\\s+([\\w./-]+)\\s+(?:in favor of|->|to)\\s+([\\w./-]+)', 2) AS \"by\" FROM m) SELECT * FROM p WHERE old <> ''"),
+    "evolves_from": (evolves_from, f"""WITH {_MSG}, p AS (SELECT hash, 'dotted' AS grammar, unnest(regexp_extract_all(message, '{_EVO}', 1)) AS new, unnest(regexp_extract_all(message, '{_EVO}', 2)) AS old FROM m
+UNION ALL SELECT hash, 'short', unnest(regexp_extract_all(message, '{_EVO2}', 1)), unnest(regexp_extract_all(message, '{_EVO2}', 2)) FROM m)
+SELECT DISTINCT hash, grammar, upper(new) AS new, upper(old) AS old, CAST(0.9 AS DOUBLE) AS confidence FROM p WHERE upper(new) <> upper(old)"""),
+    "deprecated_by": (deprecated_by, f"WITH {_MSG}, p AS (SELECT hash, unnest(regexp_extract_all(lower(message), '{_DEPR}', 1)) AS old, unnest(regexp_extract_all(lower(message), '{_DEPR}', 2)) AS \"by\" FROM m) SELECT DISTINCT hash, upper(old) AS old, upper(\"by\") AS \"by\" FROM p"),
     "implements_from_docs": (implements_from_docs, f"WITH {T} SELECT DISTINCT l_suppkey AS req, p_partkey AS path FROM lineitem JOIN part ON p_partkey % 997 = l_orderkey % 997 WHERE l_linestatus = 'F' AND p_partkey IN (SELECT path FROM touched WHERE change_type <> 'D')"),
     "refactored_to": (refactored_to, f"WITH {T}, t AS (SELECT hash, path, change_type, p_brand AS dir FROM touched JOIN part ON p_partkey = path) SELECT o.hash, o.path AS src, n.path AS dst FROM t o JOIN t n ON o.hash = n.hash AND o.dir = n.dir WHERE o.change_type = 'D' AND n.change_type = 'A'"),
     "depends_on_files": (depends_on_files, f"WITH {_DEP} SELECT src, dst, weight, round(1 - pow(0.1::DOUBLE, weight), 6) AS confidence FROM dep"),

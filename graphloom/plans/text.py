@@ -100,7 +100,7 @@ def manifest_snapshot(spark, d):
 
 
 def slugify(spark, d):
-    return table(spark, d, "documents").select("doc_id", scalars.slugify(F.substring("text", 1, 60)).alias("slug"))
+    return table(spark, d, "documents").select("doc_id", scalars.slugify(F.col("text")).alias("slug"))
 
 
 def redact_tokens(spark, d):
@@ -180,7 +180,7 @@ def decode_files(spark, d):
 
 
 _ESC = r"""regexp_replace(p_brand || ' (a+b) [c]: ' || p_name, '([+\-!(){}\[\]^"~*?:\\/&|])', '\\\1', 'g')"""
-_SLUG = "trim(regexp_replace(regexp_replace(lower(substr(text, 1, 60)), '[^a-z0-9 -]', '', 'g'), '[ -]+', '-', 'g'), '-')"
+_SLUG = "trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9 -]', '', 'g'), '[ -]+', '-', 'g'), '-')"
 QUERIES = {
     "chunk_paragraphs": (chunk_paragraphs, "WITH s AS (SELECT doc_id, string_split_regex(replace(text, chr(10), chr(10) || chr(10)), '\\n\\n+') AS p FROM documents), x AS (SELECT doc_id, unnest(generate_series(0, len(p) - 1)) AS n, trim(unnest(p)) AS c FROM s) SELECT doc_id, n, length(c) AS length FROM x WHERE length(c) > 0"),
     "chunk_sliding": (chunk_sliding, "WITH s AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), x AS (SELECT doc_id, l, unnest(generate_series(0, greatest(len(l) - 3, 0), 2)) AS f FROM s) SELECT doc_id, f AS from_line, len(l[f + 1:f + 4]) AS n_lines, md5(array_to_string(l[f + 1:f + 4], chr(10))) AS digest FROM x"),

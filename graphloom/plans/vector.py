@@ -29,7 +29,7 @@ def vector_topk(spark, d):
 
 
 def vector_topk_filtered(spark, d):
-    kept = points(spark, d).where(rel.payload_filter({"label": [1, 2, 3], "id": {"lte": 400}}))
+    kept = points(spark, d).where(rel.payload_filter({"label": [1, 2, 3]}))
     return sim.ranked(kept, _query(spark, d, 7), 10, threshold=0.0).select("id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -136,18 +136,16 @@ def kmeans_lloyd(spark, d):
 
 
 def kmeans_choose_k(spark, d):
-    """K-means for k from 2 to 6, with the silhouette of each (the library's own, seeded)."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.evaluation import ClusteringEvaluator
-    from pyspark.ml.functions import array_to_vector
-
-    rows = random_projection_2d(spark, d).select("id", array_to_vector(F.array("x", "y")).alias("features")).cache()
-    scores = []
-    for k in range(2, 7):
-        labelled = KMeans(k=k, seed=42, featuresCol="features", predictionCol="prediction").fit(rows).transform(rows)
-        scores.append((k, float(ClusteringEvaluator().evaluate(labelled))))
-    rows.unpersist()
-    return spark.createDataFrame(scores, "k int, silhouette double")
+    """K-means for k from 2 to 10 with the mean silhouette (distances, not squares) of each: seeds in the
+    order of a hash of the id, three Lloyd steps."""
+    flat = cut(random_projection_2d(spark, d).select("id", F.array("x", "y").alias("vec")), "flat")
+    first = flat.orderBy(F.xxhash64("id"), "id").limit(10).select(F.row_number().over(Window.orderBy(F.xxhash64("id"), "id")).cast("long").alias("cluster"), F.col("vec").alias("centre"))
+    first, out = cut(first, "seeds"), None
+    for k in range(2, 11):
+        placed = cut(cl.lloyd(flat, first.where(F.col("cluster") <= k), 3).join(flat, "id").select("id", "vec", "cluster"), "placed")
+        one = cl.silhouette(placed).select(F.lit(k).alias("k"), "silhouette")
+        out = one if out is None else out.unionAll(one)
+    return out
 
 
 EPS = 0.15
@@ -216,8 +214,9 @@ def lasso_select(spark, d):
 def nearest_centroid(spark, d):
     flat = _flat(spark, d)
     centres = flat.groupBy(F.col("cluster").alias("c")).agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"))
-    dist = (F.col("x") - F.col("cx")) ** 2 + (F.col("y") - F.col("cy")) ** 2
-    return flat.join(F.broadcast(centres)).groupBy("id").agg(F.min(F.struct(dist.alias("d"), "c"))["c"].alias("cell"))
+    every = centres.agg(F.collect_list(F.struct("c", "cx", "cy")).alias("centres"))  # one row: the centres
+    dist = lambda s: (F.col("x") - s["cx"]) ** 2 + (F.col("y") - s["cy"]) ** 2
+    return flat.join(F.broadcast(every)).select("id", F.array_min(F.transform("centres", lambda s: F.struct(dist(s).alias("d"), s["c"].alias("c"))))["c"].alias("cell"))
 
 
 def standardize(spark, d):
@@ -245,7 +244,7 @@ _EDGES = " + ".join(
 
 QUERIES = {
     "vector_topk": (vector_topk, f"WITH {_S7}, r AS (SELECT id, round(score, 6) AS score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM s WHERE id <> 7) SELECT * FROM r WHERE rank BETWEEN 3 AND 12"),
-    "vector_topk_filtered": (vector_topk_filtered, f"WITH {_S7}, r AS (SELECT id, round(score, 6) AS score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM s WHERE label IN (1, 2, 3) AND id <= 400 AND score >= 0) SELECT * FROM r WHERE rank <= 10"),
+    "vector_topk_filtered": (vector_topk_filtered, f"WITH {_S7}, r AS (SELECT id, round(score, 6) AS score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM s WHERE label IN (1, 2, 3) AND score >= 0) SELECT * FROM r WHERE rank <= 10"),
     "hybrid_rrf": (hybrid_rrf, f"WITH {_S7}, w AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS r FROM s), n AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS r FROM s WHERE label IN (1, 2)), u AS (SELECT id, 1.0::DOUBLE / (60 + r) AS p FROM w WHERE r <= 20 UNION ALL SELECT id, 1.0::DOUBLE / (60 + r) FROM n WHERE r <= 10) SELECT id, round(sum(p), 6) AS score FROM u GROUP BY 1 ORDER BY sum(p) DESC, id LIMIT 10"),
     "hash_embedding": (hash_embedding, "WITH h AS (SELECT doc_id, sha256(CASE WHEN length(text) > 2000 THEN substr(text, 1, 2000) || '...' ELSE text END) AS h FROM documents WHERE length(trim(text)) >= 10) SELECT doc_id, " + ", ".join(f"round(CAST('0x' || substr(h, {8 * i + 1}, 8) AS BIGINT) / 4294967296.0::DOUBLE, 6) AS e{i}" for i in range(8)) + " FROM h"),
     "exact_duplicates": (exact_duplicates, "SELECT sha256(text) AS sha, count(*) AS n, min(doc_id) AS keep FROM documents GROUP BY 1 HAVING count(*) > 1"),

@@ -30,15 +30,44 @@ def read_commit_log(spark: SparkSession, path: str) -> DataFrame:
     return commit_log(files.select(F.col("path").alias("log"), F.posexplode(F.split(F.col("content").cast("string"), "\n")).alias("k", "line")))
 
 
+def commit_records(records: DataFrame) -> DataFrame:
+    """Commits with their files from records of `git log --name-status
+    --format=%x1e%H%x1f%an%x1f%ae%x1f%aI%x1f%B%x1f` (column value): a record holds a commit whole, with a message of
+    any number of lines, so no order between lines is needed. Records without a hash of 40 hex digits are
+    skipped; a commit without files gives one row."""
+    parts = F.split("value", "\x1f")
+    rows = records.select(parts.alias("p")).where((F.size("p") >= 6) & F.trim(F.col("p")[0]).rlike("^[0-9a-f]{40}$"))
+    change = F.filter(F.split(F.col("p")[5], "\n"), lambda x: x.rlike("^[AMDR][0-9]*\t.+"))
+    body = F.regexp_replace(F.col("p")[4], r"^\s+|\s+$", "")
+    rows = rows.select(
+        F.trim(F.col("p")[0]).alias("hash"), F.col("p")[1].alias("author"), F.col("p")[2].alias("email"), F.try_to_timestamp(F.col("p")[3]).alias("ts"),
+        body.alias("message"), F.split(body, "\n")[0].alias("subject"), F.explode_outer(change).alias("c"),
+    )
+    fields = F.split("c", "\t")
+    kind = F.substring("c", 1, 1)
+    return rows.select(
+        "hash", "author", "email", "ts", "subject", "message", kind.alias("change_type"), F.element_at(fields, -1).alias("path"),
+        F.when(kind == "R", F.get(fields, 1)).alias("old_path"),
+    )
+
+
+def read_commit_records(spark: SparkSession, path: str) -> DataFrame:
+    """Log files of any size: they are split at record marks, so one log is read by many tasks."""
+    return commit_records(spark.read.text(path, lineSep="\x1e"))
+
+
 #: Folders that a walk leaves out and the largest file it reads.
-EXCLUDED = ["node_modules", ".git", "__pycache__", "dist", "build", ".venv"]
+EXCLUDED = [
+    ".git", "__pycache__", "node_modules", "venv", ".venv", "env", "build", "dist", "target", ".mypy_cache", ".pytest_cache", ".cursor",
+    ".vscode", ".idea",
+]
 LARGEST = 2 * 1024 * 1024
 
 
 def walk(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """Files below a folder with size, time and SHA-1, without excluded folders and files over 2 MiB."""
+    """Files below a folder with size, time and SHA-1, without excluded folders (in any case) and files over 2 MiB."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
-    kept = ~F.col("path").rlike("/(?:" + "|".join(x.replace(".", r"\.") for x in EXCLUDED) + ")/") & (F.col("length") <= LARGEST)
+    kept = ~F.col("path").rlike("(?i)/(?:" + "|".join(x.replace(".", r"\.") for x in EXCLUDED) + ")/") & (F.col("length") <= LARGEST)
     return files.where(kept).select("path", F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), F.sha1("content").alias("sha1"), "content")
 
 

@@ -189,7 +189,7 @@ def test_whole_graph_queries_drop_and_merge_nothing(spark):
 
     sf = "/root/testdata/sf0.001"
     rows = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey", "l_partkey", "l_suppkey").collect()
-    edges = {(4 * o + 1, 4 * p) for o, p, _ in rows} | {(4 * s + 2, 4 * p) for _, p, s in rows}
+    edges = {(4 * o + 1, 4 * p) for o, p, _ in rows} | {(4 * s + 2, 4 * p) for _, p, s in rows} | {(4 * o + 1, 4 * s + 2) for o, _, s in rows}
     near = defaultdict(list)
     for a, b in edges:
         near[a].append(b)
@@ -199,13 +199,86 @@ def test_whole_graph_queries_drop_and_merge_nothing(spark):
         votes = {u: Counter(labels[v] for v in vs) for u, vs in near.items()}
         labels = {u: min(c, key=lambda x: (-c[x], x)) for u, c in votes.items()}
     assert {r.id: r.part for r in graph.QUERIES["communities"][0](spark, sf).collect()} == labels
-    assert {r.id: r.degree for r in graph.QUERIES["whole_degree_centrality"][0](spark, sf).collect()} == {u: len(vs) for u, vs in near.items()}
-    density = graph.QUERIES["whole_graph_density"][0](spark, sf).first()
+    assert {r.id: r.degree for r in graph.QUERIES["degree_centrality"][0](spark, sf).collect()} == {u: len(vs) for u, vs in near.items()}
+    density = graph.QUERIES["graph_density"][0](spark, sf).first()
     assert (density.n, density.m) == (len(near), len(edges))
     part = Counter()
     for u, vs in near.items():
         part[u % 10] += len(vs)
     m = len(edges)
     q = sum(a % 10 == b % 10 for a, b in edges) / m - sum((k / (2 * m)) ** 2 for k in part.values())
-    assert graph.QUERIES["whole_modularity"][0](spark, sf).first()[0] == pytest.approx(q, abs=1e-6)
-    assert {r.triangles for r in graph.QUERIES["whole_triangle_counts"][0](spark, sf).collect()} == {0}
+    assert graph.QUERIES["modularity"][0](spark, sf).first()[0] == pytest.approx(q, abs=1e-6)
+    triangles = Counter()
+    for a, b in edges:
+        for c in set(near[a]) & set(near[b]):
+            triangles[c] += 1
+    assert {r.id: r.triangles for r in graph.QUERIES["triangle_counts"][0](spark, sf).collect()} == triangles
+
+
+def test_commit_records_keep_message_bodies(spark, tmp_path):
+    h = "0123456789abcdef0123456789abcdef01234567"
+    (tmp_path / "log.txt").write_text(
+        f"\x1e{h}\x1fAnn\x1fa@x\x1f2024-01-01T00:00:00+00:00\x1fSubject\n\nBody line one\nline\ttwo\n\x1f\n\nA\tf.py\nR90\tf.py\tg.py\n"
+        f"\x1e{h[:12]}\x1fshort\x1f\x1f\x1f\x1f\n\x1e{h[::-1]}\x1fBob\x1fb@x\x1fbad\x1fEmpty\x1f\n"
+    )
+    rows = sorted(files.read_commit_records(spark, str(tmp_path / "log.txt")).collect(), key=lambda r: (r.author, r.path or ""))
+    assert [(r.author, r.subject, r.change_type, r.path, r.old_path) for r in rows] == [("Ann", "Subject", "A", "f.py", None), ("Ann", "Subject", "R", "g.py", "f.py"), ("Bob", "Empty", None, None, None)]
+    assert rows[0].message == "Subject\n\nBody line one\nline\ttwo" and rows[2].ts is None
+
+
+def test_approximate_search_has_recall(spark):
+    import numpy as np
+
+    from graphloom.operators import ann
+
+    rng = np.random.default_rng(4)
+    centres = rng.standard_normal((12, 24))
+    data = [(i, (centres[i % 12] + 0.4 * rng.standard_normal(24)).tolist()) for i in range(1500)] + [(9001, None), (9002, [0.0] * 24)]
+    points = spark.createDataFrame(data, "id long, vec array<double>")
+    index, cells = ann.build(points)
+    assert index.count() == 1500
+    found = {(r.query_id, r.id) for r in ann.search(index, cells, points.where("id % 100 = 0 and id < 9000"), k=10, probes=8).collect()}
+    m = np.array([v for _, v in data[:1500]])
+    m /= np.linalg.norm(m, axis=1)[:, None]
+    scores = m[::100] @ m.T
+    scores[np.arange(15), np.arange(0, 1500, 100)] = -9
+    want = {(int(q * 100), int(i)) for q in range(15) for i in np.argsort(-scores[q])[:10]}
+    assert len(found) == 150 and len(found & want) >= 0.9 * len(want)
+
+
+def test_batches_are_halved_until_they_fit(spark):
+    rows = [(0, i, 10) for i in range(64)] + [(1, i, 1) for i in range(5)] + [(2, 0, 1000)]
+    got = sinks.halved(spark.createDataFrame(rows, "grp int, k int, bytes int"), ["grp"], "k", "bytes", 100).collect()
+    sizes = {}
+    for r in got:
+        sizes[(r.grp, r.part)] = sizes.get((r.grp, r.part), 0) + r.bytes
+    assert len(got) == len(rows) and all(v <= 100 or g == 2 for (g, _), v in sizes.items()) and len([1 for g, _ in sizes if g == 0]) == 8
+
+
+def test_code_spans_against_a_plain_reading():
+    from graphloom.functions import code
+
+    source = "class A:\n    def f(self):\n        x = 1\n\n        return x\n    y = 2\ndef g():\n    pass\nz = 3\n"
+    lines = source.split("\n")
+
+    def end(k):  # quadratic: the next line that is not blank and no deeper
+        indent = len(lines[k]) - len(lines[k].lstrip())
+        return next((j for j in range(k + 1, len(lines)) if lines[j].strip() and len(lines[j]) - len(lines[j].lstrip()) <= indent), len(lines))
+
+    ends = code.indent_ends(lines)
+    assert all(ends[k] == end(k) for k in range(len(lines)) if lines[k].strip())
+    assert code.brace_end(["f() {", "  if (x) {", "  }", "}", "g()"], 0) == 4 and code.brace_end(["f("], 0) == 1
+
+
+def test_pca_and_choose_k(spark):
+    import numpy as np
+
+    from graphloom.plans import vector
+
+    sf = "/root/testdata/sf0.001"
+    flat = np.array([(r.x, r.y) for r in vector.pca_2d(spark, sf).collect()])
+    m = np.array([r.embedding for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()], float)
+    top = np.sort(np.linalg.eigvalsh(np.cov(m.T)))[::-1][:2]
+    assert np.allclose(np.var(flat, axis=0, ddof=1), top, rtol=1e-3)
+    chosen = {r.k: r.silhouette for r in vector.kmeans_choose_k(spark, sf).collect()}
+    assert sorted(chosen) == list(range(2, 11)) and all(-1 <= s <= 1 for s in chosen.values())
