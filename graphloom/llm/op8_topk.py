@@ -1,11 +1,13 @@
 """Exact top-k search by inner product, columnar branch-and-bound.
 
-Vectors are turned into integers. Candidates form blocks in vertical layout (one row per dimension),
-queries form blocks too, and every block pair is one task. A task first scores a small head of its
-candidates in full, which gives each query a bar (its k-th best so far); it then goes through the rest
-one slice of dimensions at a time, adding to partial scores, and after each slice keeps only the
-candidates whose partial score plus the largest product that the remaining dimensions allow
-(Cauchy-Schwarz on the remaining mass) still reaches the bar. The bound is exact, ties stay in.
+Vectors are turned into integers. A first pass scores every query against the LONGEST candidates alone (a
+bounded number, those of the largest mass), which gives it a bar that holds in every block: the k-th best
+score so far. Then candidates form blocks in vertical layout (one row per dimension), queries form blocks
+too, and every block pair is one task. A task goes through its candidates one slice of dimensions at a
+time, adding to partial scores, and after each slice keeps only those whose partial score plus the largest
+product that the remaining dimensions allow (Cauchy-Schwarz on the remaining mass) still reaches the bar;
+a small head of the block, scored in full, may raise the bar before. What is below the first bar never
+leaves a task. The bound is exact, ties stay in.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ CANDIDATES = 8192
 QUERIES = 8192
 SLICE = 16
 HEAD = 256
+#: Candidates of the first pass.
+LONGEST = 2048
 #: Queries of a block that are worked on at once.
 AT_ONCE = 256
 
@@ -38,9 +42,9 @@ def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a @ b
 
 
-def search_block(queries: np.ndarray, query_ids: np.ndarray, block: np.ndarray, ids: np.ndarray, k: int):
-    """(query position, id, score) of each query's k best in a block; ids must ascend, block is
-    candidates x dimensions."""
+def search_block(queries: np.ndarray, query_ids: np.ndarray, block: np.ndarray, ids: np.ndarray, k: int, bars: np.ndarray | None = None):
+    """(query position, id, score) of each query's k best in a block, of those that reach its bar if it has
+    one (a bar of -2**63 is none); ids must ascend, block is candidates x dimensions."""
     dim = block.shape[1]
     columns = np.ascontiguousarray(block.T)
     cuts = list(range(0, dim, SLICE)) + [dim]
@@ -56,6 +60,9 @@ def search_block(queries: np.ndarray, query_ids: np.ndarray, block: np.ndarray,
             own = ids[:HEAD] != query_ids[start + q]
             known_ids, known = ids[:HEAD][own], head[q][own]
             bar = np.partition(known, len(known) - k)[len(known) - k] if len(known) >= k else None
+            if bars is not None and bars[start + q] > -(2**63):
+                bar = bars[start + q] if bar is None else max(bar, bars[start + q])
+                known_ids, known = known_ids[known >= bar], known[known >= bar]
             alive, partial = np.arange(HEAD, len(ids)), first[q]
             for step in range(1, len(cuts)):
                 if step > 1 and len(alive):
@@ -77,40 +84,47 @@ def _search(key, group: pa.Table, k: int) -> pa.Table:
     for rows in (np.flatnonzero(is_query), np.flatnonzero(~is_query)):
         t = group.take(pa.array(rows)).combine_chunks()
         ids = t["vec_id"].to_numpy()
-        values = _matrix(t["whole"].combine_chunks(), dim) if len(ids) else np.empty((0, dim), np.int64)
         order = np.argsort(ids, kind="stable")
-        ids, values = ids[order], values[order]
-        if len(ids):  # rows repeated in full count once
-            fresh = np.append(True, (ids[1:] != ids[:-1]) | (values[1:] != values[:-1]).any(axis=1))
-            ids, values = ids[fresh], values[fresh]
-        sides.append((ids, values))
-    (qids, queries), (ids, block) = sides
+        values = _matrix(t["whole"].combine_chunks(), dim) if len(ids) else np.empty((0, dim), np.int64)
+        sides.append((ids[order], values[order], t["bar"].to_numpy()[order]))
+    (qids, queries, bars), (ids, block, _) = sides
     if not len(qids) or not len(ids):
         found = (np.empty(0, np.int64),) * 3
     else:
-        found = search_block(queries, qids, block, ids, k)
+        found = search_block(queries, qids, block, ids, k, bars)
     return pa.table({"query_id": qids[found[0]].astype(np.int64) if len(found[0]) else pa.array([], pa.int64()), "vec_id": pa.array(found[1].astype(np.int64)), "score": pa.array(found[2].astype(np.int64))})
 
 
+def _blocks(queries: DataFrame, candidates: DataFrame, q_blocks: int, c_blocks: int, k: int) -> DataFrame:
+    """The best of every block pair: query_id, vec_id, score."""
+    block = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = queries.select("dim", block(q_blocks).alias("qb"), every(c_blocks).alias("cb"), F.lit(True).alias("is_query"), "vec_id", "whole", "bar")
+    right = candidates.select("dim", every(q_blocks).alias("qb"), block(c_blocks).alias("cb"), F.lit(False).alias("is_query"), "vec_id", "whole", F.lit(-(2**63)).cast("long").alias("bar"))
+    return left.unionByName(right).groupBy("dim", "qb", "cb").applyInArrow(lambda key, t: _search(key, t, k), "query_id long, vec_id long, score long")
+
+
 def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5) -> DataFrame:
     """Each query's k best candidates by integer inner product; columns vec_id, whole (array<long>)
     on both sides. Returns query_id, rank (from 1), vec_id, score; ties go to the smaller vec_id, all
     candidates if there are fewer than k. A candidate with the query's own vec_id is its own row and
-    left out. Rows repeated in full count once; vectors of another length take no part in a query.
-    Empty inputs give an empty result.
+    left out. Rows repeated in full (one id, one vector) are one vector and count once on either side; an id
+    with several vectors asks with each and keeps the k best of all. Vectors of another length take no
+    part in a query. Empty inputs give an empty result.
     """
-    per_query = queries.withColumn("dim", F.size("whole"))
-    per_candidate = candidates.withColumn("dim", F.size("whole"))
+    one = lambda df: df.select("vec_id", "whole", F.size("whole").alias("dim")).dropDuplicates(["vec_id", "whole"])
+    asked, known = cut(one(queries), "asked"), cut(one(candidates), "known")
     # Blocks by hash of the id; their numbers follow from one count of either side.
-    q_blocks = max(1, -(-queries.count() // QUERIES))
-    c_blocks = max(1, -(-candidates.count() // CANDIDATES))
-    block = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = per_query.select("dim", block(q_blocks).alias("qb"), every(c_blocks).alias("cb"), F.lit(True).alias("is_query"), "vec_id", "whole")
-    right = per_candidate.select("dim", every(q_blocks).alias("qb"), block(c_blocks).alias("cb"), F.lit(False).alias("is_query"), "vec_id", "whole")
-    best = left.unionByName(right).groupBy("dim", "qb", "cb").applyInArrow(
-        lambda key, t: _search(key, t, k), "query_id long, vec_id long, score long"
-    )
+    q_blocks = max(1, -(-asked.count() // QUERIES))
+    c_blocks = max(1, -(-known.count() // CANDIDATES))
+    mass = F.aggregate("whole", F.lit(0.0), lambda s, x: s + x.cast("double") * x)
+    longest = known.orderBy(mass.desc(), "vec_id").limit(LONGEST)
+    first = _blocks(asked.withColumn("bar", F.lit(-(2**63)).cast("long")), longest, q_blocks, 1, k)
+    # An id may ask with several vectors: the bar holds for what its k best may be at least.
+    bars = first.distinct().groupBy("query_id").agg(F.sort_array(F.collect_list("score"), asc=False).alias("scores"), F.countDistinct("vec_id").alias("n"))
+    bars = cut(bars.where(F.col("n") >= k).select(F.col("query_id").alias("of"), F.col("scores")[k - 1].alias("found")), "bars")
+    barred = asked.join(bars, F.col("vec_id") == F.col("of"), "left").withColumn("bar", F.coalesce("found", F.lit(-(2**63)).cast("long")))
+    best = _blocks(barred, known, q_blocks, c_blocks, k)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
