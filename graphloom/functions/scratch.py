@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,21 +32,47 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/graphloom/{spark.sparkContext.applicationId}"
 
 
-def cut(df: DataFrame, name: str = "cut") -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it back: the plan starts anew from files
-    that survive the loss of any executor. Results may read these files until sweep(). The shuffle
-    files of the write itself are of no more use once the table is there, and are removed."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+@contextmanager
+def shuffles_removed(spark: SparkSession):
+    """Writes inside leave no shuffle files behind."""
     before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        yield
     finally:
         spark.conf.set(_CLEANUP, before)
+
+
+def cut(df: DataFrame, name: str = "cut", codec: str = "snappy") -> DataFrame:
+    """Writes df as Parquet to the shared folder and reads it back: the plan starts anew from files
+    that survive the loss of any executor. Results may read these files until sweep(). The shuffle
+    files of the write itself are of no more use once the table is there, and are removed."""
+    spark = df.sparkSession
+    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    with shuffles_removed(spark):
+        df.write.option("compression", codec).parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Tables that cut() has written and that are still there, in order.
+_written: list[str] = []
+
+
+def mark() -> int:
+    """A point to discard() from."""
+    return len(_written)
+
+
+def discard(spark: SparkSession, since: int) -> None:
+    """Deletes the tables that cut() has written since a mark, but for the last one: for jobs in stages,
+    once a stage's result is written."""
+    for path in _written[since:-1]:
+        system, found = _file_system(spark, path)
+        system.delete(found, True)
+    del _written[since:-1]
+
+
 def _file_system(spark: SparkSession, path: str):
     found = spark._jvm.org.apache.hadoop.fs.Path(path)
     return found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), found

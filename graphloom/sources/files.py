@@ -66,7 +66,7 @@ LARGEST = 2 * 1024 * 1024
 
 def walk(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """Files below a folder with size, time and SHA-1, without excluded folders (in any case) and files over 2 MiB."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreMissingFiles", "true").option("pathGlobFilter", pattern).load(path)
     kept = ~F.col("path").rlike("(?i)/(?:" + "|".join(x.replace(".", r"\.") for x in EXCLUDED) + ")/") & (F.col("length") <= LARGEST)
     return files.where(kept).select("path", F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), F.sha1("content").alias("sha1"), "content")
 

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from graphloom.functions.scratch import scratch_dir
+from graphloom.functions.scratch import exists, scratch_dir
+from graphloom.sources.files import walk
 
 
 def stream_of(spark: SparkSession, sf_dir: str, name: str = "events", files_per_trigger: int = 100) -> DataFrame:
@@ -81,3 +82,30 @@ def cache_hits(events: DataFrame, cache: DataFrame, key: str) -> DataFrame:
     """Stream-static left join: whether each event's key is in the cache."""
     known = cache.select(F.col(key).alias("_known")).distinct()
     return events.join(known, F.col(key) == F.col("_known"), "left").withColumn("hit", F.col("_known").isNotNull()).drop("_known")
+
+
+def file_changes(before: DataFrame, after: DataFrame) -> DataFrame:
+    """path, change (create, modify or delete) and sha1 between two manifests (path, sha1) of a folder; a file
+    whose bytes are the same gives none."""
+    old, new = before.select("path", F.col("sha1").alias("old")), after.select("path", F.col("sha1").alias("new"))
+    kind = F.when(F.col("old").isNull(), "create").when(F.col("new").isNull(), "delete").when(F.col("old") != F.col("new"), "modify")
+    return old.join(new, "path", "full").select("path", kind.alias("change"), F.col("new").alias("sha1")).where("change IS NOT NULL")
+
+
+def watch(spark: SparkSession, folder: str, base: str, seconds: int = 1, pattern: str = "*"):
+    """Starts a watcher of a folder: at every tick the folder is walked and held against the manifest of the
+    tick before, and the changes are appended below base/events. Several writes to a file between two ticks
+    are one event, so a tick is the debounce; a tick that is run again writes the same. Returns the running
+    query. Deletions are found too, which a file stream alone does not see."""
+    empty = "path string, sha1 string"
+
+    def tick(_, number: int) -> None:
+        seen = walk(spark, folder, pattern).select("path", "sha1")
+        seen.write.mode("overwrite").parquet(f"{base}/manifest-{number % 2}")
+        last = f"{base}/manifest-{(number + 1) % 2}"
+        before = spark.read.schema(empty).parquet(last) if number and exists(spark, last) else spark.createDataFrame([], empty)
+        changes = file_changes(before, spark.read.schema(empty).parquet(f"{base}/manifest-{number % 2}"))
+        changes.coalesce(1).write.mode("overwrite").parquet(f"{base}/events/tick={number}")
+
+    clock = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    return clock.writeStream.foreachBatch(tick).option("checkpointLocation", f"{base}/log").trigger(processingTime=f"{seconds} seconds").start()

@@ -282,3 +282,49 @@ def test_pca_and_choose_k(spark):
     assert np.allclose(np.var(flat, axis=0, ddof=1), top, rtol=1e-3)
     chosen = {r.k: r.silhouette for r in vector.kmeans_choose_k(spark, sf).collect()}
     assert sorted(chosen) == list(range(2, 11)) and all(-1 <= s <= 1 for s in chosen.values())
+
+
+def test_watcher_sees_create_modify_and_delete(spark, tmp_path):
+    import time
+
+    from graphloom.streaming import events
+
+    folder, base = tmp_path / "in", tmp_path / "base"
+    folder.mkdir()
+    (folder / "a.txt").write_text("one")
+    (folder / "b.txt").write_text("two")
+
+    def changes():
+        if not (base / "events").exists() or not list((base / "events").glob("tick=*/_SUCCESS")):
+            return set()
+        rows = spark.read.schema("path string, change string, sha1 string, tick int").parquet(str(base / "events")).collect()
+        return {(r.path.rsplit("/", 1)[-1], r.change) for r in rows}
+
+    def wait_for(want):
+        for _ in range(120):
+            if want <= changes():
+                return True
+            time.sleep(0.5)
+        return False
+
+    query = events.watch(spark, str(folder), str(base))
+    try:
+        assert wait_for({("a.txt", "create"), ("b.txt", "create")})
+        (folder / "a.txt").write_text("changed")
+        (folder / "b.txt").unlink()
+        (folder / "c.txt").write_text("new")
+        assert wait_for({("a.txt", "modify"), ("b.txt", "delete"), ("c.txt", "create")})
+    finally:
+        query.stop()
+
+
+def test_stream_batches_by_size_and_time(spark, tmp_path):
+    from graphloom.session import table
+    from graphloom.streaming import events
+
+    sf = "/root/testdata/sf0.001"
+    query = sinks.write_by_size_or_time(events.stream_of(spark, sf).select("event_id", F.lit(10).alias("bytes")), str(tmp_path / "out"), str(tmp_path / "log"), "bytes", 1000, 1)
+    query.processAllAvailable()
+    query.stop()
+    rows = spark.read.parquet(str(tmp_path / "out")).groupBy("batch", "part").agg(F.sum("bytes").alias("b"), F.count(F.lit(1)).alias("n")).collect()
+    assert sum(r.n for r in rows) == table(spark, sf, "events").count() and max(r.b for r in rows) <= 1000

@@ -16,6 +16,16 @@ def test_join_checked_gives_the_same_rows_either_way(spark):
     assert ways == [34, 34, 66, 66, 100, 100]
 
 
+def test_discard_keeps_the_last_table(spark):
+    since = scratch.mark()
+    kept = [scratch.cut(spark.range(n)) for n in (1, 2, 3)]
+    paths = [df.inputFiles()[0] for df in kept]
+    scratch.discard(spark, since)
+    assert kept[2].count() == 3 and scratch.mark() == since + 1
+    assert [scratch.exists(spark, p) for p in paths] == [False, False, True]
+    assert scratch.fingerprint(spark, paths[2]) == scratch.fingerprint(spark, paths[2])
+
+
 def test_sweep_deletes_the_tables(spark, monkeypatch):
     monkeypatch.setattr(scratch, "scratch_dir", lambda s: f"{scratch.shared_dir(s)}/graphloom/sweep-test")
     back = scratch.cut(spark.range(3))
