@@ -6,7 +6,8 @@ to hash buckets, ordered by hash and id within a bucket, and buckets get offsets
 keyed Feistel permutation of [0, 2**bits) with cycle-walking turns the number into a slot of [0, N),
 so the order is a pseudo-random permutation that needs no sort of all sequences. Slots are dealt to
 range partitions that begin at shard edges, and each partition writes its shards: a file of records of
-one stride (the ids, then a line feed). Slot s lies at byte (s mod rows) * stride of shard s div rows,
+one stride (the ids, then a line feed). This is done volume by volume, a range of shards at a time, so
+that only a part of the payload is in a shuffle at once and a broken run goes on with its next volume. Slot s lies at byte (s mod rows) * stride of shard s div rows,
 and a reader goes on from any slot. An index table next to the shards says which document a slot
 holds. Everything is written by Spark's own writers, so the folder may be on any file system of the
 cluster, and a task that is run again leaves nothing twice.
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from graphloom.functions.scratch import cut, shared_dir
+from graphloom.functions.scratch import cut, exists, shared_dir, shuffles_removed
 from graphloom.llm import tokens
 from graphloom.llm.texts import mix, small_batches
 
@@ -35,6 +36,8 @@ SHARD_ROWS = 4096
 BUCKET_ROWS, FEWEST = 20_000, 64
 #: Bytes of shards that one task writes, about.
 TASK_BYTES = 64 << 20
+#: Ranges of shards that are written one after the other.
+VOLUMES = 4
 ROUNDS = 6
 
 
@@ -90,7 +93,7 @@ def _placed(docs: DataFrame, vocabulary: Broadcast, key: int, length: int) -> tu
             lambda batches: _encode(batches, vocabulary, length),
             "bucket int, at long, doc_id long, part int, n_tokens int, ids binary",
         ),
-        "encoded",
+        "encoded", "zstd",
     )
     # One row a bucket.
     counts = encoded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
@@ -114,12 +117,13 @@ def _payload(length: int):
     return F.rpad(F.col("ids"), F.lit(2 * length), F.lit(np.array([tokens.END_OF_TEXT], "<u2").tobytes()))
 
 
-def _dealt(placed: DataFrame, total: int, length: int, shard_rows: int) -> DataFrame:
-    """With shard and row, in range partitions that begin at shard edges, sorted."""
-    shards = max(1, -(-total // shard_rows))
-    tasks = min(shards, max(placed.sparkSession.sparkContext.defaultParallelism, -(-total * 2 * length // TASK_BYTES)))
-    rows = placed.withColumn("shard", F.floor(F.col("slot") / shard_rows).cast("long")).withColumn("row", F.pmod("slot", F.lit(shard_rows)).cast("int"))
-    task = F.floor(F.col("shard") * tasks / shards).cast("int")
+def _dealt(placed: DataFrame, first: int, until: int, length: int, shard_rows: int) -> DataFrame:
+    """The rows of a range of shards with shard and row, in range partitions that begin at shard edges, sorted."""
+    shards = max(1, until - first)
+    tasks = min(shards, max(placed.sparkSession.sparkContext.defaultParallelism, -(-shards * shard_rows * 2 * length // TASK_BYTES)))
+    rows = placed.where(F.col("slot").between(first * shard_rows, until * shard_rows - 1))
+    rows = rows.withColumn("shard", F.floor(F.col("slot") / shard_rows).cast("long")).withColumn("row", F.pmod("slot", F.lit(shard_rows)).cast("int"))
+    task = F.floor((F.col("shard") - first) * tasks / shards).cast("int")
     return rows.withColumn("task", task).repartitionById(tasks, "task").sortWithinPartitions("shard", "slot").drop("task")
 
 
@@ -135,7 +139,7 @@ def training_order(
     Slots are exactly 0..N-1. An empty table gives an empty result. Further columns are ignored.
     """
     placed, total = _placed(docs, vocabulary, key, length)
-    return _dealt(placed, total, length, shard_rows).select("slot", "shard", "row", "doc_id", "part", "n_tokens", _payload(length).alias("payload"))
+    return _dealt(placed, 0, -(-total // shard_rows), length, shard_rows).select("slot", "shard", "row", "doc_id", "part", "n_tokens", _payload(length).alias("payload"))
 
 
 def _manifest(docs: DataFrame, vocabulary: Broadcast, key: int, length: int, shard_rows: int) -> dict:
@@ -146,29 +150,31 @@ def _manifest(docs: DataFrame, vocabulary: Broadcast, key: int, length: int, sha
     return {"key": key, "length": length, "shard_rows": shard_rows, "rows": n, "input": [a or 0, b or 0], "vocabulary": hashlib.sha256(raw).hexdigest()}
 
 
-def _exists(spark, path: str) -> bool:
-    found = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(found)
-
-
 def write_shards(
     docs: DataFrame, vocabulary: Broadcast, directory: str, key: int = 20240501, length: int = LENGTH, shard_rows: int = SHARD_ROWS
 ) -> str:
     """Writes the training order below a folder of the cluster and returns the order's own folder.
 
     Its name is the digest of a manifest: key, length, rows a shard, vocabulary and a digest of the input
-    rows, so orders of another key or other texts never mix. shards/shard=N holds one file, index the
-    rows (slot, shard, row, doc_id, part, n_tokens, crc of the ids), manifest the manifest. The manifest
-    is written last: an order that has one is whole and left as it is; one without is written anew.
+    rows, so orders of another key or other texts never mix. shards/volume=V/shard=N holds one file, index
+    the rows (slot, shard, row, doc_id, part, n_tokens, crc of the ids), manifest the manifest. The manifest
+    is written last: an order that has one is whole and left as it is; one without goes on with the volumes
+    that are not committed.
     """
     spark = docs.sparkSession
     said = json.dumps(_manifest(docs, vocabulary, key, length, shard_rows), sort_keys=True)
     folder = f"{directory.rstrip('/')}/order-{hashlib.sha256(said.encode()).hexdigest()[:24]}"
-    if _exists(spark, f"{folder}/manifest/_SUCCESS"):
+    if exists(spark, f"{folder}/manifest/_SUCCESS"):
         return folder
     placed, total = _placed(docs, vocabulary, key, length)
-    dealt = _dealt(placed.select("slot", "ids"), total, length, shard_rows)
-    dealt.select("shard", _payload(length).cast("string").alias("record")).write.mode("overwrite").partitionBy("shard").text(f"{folder}/shards")
+    shards = -(-total // shard_rows)
+    edges = [shards * v // VOLUMES for v in range(VOLUMES + 1)]
+    for volume, (first, until) in enumerate(zip(edges, edges[1:])):
+        path = f"{folder}/shards/volume={volume}"
+        if first < until and not exists(spark, f"{path}/_SUCCESS"):
+            dealt = _dealt(placed.select("slot", "ids"), first, until, length, shard_rows)
+            with shuffles_removed(spark):
+                dealt.select("shard", _payload(length).cast("string").alias("record")).write.mode("overwrite").partitionBy("shard").text(path)
     places = [F.floor(F.col("slot") / shard_rows).cast("long").alias("shard"), F.pmod("slot", F.lit(shard_rows)).cast("int").alias("row")]
     placed.select("slot", *places, "doc_id", "part", "n_tokens", F.crc32(_payload(length)).alias("crc")).write.mode("overwrite").parquet(f"{folder}/index")
     spark.createDataFrame([(said, total)], "settings string, sequences long").coalesce(1).write.mode("overwrite").json(f"{folder}/manifest")

@@ -31,7 +31,7 @@ def test_slots_are_dense_and_payloads_round_trip(spark, edge_docs, tmp_path):
     want = {r.slot: bytes(r.payload) for r in rows}
     assert {s: (r.doc_id, r.part, r.n_tokens) for s, r in index.items()} == {r.slot: (r.doc_id, r.part, r.n_tokens) for r in rows}
     for slot, r in index.items():
-        (file,) = (tmp_path / folder / "shards" / f"shard={r.shard}").glob("*.txt")
+        (file,) = (tmp_path / folder / "shards").glob(f"volume=*/shard={r.shard}/*.txt")
         with open(file, "rb") as f:
             f.seek(r.row * 129)
             record = f.read(129)
@@ -52,6 +52,13 @@ def test_an_order_is_written_once_and_never_mixed(spark, near_docs, tmp_path):
     assert len({folder, other, fewer}) == 3 and stamps(folder) == before
     (tmp_path / folder / "manifest" / "_SUCCESS").unlink()  # as if it broke before the end
     assert write(near_docs) == folder and stamps(folder) != before
+    (tmp_path / folder / "manifest" / "_SUCCESS").unlink()
+    (tmp_path / folder / "shards" / "volume=1" / "_SUCCESS").unlink()
+    before = stamps(folder)
+    assert write(near_docs) == folder
+    after = stamps(folder)
+    shard_files = lambda v: {p.name for p in (tmp_path / folder / "shards" / f"volume={v}").rglob("*.txt")}
+    assert all(after[n] == before[n] for v in (0, 2, 3) for n in shard_files(v)) and not shard_files(1) & set(before)
     a, b = ([bytes(r.payload) for r in op.read_shards(spark, f).orderBy("slot").collect()] for f in (folder, other))
     assert sorted(a) == sorted(b) and a != b
 
