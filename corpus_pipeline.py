@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from graphloom.functions.scratch import cut, join_checked
+from graphloom.functions.scratch import cut, discard, join_checked, mark
 from graphloom.llm import op3_mixing, op4_minhash, op5_sentencepiece, op7_toxicity, op9_surrogates
 from graphloom.llm.labelled import held_out
 
@@ -70,9 +70,12 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over documents. When a stage is written, what the stages before it left in the shared
+    folder is deleted; the result's own table stays until sweep()."""
+    docs, begun = spark.read.parquet(f"{sf_dir}/documents.parquet"), mark()
     for name, stage in STAGES:
         docs = cut(stage(spark, docs, sf_dir), name)
+        discard(spark, begun)
     return docs
 
 

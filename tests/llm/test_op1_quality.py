@@ -46,3 +46,13 @@ def test_sample_is_bounded(spark):
     labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id long, quality int")
     got = sorted((r.doc_id, r.text, r.y) for r in sample(docs, labels, "quality", F.lit(True), 10).collect())
     assert got == [(1, "text 0", 1), (2, None, 0), (3, "a", 0)]
+
+
+def test_held_out_labels_of_the_documents(spark):
+    """Accuracy and AUC on rows that were never learnt from."""
+    sf = "/root/testdata/sf0.01"
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    rows = [(r.score, r.predicted, labels[r.doc_id]) for r in op.query(spark, sf).collect() if r.held_out and r.doc_id in labels]
+    ones, zeros = ([s for s, _, y in rows if y == k] for k in (1, 0))
+    auc = np.mean([(a > b) + 0.5 * (a == b) for a in ones for b in zeros])
+    assert len(rows) > 40 and np.mean([p == y for _, p, y in rows]) >= 0.95 and auc >= 0.98

@@ -59,3 +59,13 @@ def test_edges(spark, edge_docs, empty_docs):
     assert {r.score for r in op.classify(edge_docs, none).collect()} == {0.5}
     both = spark.createDataFrame([(1, 1, 0), (1, 1, 1), (5, 1, 0)], "doc_id long, quality int, toxic int")
     assert op.classify(edge_docs, both).count() == edge_docs.count()
+
+
+def test_held_out_labels_of_the_documents(spark):
+    """Accuracy and AUC on rows that were never learnt from."""
+    sf = "/root/testdata/sf0.1"
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    rows = [(r.score, r.predicted, labels[r.doc_id]) for r in op.query(spark, sf).collect() if r.held_out and r.doc_id in labels]
+    ones, zeros = ([s for s, _, y in rows if y == k] for k in (1, 0))
+    auc = np.mean([(a > b) + 0.5 * (a == b) for a in ones for b in zeros])
+    assert len(rows) > 40 and np.mean([p == y for _, p, y in rows]) >= 0.97 and auc >= 0.98

@@ -62,5 +62,15 @@ def test_repeated_ids_share_copies(spark):
     assert out == Counter({k: v for k, v in plan.items() if v})
 
 
+def test_near_copies_go_by_row(spark):
+    """A repeated id keeps its other text; of rows repeated in full one stays; the rest of the columns follow."""
+    a, b, c = "one two three four five six seven", "a text of its own under the id that repeats", "this one is there two times in full"
+    rows = [(1, a, "en", "s", 1), (7, a, "en", "s", 2), (7, b, "de", "t", 3), (2, c, "en", "s", 4), (2, c, "en", "s", 4), (None, a, "en", "s", 5), (9, None, "en", "s", 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.drop_near_copies(spark, docs, SF)
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id, r.text, r.lang) for r in kept.collect()), key=str) == sorted([(1, a, "en"), (7, b, "de"), (2, c, "en"), (None, a, "en"), (9, None, "en")], key=str)
+
+
 def test_dedup_defaults():
     assert op4_minhash.near_duplicates.__defaults__ == (5, 80)
