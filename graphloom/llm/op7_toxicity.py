@@ -28,6 +28,8 @@ from graphloom.llm.texts import small_batches
 PER_CLASS = 8_000
 TERMS = 8_192
 LEAST_DOCS = 5
+#: Standard deviations by which a term's share of either class must differ: fewer rows, fewer terms.
+LEAST_SCORE = 3.5
 FACTORS = 6
 HASH_BITS = 26
 
@@ -145,7 +147,8 @@ def train(docs: DataFrame, labels: DataFrame, learnable, per_class: int = PER_CL
     ).where(F.col("a") + F.col("b") >= LEAST_DOCS)
     p = (F.col("a") + F.col("b")) / (ones + zeros)
     gap = F.abs(F.col("a") / ones - F.col("b") / zeros) / F.sqrt(p * (1 - p) + 1e-12)
-    kept = counts.orderBy(F.desc(gap), "term").limit(TERMS).select("term").toArrow()
+    sure = gap / (1 / ones + 1 / zeros) ** 0.5 >= LEAST_SCORE
+    kept = counts.where(sure).orderBy(F.desc(gap), "term").limit(TERMS).select("term").toArrow()
     terms = np.sort(kept["term"].to_numpy().astype(np.int64))
     known = F.broadcast(rows.sparkSession.createDataFrame([(terms.tolist(),)], "known array<int>"))
     found = rows.join(known).select("y", "weight", F.array_intersect("terms", "known").alias("terms")).toArrow().combine_chunks()

@@ -68,4 +68,4 @@ def test_held_out_labels_of_the_documents(spark):
     rows = [(r.score, r.predicted, labels[r.doc_id]) for r in op.query(spark, sf).collect() if r.held_out and r.doc_id in labels]
     ones, zeros = ([s for s, _, y in rows if y == k] for k in (1, 0))
     auc = np.mean([(a > b) + 0.5 * (a == b) for a in ones for b in zeros])
-    assert len(rows) > 40 and np.mean([p == y for _, p, y in rows]) >= 0.97 and auc >= 0.98
+    assert len(rows) > 40 and np.mean([p == y for _, p, y in rows]) >= 0.98 and auc >= 0.96
