@@ -47,3 +47,44 @@ def parse(text: Column) -> dict[str, Column]:
         "tags": joined(_TAG), "keywords": joined(_KEYWORD), "fields": F.nullif(F.array_join(fields, ","), F.lit("")),
         "rest": F.trim(F.regexp_replace(rest, r"\s+", " ")),
     }
+
+
+# Properties of photo metadata and the fields they fill, the earlier before the later; labels of codes.
+PROPERTIES = {
+    "aperture": ["FNumber", "ApertureValue"], "camera_make": ["Make", "CameraManufacturer"], "camera_model": ["Model", "CameraModel"],
+    "date_taken": ["DateTimeOriginal", "DateTime", "CreateDate", "DateCreated"], "date_modified": ["ModifyDate"], "exposure_program": ["ExposureProgram"],
+    "flash_fired": ["Flash"], "focal_length": ["FocalLength", "FocalLengthIn35mmFilm"], "iso": ["ISO", "ISOSpeedRatings", "ISOSpeedRating"],
+    "shutter_speed": ["ExposureTime", "ShutterSpeedValue"], "white_balance": ["WhiteBalance"], "lens_model": ["Lens", "LensModel"], "lens_info": ["LensInfo"],
+    "lens_make": ["LensMake", "LensManufacturer"], "lens_id": ["LensID"], "lens_serial": ["LensSerialNumber"], "camera_serial": ["BodySerialNumber"],
+    "color_temperature": ["Temperature"],
+}
+PROGRAMS = ["Not Defined", "Manual", "Normal", "Aperture Priority", "Shutter Priority", "Creative", "Action", "Portrait", "Landscape"]
+LABELS = {
+    "exposure_program": {str(k): v for k, v in enumerate(PROGRAMS)}, "white_balance": {"0": "Auto", "1": "Manual"},
+    "flash_fired": {"0": "False", "1": "True", "9": "True", "16": "False"},
+}
+
+
+def properties(raw: Column) -> Column:
+    """Photo properties (map of strings by local name) as a map of fields: `f/2.8`, `50mm`, `0.00500s`, labels of
+    codes, times as `yyyy-MM-dd HH:mm:ss`. What cannot be formatted stays as it is, but for times, which are
+    left out; unknown properties, nulls and empty values are left out."""
+    as_double = lambda v: F.when(v.rlike(r"^\s*[-+]?(?:\d+\.?\d*|\.\d+)\s*$"), v.cast("double"))
+
+    def shown(field: str, v: Column) -> Column:
+        if field == "aperture":
+            return F.when(as_double(v).isNotNull(), F.concat(F.lit("f/"), F.format_string("%.1f", as_double(v)))).otherwise(v)
+        if field == "focal_length":
+            return F.when(v.contains("mm"), v).otherwise(F.concat(v, F.lit("mm")))
+        if field == "shutter_speed":
+            return F.when(as_double(v).isNotNull(), F.concat(F.format_string("%.5f", as_double(v)), F.lit("s"))).otherwise(v)
+        if field == "date_taken":
+            plain = F.regexp_extract(v, r"^([^+.]*)", 1)
+            return F.when(plain.rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}$|^\d{4}:\d{2}:\d{2} \d{2}:\d{2}:\d{2}$"), F.regexp_replace(plain, r"^(\d{4})[:-](\d{2})[:-](\d{2})[T ](.*)$", "$1-$2-$3 $4"))
+        if field in LABELS:
+            labels = F.create_map(*[F.lit(x) for pair in LABELS[field].items() for x in pair])
+            return F.coalesce(F.try_element_at(labels, v), v)
+        return v
+
+    found = [F.struct(F.lit(f).alias("key"), shown(f, F.coalesce(*[F.nullif(F.try_element_at(raw, F.lit(n)), F.lit("")) for n in names])).alias("value")) for f, names in PROPERTIES.items()]
+    return F.when(raw.isNotNull(), F.map_from_entries(F.filter(F.array(*found), lambda s: s["value"].isNotNull())))

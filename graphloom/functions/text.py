@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import ast
+from unicodedata import normalize
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -139,6 +141,32 @@ def decode_bytes(content: Column) -> Column:
 
 
 
+def decode_any(content: Column) -> Column:
+    """Text of file bytes, composed (NFC), with the encoding and the number of replacement characters. UTF-8 with
+    or without a mark and UTF-16 with a mark are read as such; else the single-byte page under which most
+    characters are letters or spaces wins, Windows-1252 before the others; null bytes give null."""
+
+    return F.pandas_udf(_decoded, "text string, encoding string, replaced int")(content)
+
+
+def _decoded(contents: pd.Series) -> pd.DataFrame:
+    def read(raw: bytes | None) -> tuple:
+        if raw is None:
+            return None, None, None
+        marked = "utf-8-sig" if raw.startswith(b"\xef\xbb\xbf") else "utf-16" if raw[:2] in (b"\xff\xfe", b"\xfe\xff") else None
+        for name in [marked] if marked else ["utf-8"]:
+            try:
+                return normalize("NFC", text := raw.decode(name)), name, text.count("\ufffd")
+            except UnicodeDecodeError:
+                pass
+        plain = lambda text: sum(c.isalpha() or c.isspace() for c in text) - 9 * text.count("\ufffd")
+        name = max(("cp1252", "latin-1", "cp1251", "iso8859-2"), key=lambda n: plain(raw.decode(n, "replace")))
+        text = raw.decode(name, "replace")
+        return normalize("NFC", text), name, text.count("\ufffd")
+
+    return pd.DataFrame([read(x) for x in contents], columns=["text", "encoding", "replaced"])
+
+
 def token_hits(docs: DataFrame, key: str, text: str, terms: list[str]) -> DataFrame:
     """(key, matched, score): how many query terms a text has, and how often. Tokens are counted in one
     pre-aggregated pass."""

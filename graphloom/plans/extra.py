@@ -19,6 +19,11 @@ PHOTOS = [
     (1, "happy family 2017 strasbourg canon #vacation f/2.8 50mm iso100 1/200s"), (2, "Portrait May 2020 sigma tag:Kids kw:beach city=Paris f1.4 2s"),
     (3, "sunset iso: 800 camera_make:Nikon"), (4, "sunset"), (5, ""), (6, None),
 ]
+XMP = [
+    (1, {"FNumber": "2.8", "FocalLength": "50", "ExposureTime": "0.005", "ExposureProgram": "3", "Flash": "16", "WhiteBalance": "7", "DateTimeOriginal": "2017:05:01 10:11:12.50", "Other": "x"}),
+    (2, {"ApertureValue": "wide", "FocalLengthIn35mmFilm": "75mm", "ShutterSpeedValue": "1/200", "CreateDate": "2020-02-03T04:05:06+01:00", "Make": "", "CameraManufacturer": "Canon", "ISO": None}),
+    (3, {"DateTime": "yesterday"}), (4, None),
+]
 CHANGES = [
     ("c1", "FR-10-01 for sprint-4", "src/a.py", None, True, False, False, "@@\n+x = 1\n+# NFR-02-03", "x = 1\n# NFR-02-03\n"),
     ("c1", "FR-10-01 for sprint-4", "docs/FR-11-02.md", None, False, False, False, "@@\n-old\n+new\n same", "new\nFR-99-99"),
@@ -46,6 +51,18 @@ def photo_query(spark, d):
     return rows.select("id", *[c.alias(n) for n, c in photos.parse(F.col("q")).items()])
 
 
+def photo_properties(spark, d):
+    return _frame(spark, XMP, "id int, raw map<string,string>").select("id", F.explode(photos.properties(F.col("raw"))).alias("key", "value"))
+
+
+def decode_documents(spark, d):
+    """Every document from its bytes, in three encodings by turns, composed: what came out and how it was read."""
+    rows = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    body = F.encode("text", "UTF-8")
+    content = F.when(F.col("doc_id") % 3 == 0, F.concat(F.unhex(F.lit("EFBBBF")), body)).when(F.col("doc_id") % 3 == 1, body).otherwise(F.concat(F.unhex(F.lit("FFFE")), F.encode("text", "UTF-16LE")))
+    return rows.select("doc_id", tx.decode_any(content).alias("d")).select("doc_id", F.md5("d.text").alias("digest"), "d.encoding", "d.replaced")
+
+
 def commit_analysis(spark, d):
     rows = code.change_analysis(_frame(spark, CHANGES, "hash string, message string, path string, old_path string, is_new boolean, is_deleted boolean, is_renamed boolean, diff string, content string"))
     return rows.select("hash", "path", "old_path", "change_type", "additions", "deletions", "loc_after", F.array_join("requirements", ",").alias("requirements"), F.array_join("sprints", ",").alias("sprints"))
@@ -148,7 +165,14 @@ _ANALYSIS = [
     ("c2", "src/b.ts", "src/old.ts", "R", 0, 0, 1, "", "7"), ("c3", "src/c.py", None, "D", 0, 2, 0, "", ""),
 ]
 
+_XMP = [
+    (1, "aperture", "f/2.8"), (1, "focal_length", "50mm"), (1, "shutter_speed", "0.00500s"), (1, "exposure_program", "Aperture Priority"), (1, "flash_fired", "False"), (1, "white_balance", "7"),
+    (1, "date_taken", "2017-05-01 10:11:12"), (2, "aperture", "wide"), (2, "focal_length", "75mm"), (2, "shutter_speed", "1/200"), (2, "date_taken", "2020-02-03 04:05:06"), (2, "camera_make", "Canon"),
+]
+
 QUERIES = {
+    "photo_properties": (photo_properties, f"SELECT * FROM {_values(_XMP)} v(id, key, value)"),
+    "decode_documents": (decode_documents, "SELECT doc_id, md5(nfc_normalize(coalesce(text, ''))) AS digest, CASE doc_id % 3 WHEN 0 THEN 'utf-8-sig' WHEN 1 THEN 'utf-8' ELSE 'utf-16' END AS encoding, length(coalesce(text, '')) - length(replace(coalesce(text, ''), chr(65533), '')) AS replaced FROM documents"),
     "code_spans": (code_spans, None),
     "document_spans": (document_spans, None),
     "typescript_details": (typescript_details, f"SELECT * FROM {_values(_SYMBOLS)} v(kind, name, detail, implements)"),
