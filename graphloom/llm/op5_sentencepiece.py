@@ -387,10 +387,13 @@ def decode(encoded: DataFrame, path: str = MODEL) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, prefix = shared.value
+        pieces = np.array(raw, dtype=object)
         for batch in small_batches(batches, 500):
-            texts = []
-            for ids in batch.column(at):
-                text = b"".join([raw[i] for i in ids.values.to_pylist()]).decode("utf-8", "replace") if ids.is_valid else None
+            ids, texts = batch.column(at), []
+            parts = pieces[ids.flatten().to_numpy()].tolist()
+            ends = np.cumsum([0, *ids.value_lengths().fill_null(0).to_pylist()]).tolist()
+            for k, known in enumerate(ids.is_valid().to_pylist()):
+                text = b"".join(parts[ends[k] : ends[k + 1]]).decode("utf-8", "replace") if known else None
                 texts.append(text[1:] if text and prefix and text.startswith(" ") else text)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=names)
 
