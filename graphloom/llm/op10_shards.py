@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from graphloom.functions.scratch import cut, exists, shared_dir, shuffles_removed
+from graphloom.functions.scratch import cut, exists, scratch_dir, shuffles_removed
 from graphloom.llm import tokens
 from graphloom.llm.texts import mix, small_batches
 
@@ -195,7 +196,8 @@ def read_shards(spark, folder: str, first_slot: int = 0) -> DataFrame:
 
 
 def query(spark, sf_dir):
-    """Writes the shards of all documents below the shared folder and returns their index."""
+    """Writes the shards of all documents to a new place in the shared folder, so that no earlier run's
+    shards are taken for this one's, and returns their index."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    folder = write_shards(docs, tokens.vocabulary(spark), f"{shared_dir(spark)}/graphloom/training-order")
+    folder = write_shards(docs, tokens.vocabulary(spark), f"{scratch_dir(spark)}/training-order-{uuid.uuid4().hex}")
     return spark.read.parquet(f"{folder}/index")
