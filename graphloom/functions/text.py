@@ -141,12 +141,15 @@ def decode_bytes(content: Column) -> Column:
 
 
 
+DECODED = "text string, encoding string, replaced int"
+
+
 def decode_any(content: Column) -> Column:
     """Text of file bytes, composed (NFC), with the encoding and the number of replacement characters. UTF-8 with
     or without a mark and UTF-16 with a mark are read as such; else the single-byte page under which most
     characters are letters or spaces wins, Windows-1252 before the others; null bytes give null."""
 
-    return F.pandas_udf(_decoded, "text string, encoding string, replaced int")(content)
+    return F.pandas_udf(_decoded, DECODED)(content)
 
 
 def _decoded(contents: pd.Series) -> pd.DataFrame:

@@ -62,6 +62,14 @@ def deprecation_pairs(message: Column) -> Column:
     return F.array_distinct(_pairs(F.lower(message), DEPRECATES, "old", "by"))
 
 
+def renames(changes: DataFrame) -> DataFrame:
+    """(src, dst, hash, ts) of file changes (hash, change_type, path, old_path, ts): a renamed file becomes what it
+    is called afterwards; each pair with its first commit."""
+    rows = changes.where("change_type = 'R' AND old_path IS NOT NULL AND old_path <> path")
+    first = F.min(F.struct("ts", "hash"))
+    return rows.groupBy(F.col("old_path").alias("src"), F.col("path").alias("dst")).agg(first.alias("f")).select("src", "dst", "f.hash", "f.ts")
+
+
 def mentioned_files(mentions: DataFrame, files: DataFrame) -> DataFrame:
     """(chunk, term) against a table of paths: the full path (1.0), the path below a stripped first
     folder (0.95), a base name that is unique (0.7); the best match of each pair stays."""

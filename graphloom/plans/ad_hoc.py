@@ -5,8 +5,11 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from graphloom import bind
+from graphloom.functions.code import spans_of
+from graphloom.functions.text import DECODED, _decoded
 from graphloom.session import TABLES, table
 
 #: Fixed value: the most rows that an ad-hoc query returns.
@@ -21,6 +24,21 @@ def register_views(spark: SparkSession, sf_dir: str) -> None:
         getattr(bind, name)(spark, sf_dir).createOrReplaceTempView(name)
 
 
+class _Spans:
+    """code_spans(path, source) in SQL: the chunks of one source file."""
+
+    def eval(self, path: str, source: str):
+        if path and source:
+            yield from spans_of(path, source, 50, 40, 20)
+
+
+def register_functions(spark: SparkSession) -> None:
+    """The library's functions under SQL names: decode_any(bytes), a vectorised function that gives a struct, and
+    code_spans(path, source), a table function for LATERAL joins. Own functions are registered likewise."""
+    spark.udf.register("decode_any", F.pandas_udf(_decoded, DECODED))
+    spark.udtf.register("code_spans", F.udtf(_Spans, returnType="first int, until int, kind string, symbol string"))
+
+
 def read_only(spark: SparkSession, text: str, limit: int = MOST_ROWS) -> DataFrame:
     """Runs one SELECT or WITH statement; anything else raises ValueError. Spark's own parser decides what
     the statement means; a statement that writes is a command there and never starts with these words."""

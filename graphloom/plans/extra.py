@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from graphloom import bind
 from graphloom.functions import code, photos, scalars
 from graphloom.functions import text as tx
+from graphloom.functions.scratch import scratch_dir
 from graphloom.operators import ann
-from graphloom.operators import relational as rel
+from graphloom.operators import evidence as ev
+from graphloom.plans import ad_hoc
 from graphloom.plans.derive import _FACTS, _facts, _frame, _values
 from graphloom.session import table
 from graphloom.sources import sinks
@@ -63,6 +67,32 @@ def decode_documents(spark, d):
     return rows.select("doc_id", tx.decode_any(content).alias("d")).select("doc_id", F.md5("d.text").alias("digest"), "d.encoding", "d.replaced")
 
 
+def renamed_files(spark, d):
+    """Line items that are returned count as renames: a part becomes the one after it."""
+    rows = table(spark, d, "lineitem").where("l_returnflag = 'R'").select(
+        F.col("l_orderkey").alias("hash"), F.lit("R").alias("change_type"), (F.col("l_partkey") + 1).alias("path"), F.col("l_partkey").alias("old_path"), F.col("l_shipdate").alias("ts")
+    )
+    return ev.renames(rows)
+
+
+def ad_hoc_sql(spark, d):
+    """One read-only statement over the bound views."""
+    ad_hoc.register_views(spark, d)
+    return ad_hoc.read_only(spark, "SELECT change_type, count(*) AS n, count(DISTINCT hash) AS commits FROM touches GROUP BY change_type")
+
+
+def sink_round_trip(spark, d):
+    """Documents written in every format, partitioned by language, and read back."""
+    rows, out = table(spark, d, "documents").select("doc_id", "n_chars", "lang"), None
+    for kind in ("parquet", "json", "csv", "orc"):
+        path = f"{scratch_dir(spark)}/sink-{kind}-{uuid.uuid4().hex}"
+        sinks.write(rows, path, kind, ["lang"])
+        back = spark.read.schema("doc_id long, n_chars long, lang string").format(kind).option("header", "true").load(path)
+        one = back.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars")).select(F.lit(kind).alias("kind"), "lang", "n", "chars")
+        out = one if out is None else out.unionAll(one)
+    return out
+
+
 def commit_analysis(spark, d):
     rows = code.change_analysis(_frame(spark, CHANGES, "hash string, message string, path string, old_path string, is_new boolean, is_deleted boolean, is_renamed boolean, diff string, content string"))
     return rows.select("hash", "path", "old_path", "change_type", "additions", "deletions", "loc_after", F.array_join("requirements", ",").alias("requirements"), F.array_join("sprints", ",").alias("sprints"))
@@ -171,6 +201,9 @@ _XMP = [
 ]
 
 QUERIES = {
+    "renamed_files": (renamed_files, "SELECT l_partkey AS src, l_partkey + 1 AS dst, arg_min(l_orderkey, (l_shipdate, l_orderkey)) AS hash, min(l_shipdate) AS ts FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1, 2"),
+    "ad_hoc_sql": (ad_hoc_sql, f"WITH {bind.TOUCHED_SQL} SELECT change_type, count(*) AS n, count(DISTINCT hash) AS commits FROM touched GROUP BY 1"),
+    "sink_round_trip": (sink_round_trip, "SELECT kind, lang, count(*) AS n, sum(n_chars) AS chars FROM documents, (VALUES ('parquet'), ('json'), ('csv'), ('orc')) v(kind) GROUP BY 1, 2"),
     "photo_properties": (photo_properties, f"SELECT * FROM {_values(_XMP)} v(id, key, value)"),
     "decode_documents": (decode_documents, "SELECT doc_id, md5(nfc_normalize(coalesce(text, ''))) AS digest, CASE doc_id % 3 WHEN 0 THEN 'utf-8-sig' WHEN 1 THEN 'utf-8' ELSE 'utf-16' END AS encoding, length(coalesce(text, '')) - length(replace(coalesce(text, ''), chr(65533), '')) AS replaced FROM documents"),
     "code_spans": (code_spans, None),

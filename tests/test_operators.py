@@ -328,3 +328,22 @@ def test_stream_batches_by_size_and_time(spark, tmp_path):
     query.stop()
     rows = spark.read.parquet(str(tmp_path / "out")).groupBy("batch", "part").agg(F.sum("bytes").alias("b"), F.count(F.lit(1)).alias("n")).collect()
     assert sum(r.n for r in rows) == table(spark, sf, "events").count() and max(r.b for r in rows) <= 1000
+
+
+def test_functions_in_sql(spark):
+    from graphloom.functions import code
+    from graphloom.plans import ad_hoc, extra
+
+    ad_hoc.register_functions(spark)
+    spark.createDataFrame([("a.py", extra.PYTHON), ("b.ts", extra.SCRIPT), ("c", None)], "path string, source string").createOrReplaceTempView("sources")
+    got = ad_hoc.read_only(spark, "SELECT path, s.* FROM sources, LATERAL code_spans(path, source) s").collect()
+    want = code.code_spans(spark.table("sources")).drop("text").collect()
+    assert sorted(map(tuple, got), key=str) == sorted(map(tuple, want), key=str) and got
+    row = ad_hoc.read_only(spark, "SELECT d.* FROM (SELECT decode_any(X'E9742E') AS d)").first()
+    assert row.text == "ét." and row.encoding == "cp1252" and row.replaced == 0
+
+
+def test_renames_keep_the_first_commit(spark):
+    rows = [("h1", "R", "b", "a", 2), ("h0", "R", "b", "a", 1), ("h2", "M", "b", "a", 0), ("h3", "R", "c", "c", 0), ("h4", "R", "d", None, 0)]
+    got = evidence.renames(spark.createDataFrame(rows, "hash string, change_type string, path string, old_path string, ts int")).collect()
+    assert [tuple(r) for r in got] == [("a", "b", "h0", 1)]
