@@ -30,6 +30,8 @@ TERMS = 8_192
 LEAST_DOCS = 5
 #: Standard deviations by which a term's share of either class must differ: fewer rows, fewer terms.
 LEAST_SCORE = 3.5
+#: The best so many terms are kept in any case.
+FEWEST = 256
 FACTORS = 6
 HASH_BITS = 26
 
@@ -148,7 +150,8 @@ def train(docs: DataFrame, labels: DataFrame, learnable, per_class: int = PER_CL
     p = (F.col("a") + F.col("b")) / (ones + zeros)
     gap = F.abs(F.col("a") / ones - F.col("b") / zeros) / F.sqrt(p * (1 - p) + 1e-12)
     sure = gap / (1 / ones + 1 / zeros) ** 0.5 >= LEAST_SCORE
-    kept = counts.where(sure).orderBy(F.desc(gap), "term").limit(TERMS).select("term").toArrow()
+    best = counts.orderBy(F.desc(gap), "term").limit(TERMS).select("term", sure.alias("sure")).toArrow()
+    kept = best.slice(0, max(FEWEST, sum(best["sure"].to_pylist())))
     terms = np.sort(kept["term"].to_numpy().astype(np.int64))
     known = F.broadcast(rows.sparkSession.createDataFrame([(terms.tolist(),)], "known array<int>"))
     found = rows.join(known).select("y", "weight", F.array_intersect("terms", "known").alias("terms")).toArrow().combine_chunks()
