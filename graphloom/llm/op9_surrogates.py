@@ -81,8 +81,14 @@ PATTERNS = {
 #: What must not stand before a mention: for most types their own characters, for key words nothing.
 _BEFORE = {"secret": "", "person": rf"(?<![{_CASED}\p{{N}}_])"}
 ANY = "(?:" + "|".join(f"{_BEFORE.get(t, '(?<![A-Za-z0-9_])')}(?:{p})" for t, p in PATTERNS.items()) + ")"
-#: A cheap first look: what no mention can do without.
-HINT = rf"[0-9@]|(?i:{KEY_WORDS})|(?:{_ANY_TITLE})|(?=\p{{Lu}})(?:{_KNOWN}) \p{{Lu}}"
+#: What no mention of a name can do without; only capitals that begin a title or a known name are looked at.
+_HEADS = "".join(sorted({w[0] for w in TITLES_M + TITLES_F + TITLES_N + KNOWN_M + KNOWN_F}))
+NAMED = rf"(?=[{_HEADS}])(?:(?:{_ANY_TITLE})[. ]|(?:{_KNOWN}) \p{{Lu}})"
+
+
+def _hinted(body: Column) -> Column:
+    """A cheap first look: whether a text has what some mention needs at least."""
+    return body.rlike("[0-9@]") | (body.rlike("[=:]") & body.rlike(f"(?i:{KEY_WORDS})")) | body.rlike(NAMED)
 
 
 def _sql(text: str) -> str:
@@ -266,7 +272,7 @@ def pseudonymise(docs: DataFrame, key: str = "graphloom", count: str | None = "n
     names = docs.columns
     # Only texts with a mention go further; they are keyed by their SHA-256.
     packed = docs.select(F.struct(*[F.col(f"`{n}`") for n in names]).alias("row"), F.col("text").alias("body"))
-    marked = packed.withColumn("hit", F.coalesce(F.col("body").rlike(HINT) & F.col("body").rlike(ANY), F.lit(False)))
+    marked = packed.withColumn("hit", F.coalesce(_hinted(F.col("body")) & F.col("body").rlike(ANY), F.lit(False)))
     hits = cut(marked.where("hit").select("row", "body", F.sha2("body", 256).alias("sha")), "hits")
     texts = hits.groupBy("sha").agg(F.first("body").alias("body"))
     mentions = texts.select("sha", F.posexplode(F.expr(f"regexp_extract_all(body, {_sql(ANY)}, 0)")).alias("mi", "m"))
