@@ -14,6 +14,7 @@ from graphloom.llm import (
     op8_topk,
     op9_surrogates,
     op10_shards,
+    op13_grace_dedup,
 )
 
 _OPERATORS = {
@@ -27,6 +28,7 @@ _OPERATORS = {
     "op8_branch_and_bound_topk": op8_topk,
     "op9_pii_surrogates": op9_surrogates,
     "op10_training_order_shards": op10_shards,
+    "op13_grace_dedup": op13_grace_dedup,
 }
 
 
