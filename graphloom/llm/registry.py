@@ -14,6 +14,7 @@ from graphloom.llm import (
     op8_topk,
     op9_surrogates,
     op10_shards,
+    op11_divergence,
     op13_grace_dedup,
 )
 
@@ -28,6 +29,7 @@ _OPERATORS = {
     "op8_branch_and_bound_topk": op8_topk,
     "op9_pii_surrogates": op9_surrogates,
     "op10_training_order_shards": op10_shards,
+    "op11_source_divergence": op11_divergence,
     "op13_grace_dedup": op13_grace_dedup,
 }
 
