@@ -15,6 +15,7 @@ from graphloom.llm import (
     op9_surrogates,
     op10_shards,
     op11_divergence,
+    op12_repair,
     op13_grace_dedup,
 )
 
@@ -30,6 +31,7 @@ _OPERATORS = {
     "op9_pii_surrogates": op9_surrogates,
     "op10_training_order_shards": op10_shards,
     "op11_source_divergence": op11_divergence,
+    "op12_conversation_repair": op12_repair,
     "op13_grace_dedup": op13_grace_dedup,
 }
 
