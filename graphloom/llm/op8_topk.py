@@ -43,8 +43,8 @@ def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def search_block(queries: np.ndarray, query_ids: np.ndarray, block: np.ndarray, ids: np.ndarray, k: int, bars: np.ndarray | None = None):
-    """(query position, id, score) of each query's k best in a block, of those that reach its bar if it has
-    one (a bar of -2**63 is none); ids must ascend, block is candidates x dimensions."""
+    """(query position, candidate position, score) of each query's k best in a block, of those that reach its
+    bar if it has one (a bar of -2**63 is none); ids must ascend, block is candidates x dimensions."""
     dim = block.shape[1]
     columns = np.ascontiguousarray(block.T)
     cuts = list(range(0, dim, SLICE)) + [dim]
@@ -57,12 +57,12 @@ def search_block(queries: np.ndarray, query_ids: np.ndarray, block: np.ndarray,
         head = _products(part, columns[:, :HEAD])
         first = _products(part[:, : cuts[1]], columns[: cuts[1], HEAD:])
         for q in range(len(part)):
-            own = ids[:HEAD] != query_ids[start + q]
-            known_ids, known = ids[:HEAD][own], head[q][own]
+            others = np.flatnonzero(ids[:HEAD] != query_ids[start + q])
+            known = head[q][others]
             bar = np.partition(known, len(known) - k)[len(known) - k] if len(known) >= k else None
             if bars is not None and bars[start + q] > -(2**63):
                 bar = bars[start + q] if bar is None else max(bar, bars[start + q])
-                known_ids, known = known_ids[known >= bar], known[known >= bar]
+                others, known = others[known >= bar], known[known >= bar]
             alive, partial = np.arange(HEAD, len(ids)), first[q]
             for step in range(1, len(cuts)):
                 if step > 1 and len(alive):
@@ -71,9 +71,9 @@ def search_block(queries: np.ndarray, query_ids: np.ndarray, block: np.ndarray,
                     stay = partial + np.floor(rest_q[step][q] * rest_c[step][alive] + 1e-6) >= bar
                     alive, partial = alive[stay], partial[stay]
             other = ids[alive] != query_ids[start + q]
-            all_ids, scores = np.append(known_ids, ids[alive][other]), np.append(known, partial[other])
-            best = np.lexsort((all_ids, -scores))[:k]
-            out.append((np.full(len(best), start + q), all_ids[best], scores[best]))
+            places, scores = np.append(others, alive[other]), np.append(known, partial[other])
+            best = np.lexsort((ids[places], -scores))[:k]
+            out.append((np.full(len(best), start + q), places[best], scores[best]))
     return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.empty(0, int),) * 3
 
 
@@ -86,33 +86,38 @@ def _search(key, group: pa.Table, k: int) -> pa.Table:
         ids = t["vec_id"].to_numpy()
         order = np.argsort(ids, kind="stable")
         values = _matrix(t["whole"].combine_chunks(), dim) if len(ids) else np.empty((0, dim), np.int64)
-        sides.append((ids[order], values[order], t["bar"].to_numpy()[order]))
-    (qids, queries, bars), (ids, block, _) = sides
+        sides.append((ids[order], values[order], t["bar"].to_numpy()[order], t["rows"].to_numpy()[order]))
+    (qids, queries, bars, _), (ids, block, _, rows) = sides
     if not len(qids) or not len(ids):
         found = (np.empty(0, np.int64),) * 3
     else:
         found = search_block(queries, qids, block, ids, k, bars)
-    return pa.table({"query_id": qids[found[0]].astype(np.int64) if len(found[0]) else pa.array([], pa.int64()), "vec_id": pa.array(found[1].astype(np.int64)), "score": pa.array(found[2].astype(np.int64))})
+    at = found[1].astype(int)
+    return pa.table({
+        "query_id": pa.array(qids[found[0].astype(int)], pa.int64()), "vec_id": pa.array(ids[at], pa.int64()),
+        "score": pa.array(found[2].astype(np.int64)), "rows": pa.array(rows[at], pa.int64()),
+    })
 
 
 def _blocks(queries: DataFrame, candidates: DataFrame, q_blocks: int, c_blocks: int, k: int) -> DataFrame:
-    """The best of every block pair: query_id, vec_id, score."""
+    """The best of every block pair: query_id, vec_id, score, rows (how often the candidate is there)."""
     block = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = queries.select("dim", block(q_blocks).alias("qb"), every(c_blocks).alias("cb"), F.lit(True).alias("is_query"), "vec_id", "whole", "bar")
-    right = candidates.select("dim", every(q_blocks).alias("qb"), block(c_blocks).alias("cb"), F.lit(False).alias("is_query"), "vec_id", "whole", F.lit(-(2**63)).cast("long").alias("bar"))
-    return left.unionByName(right).groupBy("dim", "qb", "cb").applyInArrow(lambda key, t: _search(key, t, k), "query_id long, vec_id long, score long")
+    left = queries.select("dim", block(q_blocks).alias("qb"), every(c_blocks).alias("cb"), F.lit(True).alias("is_query"), "vec_id", "whole", "bar", "rows")
+    right = candidates.select("dim", every(q_blocks).alias("qb"), block(c_blocks).alias("cb"), F.lit(False).alias("is_query"), "vec_id", "whole", F.lit(-(2**63)).cast("long").alias("bar"), "rows")
+    return left.unionByName(right).groupBy("dim", "qb", "cb").applyInArrow(lambda key, t: _search(key, t, k), "query_id long, vec_id long, score long, rows long")
 
 
 def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5) -> DataFrame:
     """Each query's k best candidates by integer inner product; columns vec_id, whole (array<long>)
     on both sides. Returns query_id, rank (from 1), vec_id, score; ties go to the smaller vec_id, all
     candidates if there are fewer than k. A candidate with the query's own vec_id is its own row and
-    left out. Rows repeated in full (one id, one vector) are one vector and count once on either side; an id
-    with several vectors asks with each and keeps the k best of all. Vectors of another length take no
+    left out. Rows repeated in full (one id, one vector) are compared once and count as often as they are
+    there as candidates, once as a query; an id with several vectors asks with each and keeps the k best
+    of all. Vectors of another length take no
     part in a query. Empty inputs give an empty result.
     """
-    one = lambda df: df.select("vec_id", "whole", F.size("whole").alias("dim")).dropDuplicates(["vec_id", "whole"])
+    one = lambda df: df.groupBy("vec_id", "whole").agg(F.count(F.lit(1)).alias("rows")).withColumn("dim", F.size("whole"))
     asked, known = cut(one(queries), "asked"), cut(one(candidates), "known")
     # Blocks by hash of the id; their numbers follow from one count of either side.
     q_blocks = max(1, -(-asked.count() // QUERIES))
@@ -121,11 +126,13 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5) -> DataFrame:
     longest = known.orderBy(mass.desc(), "vec_id").limit(LONGEST)
     first = _blocks(asked.withColumn("bar", F.lit(-(2**63)).cast("long")), longest, q_blocks, 1, k)
     # An id may ask with several vectors: the bar holds for what its k best may be at least.
-    bars = first.distinct().groupBy("query_id").agg(F.sort_array(F.collect_list("score"), asc=False).alias("scores"), F.countDistinct("vec_id").alias("n"))
+    bars = first.drop("rows").distinct().groupBy("query_id").agg(F.sort_array(F.collect_list("score"), asc=False).alias("scores"), F.countDistinct("vec_id").alias("n"))
     bars = cut(bars.where(F.col("n") >= k).select(F.col("query_id").alias("of"), F.col("scores")[k - 1].alias("found")), "bars")
     barred = asked.join(bars, F.col("vec_id") == F.col("of"), "left").withColumn("bar", F.coalesce("found", F.lit(-(2**63)).cast("long")))
     best = _blocks(barred, known, q_blocks, c_blocks, k)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    # No more than k of a candidate's rows can be among the k best.
+    best = best.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.least("rows", F.lit(k)))))
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -149,7 +156,7 @@ WITH v AS (
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(generate_series(1, len(q.w)), lambda i: q.w[i] * c.w[i])) AS BIGINT) AS score
-  FROM v q JOIN v c ON c.vec_id <> q.vec_id AND len(q.w) = len(c.w) WHERE q.vec_id % 50 = 0),
+  FROM (SELECT DISTINCT * FROM v) q JOIN v c ON c.vec_id <> q.vec_id AND len(q.w) = len(c.w) WHERE q.vec_id % 50 = 0),
 r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
 SELECT * FROM r WHERE rank <= 5
 """
