@@ -64,7 +64,7 @@ PATTERNS = {
     # A local part has at most 64 characters, a host at most 127 labels of 63.
     "email": r"[A-Za-z0-9_][A-Za-z0-9._%+-]{0,63}+@(?:[A-Za-z0-9-]{1,63}+\.){1,127}[A-Za-z]{2,63}",
     # In quotes anything; without, printable ASCII with a letter or digit, and a digit or symbol or eight characters.
-    "secret": rf"""(?i:{KEY_WORDS})["']?[ \t]{{0,3}}[=:][ \t]{{0,3}}(?:"[^"\r\n]{{1,128}}(?="|$)|'[^'\s]{{1,128}}(?='|$)"""
+    "secret": rf"""(?i:{KEY_WORDS})["']?[ \t]{{0,3}}[=:][ \t]{{0,3}}(?:"[^"\r\n]++(?="|$)|'[^'\s]++(?='|$)"""
     rf"""|(?=[+/_-]{{0,64}}[A-Za-z0-9]|{_BARE}{{0,64}}[A-Za-z0-9])(?:(?={_BARE}{{0,4096}}[0-9!#$%^*@+=~]){_BARE}{{3,4096}}[!-~&&[^"'`,;<>&.:!?)\]}}]]"""
     rf"""|["']?[A-Za-z0-9+/_-]{{8,4096}}))""",
     "access_key": r"AKIA[A-Z0-9]{16}(?![A-Za-z0-9_])",
@@ -87,8 +87,9 @@ NAMED = rf"(?=[{_HEADS}])(?:(?:{_ANY_TITLE})[. ]|(?:{_KNOWN}) \p{{Lu}})"
 
 
 def _hinted(body: Column) -> Column:
-    """A cheap first look: whether a text has what some mention needs at least."""
-    return body.rlike("[0-9@]") | (body.rlike("[=:]") & body.rlike(f"(?i:{KEY_WORDS})")) | body.rlike(NAMED)
+    """A cheap first look: whether a text has what some mention needs at least: a digit or an at sign; the
+    head of an access key, or an IPv6 address of letters alone; a key word; a name."""
+    return body.rlike("[0-9@]") | body.rlike("AKIA|(?:[A-Fa-f]{1,4}:){7}") | (body.rlike("[=:]") & body.rlike(f"(?i:{KEY_WORDS})")) | body.rlike(NAMED)
 
 
 def _sql(text: str) -> str:
@@ -136,8 +137,8 @@ def _parts_of(m: str) -> str:
 
 
 def _number(salt: str) -> str:
-    """A number below 2**48 from the key, the entity, the attempt and a salt."""
-    return f"CAST(conv(substr(sha2(concat_ws('|', secret_key, kind, normal, attempt, {salt}), 256), 1, 12), 16, 10) AS BIGINT)"
+    """A number below 2**48 from the seed (of key, entity and attempt) and a salt."""
+    return f"CAST(conv(substr(sha2(concat_ws('|', seed, {salt}), 256), 1, 12), 16, 10) AS BIGINT)"
 
 
 def _pick(items: list[str], salt: str) -> str:
@@ -145,16 +146,17 @@ def _pick(items: list[str], salt: str) -> str:
 
 
 def _like(value: str, keep: str = "0", salt: str = "i") -> str:
-    """Characters after the first `keep` replaced by others of their class."""
+    """Characters after the first `keep` replaced by others of their class, in one pass over the value."""
     letters, hexed = "abcdefghijklmnopqrstuvwxyz", "0123456789abcdef"
-    draw = lambda alphabet: f"substr('{alphabet}', CAST({_number(salt)} % {len(alphabet)} AS INT) + 1, 1)"
-    return f"""array_join(transform(sequence(1, length({value})), i -> CASE
-        WHEN i <= {keep} THEN substr({value}, i, 1)
-        WHEN {value} RLIKE '^[0-9a-f]+$' AND {value} RLIKE '[a-f]' THEN {draw(hexed)}
-        WHEN substr({value}, i, 1) BETWEEN '0' AND '9' THEN {draw('0123456789')}
-        WHEN substr({value}, i, 1) BETWEEN 'a' AND 'z' THEN {draw(letters)}
-        WHEN substr({value}, i, 1) BETWEEN 'A' AND 'Z' THEN {draw(letters.upper())}
-        ELSE substr({value}, i, 1) END), '')"""
+    draw = lambda alphabet: f"substr('{alphabet}', CAST({_number(salt.replace('i', '(i + 1)'))} % {len(alphabet)} AS INT) + 1, 1)"
+    return f"""transform(array({value} RLIKE '^[0-9a-f]+$' AND {value} RLIKE '[a-f]'), hexed ->
+      array_join(transform(filter(split({value}, ''), c -> c <> ''), (c, i) -> CASE
+        WHEN i < {keep} THEN c
+        WHEN hexed THEN {draw(hexed)}
+        WHEN c BETWEEN '0' AND '9' THEN {draw('0123456789')}
+        WHEN c BETWEEN 'a' AND 'z' THEN {draw(letters)}
+        WHEN c BETWEEN 'A' AND 'Z' THEN {draw(letters.upper())}
+        ELSE c END), ''))[0]"""
 
 
 def _luhn(digits: str) -> str:
@@ -174,7 +176,7 @@ PLAIN_ATTEMPTS = 3
 
 
 def _surrogate() -> Column:
-    """From columns kind, normal, attempt, secret_key."""
+    """From columns kind, normal, attempt, seed."""
     whens = []
     for script in ("latin", "cyrillic"):
         syllable = lambda n: _pick(SYLLABLES[script], f"'s{n}'")  # noqa: B023, E731
@@ -233,7 +235,8 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
     taken = entities.withColumnRenamed("normal", "surrogate")
     pending, done, attempt = entities, None, 0
     while True:
-        tried = cut(pending.withColumn("attempt", F.lit(attempt)).withColumn("secret_key", F.lit(key)).withColumn("surrogate", _surrogate()).select("kind", "normal", "surrogate"), "tried")
+        seed = F.sha2(F.concat_ws("|", F.lit(key), "kind", "normal", F.lit(attempt)), 256)
+        tried = cut(pending.withColumn("attempt", F.lit(attempt)).withColumn("seed", seed).withColumn("surrogate", _surrogate()).select("kind", "normal", "surrogate"), "tried")
         best = tried.groupBy("kind", "surrogate").agg(F.min("normal").alias("normal"))
         if attempt == 0:
             best = best.join(taken, ["kind", "surrogate"], "left_anti")
