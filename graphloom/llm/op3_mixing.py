@@ -146,9 +146,9 @@ def targets(sizes: DataFrame) -> DataFrame:
     )
 
 
-def mix(docs: DataFrame, seed: int = 7) -> DataFrame:
+def mix(docs: DataFrame, seed: int = 7, *, carry: bool = False) -> DataFrame:
     """doc_id, size, source_size, target, taken (words the mix takes of the document: 0, 1 or 2 times
-    its size) for every row of docs.
+    its size) for every row of docs; with carry, the row itself as a struct `row` too.
 
     Size counts the words of the whole text; null and blank texts have size 0 and are taken 0 times.
     A null source is a source of its own, the last by name. Rows with equal doc_id, source and size
@@ -156,7 +156,9 @@ def mix(docs: DataFrame, seed: int = 7) -> DataFrame:
     columns are ignored.
     """
     words = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    sized = cut(docs.select(F.col("doc_id"), F.col("source"), words.alias("size")), "sized")
+    row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []
+    order = F.xxhash64(F.lit(seed), "doc_id", "text").alias("order")
+    sized = cut(docs.select(F.col("doc_id"), F.col("source"), words.alias("size"), order, *row), "sized", "zstd" if carry else "snappy")
     lengths = cut(sized.groupBy("source", "size").agg(F.count(F.lit(1)).alias("docs")), "lengths")
     aimed = targets(lengths.groupBy("source").agg(F.sum(F.col("size") * F.col("docs")).alias("source_size")))
     plan = lengths.join(aimed.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of")
@@ -172,7 +174,7 @@ def mix(docs: DataFrame, seed: int = 7) -> DataFrame:
         "docs", "source_size", "target", "base", "extra", F.ceil(F.col("docs") / RANKED).alias("buckets"),
     )
     planned = join_checked(sized, named, key(sized, named), max_rows=200_000).drop("p_source", "p_size")
-    planned = planned.withColumn("order", F.xxhash64(F.lit(seed), "doc_id")).withColumn("bucket", F.pmod("order", "buckets"))
+    planned = planned.withColumn("bucket", F.pmod("order", "buckets"))
     whole = planned.where("extra = 0 or extra = docs").withColumn("more", F.when(F.col("extra") > 0, 1).otherwise(0))
 
     # Lengths of which some documents get one more copy: whole hash buckets first, then ranks in one bucket.
@@ -187,9 +189,9 @@ def mix(docs: DataFrame, seed: int = 7) -> DataFrame:
     )
     some = join_checked(some, edge, key(some, edge), max_rows=200_000).drop("p_source", "p_size")
     outside = some.where("bucket <> edge").withColumn("more", F.when(F.col("bucket") < F.col("edge"), 1).otherwise(0))
-    rank = F.row_number().over(Window.partitionBy("source", "size").orderBy("order", "doc_id"))
+    rank = F.row_number().over(Window.partitionBy("source", "size").orderBy("order", "doc_id", *(["row"] if carry else [])))
     ranked = some.where("bucket = edge").withColumn("more", F.when(rank <= F.col("need"), 1).otherwise(0))
-    result = ["doc_id", "size", "source_size", "target", (F.col("size") * (F.col("base") + F.col("more"))).cast("long").alias("taken")]
+    result = ["doc_id", "size", "source_size", "target", (F.col("size") * (F.col("base") + F.col("more"))).cast("long").alias("taken"), *(["row"] if carry else [])]
     return whole.select(*result).unionAll(outside.select(*result)).unionAll(ranked.select(*result))
 
 

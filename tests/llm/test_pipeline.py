@@ -52,14 +52,24 @@ def test_edges(spark, edge_docs, empty_docs, tmp_path):
         assert corpus_pipeline.run(spark, str(folder)).columns == ["doc_id", "n_pieces", "ids"]
 
 
-def test_repeated_ids_share_copies(spark):
-    rows = [(1, "one two three four", "en", "a", 18)] * 3 + [(2, "five six", "en", "b", 8), (3, None, None, None, None)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    out = Counter(r.doc_id for r in corpus_pipeline.mix_sources(spark, docs, SF).collect())
-    plan = Counter()
-    for r in corpus_pipeline.op3_mixing.mix(docs).collect():
-        plan[r.doc_id] += r.taken // r.size if r.size else 0
-    assert out == Counter({k: v for k, v in plan.items() if v})
+def test_rows_are_mixed_not_ids(spark):
+    """Rows that share an id, or have none, are taken by what the mix decides about each of them."""
+    schema, long_text = "doc_id long, text string, lang string, source string, n_chars long", "k1 k2 k3 k4 k5 k6 k7 k8"
+    cases = [
+        [(1, "one two three four", "en", "a", 18)] * 3 + [(2, "five six", "en", "b", 8), (3, None, None, None, None)],
+        [(3, long_text, "en", "C", 1), (3, "", "de", "A", 2), (4, "x y", "en", "A", 3)],
+        [(None, long_text, "en", "C", 1), (None, "p q r", "en", "C", 2), (None, "", "de", "A", 3), (None, " ", None, None, 4)],
+    ]
+    for rows in cases:
+        docs = spark.createDataFrame(rows, schema)
+        plan = Counter()
+        for r in corpus_pipeline.op3_mixing.mix(docs, carry=True).collect():
+            assert r.row.doc_id == r.doc_id and r.size == len((r.row.text or "").split())
+            plan[tuple(r.row)] += r.taken // r.size if r.size else 0
+        out = corpus_pipeline.mix_sources(spark, docs, SF)
+        assert out.columns == docs.columns
+        assert Counter(map(tuple, out.collect())) == +plan
+        assert all((r.text or "").strip() for r in out.collect()) and any(r.text in (long_text, "one two three four") for r in out.collect())
 
 
 def test_near_copies_go_by_row(spark):
