@@ -9,9 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from graphloom.functions.scratch import cut, discard, join_checked, mark
+from graphloom.functions.scratch import cut, discard, mark
 from graphloom.llm import op3_mixing, op4_minhash, op5_sentencepiece, op7_toxicity, op9_surrogates
 from graphloom.llm.labelled import held_out
 
@@ -39,19 +38,12 @@ def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them: none, once or twice. Rows that share a doc_id share
-    its copies evenly; documents without words are taken 0 times."""
-    copies = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0).cast("long")
-    plan = cut(
-        op3_mixing.mix(docs).groupBy(F.col("doc_id").alias("of")).agg(F.sum(copies).alias("copies"), F.count(F.lit(1)).alias("rows"))
-        .where("copies > 0"),
-        "copies",
-    )
-    taken = join_checked(docs, plan, docs["doc_id"].eqNullSafe(plan["of"]))
-    turn = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    shared = taken.where("rows > 1").withColumn("copies", F.floor((F.col("copies") + F.col("rows") - turn) / F.col("rows")))
-    every = taken.where("rows = 1").unionByName(shared).where("copies > 0")
-    return every.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*docs.columns)
+    """Documents as often as the mix takes them: none, once or twice. Rows decide, not ids: each row goes
+    through the mix with all its columns, rows that share a doc_id or have none too. Rows without words
+    are taken 0 times; an empty table stays empty."""
+    plan = op3_mixing.mix(docs, carry=True).where("taken > 0")
+    copies = F.sequence(F.lit(1).cast("long"), (F.col("taken") / F.col("size")).cast("long"))
+    return plan.select("row", F.explode(copies).alias("copy")).select("row.*")
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
