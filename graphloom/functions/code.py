@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 # How definitions start, by language, and the languages of extensions.
 STARTS = {
@@ -20,74 +17,84 @@ STARTS = {
 LANGUAGES = {".py": "python", ".ts": "braces", ".tsx": "braces", ".js": "braces", ".jsx": "braces"}
 
 
-def indent_ends(lines: list[str]) -> list[int]:
-    """For each line the next line that is not blank and indented no deeper, else the number of lines; one
-    pass with a stack of open lines."""
-    ends, open_lines = [len(lines)] * len(lines), []
-    for k, line in enumerate(lines):
-        if line.strip():
-            indent = len(line) - len(line.lstrip())
-            while open_lines and open_lines[-1][0] >= indent:
-                ends[open_lines.pop()[1]] = k
-            open_lines.append((indent, k))
-    return ends
-
-
-def brace_end(lines: list[str], start: int) -> int:
-    """The line after the one that closes the first brace opened from start on, else the number of lines."""
-    depth = 0
-    for k in range(start, len(lines)):
-        for mark in re.findall(r"[{}]", lines[k]):
-            depth += 1 if mark == "{" else -1
-            if mark == "}" and depth == 0:
-                return k + 1
-    return len(lines)
-
-
-def spans_of(path: str, source: str, least: int, window: int, overlap: int) -> Iterator[tuple]:
-    """(first line, line after the last, kind, symbol) of a file's definitions, then windows over the lines
-    that no definition covers; texts under `least` characters are left out."""
-    lines = source.split("\n")
-    language = LANGUAGES.get("." + path.rsplit(".", 1)[-1].lower())
-    covered: set[int] = set()
-    ends = indent_ends(lines) if language == "python" else []
-    for k, line in enumerate(lines):
-        for kind, pattern in STARTS.get(language, {}).items():
-            found = re.match(pattern, line)
-            if found:
-                end = ends[k] if language == "python" else brace_end(lines, k)
-                if len("\n".join(lines[k:end])) >= least:
-                    covered.update(range(k, end))
-                    yield k, end, kind, found[1]
-                break
-    k = 0
-    while k < len(lines):
-        if k in covered:
-            k += 1
-            continue
-        end = min(k + window, len(lines))
-        # A window rather ends at a blank line or a comment.
-        end = next((j + 1 for j in range(end - 1, k + 1, -1) if not lines[j].strip() or lines[j].strip().startswith(("#", "//"))), end)
-        if len("\n".join(lines[k:end]).strip()) >= least:
-            yield k, end, "window", None
-        k = max(k + 1, end - overlap)
+def line_table(files: DataFrame) -> DataFrame:
+    """path, source -> one row a line: path, k (from 0), n (lines of the file), line, language, and kind and
+    symbol where a definition starts. Null paths and sources give none."""
+    suffix = F.lower(F.concat(F.lit("."), F.substring_index("path", ".", -1)))
+    language = F.coalesce(*[F.when(suffix == ending, name) for ending, name in LANGUAGES.items()])
+    split = F.split("source", "\n")
+    lines = files.where("path IS NOT NULL AND source IS NOT NULL").select("path", language.alias("language"), F.size(split).alias("n"), F.posexplode(split).alias("k", "line"))
+    kinds = [(name, kind, pattern) for name, found in STARTS.items() for kind, pattern in found.items()]
+    starts = lambda name, pattern: (F.col("language") == name) & F.col("line").rlike(pattern)
+    kind = F.coalesce(*[F.when(starts(name, pattern), kind) for name, kind, pattern in kinds])
+    symbol = F.coalesce(*[F.when(starts(name, pattern), F.regexp_extract("line", pattern, 1)) for name, kind, pattern in kinds])
+    return lines.withColumn("kind", kind).withColumn("symbol", symbol)
+
+
+def definitions(lines: DataFrame) -> DataFrame:
+    """path, first, until, kind, symbol of every definition of a line table.
+
+    A line has a level: its indentation (Python; blank lines have none), or the depth of braces after it, a
+    running sum. A definition ends at the first line, from where its body may end on, that is back at its
+    own level: the next line that is indented no deeper, or the line that closes the first brace opened
+    since; else with the file. For each level at which definitions stand, the nearest such line at or after
+    any line is a running minimum from the end of the file.
+    """
+    by_line = Window.partitionBy("path").orderBy("k")
+    python = F.col("language") == "python"
+    blank, indent = F.trim("line") == "", F.length(F.regexp_extract("line", r"^(\s*)", 1))
+    opened, closed = F.regexp_count("line", F.lit(r"\{")), F.regexp_count("line", F.lit(r"\}"))
+    depth = F.sum(opened - closed).over(by_line)
+    opens = F.min(F.when(opened > 0, F.col("k"))).over(by_line.rowsBetween(0, Window.unboundedFollowing))
+    levelled = lines.where("language IS NOT NULL").select(
+        "path", "k", "n", "language", "kind", "symbol",
+        F.when(python, F.when(~blank, indent)).otherwise(depth).alias("level"),
+        F.when(python, indent).otherwise(depth - opened + closed).alias("base"),
+        F.when(python, F.col("k") + 1).otherwise(opens).alias("from"),
+    )
+    starts = levelled.where("kind IS NOT NULL")
+    grid = levelled.select("path", "k", "level").join(starts.select("path", "base").distinct(), "path")
+    onward = Window.partitionBy("path", "base").orderBy(F.desc("k"))
+    back = grid.select("path", "base", F.col("k").alias("from"), F.min(F.when(F.col("level") <= F.col("base"), F.col("k"))).over(onward).alias("at"))
+    until = F.coalesce(F.col("at") + F.when(python, 0).otherwise(1), F.col("n"))
+    return starts.drop("level").join(back, ["path", "base", "from"], "left").select("path", F.col("k").alias("first"), until.alias("until"), "kind", "symbol")
+
+
+def windows(lines: DataFrame, spans: DataFrame, window: int, overlap: int) -> DataFrame:
+    """path, first, until of windows over the gaps between spans: one every window - overlap lines, each
+    ending after the last blank or comment line among its last `overlap` lines if it has one there and the
+    gap goes on."""
+    edges = spans.select("path", F.col("first").alias("k"), F.lit(1).alias("e")).unionAll(spans.select("path", F.col("until").alias("k"), F.lit(-1).alias("e")))
+    edges = edges.groupBy("path", "k").agg(F.sum("e").alias("e"))
+    by_line = Window.partitionBy("path").orderBy("k")
+    covered = F.sum(F.coalesce("e", F.lit(0))).over(by_line) > 0
+    rests = (F.trim("line") == "") | F.trim("line").rlike("^(?:#|//)")
+    marked = lines.join(edges, ["path", "k"], "left").select("path", "k", covered.alias("covered"), F.max(F.when(rests, F.col("k"))).over(by_line).alias("rest"))
+    gap = F.sum(F.when(F.col("covered"), 1).otherwise(0)).over(by_line)
+    free = marked.withColumn("gap", gap).where("NOT covered")
+    gaps = free.groupBy("path", "gap").agg(F.min("k").alias("low"), (F.max("k") + 1).alias("high"))
+    step = window - overlap
+    # A window starts only where the one before has not reached the end of the gap.
+    last = F.greatest(F.col("low"), F.col("high") - 1 - overlap)
+    dealt = gaps.select("path", "high", F.explode(F.sequence(F.col("low"), last, F.lit(step))).alias("first"))
+    dealt = dealt.withColumn("end", F.least(F.col("first") + window, "high"))
+    nearest = free.select("path", (F.col("k") + 1).alias("end"), "rest")
+    rested = (F.col("end") < F.col("high")) & (F.col("rest") >= F.col("first") + step)
+    return dealt.join(nearest, ["path", "end"]).select("path", "first", F.when(rested, F.col("rest") + 1).otherwise(F.col("end")).alias("until"))
 
 
 def code_spans(files: DataFrame, least: int = 50, window: int = 40, overlap: int = 20) -> DataFrame:
-    """path, first, until, kind, symbol, text of the chunks of source files (path, source): definitions with
-    their ends found by indentation (Python) or braces (TypeScript, JavaScript), and windows for the rest.
-    A null source gives none. One file at a time in Arrow batches."""
-
-    def run(frames):
-        for frame in frames:
-            rows = [
-                (path, a, b, kind, symbol, "\n".join(source.split("\n")[a:b]))
-                for path, source in zip(frame["path"], frame["source"]) if source
-                for a, b, kind, symbol in spans_of(path, source, least, window, overlap)
-            ]
-            yield pd.DataFrame(rows, columns=["path", "first", "until", "kind", "symbol", "text"])
-
-    return files.select("path", "source").mapInPandas(run, "path string, first int, until int, kind string, symbol string, text string")
+    """path, first, until, kind, symbol, text of the chunks of source files (path, source; a path once):
+    definitions with their ends found by indentation (Python) or braces (TypeScript, JavaScript), and windows
+    for the rest. Texts under `least` characters are left out, and what such definitions cover goes to the
+    windows. A null source gives none, other endings have windows alone."""
+    lines = line_table(files)
+    sources = files.where("path IS NOT NULL AND source IS NOT NULL").select("path", F.split("source", "\n").alias("lines"))
+    text = F.array_join(F.slice("lines", F.col("first") + 1, F.col("until") - F.col("first")), "\n")
+    defined = definitions(lines).join(sources, "path").withColumn("text", text).drop("lines").where(F.length("text") >= least)
+    rest = windows(lines, defined.select("path", "first", "until"), window, overlap).join(sources, "path").withColumn("text", text).drop("lines")
+    rest = rest.where(F.length(F.trim("text", F.lit(" \t\n\x0b\f\r"))) >= least).select("path", "first", "until", F.lit("window").alias("kind"), F.lit(None).cast("string").alias("symbol"), "text")
+    return defined.select(*rest.columns).unionAll(rest)
 
 
 # How symbols of TypeScript are written.

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom import bind
-from graphloom.functions.code import spans_of
 from graphloom.functions.text import DECODED, _decoded
 from graphloom.session import TABLES, table
 
@@ -24,19 +23,19 @@ def register_views(spark: SparkSession, sf_dir: str) -> None:
         getattr(bind, name)(spark, sf_dir).createOrReplaceTempView(name)
 
 
-class _Spans:
-    """code_spans(path, source) in SQL: the chunks of one source file."""
+class _Lines:
+    """numbered_lines(text) in SQL: the lines of a text with their numbers from 1."""
 
-    def eval(self, path: str, source: str):
-        if path and source:
-            yield from spans_of(path, source, 50, 40, 20)
+    def eval(self, text: str):
+        if text is not None:
+            yield from enumerate(text.split("\n"), 1)
 
 
 def register_functions(spark: SparkSession) -> None:
     """The library's functions under SQL names: decode_any(bytes), a vectorised function that gives a struct, and
-    code_spans(path, source), a table function for LATERAL joins. Own functions are registered likewise."""
+    numbered_lines(text), a table function for LATERAL joins. Own functions are registered likewise."""
     spark.udf.register("decode_any", F.pandas_udf(_decoded, DECODED))
-    spark.udtf.register("code_spans", F.udtf(_Spans, returnType="first int, until int, kind string, symbol string"))
+    spark.udtf.register("numbered_lines", F.udtf(_Lines, returnType="number int, line string"))
 
 
 def read_only(spark: SparkSession, text: str, limit: int = MOST_ROWS) -> DataFrame:

@@ -35,15 +35,22 @@ CHANGES = [
 ]
 
 
+def supplier_sources(spark, d):
+    """Each supplier as a Python file of one to seven classes with two methods each: path, source."""
+    block = """concat('class S', s_suppkey, '_', i, ':\\n    def area(self):\\n        return ', s_acctbal, ' * ', i, '\\n\\n    def name(self):\\n        return "', s_name, '"')"""
+    source = F.expr(f"array_join(transform(sequence(0, CAST(s_suppkey % 7 AS INT)), i -> {block}), '\\n')")
+    return table(spark, d, "supplier").select(F.concat("s_suppkey", F.lit(".py")).alias("path"), source.alias("source"))
+
+
 def code_spans(spark, d):
-    rows = code.code_spans(_frame(spark, [("a.py", PYTHON), ("b.ts", SCRIPT), ("c.md", None)], "path string, source string"), least=20, window=4, overlap=2)
-    return rows.select("path", "first", "until", "kind", "symbol", F.length("text").alias("length"))
+    """Classes and methods of the files that the suppliers give."""
+    return code.code_spans(supplier_sources(spark, d), least=20).select("path", "first", "until", "kind", "symbol", F.length("text").alias("length"))
 
 
 def document_spans(spark, d):
     """Windows over whole documents, cut at blank lines: no definitions, so windows alone."""
     docs = table(spark, d, "documents").select(F.concat("doc_id", F.lit(".txt")).alias("path"), F.col("text").alias("source"))
-    return code.code_spans(docs).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
+    return code.code_spans(docs).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"), F.sum("first").alias("firsts"), F.sum("until").alias("untils"))
 
 
 def typescript_details(spark, d):
@@ -176,10 +183,6 @@ def ann_search(spark, d):
     return ann.search(index, centres, points.where("id % 100 = 0"), k=10, probes=16)
 
 
-_SPANS = [
-    ("a.py", 2, 10, "class", "Store"), ("a.py", 5, 10, "method", "put"), ("a.py", 10, 13, "function", "main"), ("a.py", 13, 16, "window", None), ("a.py", 14, 16, "window", None),
-    ("b.ts", 0, 6, "class", "Page"), ("b.ts", 1, 5, "method", "render"), ("b.ts", 6, 10, "window", None), ("b.ts", 10, 13, "window", None), ("b.ts", 11, 13, "window", None),
-]
 _SYMBOLS = [
     ("class", "Page", "Base", "Shown, Kept"), ("interface", "Props", "Any", None), ("function", "load", "(url)", None), ("arrow", "pick", "(a, b)", None), ("arrow", "one", "x", None),
     ("method", "render", "(props: Props)", None),
@@ -206,8 +209,17 @@ QUERIES = {
     "sink_round_trip": (sink_round_trip, "SELECT kind, lang, count(*) AS n, sum(n_chars) AS chars FROM documents, (VALUES ('parquet'), ('json'), ('csv'), ('orc')) v(kind) GROUP BY 1, 2"),
     "photo_properties": (photo_properties, f"SELECT * FROM {_values(_XMP)} v(id, key, value)"),
     "decode_documents": (decode_documents, "SELECT doc_id, md5(nfc_normalize(coalesce(text, ''))) AS digest, CASE doc_id % 3 WHEN 0 THEN 'utf-8-sig' WHEN 1 THEN 'utf-8' ELSE 'utf-16' END AS encoding, length(coalesce(text, '')) - length(replace(coalesce(text, ''), chr(65533), '')) AS replaced FROM documents"),
-    "code_spans": (code_spans, None),
-    "document_spans": (document_spans, None),
+    "code_spans": (code_spans, """WITH f AS (SELECT s_suppkey AS id, CAST(s_acctbal AS VARCHAR) AS bal, s_name AS name, unnest(range(s_suppkey % 7 + 1)) AS i FROM supplier),
+e AS (SELECT *, length('class S' || id || '_' || i || ':') AS head, length('    def area(self):' || '        return ' || bal || ' * ' || i) + 1 AS area, length('    def name(self):' || '        return "' || name || '"') + 1 AS tail FROM f)
+SELECT id || '.py' AS path, 6 * i AS first, 6 * i + 6 AS until, 'class' AS kind, 'S' || id || '_' || i AS symbol, head + 1 + area + 2 + tail AS length FROM e
+UNION ALL SELECT id || '.py', 6 * i + 1, 6 * i + 4, 'method', 'area', area + 1 FROM e UNION ALL SELECT id || '.py', 6 * i + 4, 6 * i + 6, 'method', 'name', tail FROM e"""),
+    "document_spans": (document_spans, """WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
+r AS (SELECT doc_id, len(lines) AS n, lines, [k - 1 for k in range(1, len(lines) + 1) if trim(lines[k]) = '' OR regexp_matches(trim(lines[k]), '^(?:#|//)')] AS rests FROM l),
+w AS (SELECT *, unnest(range(0, greatest(0, n - 21) + 1, 20)) AS first FROM r), e AS (SELECT *, least(first + 40, n) AS until FROM w),
+c AS (SELECT *, list_max([b for b in rests if b < until]) AS rest FROM e), u AS (SELECT lines, first, CASE WHEN until < n AND rest >= first + 20 THEN rest + 1 ELSE until END AS until FROM c),
+t AS (SELECT first, until, array_to_string(lines[first + 1:until], chr(10)) AS text FROM u)
+SELECT 'window' AS kind, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars, CAST(sum(first) AS BIGINT) AS firsts, CAST(sum(until) AS BIGINT) AS untils
+FROM t WHERE length(trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) >= 50"""),
     "typescript_details": (typescript_details, f"SELECT * FROM {_values(_SYMBOLS)} v(kind, name, detail, implements)"),
     "photo_query": (photo_query, f"SELECT * FROM {_values(_PHOTOS)} v(id, year, month, camera_make, lens_make, aperture, focal_length, iso, shutter_speed, tags, keywords, fields, rest)"),
     "commit_analysis": (commit_analysis, f"SELECT * FROM {_values(_ANALYSIS)} v(hash, path, old_path, change_type, additions, deletions, loc_after, requirements, sprints)"),

@@ -255,19 +255,43 @@ def test_batches_are_halved_until_they_fit(spark):
     assert len(got) == len(rows) and all(v <= 100 or g == 2 for (g, _), v in sizes.items()) and len([1 for g, _ in sizes if g == 0]) == 8
 
 
-def test_code_spans_against_a_plain_reading():
+def test_ends_of_definitions_against_a_plain_reading(spark):
     from graphloom.functions import code
 
-    source = "class A:\n    def f(self):\n        x = 1\n\n        return x\n    y = 2\ndef g():\n    pass\nz = 3\n"
-    lines = source.split("\n")
+    rng = random.Random(2)
+    python = ["class A:", "    def f(self):", "        x = 1", "", "        return x", "    y = 2", "def g():", "    pass", "z = 3", ""]
+    for _ in range(60):
+        python += [" " * rng.choice([0, 4, 8]) + rng.choice(["def f(a):", "class B(C):", "x = 1", "", "  # note"])]
+    script = ["function f(a) {", "  if (x) {", "  }", "}", "g()", "class K", "{", "  put(a) { return {} }", "  get(b) {", "  }", "}", "function open(x) {", "function in(y) {", "}"]
+    files = spark.createDataFrame([("a.py", "\n".join(python)), ("b.ts", "\n".join(script)), ("c.md", "def f():"), ("d.py", None), (None, "def f():"), ("e.py", "")], "path string, source string")
+    got = {(r.path, r.first, r.until, r.kind, r.symbol) for r in code.definitions(code.line_table(files)).collect()}
 
     def end(k):  # quadratic: the next line that is not blank and no deeper
-        indent = len(lines[k]) - len(lines[k].lstrip())
-        return next((j for j in range(k + 1, len(lines)) if lines[j].strip() and len(lines[j]) - len(lines[j].lstrip()) <= indent), len(lines))
+        indent = len(python[k]) - len(python[k].lstrip())
+        return next((j for j in range(k + 1, len(python)) if python[j].strip() and len(python[j]) - len(python[j].lstrip()) <= indent), len(python))
+
+    want = {("a.py", k, end(k), "class" if x.startswith("class") else "method" if x[0] == " " else "function", x.split()[1].split("(")[0].strip(":")) for k, x in enumerate(python) if x.strip().startswith("def") or x.startswith("class")}
+    want |= {("b.ts", 0, 4, "function", "f"), ("b.ts", 5, 11, "class", "K"), ("b.ts", 7, 8, "method", "put"), ("b.ts", 8, 10, "method", "get"), ("b.ts", 11, 14, "function", "open"), ("b.ts", 12, 14, "function", "in")}
+    assert got == want
+
+
+def test_windows_cover_the_gaps(spark):
+    from graphloom.functions import code
 
-    ends = code.indent_ends(lines)
-    assert all(ends[k] == end(k) for k in range(len(lines)) if lines[k].strip())
-    assert code.brace_end(["f() {", "  if (x) {", "  }", "}", "g()"], 0) == 4 and code.brace_end(["f("], 0) == 1
+    rng = random.Random(5)
+    texts = ["\n".join(rng.choice(["some words of a line", "# rest", "", "def f(x):", "    return x"]) for _ in range(n)) for n in (1, 5, 41, 300)]
+    files = spark.createDataFrame([(f"{k}.py", t) for k, t in enumerate(texts)], "path string, source string")
+    spans = code.code_spans(files, least=1, window=10, overlap=4).collect()
+    for k, t in enumerate(texts):
+        lines, own = t.split("\n"), [r for r in spans if r.path == f"{k}.py"]
+        defined = {i for r in own if r.kind != "window" for i in range(r.first, r.until)}
+        seen = set()
+        for r in own:
+            assert r.text == "\n".join(lines[r.first : r.until])
+            if r.kind == "window":
+                assert r.until - r.first <= 10 and not defined & set(range(r.first, r.until))
+                seen |= set(range(r.first, r.until))
+        assert {i for i in range(len(lines)) if i not in defined and lines[i].strip()} <= seen
 
 
 def test_pca_and_choose_k(spark):
@@ -336,8 +360,8 @@ def test_functions_in_sql(spark):
 
     ad_hoc.register_functions(spark)
     spark.createDataFrame([("a.py", extra.PYTHON), ("b.ts", extra.SCRIPT), ("c", None)], "path string, source string").createOrReplaceTempView("sources")
-    got = ad_hoc.read_only(spark, "SELECT path, s.* FROM sources, LATERAL code_spans(path, source) s").collect()
-    want = code.code_spans(spark.table("sources")).drop("text").collect()
+    got = ad_hoc.read_only(spark, "SELECT path, s.* FROM sources, LATERAL numbered_lines(source) s").collect()
+    want = code.line_table(spark.table("sources").where("source IS NOT NULL")).select("path", F.col("k") + 1, "line").collect()
     assert sorted(map(tuple, got), key=str) == sorted(map(tuple, want), key=str) and got
     row = ad_hoc.read_only(spark, "SELECT d.* FROM (SELECT decode_any(X'E9742E') AS d)").first()
     assert row.text == "ét." and row.encoding == "cp1252" and row.replaced == 0
