@@ -6,11 +6,14 @@ once, so touches are merged on their key: the smallest line number carries the c
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from graphloom.functions.scratch import exists, fingerprint, scratch_dir
+from graphloom.operators import inverted
 from graphloom.session import table
 
 
@@ -86,6 +89,21 @@ def _merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def search_index(spark: SparkSession, sf_dir: str) -> inverted.Index:
+    """Files, requirements, commits and chunks with their texts in one inverted index, built once for a state of
+    the tables."""
+    parts = {
+        "File": ("part", "p_partkey", ["p_name", "p_type"]), "Requirement": ("supplier", "s_suppkey", ["s_name"]),
+        "GitCommit": ("orders", "o_orderkey", ["o_orderpriority"]), "Chunk": ("documents", "doc_id", ["text"]),
+    }
+    rows = [
+        table(spark, sf_dir, name).select(F.lit(label).alias("label"), F.col(key).cast("string").alias("id"), F.concat_ws(" ", *columns).alias("text"))
+        for label, (name, key, columns) in parts.items()
+    ]
+    state = "-".join(fingerprint(spark, f"{sf_dir}/{name}.parquet")[:12] for name, _, _ in parts.values())
+    return inverted.build(reduce(DataFrame.unionAll, rows), f"{scratch_dir(spark)}/index-{state}")
+
+
 TOUCHED_SQL = """touched AS (
   SELECT l_orderkey AS hash, l_partkey AS path,
          substr(min(l_linenumber || CASE l_returnflag WHEN 'A' THEN 'A' WHEN 'N' THEN 'M' WHEN 'R' THEN 'D' END), 2) AS change_type,

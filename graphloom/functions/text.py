@@ -168,24 +168,3 @@ def _decoded(contents: pd.Series) -> pd.DataFrame:
         return normalize("NFC", text), name, text.count("\ufffd")
 
     return pd.DataFrame([read(x) for x in contents], columns=["text", "encoding", "replaced"])
-
-
-def token_hits(docs: DataFrame, key: str, text: str, terms: list[str]) -> DataFrame:
-    """(key, matched, score): how many query terms a text has, and how often. Tokens are counted in one
-    pre-aggregated pass."""
-    tokens = docs.select(key, F.explode(F.split(F.lower(text), r"[^\p{L}\p{N}]+")).alias("t")).where(F.col("t").isin([t.lower() for t in terms]))
-    return tokens.groupBy(key).agg(F.countDistinct("t").alias("matched"), F.count(F.lit(1)).alias("score"))
-
-
-def labelled_hits(indexes: dict[str, tuple[DataFrame, str, list[str]]], terms: list[str], label: str | None = None, limit: int = 50) -> DataFrame:
-    """id, label, matched, score: full-text search over several indexes (label -> table, key, text
-    columns), or over one of them. A node found twice under one id counts once, under the label with the
-    better hit; most matched terms first, then most hits, then by id."""
-    asked = {label: indexes[label]} if label in indexes else indexes
-    every = None
-    for name, (rows, key, columns) in asked.items():
-        hits = token_hits(rows.select(F.col(key).cast("string").alias("id"), F.concat_ws(" ", *columns).alias("text")), "id", "text", terms)
-        one = hits.select("id", F.lit(name).alias("label"), "matched", "score")
-        every = one if every is None else every.unionAll(one)
-    best = every.groupBy("id").agg(F.max_by(F.struct("label", "matched", "score"), F.struct("matched", "score", "label")).alias("best"))
-    return best.select("id", "best.*").orderBy(F.desc("matched"), F.desc("score"), "id").limit(limit)

@@ -10,7 +10,7 @@ from graphloom import bind
 from graphloom.functions import code, photos, scalars
 from graphloom.functions import text as tx
 from graphloom.functions.scratch import scratch_dir
-from graphloom.operators import ann
+from graphloom.operators import ann, inverted
 from graphloom.operators import evidence as ev
 from graphloom.plans import ad_hoc
 from graphloom.plans.derive import _FACTS, _facts, _frame, _values
@@ -136,12 +136,27 @@ def halved_batches(spark, d):
 
 
 def fulltext_labels(spark, d):
-    """Files, requirements, commits and chunks in one search."""
-    indexes = {
-        "File": (table(spark, d, "part"), "p_partkey", ["p_name", "p_type"]), "Requirement": (table(spark, d, "supplier"), "s_suppkey", ["s_name"]),
-        "GitCommit": (table(spark, d, "orders"), "o_orderkey", ["o_orderpriority"]), "Chunk": (table(spark, d, "documents"), "doc_id", ["text"]),
-    }
-    return tx.labelled_hits(indexes, ["the", "ECONOMY", "urgent", "red"], limit=200)
+    """Files, requirements, commits and chunks in one search, read from the kept index. A node found twice under
+    one id counts once, under the label with the better hit."""
+    found = inverted.matches(bind.search_index(spark, d), ["the", "ECONOMY", "urgent", "red"]).withColumnRenamed("hits", "score")
+    best = found.groupBy("id").agg(F.max_by(F.struct("label", "matched", "score"), F.struct("matched", "score", "label")).alias("best"))
+    return best.select("id", "best.*").orderBy(F.desc("matched"), F.desc("score"), "id").limit(200)
+
+
+def bm25_search(spark, d):
+    """The 50 best nodes of any kind for some words, by BM25."""
+    return inverted.search(bind.search_index(spark, d), "the economy, URGENT red anodized: thes", 50).select("label", "id", F.round("score", 6).alias("score"), "matched", "hits")
+
+
+def bm25_rare(spark, d):
+    """The ten best for two frequent and one rare word."""
+    return inverted.search(bind.search_index(spark, d), "the of unconscionable thes", 10).select("label", "id", F.round("score", 6).alias("score"), "matched", "hits")
+
+
+def term_statistics(spark, d):
+    """Terms by the number of nodes that have them, from the index's own tables: the hundred most frequent."""
+    tops = bind.search_index(spark, d).table("tops")
+    return tops.groupBy("term").agg(F.sum("df").alias("df"), F.round(F.max("top"), 6).alias("top")).orderBy(F.desc("df"), "term").limit(100)
 
 
 def quality_database(spark, d):
@@ -203,7 +218,24 @@ _XMP = [
     (1, "date_taken", "2017-05-01 10:11:12"), (2, "aperture", "wide"), (2, "focal_length", "75mm"), (2, "shutter_speed", "1/200"), (2, "date_taken", "2020-02-03 04:05:06"), (2, "camera_make", "Canon"),
 ]
 
+_BM25 = r"""x AS (SELECT CAST(p_partkey AS VARCHAR) AS id, 'File' AS label, p_name || ' ' || p_type AS text FROM part UNION ALL SELECT CAST(s_suppkey AS VARCHAR), 'Requirement', s_name FROM supplier
+UNION ALL SELECT CAST(o_orderkey AS VARCHAR), 'GitCommit', o_orderpriority FROM orders UNION ALL SELECT CAST(doc_id AS VARCHAR), 'Chunk', text FROM documents),
+w AS (SELECT label, id, unnest(list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda t: t <> '')) AS term FROM x),
+l AS (SELECT label, id, count(*) AS len FROM w GROUP BY 1, 2), a AS (SELECT count(*) AS n, avg(len) AS mean FROM l),
+p AS (SELECT label, id, term, count(*) AS tf FROM w GROUP BY 1, 2, 3), f AS (SELECT term, count(*) AS df FROM p GROUP BY 1),
+s AS (SELECT label, id, term, tf, df, tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / mean)) AS weight, ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) AS rarity FROM p JOIN l USING (label, id) JOIN f USING (term), a)"""
+
+
+def _best(*terms: str, limit: int) -> str:
+    asked = ", ".join(f"'{t}'" for t in terms)
+    return f"""SELECT label, id, round(sum(weight * rarity), 6) AS score, count(*) AS matched, CAST(sum(tf) AS BIGINT) AS hits FROM s
+WHERE term IN ({asked}) GROUP BY 1, 2 ORDER BY round(sum(weight * rarity), 9) DESC, label, id LIMIT {limit}"""
+
+
 QUERIES = {
+    "bm25_search": (bm25_search, f"WITH {_BM25} {_best('the', 'economy', 'urgent', 'red', 'anodized', 'thes', limit=50)}"),
+    "bm25_rare": (bm25_rare, f"WITH {_BM25} {_best('the', 'of', 'unconscionable', 'thes', limit=10)}"),
+    "term_statistics": (term_statistics, f"WITH {_BM25} SELECT term, max(df) AS df, round(max(weight), 6) AS top FROM s GROUP BY 1 ORDER BY df DESC, term LIMIT 100"),
     "renamed_files": (renamed_files, "SELECT l_partkey AS src, l_partkey + 1 AS dst, arg_min(l_orderkey, (l_shipdate, l_orderkey)) AS hash, min(l_shipdate) AS ts FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1, 2"),
     "ad_hoc_sql": (ad_hoc_sql, f"WITH {bind.TOUCHED_SQL} SELECT change_type, count(*) AS n, count(DISTINCT hash) AS commits FROM touched GROUP BY 1"),
     "sink_round_trip": (sink_round_trip, "SELECT kind, lang, count(*) AS n, sum(n_chars) AS chars FROM documents, (VALUES ('parquet'), ('json'), ('csv'), ('orc')) v(kind) GROUP BY 1, 2"),

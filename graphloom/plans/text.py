@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from graphloom import bind
 from graphloom.functions import scalars
 from graphloom.functions import text as tx
+from graphloom.operators import inverted
 from graphloom.plans.derive import _frame, _values
 from graphloom.session import table
 from graphloom.sources import files as src
@@ -125,8 +127,9 @@ def top_keywords(spark, d):
 
 
 def fulltext_search(spark, d):
-    hits = tx.token_hits(table(spark, d, "documents"), "doc_id", "text", ["the", "thes", "inea", "anha"])
-    return hits.orderBy(F.desc("matched"), F.desc("score"), "doc_id").limit(20)
+    """The documents with most of some words, read from the kept index."""
+    hits = inverted.matches(bind.search_index(spark, d), ["the", "thes", "inea", "anha"]).where("label = 'Chunk'")
+    return hits.select(F.col("id").cast("long").alias("doc_id"), "matched", F.col("hits").alias("score")).orderBy(F.desc("matched"), F.desc("score"), "doc_id").limit(20)
 
 
 def page_titles(spark, d):
