@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import scalars
 from graphloom.operators import clustering, evidence, graphs, merge, relational, similarity
+from graphloom.session import table
 from graphloom.sources import files, sinks
 
 
@@ -246,6 +247,29 @@ def test_approximate_search_has_recall(spark):
     assert len(found) == 150 and len(found & want) >= 0.9 * len(want)
 
 
+@pytest.mark.parametrize("block", [8192, 40])
+def test_recall_on_the_given_vectors(spark, monkeypatch, block):
+    """The whole embeddings table of sf0.1, each hundredth vector against brute force; also with cells in blocks."""
+    import numpy as np
+
+    from graphloom.operators import ann
+    from graphloom.plans import extra
+
+    monkeypatch.setattr(ann, "BLOCK", block)
+    d = "/root/testdata/sf0.1"
+    rows = [(r.vec_id, r.embedding) for r in table(spark, d, "embeddings").select("vec_id", "embedding").collect() if r.embedding and any(r.embedding)]
+    ids, m = np.array([i for i, _ in rows]), np.array([v for _, v in rows], float)
+    m /= np.linalg.norm(m, axis=1)[:, None]
+    found = [(r.query_id, r.id, r.score) for r in extra.ann_search(spark, d).collect()]
+    want = set()
+    for q in np.flatnonzero(ids % 100 == 0):
+        scores = np.where(ids == ids[q], -9, m @ m[q])
+        want |= {(int(ids[q]), int(ids[i])) for i in np.argsort(-scores)[:10]}
+    assert len({(q, i) for q, i, _ in found} & want) >= 0.9 * len(want)
+    at = {i: k for k, i in enumerate(ids.tolist())}
+    assert all(abs(s - m[at[q]] @ m[at[i]]) < 1e-9 for q, i, s in found)
+
+
 def test_batches_are_halved_until_they_fit(spark):
     rows = [(0, i, 10) for i in range(64)] + [(1, i, 1) for i in range(5)] + [(2, 0, 1000)]
     got = sinks.halved(spark.createDataFrame(rows, "grp int, k int, bytes int"), ["grp"], "k", "bytes", 100).collect()
