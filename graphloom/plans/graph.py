@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from graphloom import bind
 from graphloom.operators import evidence as ev
-from graphloom.operators import graphs
+from graphloom.operators import graphs, louvain
 from graphloom.plans.derive import _DEP, depends_on_files
 from graphloom.plans.relational import _PATHS_SQL, _paths
 from graphloom.session import table
@@ -63,6 +63,11 @@ def communities(spark, d):
     return graphs.label_propagation(_edges(spark, d))
 
 
+def louvain_communities(spark, d):
+    """Louvain communities of the whole graph."""
+    return louvain.louvain(_edges(spark, d))
+
+
 def ring_layout(spark, d):
     """Coordinates from the first eight hex digits of MD5: an angle, and a ring by depth."""
     h = F.conv(F.substring(F.md5(F.col("path").cast("string")), 1, 8), 16, 10).cast("double")
@@ -172,6 +177,7 @@ QUERIES = {
     "triangle_counts": (triangle_counts, f"WITH {_EDGES}, bo AS (SELECT lo AS u, hi AS v FROM ed UNION ALL SELECT hi, lo FROM ed) SELECT x.u AS id, count(*) AS triangles FROM bo x JOIN bo y ON x.u = y.u AND x.v < y.v JOIN ed ON ed.lo = x.v AND ed.hi = y.v GROUP BY 1"),
     "modularity": (modularity, f"WITH {_EDGES}, m AS (SELECT count(*) AS m FROM ed), i AS (SELECT lo % 10 AS p, count(*) AS k FROM ed WHERE lo % 10 = hi % 10 GROUP BY 1), t AS (SELECT id % 10 AS p, sum(degree) AS d FROM dg GROUP BY 1) SELECT round(sum(coalesce(k, 0) / m - (d / (2 * m)) * (d / (2 * m))), 6) AS modularity FROM t LEFT JOIN i USING (p), m"),
     "communities": (communities, None),
+    "louvain_communities": (louvain_communities, None),
     "ring_layout": (ring_layout, "WITH h AS (SELECT p_partkey AS path, CAST('0x' || substr(md5(CAST(p_partkey AS VARCHAR)), 1, 8) AS BIGINT) / 4294967295.0::DOUBLE * 2 * pi() AS a, 100 + 50 * (p_size % 3) AS r FROM part) SELECT path, round(r * cos(a), 4) AS x, round(r * sin(a), 4) AS y FROM h"),
     "directory_tree": (directory_tree, "WITH f AS (SELECT 'src/' || lower(replace(p_brand, '#', '')) AS a, lower(p_type) AS b, p_partkey || '.py' AS c FROM part) SELECT DISTINCT 'src' AS parent, a AS child, 1::BIGINT AS depth FROM f UNION SELECT a, a || '/' || b, 2 FROM f UNION SELECT a || '/' || b, a || '/' || b || '/' || c, 3 FROM f"),
     "dir_contains": (dir_contains, "SELECT r_name AS parent, n_name AS child, 1 AS depth FROM nation JOIN region ON r_regionkey = n_regionkey UNION ALL SELECT n_name, c_name, 2 FROM customer JOIN nation ON n_nationkey = c_nationkey UNION ALL SELECT n_name, s_name, 2 FROM supplier JOIN nation ON n_nationkey = s_nationkey"),
