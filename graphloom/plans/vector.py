@@ -9,6 +9,7 @@ from graphloom.functions.scratch import cut
 from graphloom.operators import clustering as cl
 from graphloom.operators import relational as rel
 from graphloom.operators import similarity as sim
+from graphloom.operators import ward
 from graphloom.session import table
 
 DIMS = 64
@@ -148,6 +149,12 @@ def kmeans_choose_k(spark, d):
     return out
 
 
+def ward_clusters(spark, d):
+    """Eight Ward clusters of the vectors."""
+    rows = points(spark, d).select("id", "vec")
+    return ward.labels(rows, ward.merges(rows), 8)
+
+
 EPS = 0.15
 
 
@@ -243,6 +250,7 @@ _EDGES = " + ".join(
 )
 
 QUERIES = {
+    "ward_clusters": (ward_clusters, None),
     "vector_topk": (vector_topk, f"WITH {_S7}, r AS (SELECT id, round(score, 6) AS score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM s WHERE id <> 7) SELECT * FROM r WHERE rank BETWEEN 3 AND 12"),
     "vector_topk_filtered": (vector_topk_filtered, f"WITH {_S7}, r AS (SELECT id, round(score, 6) AS score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM s WHERE label IN (1, 2, 3) AND score >= 0) SELECT * FROM r WHERE rank <= 10"),
     "hybrid_rrf": (hybrid_rrf, f"WITH {_S7}, w AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS r FROM s), n AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS r FROM s WHERE label IN (1, 2)), u AS (SELECT id, 1.0::DOUBLE / (60 + r) AS p FROM w WHERE r <= 20 UNION ALL SELECT id, 1.0::DOUBLE / (60 + r) FROM n WHERE r <= 10) SELECT id, round(sum(p), 6) AS score FROM u GROUP BY 1 ORDER BY sum(p) DESC, id LIMIT 10"),
