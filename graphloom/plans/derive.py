@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from graphloom import bind
 from graphloom.functions import scalars
+from graphloom.functions.scratch import scratch_dir
 from graphloom.operators import evidence as ev
 from graphloom.operators import merge
 from graphloom.operators import relational as rel
+from graphloom.operators.incremental import Derivation
 from graphloom.session import table
 
 T, S = bind.TOUCHED_SQL, bind.SPRINTS_SQL
@@ -271,11 +275,11 @@ def mention_files(spark, d):
 
 
 def mention_commits(spark, d):
-    """Hex runs of ten to forty characters in documents against SHA-1 hashes of commits: here each commit
-    is named by a document through a prefix whose length varies."""
+    """Hex runs of ten to forty characters in documents against SHA-1 hashes of commits: here each commit is
+    named by a document through a prefix whose length varies, every third with a tail that is not its own."""
     c = bind.commits(spark, d).select(F.sha1(F.col("hash").cast("string")).alias("hash"), F.col("hash").alias("n"), "message")
-    mentions = c.where(F.col("message").startswith("1-URGENT")).select(F.col("n").alias("chunk"), F.expr("substring(hash, 1, CAST(8 + n % 7 AS INT))").alias("prefix"))
-    return ev.mentioned_commits(mentions, c.select("hash")).select("chunk", "hash")
+    mentions = c.where(F.col("message").startswith("1-URGENT")).select(F.col("n").alias("chunk"), F.expr("concat(substring(hash, 1, CAST(8 + n % 7 AS INT)), IF(n % 3 = 0, 'zz', ''))").alias("prefix"))
+    return ev.mentioned_commits(mentions, c.select("hash")).select("chunk", "hash", "confidence")
 
 
 def doc_file_rollup(spark, d):
@@ -328,6 +332,19 @@ def derive_since(spark, d):
     return ev.since(bind.touches(spark, d), "ts", marks, "implements").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("from_ts"))
 
 
+def derive_in_batches(spark, d):
+    """Files by the author of their commits, derived in three updates of a kept state: up to a watermark, the rows
+    after it, and the retraction of what deletions had given."""
+    kept = Derivation(spark, f"{scratch_dir(spark)}/derived-{uuid.uuid4().hex}")
+    touched = bind.touches(spark, d).join(bind.commits(spark, d).select("hash", "author"), "hash")
+    source = touched.select(F.col("author").alias("src"), F.col("path").alias("dst"), F.when(F.col("change_type") == "A", 0.9).otherwise(0.6).alias("confidence"), "ts", "change_type")
+    rows = source.drop("change_type")
+    kept.update(kept.fresh(rows.where("ts < '1995-06-17'"), "ts"))
+    kept.update(kept.fresh(rows, "ts"))
+    kept.update(rows.limit(0), source.where("change_type = 'D'").drop("change_type"))
+    return kept.edges().select("src", "dst", F.round("confidence", 6).alias("confidence"), "evidence", "first_ts", "last_ts")
+
+
 def doc_tags(spark, d):
     rules = {"licence": "(?i)licen[sc]e", "contact": "@", "secret": "(?i)password|token", "shout": "!!"}
     tags = F.array_compact(F.array(*[F.when(F.col("text").rlike(p), F.lit(t)) for t, p in rules.items()]))
@@ -495,6 +512,7 @@ _DEPR = r"deprecat(?:e|ed)\s+((?:nfr|fr)-\d+)\b.*?(?:in favor of|->|to)\s+((?:nf
 _TOK = "SELECT {id}, unnest(string_split_regex(lower(text), '[^a-zà-ÿ]+')) AS term FROM {t}"
 
 QUERIES = {
+    "derive_in_batches": (derive_in_batches, f"WITH {T} SELECT o_custkey AS src, path AS dst, round(1 - product(1 - CASE WHEN change_type = 'A' THEN 0.9::DOUBLE ELSE 0.6::DOUBLE END), 6) AS confidence, count(*) AS evidence, min(ts) AS first_ts, max(ts) AS last_ts FROM touched JOIN orders ON o_orderkey = hash WHERE change_type <> 'D' GROUP BY 1, 2"),
     "merge_keep_first": (merge_keep_first, f"WITH {_OLD_NEW} SELECT coalesce(o.path, n.path) AS path, coalesce(o.dir, n.dir) AS dir, coalesce(o.loc, n.loc) AS loc FROM o FULL JOIN n ON o.path = n.path"),
     "merge_keep_last": (merge_keep_last, f"WITH {_OLD_NEW} SELECT coalesce(o.path, n.path) AS path, coalesce(n.dir, o.dir) AS dir, coalesce(n.loc, o.loc) AS loc FROM o FULL JOIN n ON o.path = n.path"),
     "merge_overwrite": (merge_overwrite, f"WITH {_OLD_NEW} SELECT * FROM n UNION ALL SELECT * FROM o WHERE path NOT IN (SELECT path FROM n)"),
@@ -529,7 +547,7 @@ SELECT DISTINCT hash, grammar, upper(new) AS new, upper(old) AS old, CAST(0.9 AS
     "mention_files": (mention_files, f"""WITH f AS (SELECT path, regexp_replace(path, '^[^/]+/', '') AS below, regexp_extract(path, '([^/]+)$', 1) AS base FROM {_values([(f,) for f in FILES])} v(path)),
 m AS (SELECT * FROM {_values(CHUNK_TERMS)} v(chunk, term)), h AS (SELECT chunk, path, 1.0 AS c FROM m JOIN f ON term = path UNION ALL SELECT chunk, path, 0.95 FROM m JOIN f ON term = below AND below <> path
 UNION ALL SELECT chunk, path, 0.7 FROM m JOIN f ON regexp_extract(term, '([^/]+)$', 1) = base AND (SELECT count(*) FROM f g WHERE g.base = f.base) = 1) SELECT chunk, path, CAST(max(c) AS DOUBLE) AS confidence FROM h GROUP BY 1, 2"""),
-    "mention_commits": (mention_commits, "WITH c AS (SELECT sha1(CAST(o_orderkey AS VARCHAR)) AS hash, o_orderkey AS n, o_orderpriority AS p FROM orders), m AS (SELECT n AS chunk, substr(hash, 1, CAST(8 + n % 7 AS INT)) AS prefix FROM c WHERE p = '1-URGENT') SELECT DISTINCT chunk, c.hash FROM m JOIN c ON starts_with(c.hash, prefix) WHERE length(prefix) >= 10"),
+    "mention_commits": (mention_commits, "WITH c AS (SELECT sha1(CAST(o_orderkey AS VARCHAR)) AS hash, o_orderkey AS n, o_orderpriority AS p FROM orders), m AS (SELECT n AS chunk, substr(hash, 1, CAST(8 + n % 7 AS INT)) || CASE WHEN n % 3 = 0 THEN 'zz' ELSE '' END AS prefix FROM c WHERE p = '1-URGENT'), w AS (SELECT chunk, prefix, hash FROM m JOIN c ON starts_with(hash, prefix) WHERE length(prefix) >= 10), r AS (SELECT * FROM m WHERE length(prefix) > 12 AND prefix NOT IN (SELECT prefix FROM w)) SELECT chunk, hash, max(CASE WHEN length(prefix) >= 12 THEN 0.9::DOUBLE ELSE 0.75::DOUBLE END) AS confidence FROM (SELECT chunk, hash, prefix FROM w UNION ALL SELECT chunk, c.hash, prefix FROM r JOIN c ON substr(c.hash, 1, 12) = substr(prefix, 1, 12)) GROUP BY 1, 2"),
     "doc_file_rollup": (doc_file_rollup, f"WITH {T} SELECT hash % 500 AS doc, path, count(DISTINCT hash) AS chunk_occurrences FROM touched GROUP BY 1, 2"),
     "sprint_involves_file": (sprint_involves_file, f"WITH {T}, {_SC} SELECT number, path, count(DISTINCT sc.hash) AS commit_count FROM sc JOIN touched t ON t.hash = sc.hash GROUP BY 1, 2"),
     "mention_symbols": (mention_symbols, f"WITH b AS ({_TOK.format(id='item_id', t='benchmark')}), k AS ({_TOK.format(id='doc_id', t='documents')}), h AS (SELECT term, doc_id, count(*) AS n FROM k WHERE length(term) >= 3 GROUP BY 1, 2) SELECT term, max(n) AS score, count(*) AS docs FROM h WHERE term IN (SELECT term FROM b) GROUP BY 1"),
