@@ -55,10 +55,11 @@ PROPERTIES = {
     "date_taken": ["DateTimeOriginal", "DateTime", "CreateDate", "DateCreated"], "date_modified": ["ModifyDate"], "exposure_program": ["ExposureProgram"],
     "flash_fired": ["Flash"], "focal_length": ["FocalLength", "FocalLengthIn35mmFilm"], "iso": ["ISO", "ISOSpeedRatings", "ISOSpeedRating"],
     "shutter_speed": ["ExposureTime", "ShutterSpeedValue"], "white_balance": ["WhiteBalance"], "lens_model": ["Lens", "LensModel"], "lens_info": ["LensInfo"],
-    "lens_make": ["LensMake", "LensManufacturer"], "lens_id": ["LensID"], "lens_serial": ["LensSerialNumber"], "camera_serial": ["BodySerialNumber"],
+    "lens_make": ["LensMake", "LensManufacturer"], "lens_id": ["LensID"], "lens_serial": ["LensSerialNumber"], "camera_serial": ["BodySerialNumber", "CameraSerialNumber"],
     "color_temperature": ["Temperature"],
 }
 PROGRAMS = ["Not Defined", "Manual", "Normal", "Aperture Priority", "Shutter Priority", "Creative", "Action", "Portrait", "Landscape"]
+LOWER = {"camera_make", "camera_model", "lens_make", "lens_model"}
 LABELS = {
     "exposure_program": {str(k): v for k, v in enumerate(PROGRAMS)}, "white_balance": {"0": "Auto", "1": "Manual"},
     "flash_fired": {"0": "False", "1": "True", "9": "True", "16": "False"},
@@ -67,7 +68,7 @@ LABELS = {
 
 def properties(raw: Column) -> Column:
     """Photo properties (map of strings by local name) as a map of fields: `f/2.8`, `50mm`, `0.00500s`, labels of
-    codes, times as `yyyy-MM-dd HH:mm:ss`. What cannot be formatted stays as it is, but for times, which are
+    codes, times as `yyyy-MM-dd HH:mm:ss`, makes and models in lower case. What cannot be formatted stays as it is, but for times, which are
     left out; unknown properties, nulls and empty values are left out."""
     as_double = lambda v: F.when(v.rlike(r"^\s*[-+]?(?:\d+\.?\d*|\.\d+)\s*$"), v.cast("double"))
 
@@ -81,6 +82,8 @@ def properties(raw: Column) -> Column:
         if field == "date_taken":
             plain = F.regexp_extract(v, r"^([^+.]*)", 1)
             return F.when(plain.rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}$|^\d{4}:\d{2}:\d{2} \d{2}:\d{2}:\d{2}$"), F.regexp_replace(plain, r"^(\d{4})[:-](\d{2})[:-](\d{2})[T ](.*)$", "$1-$2-$3 $4"))
+        if field in LOWER:
+            return F.lower(v)
         if field in LABELS:
             labels = F.create_map(*[F.lit(x) for pair in LABELS[field].items() for x in pair])
             return F.coalesce(F.try_element_at(labels, v), v)

@@ -23,11 +23,6 @@ PHOTOS = [
     (1, "happy family 2017 strasbourg canon #vacation f/2.8 50mm iso100 1/200s"), (2, "Portrait May 2020 sigma tag:Kids kw:beach city=Paris f1.4 2s"),
     (3, "sunset iso: 800 camera_make:Nikon"), (4, "sunset"), (5, ""), (6, None),
 ]
-XMP = [
-    (1, {"FNumber": "2.8", "FocalLength": "50", "ExposureTime": "0.005", "ExposureProgram": "3", "Flash": "16", "WhiteBalance": "7", "DateTimeOriginal": "2017:05:01 10:11:12.50", "Other": "x"}),
-    (2, {"ApertureValue": "wide", "FocalLengthIn35mmFilm": "75mm", "ShutterSpeedValue": "1/200", "CreateDate": "2020-02-03T04:05:06+01:00", "Make": "", "CameraManufacturer": "Canon", "ISO": None}),
-    (3, {"DateTime": "yesterday"}), (4, None),
-]
 CHANGES = [
     ("c1", "FR-10-01 for sprint-4", "src/a.py", None, True, False, False, "@@\n+x = 1\n+# NFR-02-03", "x = 1\n# NFR-02-03\n"),
     ("c1", "FR-10-01 for sprint-4", "docs/FR-11-02.md", None, False, False, False, "@@\n-old\n+new\n same", "new\nFR-99-99"),
@@ -63,7 +58,16 @@ def photo_query(spark, d):
 
 
 def photo_properties(spark, d):
-    return _frame(spark, XMP, "id int, raw map<string,string>").select("id", F.explode(photos.properties(F.col("raw"))).alias("key", "value"))
+    """Each part as a photo whose metadata follow from its columns."""
+    text = lambda c: F.col(c).cast("string")
+    day = F.date_add(F.lit("2015-01-01").cast("date"), F.col("p_partkey").cast("int") % 3000)
+    raw = {
+        "FNumber": (F.col("p_size") / 10).cast("string"), "Make": F.col("p_brand"), "LensModel": F.col("p_type"), "CameraSerialNumber": text("p_partkey"),
+        "FocalLength": text("p_size"), "ExposureProgram": (F.col("p_size") % 11).cast("string"), "ISO": F.when(F.col("p_size") % 2 == 0, text("p_size")),
+        "WhiteBalance": (F.col("p_size") % 3).cast("string"), "DateTimeOriginal": F.concat(F.date_format(day, "yyyy:MM:dd"), F.lit(" 10:11:12.50")), "Other": text("p_name"),
+    }
+    raw = F.create_map(*[x for name, value in raw.items() for x in (F.lit(name), value)])
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.explode(photos.properties(raw)).alias("key", "value"))
 
 
 def decode_documents(spark, d):
@@ -113,14 +117,15 @@ def attempt_flags(spark, d):
 
 def chunk_links(spark, d):
     """Inverse edges of PART_OF that are not there yet; requirements without a parent get the documents
-    whose chunks mention them, and the others the sprint whose number stands in their id."""
+    whose chunks mention them (lines that were accepted), and the others the sprint whose number stands in
+    their id."""
     li = table(spark, d, "lineitem")
     part_of = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("src"), F.col("source").alias("dst"))
     there = table(spark, d, "labels").select(F.col("doc_id").cast("string").alias("dst")).distinct()
     contains = part_of.select(F.col("dst").alias("src"), F.col("src").alias("dst")).where("src IS NOT NULL").join(there, "dst", "left_anti").select(F.lit("CONTAINS_CHUNK").alias("type"), "src", "dst")
     number = F.lpad((F.col("s_suppkey") % 40).cast("string"), 2, "0")
     reqs = table(spark, d, "supplier").select(F.col("s_suppkey").alias("key"), F.concat(F.when(F.col("s_suppkey") % 2 == 0, "FR-").otherwise("NFR-"), number, F.lit("-"), F.col("s_suppkey")).alias("id"))
-    mentions = li.where("l_linenumber = 7 AND l_linestatus = 'F'").select(F.col("l_suppkey").alias("key"), F.col("l_orderkey").cast("string").alias("doc")).distinct()
+    mentions = li.where("l_returnflag = 'A'").select(F.col("l_suppkey").alias("key"), F.col("l_orderkey").cast("string").alias("doc")).distinct()
     by_doc = reqs.join(mentions, "key").select(F.lit("PART_OF").alias("type"), F.col("id").alias("src"), F.col("doc").alias("dst"))
     sprint = F.regexp_extract("id", "^N?FR-([0-9]{2})", 1).cast("int").cast("string")
     sprints = table(spark, d, "nation").select(F.col("n_nationkey").cast("string").alias("dst"))
@@ -214,11 +219,6 @@ _ANALYSIS = [
     ("c2", "src/b.ts", "src/old.ts", "R", 0, 0, 1, "", "7"), ("c3", "src/c.py", None, "D", 0, 2, 0, "", ""),
 ]
 
-_XMP = [
-    (1, "aperture", "f/2.8"), (1, "focal_length", "50mm"), (1, "shutter_speed", "0.00500s"), (1, "exposure_program", "Aperture Priority"), (1, "flash_fired", "False"), (1, "white_balance", "7"),
-    (1, "date_taken", "2017-05-01 10:11:12"), (2, "aperture", "wide"), (2, "focal_length", "75mm"), (2, "shutter_speed", "1/200"), (2, "date_taken", "2020-02-03 04:05:06"), (2, "camera_make", "Canon"),
-]
-
 _BM25 = r"""x AS (SELECT CAST(p_partkey AS VARCHAR) AS id, 'File' AS label, p_name || ' ' || p_type AS text FROM part UNION ALL SELECT CAST(s_suppkey AS VARCHAR), 'Requirement', s_name FROM supplier
 UNION ALL SELECT CAST(o_orderkey AS VARCHAR), 'GitCommit', o_orderpriority FROM orders UNION ALL SELECT CAST(doc_id AS VARCHAR), 'Chunk', text FROM documents),
 w AS (SELECT label, id, unnest(list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda t: t <> '')) AS term FROM x),
@@ -240,7 +240,13 @@ QUERIES = {
     "renamed_files": (renamed_files, "SELECT l_partkey AS src, l_partkey + 1 AS dst, arg_min(l_orderkey, (l_shipdate, l_orderkey)) AS hash, min(l_shipdate) AS ts FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1, 2"),
     "ad_hoc_sql": (ad_hoc_sql, f"WITH {bind.TOUCHED_SQL} SELECT change_type, count(*) AS n, count(DISTINCT hash) AS commits FROM touched GROUP BY 1"),
     "sink_round_trip": (sink_round_trip, "SELECT kind, lang, count(*) AS n, sum(n_chars) AS chars FROM documents, (VALUES ('parquet'), ('json'), ('csv'), ('orc')) v(kind) GROUP BY 1, 2"),
-    "photo_properties": (photo_properties, f"SELECT * FROM {_values(_XMP)} v(id, key, value)"),
+    "photo_properties": (photo_properties, """WITH p AS (SELECT p_partkey AS id, [
+ {'k': 'aperture', 'v': printf('f/%.1f', p_size / 10)}, {'k': 'camera_make', 'v': lower(p_brand)}, {'k': 'lens_model', 'v': lower(p_type)}, {'k': 'camera_serial', 'v': CAST(p_partkey AS VARCHAR)},
+ {'k': 'focal_length', 'v': p_size || 'mm'}, {'k': 'iso', 'v': CASE WHEN p_size % 2 = 0 THEN CAST(p_size AS VARCHAR) END},
+ {'k': 'exposure_program', 'v': coalesce((['Not Defined', 'Manual', 'Normal', 'Aperture Priority', 'Shutter Priority', 'Creative', 'Action', 'Portrait', 'Landscape'])[p_size % 11 + 1], CAST(p_size % 11 AS VARCHAR))},
+ {'k': 'white_balance', 'v': CASE p_size % 3 WHEN 0 THEN 'Auto' WHEN 1 THEN 'Manual' ELSE '2' END},
+ {'k': 'date_taken', 'v': strftime(DATE '2015-01-01' + CAST(p_partkey % 3000 AS INTEGER), '%Y-%m-%d') || ' 10:11:12'}] AS f FROM part),
+u AS (SELECT id, unnest(f) AS e FROM p) SELECT id, e.k AS key, e.v AS value FROM u WHERE e.v IS NOT NULL"""),
     "decode_documents": (decode_documents, "SELECT doc_id, md5(nfc_normalize(coalesce(text, ''))) AS digest, CASE doc_id % 3 WHEN 0 THEN 'utf-8-sig' WHEN 1 THEN 'utf-8' ELSE 'utf-16' END AS encoding, length(coalesce(text, '')) - length(replace(coalesce(text, ''), chr(65533), '')) AS replaced FROM documents"),
     "code_spans": (code_spans, """WITH f AS (SELECT s_suppkey AS id, CAST(s_acctbal AS VARCHAR) AS bal, s_name AS name, unnest(range(s_suppkey % 7 + 1)) AS i FROM supplier),
 e AS (SELECT *, length('class S' || id || '_' || i || ':') AS head, length('    def area(self):' || '        return ' || bal || ' * ' || i) + 1 AS area, length('    def name(self):' || '        return "' || name || '"') + 1 AS tail FROM f)
@@ -258,7 +264,7 @@ FROM t WHERE length(trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) ||
     "commit_analysis": (commit_analysis, f"SELECT * FROM {_values(_ANALYSIS)} v(hash, path, old_path, change_type, additions, deletions, loc_after, requirements, sprints)"),
     "attempt_flags": (attempt_flags, "SELECT source, count(*) FILTER (regexp_matches(lower(text), 'wip|spike|attempt')) AS attempts, count(*) AS n FROM documents GROUP BY 1"),
     "chunk_links": (chunk_links, """WITH r AS (SELECT s_suppkey AS key, CASE WHEN s_suppkey % 2 = 0 THEN 'FR-' ELSE 'NFR-' END || lpad(CAST(s_suppkey % 40 AS VARCHAR), 2, '0') || '-' || s_suppkey AS id FROM supplier),
-m AS (SELECT DISTINCT l_suppkey AS key, l_orderkey AS doc FROM lineitem WHERE l_linenumber = 7 AND l_linestatus = 'F')
+m AS (SELECT DISTINCT l_suppkey AS key, l_orderkey AS doc FROM lineitem WHERE l_returnflag = 'A')
 SELECT 'CONTAINS_CHUNK' AS type, source AS src, CAST(doc_id AS VARCHAR) AS dst FROM documents WHERE source IS NOT NULL AND doc_id NOT IN (SELECT doc_id FROM labels)
 UNION ALL SELECT 'PART_OF', id, CAST(doc AS VARCHAR) FROM r JOIN m ON m.key = r.key
 UNION ALL SELECT 'PART_OF', id, CAST(n_nationkey AS VARCHAR) FROM r JOIN nation ON n_nationkey = CAST(regexp_extract(id, '^N?FR-([0-9]{2})', 1) AS INTEGER) WHERE key NOT IN (SELECT key FROM m)"""),

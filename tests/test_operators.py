@@ -318,6 +318,21 @@ def test_windows_cover_the_gaps(spark):
         assert {i for i in range(len(lines)) if i not in defined and lines[i].strip()} <= seen
 
 
+def test_photo_properties(spark):
+    from graphloom.functions import photos
+
+    raw = [
+        (1, {"FNumber": "2.8", "FocalLength": "50", "ExposureTime": "0.005", "ExposureProgram": "3", "Flash": "16", "WhiteBalance": "7", "DateTimeOriginal": "2017:05:01 10:11:12.50", "Other": "x"}),
+        (2, {"ApertureValue": "wide", "FocalLengthIn35mmFilm": "75mm", "ShutterSpeedValue": "1/200", "CreateDate": "2020-02-03T04:05:06+01:00", "Make": "", "CameraManufacturer": "Canon", "ISO": None}),
+        (3, {"DateTime": "yesterday"}), (4, None),
+    ]
+    found = spark.createDataFrame(raw, "id int, raw map<string,string>").select("id", F.explode(photos.properties(F.col("raw"))).alias("key", "value")).collect()
+    assert sorted(map(tuple, found)) == sorted([
+        (1, "aperture", "f/2.8"), (1, "focal_length", "50mm"), (1, "shutter_speed", "0.00500s"), (1, "exposure_program", "Aperture Priority"), (1, "flash_fired", "False"), (1, "white_balance", "7"),
+        (1, "date_taken", "2017-05-01 10:11:12"), (2, "aperture", "wide"), (2, "focal_length", "75mm"), (2, "shutter_speed", "1/200"), (2, "date_taken", "2020-02-03 04:05:06"), (2, "camera_make", "canon"),
+    ])
+
+
 def test_pca_and_choose_k(spark):
     import numpy as np
 
