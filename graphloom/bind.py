@@ -6,13 +6,14 @@ once, so touches are merged on their key: the smallest line number carries the c
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from graphloom.functions.scratch import exists, fingerprint, scratch_dir
+from graphloom.functions.scratch import exists, fingerprint, kept_dir, rename
 from graphloom.operators import inverted
 from graphloom.session import table
 
@@ -57,14 +58,16 @@ def touches(spark: SparkSession, sf_dir: str, since: str | None = None, until: s
     since or until, those of a window of time.
 
     The merge shuffles all line items, so it is done once for a state of the table (its length and time of
-    change) and an application, as an ingestion would: the edges are written to the shared folder by month, and
-    every later query reads them there. A window prunes months before it filters.
+    change), as an ingestion would: the edges are written to the shared folder by month, first under a name of
+    their own, and every later query and application reads them there. A window prunes months before it filters.
     """
     source = f"{sf_dir}/lineitem.parquet"
-    kept = f"{scratch_dir(spark)}/touched-{fingerprint(spark, source)}"
+    kept = f"{kept_dir(spark)}/touched-{fingerprint(spark, source)}"
     if not exists(spark, f"{kept}/_SUCCESS"):
+        begun = f"{kept}-{uuid.uuid4().hex}"
         merged = _merged(spark, sf_dir).withColumn("month", F.date_format("ts", "yyyy-MM"))
-        merged.hint("rebalance", "month").sortWithinPartitions("month", "ts").write.mode("overwrite").partitionBy("month").parquet(kept)
+        merged.hint("rebalance", "month").sortWithinPartitions("month", "ts").write.mode("overwrite").partitionBy("month").parquet(begun)
+        rename(spark, begun, kept)
     rows = spark.read.schema(_schema(spark, sf_dir)).parquet(kept)
     if since:
         rows = rows.where((F.col("month") >= since[:7]) & (F.col("ts") >= F.lit(since).cast("timestamp")))
@@ -101,7 +104,7 @@ def search_index(spark: SparkSession, sf_dir: str) -> inverted.Index:
         for label, (name, key, columns) in parts.items()
     ]
     state = "-".join(fingerprint(spark, f"{sf_dir}/{name}.parquet")[:12] for name, _, _ in parts.values())
-    return inverted.build(reduce(DataFrame.unionAll, rows), f"{scratch_dir(spark)}/index-{state}")
+    return inverted.build(reduce(DataFrame.unionAll, rows), f"{kept_dir(spark)}/index-{state}")
 
 
 TOUCHED_SQL = """touched AS (

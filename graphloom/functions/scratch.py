@@ -32,6 +32,19 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/graphloom/{spark.sparkContext.applicationId}"
 
 
+def kept_dir(spark: SparkSession) -> str:
+    """The folder in the shared one for tables that later applications read too, under names that say what state of
+    a source they were made from. sweep() leaves it."""
+    return f"{shared_dir(spark)}/graphloom/kept"
+
+
+def rename(spark: SparkSession, path: str, to: str) -> None:
+    """Moves a folder; where another run has put the same table there meanwhile, this one goes."""
+    system, found = _file_system(spark, path)
+    if exists(spark, to) or not system.rename(found, spark._jvm.org.apache.hadoop.fs.Path(to)):
+        system.delete(found, True)
+
+
 @contextmanager
 def shuffles_removed(spark: SparkSession):
     """Writes inside leave no shuffle files behind."""

@@ -10,12 +10,13 @@ ranges whose bound reaches the k-th best score found; documents elsewhere cannot
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.functions.scratch import exists, shuffles_removed
+from graphloom.functions.scratch import exists, rename, shuffles_removed
 
 #: Fixed values of the ranking; buckets of terms, ranges of documents, ranges that are scored first.
 K1, B = 1.2, 0.75
@@ -49,7 +50,7 @@ class Index:
     path: str
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.schema(SCHEMAS.get(name, SCHEMAS["postings"])).parquet(f"{self.path}/{name}")
+        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.path}/{name}")
 
     def of(self, name: str, terms: list[str]) -> DataFrame:
         """The rows of some terms: the filter on buckets prunes folders, that on terms row groups."""
@@ -61,31 +62,30 @@ def build(docs: DataFrame, path: str) -> Index:
     """Indexes docs (label, id, text); rows without tokens are left out. An index that is whole at path is
     taken as it is. Large buckets (those of frequent terms) are split over files."""
     spark = docs.sparkSession
-    index = Index(spark, path)
-    if exists(spark, f"{path}/postings/_SUCCESS"):
-        return index
-    with shuffles_removed(spark):
+    if not exists(spark, f"{path}/postings/_SUCCESS"):
+        begun = f"{path}-{uuid.uuid4().hex}"
+        _write(docs, Index(spark, begun))
+        rename(spark, begun, path)
+    return Index(spark, path)
+
+
+def _write(docs: DataFrame, index: Index) -> None:
+    path = index.path
+    with shuffles_removed(index.spark):
         body = docs.select("label", F.col("id").cast("string").alias("id"), tokens(F.col("text")).alias("t")).withColumn("len", F.size("t")).where("len > 0")
         lengths = body.select("label", "id", "len")
         # Ranges by length: one cut for each share of the documents, a list of fixed length.
         cuts = lengths.agg(F.percentile_approx("len", [k / RANGES for k in range(1, RANGES)], 10_000).alias("cuts"), F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean"))
-        cuts.select("n", "mean", F.coalesce("cuts", F.array().cast("array<int>")).alias("cuts")).write.mode("overwrite").parquet(f"{path}/about")
+        cuts.select("n", "mean", F.coalesce("cuts", F.array().cast("array<int>")).alias("cuts")).write.parquet(f"{path}/about")
         about = F.broadcast(index.table("about"))  # one row
         spanned = lambda rows: rows.withColumn("span", F.size(F.filter("cuts", lambda c: c < F.col("len"))))
-        spanned(lengths.join(about)).select("label", "id", "len", "span").write.mode("overwrite").parquet(f"{path}/docs")
+        spanned(lengths.join(about)).select("label", "id", "len", "span").write.parquet(f"{path}/docs")
         counted = body.select("label", "id", "len", F.explode("t").alias("term")).groupBy("label", "id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
         weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
         posted = spanned(counted.join(about)).select(_bucket(F.col("term")).alias("bucket"), "term", "span", "label", "id", "tf", "len", weight.alias("weight"))
-        posted.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "span").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/staged")
-        staged = index.table("staged")
-        tops = staged.groupBy("bucket", "term", "span").agg(F.max("weight").alias("top"), F.count(F.lit(1)).alias("df"))
-        tops.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/tops")
-        # The name that a search looks for appears when all else is there.
-        system = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        folder = lambda name: spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
-        system.delete(folder("postings"), True)
-        system.rename(folder("staged"), folder("postings"))
-    return index
+        posted.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "span").write.partitionBy("bucket").parquet(f"{path}/postings")
+        tops = index.table("postings").groupBy("bucket", "term", "span").agg(F.max("weight").alias("top"), F.count(F.lit(1)).alias("df"))
+        tops.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/tops")
 
 
 def _rarity(df: Column, n: Column) -> Column:

@@ -40,7 +40,8 @@ def byte_batches(rows: DataFrame, key: str, size: str, most: int) -> DataFrame:
 def halved(rows: DataFrame, by: list[str], key: str, size: str, most: int, rounds: int = 40) -> DataFrame:
     """rows with a column `part`: a batch (columns by) of more than `most` bytes is split in half by its rows
     in the order of the key, its halves likewise, until each fits or is a single row. A round handles all
-    batches at once; their number grows with the logarithm of the largest batch."""
+    batches at once; their number grows with the logarithm of the largest batch. Rows are numbered inside
+    range-partitioned blocks, on top of the counts of the blocks before, so no batch passes through one task."""
     parts = cut(rows.withColumn("part", F.lit("")), "parts")
     for _ in range(rounds):
         place = [*by, "part"]
@@ -48,8 +49,12 @@ def halved(rows: DataFrame, by: list[str], key: str, size: str, most: int, round
         large = cut(large, "large")
         if large.isEmpty():
             return parts
-        turn = F.row_number().over(Window.partitionBy(*place).orderBy(key))
-        todo = join_checked(parts, large, place).withColumn("part", F.concat("part", F.when(turn <= F.ceil(F.col("_n") / 2), "a").otherwise("b"))).drop("_n")
+        todo = cut(join_checked(parts, large, place).repartitionByRange(*place, key).withColumn("_block", F.spark_partition_id()), "todo")
+        counts = todo.groupBy(*place, "_block").agg(F.count(F.lit(1)).alias("_rows"))
+        before = F.sum("_rows").over(Window.partitionBy(*place).orderBy("_block")) - F.col("_rows")
+        offsets = cut(counts.select(*place, "_block", before.alias("_before")), "offsets")
+        turn = F.row_number().over(Window.partitionBy(*place, "_block").orderBy(key)) + F.col("_before")
+        todo = join_checked(todo, offsets, [*place, "_block"]).withColumn("part", F.concat("part", F.when(turn <= F.ceil(F.col("_n") / 2), "a").otherwise("b"))).drop("_n", "_block", "_before")
         parts = cut(join_checked(parts, large.drop("_n"), place, "left_anti").unionByName(todo), "parts")
     raise RuntimeError(f"halved: a batch of more than 2**{rounds} rows")
 

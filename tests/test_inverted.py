@@ -17,7 +17,7 @@ def corpus(spark, tmp_path_factory):
     rows = [(rng.choice("AB"), str(i), " ".join(rng.choices(words, weights=[1 / (k + 1) for k in range(40)], k=rng.choice([1, 4, 30, 200])))) for i in range(300)]
     rows += [("A", "one", "W1, w1; Ünï-code 7"), ("B", "none", None), ("B", "blank", " ,"), ("A", "x", "w1"), ("B", "x", "w1")]
     docs = spark.createDataFrame(rows, "label string, id string, text string").repartition(3)
-    return inverted.build(docs, f"file://{tmp_path_factory.mktemp('index')}"), rows, docs
+    return inverted.build(docs, f"file://{tmp_path_factory.mktemp('index')}/kept"), rows, docs
 
 
 def brute(rows, text, k):
