@@ -50,7 +50,7 @@ def sessions(events: DataFrame, delay: str, gap: str) -> DataFrame:
     return rows.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "user_id", "n")
 
 
-def accepted(times: list[pd.Timestamp], last: pd.Timestamp | None, gap: pd.Timedelta) -> tuple[list[bool], pd.Timestamp | None]:
+def accepted(times: list[int], last: int | None, gap: int) -> tuple[list[bool], int | None]:
     """Which of ascending times lie at least gap after the last accepted one."""
     flags = []
     for t in times:
@@ -60,21 +60,33 @@ def accepted(times: list[pd.Timestamp], last: pd.Timestamp | None, gap: pd.Timed
     return flags, last
 
 
-def debounce(events: DataFrame, gap_seconds: int) -> DataFrame:
+def debounce(events: DataFrame, gap_seconds: int, delay: str = "7 days") -> DataFrame:
     """event_id, user_id, ts, accepted: an event is accepted if its user's last accepted one is at least gap
     earlier; the last accepted time is the state of the user. The same rule with the flag reversed is a
-    cache with a time to live: an event within the gap is a hit."""
-    gap = pd.Timedelta(seconds=gap_seconds)
+    cache with a time to live: an event within the gap is a hit.
+
+    A state says nothing more once the gap after it is over, so it is dropped when the watermark gets there:
+    what is held are the users of the last gap and delay, not all that were ever seen. Events that come more
+    than `delay` after the latest one are left out."""
+    gap = gap_seconds * 1_000_000
 
     def step(key, frames, state: GroupState):
-        rows = pd.concat([f for f in frames if len(f)]).sort_values(["ts", "event_id"])
-        last = pd.Timestamp(state.get[0], unit="us") if state.exists else None
-        flags, last = accepted(list(rows["ts"]), last, gap)
-        state.update((int(last.value // 1000),))
-        yield pd.DataFrame({"event_id": rows["event_id"], "user_id": key[0], "ts": rows["ts"], "accepted": flags})
-
-    return events.select("event_id", "user_id", F.col("ts").cast("timestamp_ntz").alias("ts")).groupBy("user_id").applyInPandasWithState(
-        step, "event_id long, user_id long, ts timestamp_ntz, accepted boolean", "last long", "append", GroupStateTimeout.NoTimeout
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat([f for f in frames if len(f)]).sort_values(["at", "event_id"])
+        flags, last = accepted(rows["at"].tolist(), state.get[0] if state.exists else None, gap)
+        over = (last + gap) // 1000
+        if over > state.getCurrentWatermarkMs():
+            state.update((last,))
+            state.setTimeoutTimestamp(over)
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame({"event_id": rows["event_id"], "user_id": key[0], "ts": rows["shown"], "accepted": flags})
+
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
+    return timed.select("event_id", "user_id", "ts", F.unix_micros("ts").alias("at"), F.col("ts").cast("timestamp_ntz").alias("shown")).groupBy("user_id").applyInPandasWithState(
+        step, "event_id long, user_id long, ts timestamp_ntz, accepted boolean", "last long", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
