@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("temporal", "relational", "derive", "vector", "graph", "text", "streams", "extra", "match")
+MODULES = ("temporal", "relational", "derive", "vector", "graph", "text", "streams", "extra", "match", "parsed")
 
 
 def _modules():

@@ -13,11 +13,6 @@ from graphloom.plans.derive import _frame, _values
 from graphloom.session import table
 from graphloom.sources import files as src
 
-MARKDOWN = "# Top\nintro\n## Setup\nInstall the package with the usual tool and run the first job.\n### Notes\nshort\n## Usage: run it!\nCall run with a session and a path; the result is a table of rows.\n"
-LOG = [
-    ("a", 0, "1111111aaa\tAnn\ta@x.org\t2024-01-02T03:04:05\tAdd core\twith tab"), ("a", 1, "A\tsrc/core.py"), ("a", 2, "M\tREADME.md"), ("a", 3, "broken line"),
-    ("a", 4, "2222222bbb\tBob\tb@x.org\t2024-01-03T00:00:00\tRename"), ("a", 5, "R100\tsrc/core.py\tsrc/main.py"), ("a", 6, ""), ("a", 7, "3333333ccc\tCy\tc@x.org\tbad time\tEmpty"),
-]
 SOURCE = "import os\nfrom app.core import run\n\nclass A:\n    def go(self, x):\n        return x\n\ndef main():\n    return A()\n"
 TS = "export class Page {}\ninterface Props { a: string }\nexport default function render(p) {}\nconst x = 1\nasync function load() {}\n"
 PHOTOS = [(1, "happy family 2017 strasbourg canon #vacation f/2.8 50mm iso100 1/200s"), (2, "sunset"), (3, None)]
@@ -33,65 +28,19 @@ def chunk_sliding(spark, d):
     return rows.select("doc_id", F.col("from").cast("long").alias("from_line"), F.col("n_lines").cast("long").alias("n_lines"), F.md5("chunk").alias("digest"))
 
 
-def chunk_markdown(spark, d):
-    return tx.markdown_chunks(_frame(spark, [("a.md", MARKDOWN)], "path string, text string")).select("id", "heading", F.length("chunk").alias("length"))
-
-
-def chunk_slugs(spark, d):
-    return tx.slug_chunks(_frame(spark, [("a.md", MARKDOWN)], "path string, text string")).select("id", "level")
-
-
 def chunk_code(spark, d):
     return tx.code_chunks(_frame(spark, [("a.py", SOURCE)], "path string, source string")).select(F.col("part").cast("int").alias("part"), "first", "last", "opening")
 
 
-def code_symbols(spark, d):
-    return tx.python_symbols(_frame(spark, [("a.py", SOURCE), ("bad.py", "def ("), ("none.py", None)], "path string, source string"))
-
-
 def typescript_symbols(spark, d):
     return _frame(spark, [(TS,)], "source string").select(F.explode(tx.ts_symbols(F.col("source"))).alias("s")).select("s.*")
 
 
-def code_imports(spark, d):
-    return _frame(spark, [(SOURCE,)], "source string").select(F.explode(tx.imports(F.col("source"))).alias("module"))
-
-
 def parse_query(spark, d):
     rows = _frame(spark, PHOTOS, "id int, q string")
     return rows.select("id", *[c.alias(n) for n, c in tx.parse_photo_query(F.col("q")).items()])
 
 
-def commit_log(spark, d):
-    rows = src.commit_log(_frame(spark, LOG, "log string, k int, line string"))
-    return rows.select("hash", "author", "message", F.date_format("ts", "yyyy-MM-dd").alias("day"), "change_type", "path", "old_path")
-
-
-def parse_requirements(spark, d):
-    rows = _frame(spark, [("numpy==1.2\n# note\nFastAPI >= 0.1\n\npandas",)], "t string")
-    return rows.select(F.explode(src.requirements(F.col("t"))).alias("r")).select("r.*")
-
-
-def parse_package(spark, d):
-    rows = _frame(spark, [('{"dependencies": {"react": "^18"}, "devDependencies": {"vite": "5"}}',)], "t string")
-    return rows.select(F.explode(src.package_sections(F.col("t"))).alias("r")).select("r.*")
-
-
-def parse_requirement_table(spark, d):
-    text = "| ID | Text | Prio | Criteria |\n|---|---|---|---|\n| FR-10-01 | Login works | high | test |\n| x | y |\n| NFR-02-03 | Fast | low | bench |"
-    return _frame(spark, [(text,)], "t string").select(F.explode(src.requirement_rows(F.col("t"))).alias("r")).select("r.*")
-
-
-def parse_releases(spark, d):
-    rows = _frame(spark, [("# Log\n## [1.2.0] - 2024-05-01\n- x\n## [1.1.9] - 2024-04-01",)], "t string")
-    return rows.select(F.explode(src.releases(F.col("t"))).alias("r")).select("r.*")
-
-
-def document_titles(spark, d):
-    rows = _frame(spark, [("## Second\n# First", "a-b"), ("## Only\ntext", "c"), ("plain", "read_me-now")], "t string, stem string")
-    return rows.select("stem", src.title(F.col("t"), F.col("stem")).alias("title"))
-
-
 def loc_after(spark, d):
     lines = F.size(F.split("text", "\n"))
     return table(spark, d, "documents").groupBy("lang").agg(F.sum(lines).alias("loc"), F.max(lines).cast("long").alias("longest"))
@@ -113,11 +62,6 @@ def escape_query(spark, d):
     return table(spark, d, "part").select("p_partkey", scalars.escape_query(F.concat("p_brand", F.lit(" (a+b) [c]: "), "p_name")).alias("q"))
 
 
-def uuid5(spark, d):
-    rows = _frame(spark, [("python.org",), ("www.example.com",)], "n string")
-    return rows.select("n", scalars.uuid5_dns(F.col("n")).alias("id"))
-
-
 def top_keywords(spark, d):
     """The five most frequent words of four letters or more for each source."""
     words = table(spark, d, "documents").select("source", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("w")).where("length(w) >= 4")
@@ -136,17 +80,6 @@ def page_titles(spark, d):
     return table(spark, d, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.regexp_extract("url", "^https?://([^/]+)", 1).alias("host"))
 
 
-STATUS = "# Sprints\n\n## Sprint 1: Start\n\nDates: 2024-01-01 to 2024-01-14\n- Goal: ship it\n* other\n## Sprint 2: Next one\nDates: 2024-01-15 to 2024-01-28\n  - second goal\n"
-
-
-def parse_sprints(spark, d):
-    return _frame(spark, [(STATUS,)], "t string").select(F.explode(src.sprint_status(F.col("t"))).alias("s")).select("s.*")
-
-
-def parse_bullets(spark, d):
-    return _frame(spark, [(STATUS,)], "t string").select(F.explode(src.bullets(F.col("t"))).alias("bullet"))
-
-
 EXIF = [(1, {"FNumber": "2.8", "FocalLength": "50.0", "Orientation": "6", "Keywords": "a , b", "Other": "x"}), (2, {"Make": " Canon ", "Model": None}), (3, None)]
 
 
@@ -187,30 +120,17 @@ _SLUG = "trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9 -]', '', 'g')
 QUERIES = {
     "chunk_paragraphs": (chunk_paragraphs, "WITH s AS (SELECT doc_id, string_split_regex(replace(text, chr(10), chr(10) || chr(10)), '\\n\\n+') AS p FROM documents), x AS (SELECT doc_id, unnest(generate_series(0, len(p) - 1)) AS n, trim(unnest(p)) AS c FROM s) SELECT doc_id, n, length(c) AS length FROM x WHERE length(c) > 0"),
     "chunk_sliding": (chunk_sliding, "WITH s AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), x AS (SELECT doc_id, l, unnest(generate_series(0, greatest(len(l) - 3, 0), 2)) AS f FROM s) SELECT doc_id, f AS from_line, len(l[f + 1:f + 4]) AS n_lines, md5(array_to_string(l[f + 1:f + 4], chr(10))) AS digest FROM x"),
-    "chunk_markdown": (chunk_markdown, "SELECT * FROM (VALUES ('a.md#1', 'Setup', 71), ('a.md#2', 'Usage: run it!', 84)) v(id, heading, length)"),
-    "chunk_slugs": (chunk_slugs, "SELECT * FROM (VALUES ('a.md#top-01', 1), ('a.md#setup-01', 2), ('a.md#notes-01', 3), ('a.md#usage-run-it-02', 2)) v(id, level)"),
     "chunk_code": (chunk_code, "SELECT * FROM (VALUES (0, 0, 2, 'import os'), (1, 3, 6, 'class A:'), (2, 7, 9, 'def main():')) v(part, first, last, opening)"),
-    "code_symbols": (code_symbols, "SELECT * FROM (VALUES ('a.py', 'a.py::class::A', 'A', 'class', 4, 'A()'), ('a.py', 'a.py::method::A.go', 'go', 'method', 5, 'go(self, x)'), ('a.py', 'a.py::function::main', 'main', 'function', 8, 'main()')) v(path, symbol_id, name, kind, line, signature)"),
     "typescript_symbols": (typescript_symbols, "SELECT * FROM (VALUES ('class', 'Page'), ('interface', 'Props'), ('function', 'render'), ('function', 'load')) v(kind, name)"),
-    "code_imports": (code_imports, "SELECT * FROM (VALUES ('os'), ('app.core')) v(module)"),
     "parse_query": (parse_query, "SELECT * FROM (VALUES (1, 2017, 2.8::DOUBLE, 50, 100, '1/200', 'canon', 'vacation', 'happy family strasbourg'), (2, NULL, NULL, NULL, NULL, NULL, NULL, '', 'sunset'), (3, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL)) v(id, year, aperture, focal, iso, shutter, brand, tags, rest)"),
-    "commit_log": (commit_log, "SELECT * FROM (VALUES ('1111111aaa', 'Ann', 'Add core' || chr(9) || 'with tab', '2024-01-02', 'A', 'src/core.py', NULL), ('1111111aaa', 'Ann', 'Add core' || chr(9) || 'with tab', '2024-01-02', 'M', 'README.md', NULL), ('2222222bbb', 'Bob', 'Rename', '2024-01-03', 'R', 'src/main.py', 'src/core.py'), ('3333333ccc', 'Cy', 'Empty', NULL, NULL, NULL, NULL)) v(hash, author, message, day, change_type, path, old_path)"),
-    "parse_requirements": (parse_requirements, "SELECT * FROM (VALUES ('numpy', '==1.2'), ('fastapi', '>= 0.1'), ('pandas', '')) v(library, \"constraint\")"),
-    "parse_package": (parse_package, "SELECT * FROM (VALUES ('dependencies', 'react', '^18'), ('devDependencies', 'vite', '5')) v(section, library, version)"),
-    "parse_requirement_table": (parse_requirement_table, "SELECT * FROM (VALUES ('FR-10-01', 'Login works', 'high'), ('NFR-02-03', 'Fast', 'low')) v(id, description, priority)"),
-    "parse_releases": (parse_releases, "SELECT * FROM (VALUES ('1.2.0', '2024-05-01'), ('1.1.9', '2024-04-01')) v(version, date)"),
-    "document_titles": (document_titles, "SELECT * FROM (VALUES ('a-b', 'First'), ('c', 'Only'), ('read_me-now', 'Read Me Now')) v(stem, title)"),
     "loc_after": (loc_after, "SELECT lang, CAST(sum(len(string_split(text, chr(10)))) AS BIGINT) AS loc, max(len(string_split(text, chr(10)))) AS longest FROM documents GROUP BY 1"),
     "manifest_snapshot": (manifest_snapshot, "SELECT doc_id, strlen(text) AS size, sha1(text) AS sha1 FROM documents"),
     "slugify": (slugify, f"SELECT doc_id, {_SLUG} AS slug FROM documents"),
     "redact_tokens": (redact_tokens, "SELECT doc_id, md5(regexp_replace(text, '[A-Za-z0-9]{32,}', '<redacted>', 'g')) AS digest FROM documents"),
     "escape_query": (escape_query, f"SELECT p_partkey, {_ESC} AS q FROM part"),
-    "uuid5": (uuid5, "SELECT * FROM (VALUES ('python.org', '886313e1-3b8a-5372-9b90-0c9aee199e5d'), ('www.example.com', '2ed6657d-e927-568b-95e1-2665a8aea6a2')) v(n, id)"),
     "top_keywords": (top_keywords, "WITH w AS (SELECT source, unnest(string_split_regex(lower(text), '[^\\p{L}]+')) AS w FROM documents), c AS (SELECT source, w, count(*) AS n FROM w WHERE length(w) >= 4 GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, w) AS k FROM c) SELECT source, w, n FROM r WHERE k <= 5"),
     "fulltext_search": (fulltext_search, "WITH w AS (SELECT doc_id, unnest(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+')) AS t FROM documents) SELECT doc_id, count(DISTINCT t) AS matched, count(*) AS score FROM w WHERE t IN ('the', 'thes', 'inea', 'anha') GROUP BY 1 ORDER BY matched DESC, score DESC, doc_id LIMIT 20"),
     "page_titles": (page_titles, "SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_extract(url, '^https?://([^/]+)', 1) AS host FROM pages"),
-    "parse_sprints": (parse_sprints, "SELECT * FROM (VALUES ('1', 'Start', '2024-01-01', '2024-01-14'), ('2', 'Next one', '2024-01-15', '2024-01-28')) v(number, name, start, \"end\")"),
-    "parse_bullets": (parse_bullets, "SELECT * FROM (VALUES ('Goal: ship it'), ('second goal')) v(bullet)"),
     "image_metadata": (image_metadata, "SELECT * FROM (VALUES (1, 'aperture', 'f/2.8'), (1, 'focal_length', '50mm'), (1, 'orientation', 'rotated 90 cw'), (1, 'keywords', 'a; b'), (2, 'camera_make', 'Canon')) v(id, key, value)"),
     "import_graph": (import_graph, "SELECT * FROM (VALUES ('app/main.py', 'app/core/util.py', 2), ('app/core/util.py', 'app/core/__init__.py', 2)) v(src, dst, weight)"),
     "get_by_id": (get_by_id, "SELECT doc_id, lang, source, md5(text) AS digest FROM documents WHERE doc_id IN (3, 17, 1000000000000)"),
