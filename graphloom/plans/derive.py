@@ -243,8 +243,6 @@ def refactored_to(spark, d):
     return old.join(new, ["hash", "dir"]).select("hash", "src", "dst")
 
 
-
-
 def _imports(spark, d):
     """File to file: the first file of a commit imports the others."""
     t = bind.touches(spark, d).select("hash", "path")
@@ -265,15 +263,6 @@ def depends_on_requirements(spark, d):
     return deps.join(left, "src").join(right, "dst").where("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("paths"))
 
 
-FILES = ["app/core/main.py", "app/core/util.py", "lib/util.py", "app/README.md", "app/web/page.tsx"]
-CHUNK_TERMS = [(1, "app/core/main.py"), (1, "core/util.py"), (2, "README.md"), (2, "util.py"), (3, "web/page.tsx"), (3, "page.tsx"), (4, "none.py")]
-
-
-def mention_files(spark, d):
-    files = _frame(spark, [(f,) for f in FILES], "path string")
-    return ev.mentioned_files(_frame(spark, CHUNK_TERMS, "chunk int, term string"), files)
-
-
 def mention_commits(spark, d):
     """Hex runs of ten to forty characters in documents against SHA-1 hashes of commits: here each commit is
     named by a document through a prefix whose length varies, every third with a tail that is not its own."""
@@ -308,17 +297,6 @@ def library_bridge(spark, d):
     return chunk.join(uses, "lib").select("chunk", "path").distinct()
 
 
-ALIASES = [("sklearn", "scikit-learn"), ("PIL", "pillow"), ("cv2", "opencv-python"), ("yaml", "pyyaml")]
-USES = [("a.py", "sklearn"), ("a.py", "numpy"), ("b.py", "PIL"), ("c.py", "yaml"), ("c.py", "react-dom")]
-
-
-def uses_library(spark, d):
-    names = F.create_map(*[F.lit(x) for pair in ALIASES for x in pair])
-    rows = _frame(spark, USES, "path string, module string")
-    name = F.coalesce(F.try_element_at(names, "module"), "module")
-    return rows.select("path", name.alias("library"), scalars.title_case(name).alias("title"))
-
-
 def part_of_sprint(spark, d):
     """Sprint number from the second and third character after the dash of an id."""
     ids = _messages(spark, d).select(F.explode(ev.requirement_ids(F.col("message"), "loose")).alias("id"))
@@ -351,17 +329,6 @@ def doc_tags(spark, d):
     return table(spark, d, "documents").select("doc_id", F.concat_ws(",", tags).alias("tags")).where("tags <> ''")
 
 
-DIFFS = [(1, "requirements.txt", "+numpy==1.2\n-pandas>=1\n context"), (2, "package.json", '+    "react": "^18",\n-    "vue": "3"'), (3, "wip: try\n", "+x")]
-
-
-def dependency_changes(spark, d):
-    """Added and removed libraries from the changed lines of manifests."""
-    rows = _frame(spark, DIFFS, "hash int, file string, diff string").where("file IN ('requirements.txt', 'package.json')")
-    lines = rows.select("hash", F.explode(F.split("diff", "\n")).alias("line")).where("line RLIKE '^[+-]'")
-    lib = F.regexp_extract("line", r"^[+-]\s*\"?([A-Za-z0-9_.-]+)", 1)
-    return lines.select("hash", lib.alias("library"), F.when(F.col("line").startswith("+"), "added").otherwise("removed").alias("change"))
-
-
 # --- quality -------------------------------------------------------------------------------------
 def _quality_counts(spark, d):
     t = bind.touches(spark, d).withColumn("ts", F.when(F.col("path") % 50 != 3, F.col("ts")))
@@ -481,19 +448,6 @@ def ingest_guards(spark, d):
     return rows.agg(F.count_if(F.col("uid").isNull()).alias("missing_commit_uid"), F.count(F.lit(1)).alias("rows"))
 
 
-CHANGES = [("a.py", "A", None), ("", "X", None), ("b.py", "R", "c.py"), ("d.py", "R", None), (None, "M", None)]
-
-
-def validate_changes(spark, d):
-    """Why a file change is refused; null if it is fine."""
-    rows = _frame(spark, CHANGES, "path string, change_type string, old_path string")
-    why = (
-        F.when(F.coalesce("path", F.lit("")) == "", "no path").when(~F.col("change_type").isin("A", "M", "D", "R"), "bad type")
-        .when((F.col("change_type") == "R") & F.col("old_path").isNull(), "no old path")
-    )
-    return rows.select("path", "change_type", why.alias("problem"))
-
-
 _C = "CAST(CASE l_returnflag WHEN 'A' THEN 0.8 WHEN 'N' THEN 0.6 ELSE 0.7 END AS DOUBLE)"
 _SC = f'{S}, sc AS (SELECT number, o_orderkey AS hash FROM orders JOIN sprints ON CAST(o_orderdate AS DATE) BETWEEN "start" AND "end")'
 _DEP = f"{T}, fi AS (SELECT hash, min(path) AS src FROM touched GROUP BY 1), dep AS (SELECT src, path AS dst, count(*) AS weight FROM touched JOIN fi ON fi.hash = touched.hash WHERE path <> src GROUP BY 1, 2 HAVING count(*) > 1)"
@@ -544,19 +498,14 @@ SELECT DISTINCT hash, grammar, upper(new) AS new, upper(old) AS old, CAST(0.9 AS
     "refactored_to": (refactored_to, f"WITH {T}, t AS (SELECT hash, path, change_type, p_brand AS dir FROM touched JOIN part ON p_partkey = path) SELECT o.hash, o.path AS src, n.path AS dst FROM t o JOIN t n ON o.hash = n.hash AND o.dir = n.dir WHERE o.change_type = 'D' AND n.change_type = 'A'"),
     "depends_on_files": (depends_on_files, f"WITH {_DEP} SELECT src, dst, weight, round(1 - pow(0.1::DOUBLE, weight), 6) AS confidence FROM dep"),
     "depends_on_requirements": (depends_on_requirements, f"WITH {_DEP}, i AS (SELECT DISTINCT l_suppkey AS req, l_partkey AS path FROM lineitem WHERE l_returnflag = 'A') SELECT x.req AS a, y.req AS b, count(*) AS paths FROM dep JOIN i x ON x.path = src JOIN i y ON y.path = dst WHERE x.req <> y.req GROUP BY 1, 2"),
-    "mention_files": (mention_files, f"""WITH f AS (SELECT path, regexp_replace(path, '^[^/]+/', '') AS below, regexp_extract(path, '([^/]+)$', 1) AS base FROM {_values([(f,) for f in FILES])} v(path)),
-m AS (SELECT * FROM {_values(CHUNK_TERMS)} v(chunk, term)), h AS (SELECT chunk, path, 1.0 AS c FROM m JOIN f ON term = path UNION ALL SELECT chunk, path, 0.95 FROM m JOIN f ON term = below AND below <> path
-UNION ALL SELECT chunk, path, 0.7 FROM m JOIN f ON regexp_extract(term, '([^/]+)$', 1) = base AND (SELECT count(*) FROM f g WHERE g.base = f.base) = 1) SELECT chunk, path, CAST(max(c) AS DOUBLE) AS confidence FROM h GROUP BY 1, 2"""),
     "mention_commits": (mention_commits, "WITH c AS (SELECT sha1(CAST(o_orderkey AS VARCHAR)) AS hash, o_orderkey AS n, o_orderpriority AS p FROM orders), m AS (SELECT n AS chunk, substr(hash, 1, CAST(8 + n % 7 AS INT)) || CASE WHEN n % 3 = 0 THEN 'zz' ELSE '' END AS prefix FROM c WHERE p = '1-URGENT'), w AS (SELECT chunk, prefix, hash FROM m JOIN c ON starts_with(hash, prefix) WHERE length(prefix) >= 10), r AS (SELECT * FROM m WHERE length(prefix) > 12 AND prefix NOT IN (SELECT prefix FROM w)) SELECT chunk, hash, max(CASE WHEN length(prefix) >= 12 THEN 0.9::DOUBLE ELSE 0.75::DOUBLE END) AS confidence FROM (SELECT chunk, hash, prefix FROM w UNION ALL SELECT chunk, c.hash, prefix FROM r JOIN c ON substr(c.hash, 1, 12) = substr(prefix, 1, 12)) GROUP BY 1, 2"),
     "doc_file_rollup": (doc_file_rollup, f"WITH {T} SELECT hash % 500 AS doc, path, count(DISTINCT hash) AS chunk_occurrences FROM touched GROUP BY 1, 2"),
     "sprint_involves_file": (sprint_involves_file, f"WITH {T}, {_SC} SELECT number, path, count(DISTINCT sc.hash) AS commit_count FROM sc JOIN touched t ON t.hash = sc.hash GROUP BY 1, 2"),
     "mention_symbols": (mention_symbols, f"WITH b AS ({_TOK.format(id='item_id', t='benchmark')}), k AS ({_TOK.format(id='doc_id', t='documents')}), h AS (SELECT term, doc_id, count(*) AS n FROM k WHERE length(term) >= 3 GROUP BY 1, 2) SELECT term, max(n) AS score, count(*) AS docs FROM h WHERE term IN (SELECT term FROM b) GROUP BY 1"),
     "library_bridge": (library_bridge, "SELECT DISTINCT s_suppkey AS chunk, p_partkey AS path FROM supplier JOIN part ON 'Brand#' || (s_suppkey % 25 + 1) = p_brand"),
-    "uses_library": (uses_library, f"WITH u AS (SELECT path, coalesce((SELECT lib FROM {_values(ALIASES)} a(m, lib) WHERE m = module), module) AS library FROM {_values(USES)} v(path, module)) SELECT path, library, array_to_string(list_transform(string_split_regex(library, '[-_]+'), lambda w: upper(w[1]) || lower(w[2:])), ' ') AS title FROM u"),
     "part_of_sprint": (part_of_sprint, f"WITH {_MSG}, i AS (SELECT DISTINCT hash, upper(unnest(regexp_extract_all(message, '(?i)(?:FR|NFR)-\\d{{2}}-\\d{{2}}'))) AS id FROM m) SELECT id, CAST(regexp_extract(id, '-(\\d{{2}})-', 1) AS INTEGER) AS sprint FROM i"),
     "derive_since": (derive_since, f"WITH {T}, m AS (SELECT max(o_orderdate) AS last FROM orders WHERE o_orderkey % 2 = 0 AND o_orderdate <= TIMESTAMP '2000-06-30') SELECT count(*) AS n, min(ts) AS from_ts FROM touched, m WHERE ts >= last"),
     "doc_tags": (doc_tags, "SELECT doc_id, tags FROM (SELECT doc_id, concat_ws(',', CASE WHEN regexp_matches(text, '(?i)licen[sc]e') THEN 'licence' END, CASE WHEN contains(text, '@') THEN 'contact' END, CASE WHEN regexp_matches(text, '(?i)password|token') THEN 'secret' END, CASE WHEN contains(text, '!!') THEN 'shout' END) AS tags FROM documents) WHERE tags <> ''"),
-    "dependency_changes": (dependency_changes, f"WITH r AS (SELECT hash, unnest(string_split(diff, chr(10))) AS line FROM {_values(DIFFS)} v(hash, file, diff) WHERE file IN ('requirements.txt', 'package.json')) SELECT hash, regexp_extract(line, '^[+-]\\s*\"?([A-Za-z0-9_.-]+)', 1) AS library, CASE WHEN line[1] = '+' THEN 'added' ELSE 'removed' END AS change FROM r WHERE regexp_matches(line, '^[+-]')"),
     "quality_simple": (quality_simple, f"WITH {_Q} SELECT round(CASE WHEN touched <= 0 THEN 0 ELSE greatest(0, 100 - least(40, 0.5 * orphans) - least(40, 0.25 * missing)) END::DOUBLE, 6) AS score FROM q, orph"),
     "quality_overview": (quality_overview, f"WITH {_Q}, s AS (SELECT greatest(0, 100 - 50.0::DOUBLE * orphans / nodes - 30.0::DOUBLE * missing / touched) AS s FROM q, orph) SELECT round(s, 6) AS score, s > 70 AS healthy FROM s"),
     "quality_sections": (quality_sections, f"""WITH {_FACTS} SELECT 'availability' AS section, round(CAST(least(20, (commits > 0)::INT * 5 + (files > 0)::INT * 4 + (reqs > 0)::INT * 3 + (docs > 0)::INT * 3 + (vectors > 0)::INT * 3 + (sprints > 0)::INT * 2 + (commits >= 500 AND files >= 1000)::INT * 2 + (docs > 0)::INT) AS DOUBLE), 2) AS score, 20 AS max_score FROM f
@@ -575,5 +524,4 @@ SELECT s.label AS label, CASE WHEN s.ok IN (95, 75) THEN round(s.value, 1) ELSE
     "relationship_integrity": (relationship_integrity, "SELECT l_returnflag, count(*) AS edges, count(*) FILTER (l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_partkey % 10 <> 0)) AS dangling FROM lineitem GROUP BY 1"),
     "temporal_cleanup": (temporal_cleanup, f"WITH {T} SELECT DISTINCT l_suppkey AS req, l_partkey AS path FROM lineitem WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_nationkey % 5 <> 0) OR l_partkey NOT IN (SELECT path FROM touched WHERE path % 13 <> 0)"),
     "ingest_guards": (ingest_guards, "SELECT count(*) FILTER (o_orderkey = 0) AS missing_commit_uid, count(*) AS rows FROM orders"),
-    "validate_changes": (validate_changes, f"SELECT path, change_type, CASE WHEN coalesce(path, '') = '' THEN 'no path' WHEN change_type NOT IN ('A', 'M', 'D', 'R') THEN 'bad type' WHEN change_type = 'R' AND old_path IS NULL THEN 'no old path' END AS problem FROM {_values(CHANGES)} v(path, change_type, old_path)"),
 }

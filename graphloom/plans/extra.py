@@ -19,10 +19,6 @@ from graphloom.sources import sinks
 
 PYTHON = 'import os\n\nclass Store:\n    """Keeps rows under their keys."""\n\n    def put(self, key, row):\n        self.rows[key] = row\n        return self\n\n\ndef main(argv):\n    store = Store()\n    return store.put(argv[0], argv[1])\n# the end of a file that has some more lines below its functions\nprint("a line that no definition covers, long enough")\n'
 SCRIPT = "export class Page extends Base implements Shown, Kept {\n  render(props: Props): Node {\n    if (props) { return draw(props) }\n    return null\n  }\n}\ninterface Props extends Any { a: string }\nexport default function load(url) {\n  return fetch(url).then((x) => x.json())\n}\nexport const pick = async (a, b) => a\nconst one = x => x\n"
-PHOTOS = [
-    (1, "happy family 2017 strasbourg canon #vacation f/2.8 50mm iso100 1/200s"), (2, "Portrait May 2020 sigma tag:Kids kw:beach city=Paris f1.4 2s"),
-    (3, "sunset iso: 800 camera_make:Nikon"), (4, "sunset"), (5, ""), (6, None),
-]
 CHANGES = [
     ("c1", "FR-10-01 for sprint-4", "src/a.py", None, True, False, False, "@@\n+x = 1\n+# NFR-02-03", "x = 1\n# NFR-02-03\n"),
     ("c1", "FR-10-01 for sprint-4", "docs/FR-11-02.md", None, False, False, False, "@@\n-old\n+new\n same", "new\nFR-99-99"),
@@ -52,11 +48,6 @@ def typescript_details(spark, d):
     return _frame(spark, [(SCRIPT,)], "source string").select(F.explode(code.typescript_symbols(F.col("source"))).alias("s")).select("s.*")
 
 
-def photo_query(spark, d):
-    rows = _frame(spark, PHOTOS, "id int, q string")
-    return rows.select("id", *[c.alias(n) for n, c in photos.parse(F.col("q")).items()])
-
-
 def photo_properties(spark, d):
     """Each part as a photo whose metadata follow from its columns."""
     text = lambda c: F.col(c).cast("string")
@@ -208,12 +199,6 @@ _SYMBOLS = [
     ("class", "Page", "Base", "Shown, Kept"), ("interface", "Props", "Any", None), ("function", "load", "(url)", None), ("arrow", "pick", "(a, b)", None), ("arrow", "one", "x", None),
     ("method", "render", "(props: Props)", None),
 ]
-_PHOTOS = [
-    (1, "2017", None, "canon", "canon", "f/2.8", "50mm", "100", "1/200s", "vacation", None, None, "happy family strasbourg"),
-    (2, "2020", "may", "sigma", "sigma", "f/1.4", None, None, "2s", "kids", "beach", "city=paris", "Portrait"),
-    (3, None, None, "nikon", "nikon", None, None, None, None, None, None, "iso=800,camera_make=nikon", "sunset camera_make:"),
-    (4, None, None, None, None, None, None, None, None, None, None, None, "sunset"), (5, *[None] * 11, ""), (6, *[None] * 12),
-]
 _ANALYSIS = [
     ("c1", "src/a.py", None, "A", 2, 0, 2, "FR-10-01,NFR-02-03", "4"), ("c1", "docs/FR-11-02.md", None, "M", 1, 1, 2, "FR-10-01,FR-11-02", "4"),
     ("c2", "src/b.ts", "src/old.ts", "R", 0, 0, 1, "", "7"), ("c3", "src/c.py", None, "D", 0, 2, 0, "", ""),
@@ -260,7 +245,6 @@ t AS (SELECT first, until, array_to_string(lines[first + 1:until], chr(10)) AS t
 SELECT 'window' AS kind, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars, CAST(sum(first) AS BIGINT) AS firsts, CAST(sum(until) AS BIGINT) AS untils
 FROM t WHERE length(trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) >= 50"""),
     "typescript_details": (typescript_details, f"SELECT * FROM {_values(_SYMBOLS)} v(kind, name, detail, implements)"),
-    "photo_query": (photo_query, f"SELECT * FROM {_values(_PHOTOS)} v(id, year, month, camera_make, lens_make, aperture, focal_length, iso, shutter_speed, tags, keywords, fields, rest)"),
     "commit_analysis": (commit_analysis, f"SELECT * FROM {_values(_ANALYSIS)} v(hash, path, old_path, change_type, additions, deletions, loc_after, requirements, sprints)"),
     "attempt_flags": (attempt_flags, "SELECT source, count(*) FILTER (regexp_matches(lower(text), 'wip|spike|attempt')) AS attempts, count(*) AS n FROM documents GROUP BY 1"),
     "chunk_links": (chunk_links, """WITH r AS (SELECT s_suppkey AS key, CASE WHEN s_suppkey % 2 = 0 THEN 'FR-' ELSE 'NFR-' END || lpad(CAST(s_suppkey % 40 AS VARCHAR), 2, '0') || '-' || s_suppkey AS id FROM supplier),

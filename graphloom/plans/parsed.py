@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from graphloom import bind
-from graphloom.functions import scalars
+from graphloom.functions import photos, scalars
 from graphloom.functions import text as tx
+from graphloom.operators import evidence as ev
 from graphloom.plans.extra import supplier_sources
 from graphloom.session import table
 from graphloom.sources import files as src
@@ -105,6 +106,80 @@ def uuid5(spark, d):
     return table(spark, d, "part").select("p_partkey", scalars.uuid5_dns(F.concat_ws("/", "p_brand", "p_name", "p_partkey")).alias("id"))
 
 
+def chunk_code(spark, d):
+    return tx.code_chunks(supplier_sources(spark, d)).select("path", F.col("part").cast("int").alias("part"), "first", "last", "opening")
+
+
+SCRIPT = r"concat('export class P', k, ' {}\ninterface I', k, ' { a: string }\nexport default function r', k, '(p) {}\nconst x = 1\nasync function l', k, '() {}\n')"
+
+
+def typescript_symbols(spark, d):
+    return _found(_texts(spark, d, SCRIPT), tx.ts_symbols)
+
+
+PHOTO = "concat(p_name, ' 2017 canon #tag', p_partkey % 9, ' f/2.8 50mm iso', 100 * (1 + p_partkey % 4), ' 1/200s')"
+
+
+def parse_query(spark, d):
+    rows = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.expr(PHOTO).alias("q"))
+    return rows.select("id", *[c.alias(n) for n, c in tx.parse_photo_query(F.col("q")).items()])
+
+
+def photo_query(spark, d):
+    rows = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.expr(PHOTO).alias("q"))
+    return rows.select("id", *[c.alias(n) for n, c in photos.parse(F.col("q")).items()])
+
+
+def import_graph(spark, d):
+    """Each part as a module that imports two others, one by a name in it, and the standard library."""
+    parts = table(spark, d, "part").select(F.col("p_partkey").alias("k"), F.expr("concat('app/m', p_partkey, '.py')").alias("path"))
+    asked = parts.select("path", F.explode(F.expr("array(concat('app.m', k div 2), concat('app.m', k div 3, '.run'), 'os')")).alias("module"))
+    return src.import_edges(asked, parts.select("path"))
+
+
+def mention_files(spark, d):
+    """Commits that name the files they touch by full path, by the path below its first folder, or by base name, which
+    two files share where the numbers fall together."""
+    path = F.expr("concat('app/d', path % 7, '/f', path div 2, '.py')")
+    files = bind.files(spark, d).select(path.alias("path"))
+    named = bind.touches(spark, d).select("hash", path.alias("file"))
+    term = F.when(F.col("hash") % 3 == 0, F.col("file")).when(F.col("hash") % 3 == 1, F.regexp_replace("file", "^app/", "")).otherwise(F.element_at(F.split("file", "/"), -1))
+    return ev.mentioned_files(named.select(F.col("hash").alias("chunk"), term.alias("term")).distinct(), files)
+
+
+#: Modules whose libraries have another name.
+ALIASES = {"sklearn": "scikit-learn", "PIL": "pillow", "cv2": "opencv-python", "yaml": "pyyaml"}
+
+
+def uses_library(spark, d):
+    module = F.element_at(F.array(*map(F.lit, ["sklearn", "numpy", "PIL", "yaml", "react-dom", "cv2"])), (F.col("p_partkey") % 6 + 1).cast("int"))
+    names = F.create_map(*[F.lit(x) for pair in ALIASES.items() for x in pair])
+    name = F.coalesce(F.try_element_at(names, module), module)
+    return table(spark, d, "part").select("p_partkey", name.alias("library"), scalars.title_case(name).alias("title"))
+
+
+def dependency_changes(spark, d):
+    """Added and removed libraries from the changed lines of manifests, a diff an order."""
+    diff = F.expr(r"concat('+lib', o_orderkey, '==1.', o_orderkey % 5, '\n-    \"old_', o_orderkey % 7, '\": \"1\"\n context')")
+    file = F.element_at(F.array(*map(F.lit, ["requirements.txt", "package.json", "notes.txt"])), (F.col("o_orderkey") % 3 + 1).cast("int"))
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("hash"), file.alias("file"), diff.alias("diff")).where("file IN ('requirements.txt', 'package.json')")
+    lines = rows.select("hash", F.explode(F.split("diff", "\n")).alias("line")).where("line RLIKE '^[+-]'")
+    lib = F.regexp_extract("line", r"^[+-]\s*\"?([A-Za-z0-9_.-]+)", 1)
+    return lines.select("hash", lib.alias("library"), F.when(F.col("line").startswith("+"), "added").otherwise("removed").alias("change"))
+
+
+def validate_changes(spark, d):
+    """Why a file change is refused; null if it is fine."""
+    k = F.col("p_partkey")
+    kind = F.element_at(F.array(*map(F.lit, ["A", "X", "R", "M"])), (k % 4 + 1).cast("int"))
+    rows = table(spark, d, "part").select(k, F.when(k % 5 == 0, "").when(k % 5 > 1, F.col("p_name")).alias("path"), kind.alias("change_type"), F.when(k % 3 == 0, "old").alias("old_path"))
+    why = (
+        F.when(F.coalesce("path", F.lit("")) == "", "no path").when(~F.col("change_type").isin("A", "M", "D", "R"), "bad type")
+        .when((F.col("change_type") == "R") & F.col("old_path").isNull(), "no old path")
+    )
+    return rows.select("p_partkey", "path", "change_type", why.alias("problem"))
+
+
 _PY = """f AS (SELECT s_suppkey AS id, s_suppkey || '.py' AS path, unnest(range(s_suppkey % 7 + 1)) AS i FROM supplier)"""
 QUERIES = {
     "parse_requirements": (parse_requirements, """SELECT s_suppkey AS key, 'lib' || s_suppkey AS library, '==1.' || s_suppkey AS "constraint" FROM supplier
@@ -125,4 +200,20 @@ UNION ALL SELECT path, path || '::method::S' || id || '_' || i || '.' || m, m, '
 change_type, 'src/' || path || '.py' AS path, CAST(NULL AS VARCHAR) AS old_path FROM orders LEFT JOIN touched ON hash = o_orderkey"""),
     "uuid5": (uuid5, """WITH h AS (SELECT p_partkey, sha1(from_hex('6ba7b8109dad11d180b400c04fd430c8') || encode(p_brand || '/' || p_name || '/' || p_partkey)) AS h FROM part)
 SELECT p_partkey, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', (CAST('0x' || substr(h, 17, 1) AS INTEGER) & 3) + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS id FROM h"""),
+    "chunk_code": (chunk_code, f"WITH {_PY} SELECT path, CAST(i + 1 AS INTEGER) AS part, 6 * i AS first, 6 * i + 5 AS last, 'class S' || id || '_' || i || ':' AS opening FROM f"),
+    "typescript_symbols": (typescript_symbols, "SELECT s_suppkey AS key, a AS kind, b || s_suppkey AS name FROM supplier, (VALUES ('class', 'P'), ('interface', 'I'), ('function', 'r'), ('function', 'l')) v(a, b)"),
+    "parse_query": (parse_query, "SELECT p_partkey AS id, 2017 AS year, 2.8::DOUBLE AS aperture, 50 AS focal, 100 * (1 + p_partkey % 4) AS iso, '1/200' AS shutter, 'canon' AS brand, 'tag' || p_partkey % 9 AS tags, p_name AS rest FROM part"),
+    "photo_query": (photo_query, """SELECT p_partkey AS id, '2017' AS year, CAST(NULL AS VARCHAR) AS month, 'canon' AS camera_make, 'canon' AS lens_make, 'f/2.8' AS aperture, '50mm' AS focal_length, CAST(100 * (1 + p_partkey % 4) AS VARCHAR) AS iso,
+'1/200s' AS shutter_speed, 'tag' || p_partkey % 9 AS tags, CAST(NULL AS VARCHAR) AS keywords, CAST(NULL AS VARCHAR) AS fields, p_name AS rest FROM part"""),
+    "import_graph": (import_graph, "SELECT 'app/m' || k || '.py' AS src, 'app/m' || t || '.py' AS dst, count(*) AS weight FROM (SELECT p_partkey AS k, unnest([p_partkey // 2, p_partkey // 3]) AS t FROM part) WHERE t <> k GROUP BY 1, 2"),
+    "mention_files": (mention_files, f"""WITH {T}, f AS (SELECT 'app/d' || p_partkey % 7 || '/f' || p_partkey // 2 || '.py' AS path, 'd' || p_partkey % 7 || '/f' || p_partkey // 2 || '.py' AS below, 'f' || p_partkey // 2 || '.py' AS base FROM part),
+m AS (SELECT DISTINCT hash AS chunk, CASE hash % 3 WHEN 0 THEN 'app/' ELSE '' END || CASE WHEN hash % 3 < 2 THEN 'd' || path % 7 || '/' ELSE '' END || 'f' || path // 2 || '.py' AS term FROM touched),
+u AS (SELECT base, min(path) AS path FROM f GROUP BY 1 HAVING count(*) = 1),
+x AS (SELECT chunk, path, 1.0::DOUBLE AS c FROM m JOIN f ON term = path UNION ALL SELECT chunk, path, 0.95::DOUBLE FROM m JOIN f ON term = below UNION ALL SELECT chunk, path, 0.7::DOUBLE FROM m JOIN u ON regexp_extract(term, '([^/]+)$', 1) = base)
+SELECT chunk, path, max(c) AS confidence FROM x GROUP BY 1, 2"""),
+    "uses_library": (uses_library, """WITH u AS (SELECT p_partkey, (['scikit-learn', 'numpy', 'pillow', 'pyyaml', 'react-dom', 'opencv-python'])[p_partkey % 6 + 1] AS library FROM part)
+SELECT p_partkey, library, array_to_string(list_transform(string_split_regex(library, '[-_]+'), lambda w: upper(w[1]) || lower(w[2:])), ' ') AS title FROM u"""),
+    "dependency_changes": (dependency_changes, "SELECT o_orderkey AS hash, 'lib' || o_orderkey AS library, 'added' AS change FROM orders WHERE o_orderkey % 3 < 2 UNION ALL SELECT o_orderkey, 'old_' || o_orderkey % 7, 'removed' FROM orders WHERE o_orderkey % 3 < 2"),
+    "validate_changes": (validate_changes, """WITH c AS (SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN '' WHEN p_partkey % 5 > 1 THEN p_name END AS path, (['A', 'X', 'R', 'M'])[p_partkey % 4 + 1] AS change_type, CASE WHEN p_partkey % 3 = 0 THEN 'old' END AS old_path FROM part)
+SELECT p_partkey, path, change_type, CASE WHEN coalesce(path, '') = '' THEN 'no path' WHEN change_type = 'X' THEN 'bad type' WHEN change_type = 'R' AND old_path IS NULL THEN 'no old path' END AS problem FROM c"""),
 }

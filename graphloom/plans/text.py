@@ -13,10 +13,6 @@ from graphloom.plans.derive import _frame, _values
 from graphloom.session import table
 from graphloom.sources import files as src
 
-SOURCE = "import os\nfrom app.core import run\n\nclass A:\n    def go(self, x):\n        return x\n\ndef main():\n    return A()\n"
-TS = "export class Page {}\ninterface Props { a: string }\nexport default function render(p) {}\nconst x = 1\nasync function load() {}\n"
-PHOTOS = [(1, "happy family 2017 strasbourg canon #vacation f/2.8 50mm iso100 1/200s"), (2, "sunset"), (3, None)]
-
 
 def chunk_paragraphs(spark, d):
     docs = table(spark, d, "documents").select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
@@ -28,19 +24,6 @@ def chunk_sliding(spark, d):
     return rows.select("doc_id", F.col("from").cast("long").alias("from_line"), F.col("n_lines").cast("long").alias("n_lines"), F.md5("chunk").alias("digest"))
 
 
-def chunk_code(spark, d):
-    return tx.code_chunks(_frame(spark, [("a.py", SOURCE)], "path string, source string")).select(F.col("part").cast("int").alias("part"), "first", "last", "opening")
-
-
-def typescript_symbols(spark, d):
-    return _frame(spark, [(TS,)], "source string").select(F.explode(tx.ts_symbols(F.col("source"))).alias("s")).select("s.*")
-
-
-def parse_query(spark, d):
-    rows = _frame(spark, PHOTOS, "id int, q string")
-    return rows.select("id", *[c.alias(n) for n, c in tx.parse_photo_query(F.col("q")).items()])
-
-
 def loc_after(spark, d):
     lines = F.size(F.split("text", "\n"))
     return table(spark, d, "documents").groupBy("lang").agg(F.sum(lines).alias("loc"), F.max(lines).cast("long").alias("longest"))
@@ -88,15 +71,6 @@ def image_metadata(spark, d):
     return rows.select("id", F.explode(src.image_metadata(F.col("raw"))).alias("key", "value"))
 
 
-IMPORTS = [("app/main.py", "app.core.util"), ("app/main.py", "app.core.util.run"), ("app/main.py", "os"), ("app/core/util.py", "app.core"), ("app/core/util.py", "app.core.util")]
-MODULES = ["app/main.py", "app/core/__init__.py", "app/core/util.py"]
-
-
-def import_graph(spark, d):
-    files = _frame(spark, [(m,) for m in MODULES], "path string")
-    return src.import_edges(_frame(spark, IMPORTS, "path string, module string"), files)
-
-
 def get_by_id(spark, d):
     return table(spark, d, "documents").where(F.col("doc_id").isin(3, 17, 10**12)).select("doc_id", "lang", "source", F.md5("text").alias("digest"))
 
@@ -120,9 +94,6 @@ _SLUG = "trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9 -]', '', 'g')
 QUERIES = {
     "chunk_paragraphs": (chunk_paragraphs, "WITH s AS (SELECT doc_id, string_split_regex(replace(text, chr(10), chr(10) || chr(10)), '\\n\\n+') AS p FROM documents), x AS (SELECT doc_id, unnest(generate_series(0, len(p) - 1)) AS n, trim(unnest(p)) AS c FROM s) SELECT doc_id, n, length(c) AS length FROM x WHERE length(c) > 0"),
     "chunk_sliding": (chunk_sliding, "WITH s AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), x AS (SELECT doc_id, l, unnest(generate_series(0, greatest(len(l) - 3, 0), 2)) AS f FROM s) SELECT doc_id, f AS from_line, len(l[f + 1:f + 4]) AS n_lines, md5(array_to_string(l[f + 1:f + 4], chr(10))) AS digest FROM x"),
-    "chunk_code": (chunk_code, "SELECT * FROM (VALUES (0, 0, 2, 'import os'), (1, 3, 6, 'class A:'), (2, 7, 9, 'def main():')) v(part, first, last, opening)"),
-    "typescript_symbols": (typescript_symbols, "SELECT * FROM (VALUES ('class', 'Page'), ('interface', 'Props'), ('function', 'render'), ('function', 'load')) v(kind, name)"),
-    "parse_query": (parse_query, "SELECT * FROM (VALUES (1, 2017, 2.8::DOUBLE, 50, 100, '1/200', 'canon', 'vacation', 'happy family strasbourg'), (2, NULL, NULL, NULL, NULL, NULL, NULL, '', 'sunset'), (3, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL)) v(id, year, aperture, focal, iso, shutter, brand, tags, rest)"),
     "loc_after": (loc_after, "SELECT lang, CAST(sum(len(string_split(text, chr(10)))) AS BIGINT) AS loc, max(len(string_split(text, chr(10)))) AS longest FROM documents GROUP BY 1"),
     "manifest_snapshot": (manifest_snapshot, "SELECT doc_id, strlen(text) AS size, sha1(text) AS sha1 FROM documents"),
     "slugify": (slugify, f"SELECT doc_id, {_SLUG} AS slug FROM documents"),
@@ -132,7 +103,6 @@ QUERIES = {
     "fulltext_search": (fulltext_search, "WITH w AS (SELECT doc_id, unnest(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+')) AS t FROM documents) SELECT doc_id, count(DISTINCT t) AS matched, count(*) AS score FROM w WHERE t IN ('the', 'thes', 'inea', 'anha') GROUP BY 1 ORDER BY matched DESC, score DESC, doc_id LIMIT 20"),
     "page_titles": (page_titles, "SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_extract(url, '^https?://([^/]+)', 1) AS host FROM pages"),
     "image_metadata": (image_metadata, "SELECT * FROM (VALUES (1, 'aperture', 'f/2.8'), (1, 'focal_length', '50mm'), (1, 'orientation', 'rotated 90 cw'), (1, 'keywords', 'a; b'), (2, 'camera_make', 'Canon')) v(id, key, value)"),
-    "import_graph": (import_graph, "SELECT * FROM (VALUES ('app/main.py', 'app/core/util.py', 2), ('app/core/util.py', 'app/core/__init__.py', 2)) v(src, dst, weight)"),
     "get_by_id": (get_by_id, "SELECT doc_id, lang, source, md5(text) AS digest FROM documents WHERE doc_id IN (3, 17, 1000000000000)"),
     "curation_status": (curation_status, "SELECT d.doc_id, CASE WHEN d.doc_id <> min(d.doc_id) OVER (PARTITION BY sha256(text)) THEN 'archived' WHEN quality = 0 THEN 'rejected' ELSE 'kept' END AS status FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id"),
     "decode_files": (decode_files, f"SELECT * FROM {_values([(1, 'abc', 'utf-8-sig', 0), (2, 'grün', 'utf-8', 0), (3, 'grün', 'latin-1', 0), (4, '', 'utf-8', 0)])} v(id, text, encoding, replaced)"),
