@@ -19,7 +19,7 @@ def test_product_by_lists_each_pair_once(spark, monkeypatch):
     assert none.count() == 0
 
 
-@pytest.mark.parametrize("query", [derive.library_bridge])
+@pytest.mark.parametrize("query", [derive.library_bridge, derive.implements_from_docs])
 def test_pairs_are_neither_shuffled_nor_aggregated(spark, query):
     plan = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     above = plan.split("== Initial Plan ==")[-1].split("Join")[0]
