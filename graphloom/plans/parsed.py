@@ -13,6 +13,7 @@ from graphloom import bind
 from graphloom.functions import photos, scalars
 from graphloom.functions import text as tx
 from graphloom.operators import evidence as ev
+from graphloom.plans.derive import _frame, _values
 from graphloom.plans.extra import supplier_sources
 from graphloom.session import table
 from graphloom.sources import files as src
@@ -125,8 +126,27 @@ def parse_query(spark, d):
     return rows.select("id", *[c.alias(n) for n, c in tx.parse_photo_query(F.col("q")).items()])
 
 
+#: Free queries of every form.
+PHOTOS = [
+    (1, "happy family 2017 strasbourg canon #vacation f/2.8 50mm iso100 1/200s"), (2, "Portrait May 2020 sigma tag:Kids kw:beach city=Paris f1.4 2s"),
+    (3, "sunset iso: 800 camera_make:Nikon"), (4, "sunset"), (5, ""), (6, None),
+]
+_PHOTOS = [
+    (1, "2017", None, "canon", "canon", "f/2.8", "50mm", "100", "1/200s", "vacation", None, None, "happy family strasbourg"),
+    (2, "2020", "may", "sigma", "sigma", "f/1.4", None, None, "2s", "kids", "beach", "city=paris", "Portrait"),
+    (3, None, None, "nikon", "nikon", None, None, None, None, None, None, "iso=800,camera_make=nikon", "sunset camera_make:"),
+    (4, None, None, None, None, None, None, None, None, None, None, None, "sunset"), (5, *[None] * 11, ""), (6, *[None] * 12),
+]
+#: Queries of the parts, by turns of the key: words and settings, a month with labels and a named field, fields by name, no metadata, none.
+FORMS = """CASE p_partkey % 5 WHEN 0 THEN concat(p_name, ' 2017 canon #tag', p_partkey % 9, ' f/2.8 50mm iso', 100 * (1 + p_partkey % 4), ' 1/200s')
+WHEN 1 THEN concat(p_name, ' May ', 1990 + p_partkey % 30, ' sigma tag:Kids', p_partkey % 9, ' kw:beach', p_partkey % 8, ' city=Paris', p_partkey % 7, ' f1.4 2s')
+WHEN 2 THEN concat(p_name, ' iso: ', 100 * (1 + p_partkey % 4), ' camera_make:Nikon') WHEN 3 THEN p_name END"""
+
+
 def photo_query(spark, d):
-    rows = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.expr(PHOTO).alias("q"))
+    """The free queries of every form, and one for each part."""
+    parts = table(spark, d, "part").select((F.col("p_partkey") + 100).cast("long").alias("id"), F.expr(FORMS).alias("q"))
+    rows = _frame(spark, PHOTOS, "id long, q string").unionAll(parts)
     return rows.select("id", *[c.alias(n) for n, c in photos.parse(F.col("q")).items()])
 
 
@@ -203,8 +223,11 @@ SELECT p_partkey, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h,
     "chunk_code": (chunk_code, f"WITH {_PY} SELECT path, CAST(i + 1 AS INTEGER) AS part, 6 * i AS first, 6 * i + 5 AS last, 'class S' || id || '_' || i || ':' AS opening FROM f"),
     "typescript_symbols": (typescript_symbols, "SELECT s_suppkey AS key, a AS kind, b || s_suppkey AS name FROM supplier, (VALUES ('class', 'P'), ('interface', 'I'), ('function', 'r'), ('function', 'l')) v(a, b)"),
     "parse_query": (parse_query, "SELECT p_partkey AS id, 2017 AS year, 2.8::DOUBLE AS aperture, 50 AS focal, 100 * (1 + p_partkey % 4) AS iso, '1/200' AS shutter, 'canon' AS brand, 'tag' || p_partkey % 9 AS tags, p_name AS rest FROM part"),
-    "photo_query": (photo_query, """SELECT p_partkey AS id, '2017' AS year, CAST(NULL AS VARCHAR) AS month, 'canon' AS camera_make, 'canon' AS lens_make, 'f/2.8' AS aperture, '50mm' AS focal_length, CAST(100 * (1 + p_partkey % 4) AS VARCHAR) AS iso,
-'1/200s' AS shutter_speed, 'tag' || p_partkey % 9 AS tags, CAST(NULL AS VARCHAR) AS keywords, CAST(NULL AS VARCHAR) AS fields, p_name AS rest FROM part"""),
+    "photo_query": (photo_query, f"""SELECT * FROM {_values(_PHOTOS)} v(id, year, month, camera_make, lens_make, aperture, focal_length, iso, shutter_speed, tags, keywords, fields, rest)
+UNION ALL SELECT p_partkey + 100, '2017', NULL, 'canon', 'canon', 'f/2.8', '50mm', CAST(100 * (1 + p_partkey % 4) AS VARCHAR), '1/200s', 'tag' || p_partkey % 9, NULL, NULL, p_name FROM part WHERE p_partkey % 5 = 0
+UNION ALL SELECT p_partkey + 100, CAST(1990 + p_partkey % 30 AS VARCHAR), 'may', 'sigma', 'sigma', 'f/1.4', NULL, NULL, '2s', 'kids' || p_partkey % 9, 'beach' || p_partkey % 8, 'city=paris' || p_partkey % 7, p_name FROM part WHERE p_partkey % 5 = 1
+UNION ALL SELECT p_partkey + 100, NULL, NULL, 'nikon', 'nikon', NULL, NULL, NULL, NULL, NULL, NULL, 'iso=' || 100 * (1 + p_partkey % 4) || ',camera_make=nikon', p_name || ' camera_make:' FROM part WHERE p_partkey % 5 = 2
+UNION ALL SELECT p_partkey + 100, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, CASE WHEN p_partkey % 5 = 3 THEN p_name END FROM part WHERE p_partkey % 5 > 2"""),
     "import_graph": (import_graph, "SELECT 'app/m' || k || '.py' AS src, 'app/m' || t || '.py' AS dst, count(*) AS weight FROM (SELECT p_partkey AS k, unnest([p_partkey // 2, p_partkey // 3]) AS t FROM part) WHERE t <> k GROUP BY 1, 2"),
     "mention_files": (mention_files, f"""WITH {T}, f AS (SELECT 'app/d' || p_partkey % 7 || '/f' || p_partkey // 2 || '.py' AS path, 'd' || p_partkey % 7 || '/f' || p_partkey // 2 || '.py' AS below, 'f' || p_partkey // 2 || '.py' AS base FROM part),
 m AS (SELECT DISTINCT hash AS chunk, CASE hash % 3 WHEN 0 THEN 'app/' ELSE '' END || CASE WHEN hash % 3 < 2 THEN 'd' || path % 7 || '/' ELSE '' END || 'f' || path // 2 || '.py' AS term FROM touched),
