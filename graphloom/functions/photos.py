@@ -89,5 +89,7 @@ def properties(raw: Column) -> Column:
             return F.coalesce(F.try_element_at(labels, v), v)
         return v
 
-    found = [F.struct(F.lit(f).alias("key"), shown(f, F.coalesce(*[F.nullif(F.try_element_at(raw, F.lit(n)), F.lit("")) for n in names])).alias("value")) for f, names in PROPERTIES.items()]
+    # A lambda's variable holds the value of a field, so that it is looked up once.
+    field = lambda f, v: F.transform(F.array(v), lambda x: F.struct(F.lit(f).alias("key"), shown(f, x).alias("value")))[0]
+    found = [field(f, F.coalesce(*[F.nullif(F.try_element_at(raw, F.lit(n)), F.lit("")) for n in names])) for f, names in PROPERTIES.items()]
     return F.when(raw.isNotNull(), F.map_from_entries(F.filter(F.array(*found), lambda s: s["value"].isNotNull())))

@@ -48,6 +48,10 @@ def typescript_details(spark, d):
     return _frame(spark, [(SCRIPT,)], "source string").select(F.explode(code.typescript_symbols(F.col("source"))).alias("s")).select("s.*")
 
 
+#: Rows of a task of photo_properties().
+PHOTOS = 10_000
+
+
 def photo_properties(spark, d):
     """Each part as a photo whose metadata follow from its columns."""
     text = lambda c: F.col(c).cast("string")
@@ -58,7 +62,10 @@ def photo_properties(spark, d):
         "WhiteBalance": (F.col("p_size") % 3).cast("string"), "DateTimeOriginal": F.concat(F.date_format(day, "yyyy:MM:dd"), F.lit(" 10:11:12.50")), "Other": text("p_name"),
     }
     raw = F.create_map(*[x for name, value in raw.items() for x in (F.lit(name), value)])
-    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.explode(photos.properties(raw)).alias("key", "value"))
+    parts = table(spark, d, "part")
+    # A small file is one task as it stands; the map is a column of its own, so that it is made once a row.
+    rows = parts.repartition(max(1, -(-parts.count() // PHOTOS))).select(F.col("p_partkey").alias("id"), raw.alias("raw"))
+    return rows.select("id", F.explode(photos.properties(F.col("raw"))).alias("key", "value"))
 
 
 def decode_documents(spark, d):
