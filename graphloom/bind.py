@@ -53,6 +53,15 @@ def raw_touches(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Rows of a task that sorts or groups touches.
+TASK_ROWS = 500_000
+
+
+def tasks(rows: DataFrame) -> int:
+    """The number of tasks for some rows, so that what a task holds does not grow with the table."""
+    return max(1, -(-rows.count() // TASK_ROWS))
+
+
 def touches(spark: SparkSession, sf_dir: str, since: str | None = None, until: str | None = None) -> DataFrame:
     """One edge per (commit, file): first change type by line number, latest time, summed additions; with
     since or until, those of a window of time.
@@ -64,8 +73,8 @@ def touches(spark: SparkSession, sf_dir: str, since: str | None = None, until: s
     source = f"{sf_dir}/lineitem.parquet"
     kept = f"{kept_dir(spark)}/touched-{fingerprint(spark, source)}"
     if not exists(spark, f"{kept}/_SUCCESS"):
-        begun = f"{kept}-{uuid.uuid4().hex}"
-        merged = _merged(spark, sf_dir).withColumn("month", F.date_format("ts", "yyyy-MM"))
+        begun, raw = f"{kept}-{uuid.uuid4().hex}", raw_touches(spark, sf_dir)
+        merged = _merged(raw.repartition(tasks(raw), "hash", "path")).withColumn("month", F.date_format("ts", "yyyy-MM"))
         merged.hint("rebalance", "month").sortWithinPartitions("month", "ts").write.mode("overwrite").partitionBy("month").parquet(begun)
         rename(spark, begun, kept)
     rows = spark.read.schema(_schema(spark, sf_dir)).parquet(kept)
@@ -77,12 +86,12 @@ def touches(spark: SparkSession, sf_dir: str, since: str | None = None, until: s
 
 
 def _schema(spark: SparkSession, sf_dir: str) -> StructType:
-    return StructType([*_merged(spark, sf_dir).schema.fields, StructField("month", StringType())])
+    return StructType([*_merged(raw_touches(spark, sf_dir)).schema.fields, StructField("month", StringType())])
 
 
-def _merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _merged(raw: DataFrame) -> DataFrame:
     return (
-        raw_touches(spark, sf_dir)
+        raw
         .groupBy("hash", "path")
         .agg(
             F.min(F.struct("line", "change_type"))["change_type"].alias("change_type"),
