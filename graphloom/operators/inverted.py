@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.functions.scratch import exists, rename, shuffles_removed
+from graphloom.functions.scratch import cut, exists, join_checked, rename, shuffles_removed
 
 #: Fixed values of the ranking; buckets of terms, ranges of documents, ranges that are scored first.
 K1, B = 1.2, 0.75
@@ -72,22 +72,46 @@ def build(docs: DataFrame, path: str) -> Index:
 def _write(docs: DataFrame, index: Index) -> None:
     path = index.path
     with shuffles_removed(index.spark):
-        body = docs.select("label", F.col("id").cast("string").alias("id"), tokens(F.col("text")).alias("t")).withColumn("len", F.size("t")).where("len > 0")
-        lengths = body.select("label", "id", "len")
+        body = _whole(docs).select("label", "id", tokens(F.col("text")).alias("t")).withColumn("len", F.size("t"))
+        # Rows without tokens go by what comes out: a filter or an inner inline() would make the tokens again.
+        lengths = cut(body.select("label", "id", "len"), "lengths").where("len > 0")
         # Ranges by length: one cut for each share of the documents, a list of fixed length.
         cuts = lengths.agg(F.percentile_approx("len", [k / RANGES for k in range(1, RANGES)], 10_000).alias("cuts"), F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean"))
         cuts.select("n", "mean", F.coalesce("cuts", F.array().cast("array<int>")).alias("cuts")).write.parquet(f"{path}/about")
         about = F.broadcast(index.table("about"))  # one row
         spanned = lambda rows: rows.withColumn("span", F.size(F.filter("cuts", lambda c: c < F.col("len"))))
         spanned(lengths.join(about)).select("label", "id", "len", "span").write.parquet(f"{path}/docs")
-        counted = body.select("label", "id", "len", F.explode("t").alias("term")).groupBy("label", "id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
+        counted = body.select("label", "id", "len", F.inline_outer(_counts(F.col("t")))).where("term IS NOT NULL")
+        # Only what cannot be told from a posting's length moves to its bucket; range and weight follow there.
+        dealt = counted.select(_bucket(F.col("term")).alias("bucket"), "term", "label", "id", "tf", "len").hint("rebalance", "bucket")
         weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
-        posted = spanned(counted.join(about)).select(_bucket(F.col("term")).alias("bucket"), "term", "span", "label", "id", "tf", "len", weight.alias("weight"))
-        posted.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "span").write.partitionBy("bucket").parquet(f"{path}/postings")
+        posted = spanned(dealt.join(about)).select("bucket", "term", "span", "label", "id", "tf", "len", weight.alias("weight"))
+        posted.sortWithinPartitions("bucket", "term", "span").write.partitionBy("bucket").parquet(f"{path}/postings")
         tops = index.table("postings").groupBy("bucket", "term", "span").agg(F.max("weight").alias("top"), F.count(F.lit(1)).alias("df"))
         tops.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/tops")
 
 
+def _whole(docs: DataFrame) -> DataFrame:
+    """docs with one row an id: the texts of ids that repeat are put together, the others stay where they are."""
+    rows = docs.select("label", F.col("id").cast("string").alias("id"), "text")
+    again = cut(rows.groupBy("label", "id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("label", "id"), "again")
+    if again.isEmpty():
+        return rows
+    joined = join_checked(rows, again, ["label", "id"], "left_semi").groupBy("label", "id").agg(F.concat_ws(" ", F.collect_list("text")).alias("text"))
+    return join_checked(rows, again, ["label", "id"], "left_anti").unionAll(joined)
+
+
+def _counts(words: Column) -> Column:
+    """Structs of term and tf (how often it stands there) of a list: runs of the sorted list, so that terms of a
+    document are counted where it lies."""
+    def runs(w: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(1), F.size(w)), lambda i: (i == 1) | (F.get(w, i - 1) != F.get(w, i - 2)))
+        ends = lambda s: F.concat(F.slice(s, F.lit(2), F.size(s)), F.array(F.size(w) + 1))
+        return F.transform(F.array(starts), lambda s: F.zip_with(s, ends(s), lambda a, b: F.struct(F.get(w, a - 1).alias("term"), (b - a).cast("long").alias("tf"))))[0]
+
+    return F.transform(F.array(F.sort_array(words)), runs)[0]
+
+
 def _rarity(df: Column, n: Column) -> Column:
     return F.log(1 + (n - df + 0.5) / (df + 0.5))
 
