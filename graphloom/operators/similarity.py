@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -85,37 +87,59 @@ def similar_pairs(points: DataFrame, threshold: float, most: int | None = None)
 
 def hash_bits(tokens: Column, bits: int = 64) -> Column:
     """A simhash: for each bit, whether more token hashes have it set than not. The token hash is the
-    first sixteen hex digits of MD5."""
-    hashes = F.transform(tokens, lambda t: F.substring(F.md5(t), 1, 16))
-    bit = lambda h, k: (F.conv(F.substring(h, F.floor(k / 4).cast("int") + 1, F.lit(1)), 16, 10).cast("int").bitwiseAND(F.pow(F.lit(2), 3 - k % 4).cast("int")) != 0)
-    votes = lambda hs, k: F.aggregate(hs, F.lit(0), lambda s, h: s + F.when(bit(h, k), 1).otherwise(-1))
-    code = lambda hs: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(bits - 1)), lambda k: F.when(votes(hs, k) > 0, "1").otherwise("0")), "")
-    return F.transform(F.array(hashes), code)[0]
+    first sixteen hex digits of MD5. Without tokens, also for null, all bits are 0."""
+
+    @F.arrow_udf("string")
+    def codes(lists: pa.Array) -> pa.Array:
+        # Each word of a batch is hashed once; votes are added text by text.
+        words = lists.flatten().dictionary_encode()
+        digests = b"".join(hashlib.md5(w.encode(), usedforsecurity=False).digest()[:8] for w in words.dictionary.to_pylist())
+        votes = np.unpackbits(np.frombuffer(digests, np.uint8).reshape(-1, 8), axis=1).astype(np.int8) * 2 - 1
+        votes = np.vstack([votes, np.full((1, 64), -1, np.int8)])  # the last row is that of a null word
+        at = words.indices.fill_null(len(votes) - 1).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+        out, begin = [], 0
+        for end in ends:
+            out.append(((votes[at[begin:end]].sum(axis=0, dtype=np.int64) > 0)[:bits] + 48).astype(np.uint8).tobytes().decode())
+            begin = end
+        return pa.array(out, pa.string())
+
+    return codes(tokens)
+
+
+#: Rows of a task of hamming_pairs(), a row a code and key.
+KEYED = 1_000_000
 
 
 def hamming_pairs(codes: DataFrame, most: int = 5, bits: int = 64, spare: int = 3) -> DataFrame:
     """Pairs (a < b, distance) of codes (id, code as a bit string) at Hamming distance <= most. A code is
     split into most + spare blocks, of which two such codes share `spare` at least; every choice of spare
-    blocks is an exact equi-join key (at 64 bits and most = 5: 56 keys of 24 bits), so few unrelated codes
-    meet. A pair counts under the first key it shares, and distances are bit counts of longs. Equal codes
+    blocks is an equi-join key (at 64 bits and most = 5: 56 keys of 24 bits), so few unrelated codes
+    meet. What moves is a hash of the key, the id and the code as longs; the blocks are compared where codes meet.
+    A pair counts under the first key it shares, and distances are bit counts of longs. Equal codes
     are compared once: a pair of smallest ids stands for a pair of classes, and code_classes() tells whose
-    ids a class holds, which are the links at distance 0."""
+    ids a class holds, which are the links at distance 0. The number of tasks follows the codes."""
     n = most + spare
     edges = [round(bits * k / n) for k in range(n + 1)]
-    block = lambda c, k: F.substring(c, edges[k] + 1, edges[k + 1] - edges[k])
-    words = lambda c: F.array(*[F.conv(F.substring(c, at + 1, 32), 2, 10).cast("long") for at in range(0, bits, 32)])
+    starts = list(range(0, bits, 32))
+    word = lambda at: F.conv(F.substring("code", at + 1, 32), 2, 10).cast("long").alias(f"w{at}")
+    # Bits of a block within the word that starts at a bit; the last word may be shorter.
+    mask = lambda at, k: sum(1 << (min(at + 32, bits) - 1 - i) for i in range(max(at, edges[k]), min(at + 32, edges[k + 1])))
     keys = list(combinations(range(n), spare))
-    groups = cut(codes.groupBy("code").agg(F.min("id").alias("id")).select("id", F.array(*[block("code", k) for k in range(n)]).alias("blocks"), words("code").alias("words")), "codes")
-    key = F.posexplode(F.array(*[F.concat(*[F.col("blocks")[k] for k in chosen]) for chosen in keys])).alias("k", "key")
-    keyed = groups.select("id", "blocks", "words", key)
-    other = keyed.select(F.col("id").alias("b"), F.col("blocks").alias("blocks_b"), F.col("words").alias("words_b"), "k", "key")
-    apart = F.aggregate(F.zip_with("words", "words_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    shared = F.zip_with("blocks", "blocks_b", lambda x, y: x == y)
+    groups = cut(codes.groupBy("code").agg(F.min("id").alias("id")).select("id", *map(word, starts)), "codes").where("w0 IS NOT NULL")
+    cuts = [[F.col(f"w{at}").bitwiseAND(F.lit(sum(mask(at, k) for k in chosen)).cast("long")) for at in starts] for chosen in keys]
+    key = F.posexplode(F.array(*[F.xxhash64(F.lit(k), *words) for k, words in enumerate(cuts)])).alias("k", "key")
+    tasks = max(1, -(-groups.count() * len(keys) // KEYED))
+    keyed = groups.select("id", *[f"w{at}" for at in starts], key).repartition(tasks, "key")
+    other = keyed.select(F.col("id").alias("b"), F.col("k").alias("kb"), "key", *[F.col(f"w{at}").alias(f"v{at}") for at in starts])
+    apart = [F.col(f"w{at}").bitwiseXOR(F.col(f"v{at}")) for at in starts]
+    distance = sum((F.bit_count(x) for x in apart[1:]), F.bit_count(apart[0]))
+    met = keyed.join(other.hint("merge"), "key").where("id < b AND k = kb").withColumn("distance", distance).where(F.col("distance") <= most)
+    alike = [reduce(Column.__and__, [x.bitwiseAND(F.lit(mask(at, k)).cast("long")) == 0 for at, x in zip(starts, apart)]) for k in range(n)]
     # The first `spare` blocks that both share name the first key.
-    same = F.filter(F.transform(shared, lambda x, i: F.when(x, i)), lambda i: i.isNotNull())
+    same = F.slice(F.array_compact(F.array(*[F.when(x, i) for i, x in enumerate(alike)])), 1, spare)
     mine = F.element_at(F.array(*[F.array(*map(F.lit, chosen)) for chosen in keys]), F.col("k") + 1)
-    pairs = keyed.join(other, ["k", "key"]).where("id < b").withColumn("distance", apart).where((F.col("distance") <= most) & (F.slice(same, 1, spare) == mine))
-    return pairs.select(F.col("id").alias("a"), "b", "distance")
+    return met.where(same == mine).select(F.col("id").alias("a"), "b", "distance")
 
 
 def code_classes(codes: DataFrame) -> DataFrame:
