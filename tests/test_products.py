@@ -24,3 +24,12 @@ def test_pairs_are_neither_shuffled_nor_aggregated(spark, query):
     plan = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     above = plan.split("== Initial Plan ==")[-1].split("Join")[0]
     assert "Generate explode" in above and "Exchange" not in above and "Aggregate" not in above
+
+
+def test_few_copies_of_rows_move(spark):
+    from tests.test_graph_sizes import shuffled_rows
+
+    left, right = (spark.range(9000).selectExpr(f"id AS {c}", "1L AS k") for c in "ab")
+    product = rel.product_by(left, right, "k")
+    found, moved = shuffled_rows(spark, product.count)
+    assert found == 9000**2 and moved < 22_000
